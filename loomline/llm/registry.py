@@ -1,6 +1,7 @@
 """Queries of this package and the SQL for those that SQL can express."""
 
 from .bpe import op1_bpe
+from .packing import op2_packing
 
-QUERIES = {f.__name__: f for f in (op1_bpe,)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_packing)}
 ORACLE: dict[str, str] = {}
