@@ -80,9 +80,9 @@ class PrefixBpe:
             if i in self.bytes_of and token not in self.special and (i not in made or self.apart(*made[i][1:], made[i][0])):
                 self.automaton.add_word(self.bytes_of[i].decode("latin-1"), (i, len(self.bytes_of[i])))
         self.automaton.make_automaton()
-        self.fits = Memo(lambda pair: self.apart(*pair), 400_000)
-        self.pieces = Memo(self.encode_piece)
-        self.after_space = Memo(self.encode_word, 300_000)
+        self.fits = Memo(lambda pair: self.apart(pair >> 32, pair & 0xFFFFFFFF), 150_000)
+        self.pieces = Memo(self.encode_piece, 30_000)
+        self.after_space = Memo(self.encode_word, 100_000)
 
     def apart(self, a: int, b: int, until: int = FOREVER) -> bool:
         """Whether no merge joins a and b before the merge of rank `until`, when both are built from bytes."""
@@ -105,7 +105,7 @@ class PrefixBpe:
         for end, (token, length) in self.automaton.iter(raw):
             if last[end] < 0:
                 before = end - length
-                if before < 0 or fits[last[before], token]:
+                if before < 0 or fits[last[before] << 32 | token]:
                     last[end], start[end] = token, before
         ids, at = [], len(raw) - 1
         while at >= 0:
@@ -157,7 +157,7 @@ def encode(df: DataFrame, text: str = "text", ids: str = "ids", vocabulary: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(vocabulary)
-        for batch in (s for b in batches for s in slices(b, text, 4 << 20)):
+        for batch in (s for b in batches for s in slices(b, text)):
             found = [np.array(bpe.encode(t or ""), np.int32) for t in batch.column(text).to_pylist()]
             ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
             yield replaced(batch, ids, pa.ListArray.from_arrays(ends, np.concatenate([*found, np.zeros(0, np.int32)])), names)
