@@ -1,7 +1,8 @@
 """Queries of this package and the SQL for those that SQL can express."""
 
 from .bpe import op1_bpe
+from .fingerprints import op3_fingerprints
 from .packing import op2_packing
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_packing)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_packing, op3_fingerprints)}
 ORACLE: dict[str, str] = {}
