@@ -3,6 +3,7 @@
 from .bpe import op1_bpe
 from .fingerprints import op3_fingerprints
 from .packing import op2_packing
+from .quality import op4_quality
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_packing, op3_fingerprints)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_packing, op3_fingerprints, op4_quality)}
 ORACLE: dict[str, str] = {}
