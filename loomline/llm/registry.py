@@ -2,8 +2,9 @@
 
 from .bpe import op1_bpe
 from .fingerprints import op3_fingerprints
+from .lm_score import op5_lm_score
 from .packing import op2_packing
 from .quality import op4_quality
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_packing, op3_fingerprints, op4_quality)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_packing, op3_fingerprints, op4_quality, op5_lm_score)}
 ORACLE: dict[str, str] = {}
