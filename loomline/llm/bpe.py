@@ -151,6 +151,16 @@ def replaced(batch: pa.RecordBatch, name: str, values: pa.Array, schema_names: l
     return pa.RecordBatch.from_arrays([columns[n] for n in [*[n for n in schema_names if n != name], name]], names=[*[n for n in schema_names if n != name], name])
 
 
+def cut_lists(batch: pa.RecordBatch, name: str, limit: int = 1 << 18) -> Iterator[pa.RecordBatch]:
+    """The batch in pieces of about `limit` list items; a longer list is a piece of its own."""
+    total = np.cumsum(batch.column(name).value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+    start = 0
+    while start < batch.num_rows:
+        stop = max(start + 1, int(np.searchsorted(total, (total[start - 1] if start else 0) + limit, side="right")))
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
 def encode(df: DataFrame, text: str = "text", ids: str = "ids", vocabulary: str = VOCABULARY) -> DataFrame:
     """Adds the column `ids`, array<int>."""
     names = df.columns
@@ -171,9 +181,9 @@ def decode(df: DataFrame, ids: str = "ids", decoded: str = "decoded", vocabulary
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(vocabulary)
-        for batch in batches:
+        for batch in (s for b in batches for s in cut_lists(b, ids)):
             lists = batch.column(ids)
-            flat, sizes = lists.flatten().to_numpy(zero_copy_only=False).tolist(), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            flat, sizes = lists.flatten().to_pylist(), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
             ends = np.cumsum([0, *sizes]).tolist()
             yield replaced(batch, decoded, pa.array([bpe.decode(flat[a:b]) for a, b in zip(ends, ends[1:])], pa.string()), names)
 
