@@ -8,7 +8,8 @@ from .packing import op2_packing
 from .pii import op9_pii
 from .quality import op4_quality
 from .rules import op6_rules
+from .sharding import op10_sharding
 from .simhash import op8_simhash
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_packing, op3_fingerprints, op4_quality, op5_lm_score, op6_rules, op7_line_dedup, op8_simhash, op9_pii)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_packing, op3_fingerprints, op4_quality, op5_lm_score, op6_rules, op7_line_dedup, op8_simhash, op9_pii, op10_sharding)}
 ORACLE: dict[str, str] = {"op7_line_dedup": ORACLE_OP7}
