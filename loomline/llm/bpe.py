@@ -80,9 +80,9 @@ class PrefixBpe:
             if i in self.bytes_of and token not in self.special and (i not in made or self.apart(*made[i][1:], made[i][0])):
                 self.automaton.add_word(self.bytes_of[i].decode("latin-1"), (i, len(self.bytes_of[i])))
         self.automaton.make_automaton()
-        self.fits = Memo(lambda pair: self.apart(pair >> 32, pair & 0xFFFFFFFF), 150_000)
+        self.fits = Memo(lambda pair: self.apart(pair >> 32, pair & 0xFFFFFFFF), 250_000)
         self.pieces = Memo(self.encode_piece, 30_000)
-        self.after_space = Memo(self.encode_word, 100_000)
+        self.after_space = Memo(self.encode_word, 350_000)
 
     def apart(self, a: int, b: int, until: int = FOREVER) -> bool:
         """Whether no merge joins a and b before the merge of rank `until`, when both are built from bytes."""
