@@ -43,8 +43,9 @@ def marked_lines(df: DataFrame) -> DataFrame:
 
 def dedup_lines(df: DataFrame) -> DataFrame:
     """The input with cleaned texts, the number of lines that are not blank and of those removed."""
-    keyed = df.withColumn("key", F.struct("doc_id", F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("row")))
-    joined = keyed.join(marked_lines(keyed.select("key", "text")).withColumnRenamed("key", "of"), F.col("key") == F.col("of"), "left")
+    keyed = df.withColumn("__key", F.struct("doc_id", F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("row")))
+    marked = marked_lines(keyed.select(F.col("__key").alias("key"), "text")).toDF("__of", "__marked")
+    joined = keyed.join(marked, F.col("__key") == F.col("__of"), "left")
     lines = F.split("text", "\n")
     blank = lambda line: F.trim(line) == ""
     # Number of each line among those that are not blank, then the lines that stay.
@@ -53,12 +54,12 @@ def dedup_lines(df: DataFrame) -> DataFrame:
         F.struct(F.lit(0).alias("n"), F.array().cast("array<string>").alias("kept")),
         lambda s, line: F.struct(
             (s["n"] + F.when(blank(line), 0).otherwise(1)).alias("n"),
-            F.when(~blank(line) & F.array_contains("marked", s["n"]), s["kept"]).otherwise(F.concat(s["kept"], F.array(line))).alias("kept"),
+            F.when(~blank(line) & F.array_contains("__marked", s["n"]), s["kept"]).otherwise(F.concat(s["kept"], F.array(line))).alias("kept"),
         ),
     )
-    cleaned = F.when(F.col("marked").isNull(), F.col("text")).otherwise(F.array_join(numbered["kept"], "\n"))
-    rest = [c for c in df.columns if c != "text"]
-    return joined.select(*rest, cleaned.alias("text"), F.coalesce(F.size(F.filter(lines, lambda line: ~blank(line))), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("marked"), F.lit(0)).cast("long").alias("n_removed"))
+    cleaned = F.when(F.col("__marked").isNull(), F.col("text")).otherwise(F.array_join(numbered["kept"], "\n"))
+    rest = [c for c in df.columns if c not in ("text", "n_lines", "n_removed")]
+    return joined.select(*rest, cleaned.alias("text"), F.coalesce(F.size(F.filter(lines, lambda line: ~blank(line))), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("__marked"), F.lit(0)).cast("long").alias("n_removed"))
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

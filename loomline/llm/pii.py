@@ -259,10 +259,10 @@ def training_texts(df: DataFrame, sample: int = SAMPLE) -> list[str]:
     return [r.text for r in rows.toLocalIterator()]
 
 
-def find(df: DataFrame, field: Field | None = None) -> DataFrame:
+def find(df: DataFrame, field: Field | None = None, base_name: str = "base", spans_name: str = "spans") -> DataFrame:
     """Adds `base` and `spans`, arrays of kind:start:end ordered by kind and start."""
     field = field or train(training_texts(df))
-    kept = [c for c in df.columns if c not in ("base", "spans")]
+    kept = [c for c in df.columns if c not in (base_name, spans_name)]
 
     def ordered(spans: list[Span]) -> list[str]:
         return [f"{k}:{s}:{e}" for k, s, e in sorted(spans, key=lambda x: (KINDS.index(x[0]), x[1]))]
@@ -271,20 +271,20 @@ def find(df: DataFrame, field: Field | None = None) -> DataFrame:
         for batch in (s for b in batches for s in slices(b, "text")):
             found = [([], []) if not t or not HINT.search(t) else (base := base_spans(t), added_spans(t, base, field)) for t in batch.column("text").to_pylist()]
             columns = [pa.array([ordered(x) for x in c], pa.list_(pa.string())) for c in ([b for b, _ in found], [b + a for b, a in found])]
-            yield pa.RecordBatch.from_arrays([*map(batch.column, kept), *columns], names=[*kept, "base", "spans"])
+            yield pa.RecordBatch.from_arrays([*map(batch.column, kept), *columns], names=[*kept, base_name, spans_name])
 
-    return df.mapInArrow(run, keep_types(df.select(*kept), "base array<string>", "spans array<string>"))
+    return df.mapInArrow(run, keep_types(df.select(*kept), f"`{base_name}` array<string>", f"`{spans_name}` array<string>"))
 
 
 def redact(df: DataFrame, field: Field | None = None) -> DataFrame:
     """The input with each span of its text replaced by its kind in square brackets; of overlapping spans the first and longest counts."""
-    found = find(df, field)
+    found = find(df, field, "__base", "__spans")
     names = df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (s for b in batches for s in slices(b, "text")):
             texts = []
-            for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
+            for text, spans in zip(batch.column("text").to_pylist(), batch.column("__spans").to_pylist(), strict=True):
                 parts, last = [], 0
                 for start, end, kind in sorted((int(s), int(e), k) for k, s, e in (x.split(":") for x in spans)):
                     if start >= last:
