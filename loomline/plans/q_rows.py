@@ -50,10 +50,10 @@ def first_filled(*columns: str) -> Column:
     return F.coalesce(*(F.nullif(F.col(c), F.lit("")) for c in columns))
 
 
-@query("SELECT regexp_replace(p_type, ' [A-Z]+$', '') AS family, count(*) AS n, count(DISTINCT p_type) AS variants FROM part GROUP BY 1")
+@query("SELECT regexp_replace(p_name, ' [a-z]+$', '') AS family, count(*) AS n, count(DISTINCT p_name) AS variants FROM part GROUP BY 1")
 def prj7_variant_folding(spark, sf):
-    folded = table(spark, sf, "part").withColumn("family", F.regexp_replace("p_type", " [A-Z]+$", ""))
-    return folded.groupBy("family").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("p_type").alias("variants"))
+    folded = table(spark, sf, "part").withColumn("family", F.regexp_replace("p_name", " [a-z]+$", ""))
+    return folded.groupBy("family").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("p_name").alias("variants"))
 
 
 @query("SELECT c_custkey, r.mapped || '_' || split_part(c_name, '#', 2) AS canonical FROM customer JOIN (VALUES ('Customer', 'cust'), ('Supplier', 'supp')) r(prefix, mapped) ON split_part(c_name, '#', 1) = r.prefix")
@@ -163,7 +163,7 @@ def jn8_preferred_merge(spark, sf):
     return joined.select("doc_id", F.coalesce(F.nullif("preferred", F.lit("")), F.nullif("lang", F.lit("")), F.lit("none")).alias("merged"), F.coalesce("labelled", F.lit(False)).alias("from_labels"))
 
 
-PREFIXES = [("STANDARD", 1), ("STANDARD POLISHED", 2), ("SMALL", 3), ("SMALL PLATED", 4), ("ECONOMY", 5), ("PROMO BRUSHED", 6)]
+PREFIXES = [("small", 1), ("small ring", 2), ("red", 3), ("red wid", 4), ("blue b", 5), ("green", 6)]
 PREFIX_SQL = ", ".join(f"('{p}', {k})" for p, k in PREFIXES)
 
 
@@ -178,34 +178,34 @@ def longest_prefix(df: DataFrame, column: str, entries: list[tuple[str, int]]) -
     return df.withColumn("prefix", found).withColumn("code", known[F.col("prefix")])
 
 
-@query(f"SELECT p_partkey, prefix, code FROM part LEFT JOIN (SELECT p_type, prefix, code FROM (SELECT DISTINCT p_type FROM part), (VALUES {PREFIX_SQL}) d(prefix, code) WHERE starts_with(p_type, prefix) QUALIFY row_number() OVER (PARTITION BY p_type ORDER BY length(prefix) DESC) = 1) USING (p_type)")
+@query(f"SELECT p_partkey, prefix, code FROM part LEFT JOIN (SELECT p_name, prefix, code FROM (SELECT DISTINCT p_name FROM part), (VALUES {PREFIX_SQL}) d(prefix, code) WHERE starts_with(p_name, prefix) QUALIFY row_number() OVER (PARTITION BY p_name ORDER BY length(prefix) DESC) = 1) USING (p_name)")
 def jn9_longest_prefix(spark, sf):
-    return longest_prefix(table(spark, sf, "part"), "p_type", PREFIXES).select("p_partkey", "prefix", "code")
+    return longest_prefix(table(spark, sf, "part"), "p_name", PREFIXES).select("p_partkey", "prefix", "code")
 
 
-@query(f"SELECT p_partkey, coalesce(o.bpm, CASE WHEN p_size % 4 = 0 THEN p_size END, code * 10, 96) AS bpm, CASE WHEN o.bpm IS NOT NULL THEN 'override' WHEN p_size % 4 = 0 THEN 'own' WHEN code IS NOT NULL THEN 'text' ELSE 'constant' END AS origin FROM part LEFT JOIN (VALUES (1, 140), (8, 150), (15, 160)) o(p_partkey, bpm) USING (p_partkey) LEFT JOIN (SELECT p_type, code FROM (SELECT DISTINCT p_type FROM part), (VALUES {PREFIX_SQL}) d(prefix, code) WHERE starts_with(p_type, prefix) QUALIFY row_number() OVER (PARTITION BY p_type ORDER BY length(prefix) DESC) = 1) USING (p_type)")
+@query(f"SELECT p_partkey, coalesce(o.bpm, CASE WHEN p_size % 4 = 0 THEN p_size END, code * 10, 96) AS bpm, CASE WHEN o.bpm IS NOT NULL THEN 'override' WHEN p_size % 4 = 0 THEN 'own' WHEN code IS NOT NULL THEN 'text' ELSE 'constant' END AS origin FROM part LEFT JOIN (VALUES (1, 140), (8, 150), (15, 160)) o(p_partkey, bpm) USING (p_partkey) LEFT JOIN (SELECT p_name, code FROM (SELECT DISTINCT p_name FROM part), (VALUES {PREFIX_SQL}) d(prefix, code) WHERE starts_with(p_name, prefix) QUALIFY row_number() OVER (PARTITION BY p_name ORDER BY length(prefix) DESC) = 1) USING (p_name)")
 def jn10_layered_defaults(spark, sf):
     overrides = values(spark, "p_partkey long, forced int", (1, 140), (8, 150), (15, 160))
-    part = longest_prefix(table(spark, sf, "part"), "p_type", PREFIXES).join(F.broadcast(overrides), "p_partkey", "left")
+    part = longest_prefix(table(spark, sf, "part"), "p_name", PREFIXES).join(F.broadcast(overrides), "p_partkey", "left")
     own = F.when(F.col("p_size") % 4 == 0, F.col("p_size"))
     origin = F.when(F.col("forced").isNotNull(), "override").when(own.isNotNull(), "own").when(F.col("code").isNotNull(), "text").otherwise("constant")
     return part.select("p_partkey", F.coalesce("forced", own, F.col("code") * 10, F.lit(96)).alias("bpm"), origin.alias("origin"))
 
 
-@query("WITH cand AS (SELECT * FROM (VALUES ('x1', 'ALGERIA', 1), ('x2', 'BRAZIL', 2), ('x3', 'BRAZIL', 3), ('x4', 'CANADA', 4)) t(name, comp, ckpt)), byc AS (SELECT comp, count(*) AS n, min(ckpt) AS ckpt FROM cand GROUP BY 1) SELECT c_custkey, CASE WHEN e.ckpt IS NOT NULL THEN e.ckpt WHEN b.n = 1 THEN b.ckpt WHEN b.n > 1 THEN -1 ELSE 0 END AS ckpt FROM customer JOIN nation ON c_nationkey = n_nationkey LEFT JOIN cand e ON e.name = 'x' || c_custkey LEFT JOIN byc b ON b.comp = n_name")
+@query("WITH cand AS (SELECT * FROM (VALUES ('x1', 'NATION_1', 1), ('x2', 'NATION_2', 2), ('x3', 'NATION_2', 3), ('x4', 'NATION_3', 4)) t(name, comp, ckpt)), byc AS (SELECT comp, count(*) AS n, min(ckpt) AS ckpt FROM cand GROUP BY 1) SELECT c_custkey, CASE WHEN e.ckpt IS NOT NULL THEN e.ckpt WHEN b.n = 1 THEN b.ckpt WHEN b.n > 1 THEN -1 ELSE 0 END AS ckpt FROM customer JOIN nation ON c_nationkey = n_nationkey LEFT JOIN cand e ON e.name = 'x' || c_custkey LEFT JOIN byc b ON b.comp = n_name")
 def jn16_fallback_match(spark, sf):
     """The exact name, else the only candidate of the group; several candidates are marked -1, none 0."""
-    candidates = values(spark, "name string, comp string, ckpt int", ("x1", "ALGERIA", 1), ("x2", "BRAZIL", 2), ("x3", "BRAZIL", 3), ("x4", "CANADA", 4))
+    candidates = values(spark, "name string, comp string, ckpt int", ("x1", "NATION_1", 1), ("x2", "NATION_2", 2), ("x3", "NATION_2", 3), ("x4", "NATION_3", 4))
     by_group = candidates.groupBy("comp").agg(F.count(F.lit(1)).alias("n"), F.min("ckpt").alias("only"))
     rows = table(spark, sf, "customer").join(F.broadcast(table(spark, sf, "nation")), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.concat(F.lit("x"), F.col("c_custkey").cast("string")).alias("name"), F.col("n_name").alias("comp"))
     joined = rows.join(F.broadcast(candidates.select("name", "ckpt")), "name", "left").join(F.broadcast(by_group), "comp", "left")
     return joined.select("c_custkey", F.when(F.col("ckpt").isNotNull(), F.col("ckpt")).when(F.col("n") == 1, F.col("only")).when(F.col("n") > 1, -1).otherwise(0).alias("ckpt"))
 
 
-@query("SELECT DISTINCT n_nationkey FROM nation WHERE n_name IN ('ALGERIA', 'CHINA', 'FRANCE', 'PERU')")
+@query("SELECT DISTINCT n_nationkey FROM nation WHERE n_name IN ('NATION_1', 'NATION_4', 'NATION_9', 'NATION_20')")
 def jn18_catalog_overlap(spark, sf):
     """Rows whose recording is in another catalogue, once its paths lose their root."""
-    other = values(spark, "path string", ("{root}/ALGERIA",), ("{root}/CHINA",), ("{root}/FRANCE",), ("{root}/NOWHERE",), ("{root}/PERU",))
+    other = values(spark, "path string", ("{root}/NATION_1",), ("{root}/NATION_4",), ("{root}/NATION_9",), ("{root}/NOWHERE",), ("{root}/NATION_20",))
     names = other.select(F.regexp_replace("path", r"^\{root\}/", "").alias("n_name"))
     return table(spark, sf, "nation").join(F.broadcast(names), "n_name").select("n_nationkey").distinct()
 
@@ -334,14 +334,14 @@ def ordered_fingerprint(df: DataFrame, group: str, *columns: str) -> DataFrame:
     return df.groupBy(group).agg(F.sha2(F.array_join(lines, "\n"), 256).alias("fingerprint"))
 
 
-@query("SELECT transitions, changes, series, round(changes / transitions, 6) AS p, round(ln((1 - changes / transitions) * 2 / (changes / transitions)), 6) AS penalty FROM (SELECT count(*)::BIGINT AS transitions, count_if(state <> prev)::BIGINT AS changes, count(DISTINCT CASE WHEN state <> prev THEN user_id END) AS series FROM (SELECT user_id, state, lag(state) OVER (PARTITION BY user_id ORDER BY bar) AS prev FROM v_bars) WHERE prev IS NOT NULL)")
+@query("SELECT transitions, changes, series, round(changes / transitions, 6) AS p, round(ln((1 - changes / transitions) * 4 / (changes / transitions)), 6) AS penalty FROM (SELECT count(*)::BIGINT AS transitions, count_if(state <> prev)::BIGINT AS changes, count(DISTINCT CASE WHEN state <> prev THEN user_id END) AS series FROM (SELECT user_id, state, lag(state) OVER (PARTITION BY user_id ORDER BY bar) AS prev FROM v_bars) WHERE prev IS NOT NULL)")
 def agg13_switch_rate(spark, sf):
-    """Changes of state over transitions, and the penalty ln((1 - p)(K - 1) / p) of K = 3 states."""
+    """Changes of state over transitions, and the penalty ln((1 - p)(K - 1) / p) of K = 5 states."""
     w = Window.partitionBy("user_id").orderBy("bar")
     moved = v_bars(spark, sf).withColumn("prev", F.lag("state").over(w)).where("prev IS NOT NULL").withColumn("changed", F.col("state") != F.col("prev"))
     by_series = moved.groupBy("user_id").agg(F.count(F.lit(1)).alias("t"), F.count_if("changed").alias("c"))
-    total = by_series.agg(F.sum("t").alias("transitions"), F.sum("c").alias("changes"), F.count_if("c > 0").alias("series")).withColumn("rate", F.col("changes") / F.col("transitions"))
-    return total.select("transitions", "changes", "series", r6("rate").alias("p"), r6(F.log((1 - F.col("rate")) * 2 / F.col("rate"))).alias("penalty"))
+    total = by_series.agg(F.sum("t").alias("transitions"), F.sum("c").alias("changes"), F.count_if(F.col("c") > 0).alias("series")).withColumn("rate", F.col("changes") / F.col("transitions"))
+    return total.select("transitions", "changes", "series", r6("rate").alias("p"), r6(F.log((1 - F.col("rate")) * 4 / F.col("rate"))).alias("penalty"))
 
 
 @query("SELECT 'outcome ' || split_part(outcome, ':', 1) AS what, count(*) AS n FROM (SELECT lang || ': ' || source AS outcome FROM documents) GROUP BY 1 UNION ALL SELECT 'family ' || f, count(*) FROM (SELECT unnest(string_split(lang || ',' || source, ',')) AS f FROM documents) GROUP BY 1")
@@ -392,11 +392,11 @@ def smp2_balanced_permutation(spark, sf):
     return rows.select("s_suppkey", (F.row_number().over(order) - 1).cast("long").alias("version"), "opt")
 
 
-@query(f"SELECT p_partkey, v AS version, CASE WHEN p_brand = 'Brand#55' THEN '' WHEN p_size % 10 = 0 THEN 'fixed' WHEN v = 0 THEN 'default' ELSE ['a', 'b', 'c'][{H("'s|' || p_partkey || '|' || v")} % 3 + 1] END AS style FROM part, range(3) t(v)")
+@query(f"SELECT p_partkey, v AS version, CASE WHEN p_brand = 'Brand#5' THEN '' WHEN p_size % 10 = 0 THEN 'fixed' WHEN v = 0 THEN 'default' ELSE ['a', 'b', 'c'][{H("'s|' || p_partkey || '|' || v")} % 3 + 1] END AS style FROM part, range(3) t(v)")
 def smp3_first_fixed_style(spark, sf):
     rows = table(spark, sf, "part").select("p_partkey", "p_brand", "p_size", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2).cast("long"))).alias("version"))
     drawn = F.element_at(F.array(*map(F.lit, "abc")), (draw_int(F.lit("s"), "p_partkey", "version", below=3) + 1).cast("int"))
-    style = F.when(F.col("p_brand") == "Brand#55", "").when(F.col("p_size") % 10 == 0, "fixed").when(F.col("version") == 0, "default").otherwise(drawn)
+    style = F.when(F.col("p_brand") == "Brand#5", "").when(F.col("p_size") % 10 == 0, "fixed").when(F.col("version") == 0, "default").otherwise(drawn)
     return rows.select("p_partkey", "version", style.alias("style"))
 
 
