@@ -30,7 +30,7 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Memo, checkpointed, doc_crc, documents, slices
+from .common import checkpointed, doc_crc, documents, slices
 
 VOCABULARY = "piece_bpe_32k.model"
 FREQUENT, DISCOUNT, END_SHARE, HELD = 1 << 17, 0.75, 0.01, 400_000
@@ -54,7 +54,7 @@ class Lattice:
             pieces.setdefault(chr(b), least)
         self.automaton = ahocorasick.Automaton()
         for k, piece in enumerate(pieces):
-            self.automaton.add_word(piece, (k, len(piece)))
+            self.automaton.add_word(piece, k << 8 | len(piece))
         self.automaton.make_automaton()
         weight = np.array(list(pieces.values()))
         self.start = np.log(weight / weight.sum())
@@ -62,7 +62,8 @@ class Lattice:
     def arcs(self, words: list[str]) -> tuple[np.ndarray, ...]:
         """Piece, start node and end node of every arc, the words' first nodes, and each arc's step (end within its word). A word of n bytes has n + 1 nodes."""
         text = "".join(words)
-        found = np.array([(k, size, end) for end, (k, size) in self.automaton.iter(text)], np.int64).reshape(-1, 3)
+        packed = np.fromiter((end << 32 | value for end, value in self.automaton.iter(text)), np.int64)
+        found = np.stack((packed >> 8 & 0xFFFFFF, packed & 0xFF, packed >> 32), axis=1)
         sizes = np.array([len(w) for w in words], np.int64)
         first = np.concatenate(([0], np.cumsum(sizes)))
         word = np.searchsorted(first, found[:, 2], side="right") - 1
@@ -178,12 +179,25 @@ def piece_weights(counts: DataFrame, vocabulary: str) -> np.ndarray:
     return np.log(n / n.sum())
 
 
+def least_count(counts: DataFrame, most: int) -> int:
+    """The least count that at most `most` words reach; only a histogram of counts, in steps of an eighth of a power of two, is gathered."""
+    step = F.floor(8 * F.log2("c")).alias("step")
+    rows = sorted(counts.groupBy(step).agg(F.count(F.lit(1)).alias("words"), F.min("c").alias("least")).collect(), reverse=True)
+    total, least = 0, 1 << 62
+    for r in rows:
+        total += r.words
+        if total > most:
+            break
+        least = r.least
+    return least
+
+
 def score(df: DataFrame, training, vocabulary: str = VOCABULARY, frequent: int = FREQUENT) -> DataFrame:
     """Scores of all texts; `training` is the condition that picks the rows to learn from."""
     spark = df.sparkSession
     counts = checkpointed(word_counts(df.where(training)))
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).head()
-    top = counts.where(F.col("word") != END).orderBy(F.desc("c"), "word").limit(frequent).toPandas()
+    top = counts.where((F.col("word") != END) & (F.col("c") >= least_count(counts, frequent))).toPandas()
     ends = counts.where(F.col("word") == END).select("c").head()
     ends = ends.c if ends else 0
     shared = spark.sparkContext.broadcast((top["word"].str.encode("utf-8").tolist(), top["c"].to_numpy(np.int64), piece_weights(counts, vocabulary)))
@@ -195,9 +209,8 @@ def score(df: DataFrame, training, vocabulary: str = VOCABULARY, frequent: int =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spelling, (words, c, weight) = lattice(vocabulary), shared.value
         place = {w: k for k, w in enumerate(words)}
-        spell = lambda found: spelling.marginals([spelt(w) for w in found], weight) / np.log(10) + np.log10(1 - END_SHARE)
-        base, own = np.log10((c + 0.1) / divisor), np.log10(np.maximum(c - DISCOUNT, 0) / max(n, 1) + free * 10 ** spell(words)) if words else np.zeros(0)
-        spellings = Memo(lambda w: spell([w])[0], 150_000)
+        spell = spelling.marginals([spelt(w) for w in words], weight) / np.log(10) + np.log10(1 - END_SHARE)
+        base, own = np.log10((c + 0.1) / divisor), np.log10(np.maximum(c - DISCOUNT, 0) / max(n, 1) + free * 10**spell)
         for batch in (s for b in batches for s in slices(b, "text")):
             rows: list[tuple] = []
             for row, doc, text in zip(*(batch.column(k).to_pylist() for k in ("row", "doc_id", "text")), strict=True):
@@ -205,26 +218,33 @@ def score(df: DataFrame, training, vocabulary: str = VOCABULARY, frequent: int =
                 at = np.fromiter((place.get(w, -1) for w in found), np.int64, len(found))
                 rare = Counter([found[k] for k in np.flatnonzero(at < 0)])
                 at = at[at >= 0]
-                rows.append((row, doc, f"{END}{row % 1009}".encode(), None, None, len(found) + 1, len(at) + (ends > 0), float(base[at].sum()) + end_base, float(own[at].sum()) + end_score))
-                rows += [(row, doc, w, k, None, None, None, None, None) for w, k in rare.items()]
-            new = [w for w in {r[2] for r in rows if r[3]} if w not in spellings and w not in spellings.old]
-            for w, value in zip(new, spell(new)):
-                spellings[w] = value
-            rows = [(*r[:4], spellings[r[2]], *r[5:]) if r[3] else r for r in rows]
-            columns = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()))]
+                rows.append((row, doc, f"{END}{row % 1009}".encode(), None, len(found) + 1, len(at) + (ends > 0), float(base[at].sum()) + end_base, float(own[at].sum()) + end_score))
+                rows += [(row, None, w, k, None, None, None, None) for w, k in rare.items()]
+            columns = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()))]
             columns[2] = columns[2].cast(pa.string())
-            yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "word", "tf", "spelling", "n_tokens", "known", "base", "own"])
+            yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "word", "tf", "n_tokens", "known", "base", "own"])
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Scores of the words that met their counts. Rows come sorted by word, so a word is spelt about once."""
+        spelling, (_, _, weight) = lattice(vocabulary), shared.value
+        for batch in batches:
+            columns = {k: batch.column(k) for k in batch.schema.names}
+            rare = np.flatnonzero(columns["tf"].is_valid().to_numpy(zero_copy_only=False))
+            words = columns["word"].take(pa.array(rare)).cast(pa.binary()).dictionary_encode()
+            spell = spelling.marginals([spelt(w) for w in words.dictionary.to_pylist()], weight)[words.indices.to_numpy()] / np.log(10) + np.log10(1 - END_SHARE)
+            tf = columns["tf"].take(pa.array(rare)).to_numpy()
+            c = columns["c"].take(pa.array(rare)).fill_null(0).to_numpy(zero_copy_only=False)
+            own = np.where(c > 0, np.log10(np.maximum(c - DISCOUNT, 0.25) / max(n, 1) + free * 10**spell), np.log10(free) + spell)
+            for name, value in (("known", np.where(c > 0, tf, 0)), ("base", tf * np.log10((c + 0.1) / divisor)), ("own", tf * own)):
+                full = columns[name].fill_null(0).to_numpy(zero_copy_only=False).copy()
+                full[rare] = value
+                columns[name] = pa.array(full)
+            names = ["row", "doc_id", "n_tokens", "known", "base", "own"]
+            yield pa.RecordBatch.from_arrays([columns[k] for k in names], names=names)
 
     texts = df.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    parts = texts.mapInArrow(run, "row long, doc_id long, word string, tf long, spelling double, n_tokens long, known long, base double, own double")
-    c = F.coalesce("c", F.lit(0))
-    probability = F.when(c == 0, F.col("spelling") + float(np.log10(free))).otherwise(F.log10((c - DISCOUNT) / F.lit(float(max(n, 1))) + free * F.pow(F.lit(10.0), "spelling")))
-    met = parts.join(counts, "word", "left").select(
-        "row", "doc_id", "n_tokens",
-        F.coalesce("known", F.when(c > 0, F.col("tf")).otherwise(0)).alias("known"),
-        F.coalesce("base", F.col("tf") * F.log10((c + 0.1) / F.lit(float(divisor)))).alias("base"),
-        F.coalesce("own", F.col("tf") * probability).alias("own"),
-    )
+    parts = texts.mapInArrow(run, "row long, doc_id long, word string, tf long, n_tokens long, known long, base double, own double")
+    met = parts.join(counts, "word", "left").mapInArrow(finish, "row long, doc_id long, n_tokens long, known long, base double, own double")
     return met.groupBy("row").agg(
         F.max("doc_id").alias("doc_id"), F.sum("n_tokens").alias("n_tokens"), F.sum("known").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), F.sum("base").alias("base_score"), F.sum("own").alias("score")
     ).drop("row")
