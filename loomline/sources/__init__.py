@@ -24,7 +24,7 @@ def read_json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def read_keyed_json(spark: SparkSession, path: str, value_schema: str) -> DataFrame:
     """(key, value fields) of files that hold one JSON object, whose keys are ids."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     entries = text.select(F.explode(F.from_json("value", f"map<string, struct<{value_schema}>>")).alias("key", "entry"))
     return entries.select("key", "entry.*")
 
