@@ -4,7 +4,8 @@ A text is its words (A-Z lower-cased) and one end. A word is spelt by the pieces
 vocabulary, a mark before its first letter; every way to cut it counts, and a forward recursion in
 log space adds their probabilities. The pieces' weights start from the vocabulary's own scores
 (1 / (10 - score)) and are fitted once to the training words: a forward-backward pass over all
-distinct words, weighted by their counts, gives each piece's expected count.
+distinct words gives each piece's expected count. Each word counts once there, as spellings serve
+for words that are new or rare.
 
 A word of the training texts is also one arc of its own lattice, weighted by its count c less
 `DISCOUNT`; the mass so set free goes to the spellings, so probabilities of all tokens sum to one:
@@ -159,14 +160,14 @@ def word_counts(training: DataFrame) -> DataFrame:
 
 
 def piece_weights(counts: DataFrame, vocabulary: str) -> np.ndarray:
-    """Log weights of the pieces, fitted once to all training words. A task sends at most one row for each piece."""
+    """Log weights of the pieces, fitted once to all distinct training words. A task sends at most one row for each piece."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spelling = lattice(vocabulary)
         total = np.zeros(len(spelling.start))
         for batch in batches:
             words = [spelt(w) for w in batch.column("word").cast(pa.binary()).to_pylist()]
-            total += spelling.expected(words, batch.column("c").to_numpy().astype(float), spelling.start)
+            total += spelling.expected(words, np.ones(len(words)), spelling.start)
         met = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(met.astype(np.int32)), pa.array(total[met])], names=["piece", "n"])
 
