@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, keep_types, slices
+from .common import checkpointed, documents, keep_types, slices
 from .components import connected_components
 
 SEED, DISTANCE, SHARED, LIST = 42, 4, 4, 8192
@@ -123,7 +123,7 @@ def links(distinct: DataFrame) -> DataFrame:
 
 def near_duplicates(df: DataFrame, size: int = 4) -> DataFrame:
     """(the input's columns but the text, fp, component_id): the least id of the documents reachable by links."""
-    marked = with_fingerprint(df.drop("component_id"), size)
+    marked = checkpointed(with_fingerprint(df.drop("component_id"), size))
     groups = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = connected_components(links(groups.select("fp"))).withColumnRenamed("node", "fp")
     classes = groups.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
