@@ -3,7 +3,8 @@
 Every token (a run of letters, digits and bytes above 127, or a run of other signs) falls into
 one of `BUCKETS` by its hash. Random indexing gives a bucket the sum of the fixed random vectors
 of the tokens up to two places from it, over all documents; the vectors are scaled to length one.
-A document's features are the mean of its tokens' vectors and the mean of their index vectors.
+A document's features are the pooled vectors of its tokens, their pooled index vectors, how many
+tokens there are and what shares of them repeat an earlier one or the one before.
 A two-layer network in numpy learns the label from at most `SAMPLE` labelled rows, those with
 the least hash of the id; a fifth of them sets the temperature that makes its scores probabilities.
 
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import doc_crc, documents, keep_types, slices, span_hash, text_bytes, uniforms
 
 BUCKETS, WIDTH, REACH = 4096, 32, 2
-SAMPLE, HIDDEN, EPOCHS, SEED = 20_000, 32, 60, 4
+SAMPLE, HIDDEN, EPOCHS, SEED, SHRINK = 20_000, 32, 60, 4, 5
 # Kinds of bytes: 0 white space, 1 letters, digits and bytes above 127, 2 other signs.
 KIND = np.full(256, 2, np.int8)
 KIND[[*b" \t\n\x0b\x0c\r"]] = 0
@@ -52,11 +53,17 @@ def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def pooled(bucket: np.ndarray, first: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    """Mean vector of each text's tokens; zero without tokens."""
-    out = np.zeros((len(first) - 1, vectors.shape[1]), np.float32)
-    full = np.flatnonzero(np.diff(first))
+    """Sum of each text's token vectors over their number and `SHRINK`, so that few tokens say little; then the log of the number, the share of tokens that repeat, and of those that repeat the one before."""
+    n = np.diff(first)
+    out = np.zeros((len(n), vectors.shape[1] + 3), np.float32)
+    full = np.flatnonzero(n)
     if len(full):
-        out[full] = np.add.reduceat(vectors[bucket], first[:-1][full], axis=0) / np.diff(first)[full, None]
+        out[full, :-3] = np.add.reduceat(vectors[bucket], first[:-1][full], axis=0) / (n[full, None] + SHRINK)
+        named = np.repeat(np.arange(len(n)), n) * BUCKETS + bucket
+        kinds, again = np.unique(named) // BUCKETS, named[1:][named[1:] == named[:-1]] // BUCKETS
+        out[:, -3] = np.log1p(n)
+        out[full, -2] = 1 - np.bincount(kinds, minlength=len(n))[full] / n[full]
+        out[full, -1] = np.bincount(again, minlength=len(n))[full] / n[full]
     return out
 
 
@@ -113,12 +120,11 @@ class Network:
         self.mean, self.spread = x.mean(axis=0), x.std(axis=0) + 1e-6
         z, t = (x[~held] - self.mean) / self.spread, y[~held]
         self.w = [rng.normal(0, (2 / x.shape[1]) ** 0.5, (x.shape[1], HIDDEN)), np.zeros(HIDDEN), rng.normal(0, HIDDEN**-0.5, HIDDEN), np.zeros(1)]
-        weight = np.where(t > 0, 0.5 / max(t.mean(), 1e-3), 0.5 / max(1 - t.mean(), 1e-3)).clip(0.2, 5)
         moments, step = [[np.zeros_like(w), np.zeros_like(w)] for w in self.w], 0
         for _ in range(EPOCHS):
             for part in np.array_split(rng.permutation(len(z)), max(1, len(z) // 128)):
                 hidden = np.maximum(z[part] @ self.w[0] + self.w[1], 0)
-                error = (self.squash(hidden @ self.w[2] + self.w[3]) - t[part]) * weight[part] / len(part)
+                error = (self.squash(hidden @ self.w[2] + self.w[3]) - t[part]) / len(part)
                 back = np.outer(error, self.w[2]) * (hidden > 0)
                 step += 1
                 for w, m, g in zip(self.w, moments, (z[part].T @ back + 1e-4 * self.w[0], back.sum(axis=0), hidden.T @ error + 1e-4 * self.w[2], error.sum(keepdims=True)), strict=True):
