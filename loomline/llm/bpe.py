@@ -82,7 +82,8 @@ class PrefixBpe:
         self.automaton.make_automaton()
         self.fits = Memo(lambda pair: self.apart(pair >> 32, pair & 0xFFFFFFFF), 250_000)
         self.pieces = Memo(self.encode_piece, 30_000)
-        self.after_space = Memo(self.encode_word, 350_000)
+        self.heads = Memo(self.encode_any, 50_000)
+        self.after_space = Memo(self.encode_word, 300_000)
 
     def apart(self, a: int, b: int, until: int = FOREVER) -> bool:
         """Whether no merge joins a and b before the merge of rank `until`, when both are built from bytes."""
@@ -100,7 +101,7 @@ class PrefixBpe:
                 j += 1
 
     def encode_piece(self, piece: str) -> tuple[int, ...]:
-        raw = piece.encode().decode("latin-1")
+        raw = piece if piece.isascii() else piece.encode().decode("latin-1")
         last, start, fits = [-1] * len(raw), [0] * len(raw), self.fits
         for end, (token, length) in self.automaton.iter(raw):
             if last[end] < 0:
@@ -128,12 +129,16 @@ class PrefixBpe:
         return tuple(chain.from_iterable(self.pieces[p] if len(p) < 40 else self.encode_piece(p) for p in self.pattern.findall(text)))
 
     def encode(self, text: str) -> list[int]:
-        """The ids of a text. A single space before a word opens a new piece, so words are looked up one by one."""
+        """The ids of a text. Single spaces open a new piece and single line ends are one, so words are looked up one by one."""
         if TWO_SPACES.search(text) or (self.at_special and self.at_special.search(text)):
             return list(self.encode_any(text))
-        head, *rest = text.split(" ")
-        ids = list(self.encode_any(head))
-        ids.extend(chain.from_iterable(map(self.after_space.__getitem__, rest)))
+        ids: list[int] = []
+        for k, line in enumerate(text.split("\n")):
+            if k:
+                ids += self.pieces["\n"]
+            head, *rest = line.split(" ")
+            ids += self.heads[head]
+            ids.extend(chain.from_iterable(map(self.after_space.__getitem__, rest)))
         return ids
 
     def decode(self, ids: list[int]) -> str:
