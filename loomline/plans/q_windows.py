@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from loomline.functions import epoch, r6
@@ -12,7 +12,11 @@ from loomline.operators import timeline, windows
 
 from .base import ORIGIN, query, table, v_bars, v_turns
 
-BY_BAR = Window.partitionBy("user_id").orderBy("bar")
+
+def by_bar() -> WindowSpec:
+    return Window.partitionBy("user_id").orderBy("bar")
+
+
 EVENTS_SQL = "SELECT event_id, user_id, event_type, value, epoch_us(ts) / 1e6 - 1704067200 AS t FROM events"
 GROUPS_SQL = "SELECT user_id, bar // 8 AS g, min(start_sec) AS t0, max(end_sec) AS t1 FROM v_bars GROUP BY 1, 2"
 
@@ -60,7 +64,7 @@ def wn3_windows_after_pickup(spark, sf):
 
 @query("SELECT user_id, bar FROM (SELECT user_id, bar, bool_or(state = 'error') OVER w AS hole, count(*) OVER w AS k FROM v_bars WINDOW w AS (PARTITION BY user_id ORDER BY bar ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING)) WHERE k = 5 AND NOT hole")
 def wn4_hole_free(spark, sf):
-    w = BY_BAR.rowsBetween(0, 4)
+    w = by_bar().rowsBetween(0, 4)
     flagged = v_bars(spark, sf).withColumns({"hole": F.bool_or(F.col("state") == "error").over(w), "k": F.count(F.lit(1)).over(w)})
     return flagged.where("k = 5 AND NOT hole").select("user_id", "bar")
 
@@ -73,7 +77,7 @@ def wn5_window_validation(spark, sf):
     """Windows that break the rules of a set, with the first rule broken."""
     found = windows.sliding(v_bars(spark, sf), "user_id", "bar", 5, 5, "start_sec", "end_sec", F.col("user_id") % 4).toDF("user_id", "bar", "t0", "t1")
     spoilt = found.withColumn("t1", F.when((F.col("user_id") % 7 == 0) & (F.col("bar") % 10 == 0), F.col("t1") + 50000).otherwise(F.col("t1")))
-    seen = spoilt.withColumns({"prev": F.lag("bar").over(BY_BAR), "next_t0": F.lead("t0").over(BY_BAR)})
+    seen = spoilt.withColumns({"prev": F.lag("bar").over(by_bar()), "next_t0": F.lead("t0").over(by_bar())})
     reason = F.when(F.col("prev").isNull() & ~F.col("bar").isin(0, 1), "start").when(F.col("bar") - F.col("prev") != 5, "stride").when(F.col("t1") > F.col("next_t0"), "overlap")
     return seen.select("user_id", "bar", reason.alias("reason")).where("reason IS NOT NULL")
 
@@ -164,7 +168,7 @@ EDGES = [("view", "click"), ("view", "view"), ("click", "purchase"), ("click", "
 def wn15_grammar(spark, sf):
     """The first defect of each series: a wrong first state, or a step that is not in the table of edges."""
     edges = spark.createDataFrame(EDGES, "state string, nxt string").withColumn("allowed", F.lit(True))
-    steps = v_bars(spark, sf).withColumn("nxt", F.lead("state").over(BY_BAR)).join(F.broadcast(edges), ["state", "nxt"], "left")
+    steps = v_bars(spark, sf).withColumn("nxt", F.lead("state").over(by_bar())).join(F.broadcast(edges), ["state", "nxt"], "left")
     reason = F.when((F.col("bar") == 0) & (F.col("state") != "view"), "start").when(F.col("nxt").isNotNull() & F.col("allowed").isNull(), "step")
     return steps.withColumn("reason", reason).where("reason IS NOT NULL").groupBy("user_id").agg(F.min_by("reason", "bar").alias("reason"), F.min("bar").alias("bar"))
 
@@ -187,7 +191,7 @@ def wn16_trailing_repeats(spark, sf):
 def wn17_occurrences(spark, sf):
     """The how-manieth visit of its original each row is; the section advances where the number falls."""
     rows = v_bars(spark, sf).select("user_id", "bar", (F.col("bar") % 9).alias("original"))
-    falls = rows.withColumn("prev", F.lag("original").over(BY_BAR)).withColumn("falls", F.coalesce(F.sum((F.col("original") < F.col("prev")).cast("int")).over(BY_BAR), F.lit(0)))
+    falls = rows.withColumn("prev", F.lag("original").over(by_bar())).withColumn("falls", F.coalesce(F.sum((F.col("original") < F.col("prev")).cast("int")).over(by_bar()), F.lit(0)))
     visit = F.row_number().over(Window.partitionBy("user_id", "original").orderBy("bar")).cast("long")
     return falls.withColumn("occurrence", visit).select("user_id", "bar", "original", "occurrence", (F.col("occurrence") > 1).alias("is_repeat"), F.char(F.col("falls") + 65).alias("section"))
 
