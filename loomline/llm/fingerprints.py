@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import BASE, documents, keep_types, mix, power, slices, span_hash, text_bytes, uniforms, windows_hash, word_spans
 
-SHINGLE, SLOTS, SEED = 5, 64, 20
+SHINGLE, SLOTS, SEED = 5, 128, 20
 DRAWS = 1 << 16
 LEVELS = 32  # weights whose values are kept in tables; others are computed
 BLOCK_ROWS, MOST_BLOCKS, STEP = 4000, 4096, 64  # rows in a range of ids, where that makes no more ranges than this
