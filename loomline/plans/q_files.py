@@ -215,7 +215,7 @@ def inc2_append_stream(spark, sf):
     rows = table(spark, sf, "events").select("event_id", "event_type", "user_id")
     incoming, target, state = scratch(spark), scratch(spark), scratch(spark)
     rows.repartition(6, "event_id").write.parquet(incoming)
-    rows.where("event_id % 10 = 0").coalesce(1).write.mode("append").parquet(incoming)
+    rows.where("event_id % 10 = 0").write.mode("append").parquet(incoming)
     append_results(spark, incoming, target, state, rows.schema, "event_id")
     return spark.read.schema(rows.schema).option("recursiveFileLookup", True).parquet(target)
 
