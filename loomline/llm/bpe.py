@@ -83,7 +83,7 @@ class PrefixBpe:
         self.fits = Memo(lambda pair: self.apart(pair >> 32, pair & 0xFFFFFFFF), 250_000)
         self.pieces = Memo(self.encode_piece, 30_000)
         self.heads = Memo(self.encode_any, 50_000)
-        self.after_space = Memo(self.encode_word, 300_000)
+        self.after_space = Memo(self.encode_word, 450_000)
 
     def apart(self, a: int, b: int, until: int = FOREVER) -> bool:
         """Whether no merge joins a and b before the merge of rank `until`, when both are built from bytes."""
@@ -118,7 +118,7 @@ class PrefixBpe:
     def encode_word(self, word: str) -> tuple[int, ...]:
         """The ids of a space and this word. Letters of the Latin blocks, with a stop or comma after them, need no pattern."""
         stem, stop = (word[:-1], word[-1]) if word[-1:] in (".", ",") else (word, "")
-        if stem.isalpha() and max(stem) < "\u0250":
+        if stem.isalpha() and (stem.isascii() or max(stem) < "\u0250"):
             return self.after_space[stem] + self.pieces[stop] if stop else self.encode_piece(" " + stem)
         return self.encode_any(" " + word)
 
