@@ -23,16 +23,21 @@ def ranked_works(works: DataFrame, key: str = "work_id") -> DataFrame:
     return works.select(key).distinct().withColumn("pick", (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(key)) - 1).cast("long"))
 
 
+def cluster_draws(works: DataFrame, draws: int, seed: str) -> DataFrame:
+    """(b, slot, pick, key): as many draws of clusters as there are clusters. Their number is a column, so no job is run to learn it."""
+    n = works.agg(F.count(F.lit(1)).alias("n"))
+    rows = works.sparkSession.range(draws).select(F.col("id").alias("b")).join(F.broadcast(n)).where("n > 0")
+    slots = rows.select("b", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("slot"))
+    return slots.withColumn("pick", draw_int(F.lit(seed), "b", "slot", below=F.col("n"))).drop("n").join(F.broadcast(works), "pick")
+
+
 def cluster_totals(filled: DataFrame, metric: str, keys: tuple[str, ...] = ("system",), work: str = "work_id") -> DataFrame:
     return filled.groupBy(*keys, work).agg(F.sum(metric).alias("s"), F.count(F.lit(1)).alias("c"))
 
 
 def replicates(totals: DataFrame, draws: int, seed: str, keys: tuple[str, ...] = ("system",), work: str = "work_id") -> DataFrame:
     """(keys, b, score): sum of the drawn clusters' sums over the sum of their counts."""
-    spark = totals.sparkSession
-    works = ranked_works(totals, work)
-    n = works.count()
-    drawn = draw_table(spark, draws, n, n, seed).join(F.broadcast(works), "pick")
+    drawn = cluster_draws(ranked_works(totals, work), draws, seed)
     return drawn.join(totals, work).groupBy(*keys, "b").agg((F.sum("s") / F.sum("c")).alias("score"))
 
 

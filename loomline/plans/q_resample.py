@@ -10,7 +10,7 @@ from loomline.operators import resample
 from loomline.operators.resample import DRAWS
 
 from .base import query, v_grounding
-from .q_scores import v_filled, work_differences
+from .q_scores import v_filled
 
 SEED = "7"
 WORKS = "SELECT work_id, row_number() OVER (ORDER BY work_id) - 1 AS pick FROM (SELECT DISTINCT work_id FROM v_grounding)"
@@ -30,9 +30,7 @@ def both_metrics(spark, sf) -> DataFrame:
 
 @query(f"SELECT b, slot, work_id FROM ({DRAWN})")
 def rs1_draws(spark, sf):
-    works = resample.ranked_works(v_grounding(spark, sf))
-    n = works.count()
-    return resample.draw_table(spark, DRAWS, n, n, SEED).join(F.broadcast(works), "pick").select("b", "slot", "work_id")
+    return resample.cluster_draws(resample.ranked_works(v_grounding(spark, sf)), DRAWS, SEED).select("b", "slot", "work_id")
 
 
 @query(f"SELECT system, b, round(score, 6) AS score FROM ({REPLICATES}) WHERE metric = 'mv5'")
@@ -79,14 +77,15 @@ WLT = "SELECT metric, count_if(d >= 1e-12)::BIGINT AS wins, count_if(d <= -1e-12
 
 @query(f"SELECT metric, round(avg(d), 6) AS mean, round(quantile_cont(d, 0.025), 6) AS low, round(quantile_cont(d, 0.975), 6) AS high, wins, losses, ties FROM ({DIFFERENCE}) JOIN ({WLT}) USING (metric) GROUP BY ALL")
 def rs6_paired_summary(spark, sf):
-    scores = resample.replicates(both_metrics(spark, sf), DRAWS, SEED, ("system", "metric"))
+    sums = both_metrics(spark, sf)
     low, high = resample.interval("d")
+    scores = resample.replicates(sums, DRAWS, SEED, ("system", "metric"))
     ci = difference(scores, "system", "A", "R", ("metric",)).groupBy("metric").agg(r6(F.avg("d")).alias("mean"), r6(low).alias("low"), r6(high).alias("high"))
-    filled, d = v_filled(spark, sf), F.col("d")
-    marks = None
-    for m in ("mv5", "m1"):
-        part = work_differences(filled, metric=m).agg(F.count_if(d >= 1e-12).alias("wins"), F.count_if(d <= -1e-12).alias("losses"), F.count_if(F.abs(d) < 1e-12).alias("ties")).withColumn("metric", F.lit(m))
-        marks = part if marks is None else marks.unionByName(part)
+    # Every system has a row for every task, so a work's mean difference is that of its totals.
+    mean = lambda s: F.max(F.when(F.col("system") == s, F.col("s") / F.col("c")))
+    d = F.col("d")
+    works = sums.groupBy("metric", "work_id").agg((mean("A") - mean("R")).alias("d"))
+    marks = works.groupBy("metric").agg(F.count_if(d >= 1e-12).alias("wins"), F.count_if(d <= -1e-12).alias("losses"), F.count_if(F.abs(d) < 1e-12).alias("ties"))
     return ci.join(marks, "metric")
 
 
