@@ -255,8 +255,13 @@ def added_spans(text: str, base: list[Span], field: Field) -> list[Span]:
 
 
 def training_texts(df: DataFrame, sample: int = SAMPLE) -> list[str]:
-    rows = df.where(F.col("text").rlike("[0-9@]")).select(F.xxhash64("doc_id", "text").alias("h"), "text").orderBy("h").limit(sample)
-    return [r.text for r in rows.toLocalIterator()]
+    """The sample's texts. Only hashes are sorted; the texts of those up to the last one chosen follow in a second pass."""
+    hinted = df.where(F.col("text").rlike("[0-9@]")).select(F.xxhash64("doc_id", "text").alias("h"), "text")
+    last = hinted.select("h").orderBy("h").limit(sample).agg(F.max("h")).head()[0]
+    if last is None:
+        return []
+    rows = sorted((r.h, r.text) for r in hinted.where(F.col("h") <= last).dropDuplicates(["h"]).toLocalIterator())
+    return [text for _, text in rows[:sample]]
 
 
 def find(df: DataFrame, field: Field | None = None, base_name: str = "base", spans_name: str = "spans") -> DataFrame:
