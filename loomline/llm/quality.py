@@ -5,7 +5,7 @@ one of `BUCKETS` by its hash. Random indexing gives a bucket the sum of the fixe
 of the tokens up to two places from it, over all documents; the vectors are scaled to length one.
 A document's features are the pooled vectors of its tokens, their pooled index vectors, how many
 tokens there are and what shares of them repeat an earlier one or the one before.
-A two-layer network in numpy learns the label from at most `SAMPLE` labelled rows, those with
+A two-layer network in numpy learns the label from about `SAMPLE` labelled rows at most, those with
 the least hash of the id; a fifth of them sets the temperature that makes its scores probabilities.
 
 Null and empty texts have the zero vector and get the score of that. An id labelled twice counts
@@ -152,17 +152,18 @@ TEMPERATURES = np.geomspace(0.25, 8, 41)
 
 
 def training_rows(labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """(doc_id, quality): at most `sample` labelled ids that may be learnt from."""
+    """(doc_id, quality): about `sample` labelled ids that may be learnt from, or all if there are fewer; those with the least hash, by a bound on it."""
     rows = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & (doc_crc() % 3 != 1))
     rows = rows.groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("quality"))
-    return rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    bound = int(sample / max(rows.count(), 1) * (1 << 40))
+    return rows.where(F.shiftrightunsigned(F.xxhash64("doc_id"), 24) < bound)
 
 
 def fit(df: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, Network | None]:
     """Word vectors from all texts and a network from the sampled labels (bounded, so both may be broadcast)."""
     vectors = word_vectors(df)
     known = df.select("doc_id", "text").join(F.broadcast(training_rows(labels, sample)), "doc_id")
-    rows = features(known, vectors).withColumn("h", F.xxhash64("doc_id")).toPandas().sort_values(["h", "doc_id"], kind="stable").head(2 * sample)
+    rows = features(known, vectors).dropDuplicates(["doc_id"]).withColumn("h", F.xxhash64("doc_id")).toPandas().sort_values(["h", "doc_id"], kind="stable")
     if rows["quality"].nunique() < 2:
         return vectors, None
     x = np.stack(rows["vector"].to_numpy()).astype(np.float64)
