@@ -5,7 +5,8 @@ bits. A window that occurs more than once anywhere keeps its first occurrence, i
 place; the lines of every later one are marked, overlapping marks merge, and marked lines go. The
 first of all equal lines is never marked, so no line is lost altogether. Texts of fewer than three
 lines are left alone, null stays null, and a text all of whose lines go becomes empty. Rows with
-the same id count as different rows, in order of their text. Columns of the input stay.
+the same id but other texts count as different rows, in order of a hash of the text; rows equal in both
+are treated as one and stay together. Columns of the input stay.
 """
 
 from __future__ import annotations
@@ -43,7 +44,7 @@ def marked_lines(df: DataFrame) -> DataFrame:
 
 def dedup_lines(df: DataFrame) -> DataFrame:
     """The input with cleaned texts, the number of lines that are not blank and of those removed."""
-    keyed = df.withColumn("__key", F.struct("doc_id", F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("row")))
+    keyed = df.withColumn("__key", F.struct("doc_id", F.xxhash64("text").alias("h")))
     marked = marked_lines(keyed.select(F.col("__key").alias("key"), "text")).toDF("__of", "__marked")
     joined = keyed.join(marked, F.col("__key") == F.col("__of"), "left")
     lines = F.split("text", "\n")
