@@ -43,7 +43,7 @@ class WordIds:
     else goes to the tokenizer itself.
     """
 
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str, limit: int = 150_000):
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as file:
             model = json.load(file)["model"]
@@ -164,7 +164,7 @@ def pack(df: DataFrame, length: int = LENGTH, vocabulary: str = VOCABULARY, end:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, span, sequence, used = words(vocabulary), None, 0, 0
-        for batch in (s for b in batches for s in slices(b, "text")):
+        for batch in (s for b in batches for s in slices(b, "text", 1 << 19)):
             rows = []
             for doc, at, ids in zip(batch.column("doc_id").to_pylist(), batch.column("span").to_pylist(), encoder.encode(batch.column("text").to_pylist()), strict=True):
                 if at != span:

@@ -264,41 +264,52 @@ def training_texts(df: DataFrame, sample: int = SAMPLE) -> list[str]:
     return [text for _, text in rows[:sample]]
 
 
-def find(df: DataFrame, field: Field | None = None, base_name: str = "base", spans_name: str = "spans") -> DataFrame:
+def all_spans(text: str | None, field: Field) -> tuple[list[Span], list[Span]]:
+    """The patterns' spans, and those with the field's."""
+    if not text or not HINT.search(text):
+        return [], []
+    base = base_spans(text)
+    return base, base + added_spans(text, base, field)
+
+
+def find(df: DataFrame, field: Field | None = None) -> DataFrame:
     """Adds `base` and `spans`, arrays of kind:start:end ordered by kind and start."""
     field = field or train(training_texts(df))
-    kept = [c for c in df.columns if c not in (base_name, spans_name)]
+    kept = [c for c in df.columns if c not in ("base", "spans")]
 
     def ordered(spans: list[Span]) -> list[str]:
         return [f"{k}:{s}:{e}" for k, s, e in sorted(spans, key=lambda x: (KINDS.index(x[0]), x[1]))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (s for b in batches for s in slices(b, "text")):
-            found = [([], []) if not t or not HINT.search(t) else (base := base_spans(t), added_spans(t, base, field)) for t in batch.column("text").to_pylist()]
-            columns = [pa.array([ordered(x) for x in c], pa.list_(pa.string())) for c in ([b for b, _ in found], [b + a for b, a in found])]
-            yield pa.RecordBatch.from_arrays([*map(batch.column, kept), *columns], names=[*kept, base_name, spans_name])
+            found = [all_spans(t, field) for t in batch.column("text").to_pylist()]
+            columns = [pa.array([ordered(x) for x in c], pa.list_(pa.string())) for c in zip(*found)]
+            yield pa.RecordBatch.from_arrays([*map(batch.column, kept), *columns], names=[*kept, "base", "spans"])
+
+    return df.mapInArrow(run, keep_types(df.select(*kept), "base array<string>", "spans array<string>"))
 
-    return df.mapInArrow(run, keep_types(df.select(*kept), f"`{base_name}` array<string>", f"`{spans_name}` array<string>"))
+
+def masked(text: str, spans: list[Span]) -> str:
+    """The text with each span replaced by its kind in square brackets; of overlapping spans the first counts."""
+    parts, last = [], 0
+    for start, end, kind in sorted((s, e, k) for k, s, e in spans):
+        if start >= last:
+            parts += [text[last:start], f"[{kind.upper()}]"]
+        last = max(last, end)
+    return "".join([*parts, text[last:]])
 
 
 def redact(df: DataFrame, field: Field | None = None) -> DataFrame:
-    """The input with each span of its text replaced by its kind in square brackets; of overlapping spans the first and longest counts."""
-    found = find(df, field, "__base", "__spans")
+    """The input with the personal data of its texts masked."""
+    field = field or train(training_texts(df))
     names = df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (s for b in batches for s in slices(b, "text")):
-            texts = []
-            for text, spans in zip(batch.column("text").to_pylist(), batch.column("__spans").to_pylist(), strict=True):
-                parts, last = [], 0
-                for start, end, kind in sorted((int(s), int(e), k) for k, s, e in (x.split(":") for x in spans)):
-                    if start >= last:
-                        parts += [text[last:start], f"[{kind.upper()}]"]
-                    last = max(last, end)
-                texts.append("".join([*parts, text[last:]]) if spans else text)
+            texts = [masked(t, spans) if (spans := all_spans(t, field)[1]) else t for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if n == "text" else batch.column(n) for n in names], names=names)
 
-    return found.mapInArrow(run, df.schema)
+    return df.mapInArrow(run, df.schema)
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,6 +26,7 @@ from .common import doc_crc, documents, keep_types, slices, span_hash, text_byte
 
 BUCKETS, WIDTH, REACH = 4096, 32, 2
 SAMPLE, HIDDEN, EPOCHS, SEED, SHRINK = 20_000, 32, 60, 4, 5
+SLICE = 1 << 18  # bytes of text at a time: each of its tokens takes a few hundred bytes of work arrays
 # Kinds of bytes: 0 white space, 1 letters, digits and bytes above 127, 2 other signs.
 KIND = np.full(256, 2, np.int8)
 KIND[[*b" \t\n\x0b\x0c\r"]] = 0
@@ -73,7 +74,7 @@ def word_vectors(df: DataFrame) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((BUCKETS, WIDTH))
-        for batch in (s for b in batches for s in slices(b, "text")):
+        for batch in (s for b in batches for s in slices(b, "text", SLICE)):
             bucket, first = tokens(batch.column("text"))
             if not len(bucket):
                 continue
@@ -104,7 +105,7 @@ def features(df: DataFrame, vectors: np.ndarray) -> DataFrame:
     kept = [c for c in df.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (s for b in batches for s in slices(b, "text")):
+        for batch in (s for b in batches for s in slices(b, "text", SLICE)):
             found = pooled(*tokens(batch.column("text")), vectors)
             listed = pa.FixedSizeListArray.from_arrays(pa.array(found.ravel()), found.shape[1]).cast(pa.list_(pa.float32()))
             yield pa.RecordBatch.from_arrays([*map(batch.column, kept), listed], names=[*kept, "vector"])
@@ -175,7 +176,7 @@ def score(df: DataFrame, vectors: np.ndarray, network: Network | None) -> DataFr
     kept = [c for c in df.columns if c != "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (s for b in batches for s in slices(b, "text")):
+        for batch in (s for b in batches for s in slices(b, "text", SLICE)):
             found = pooled(*tokens(batch.column("text")), vectors)
             p = network(found.astype(np.float64)) if network else np.full(len(found), 0.5)
             yield pa.RecordBatch.from_arrays([*map(batch.column, kept), pa.array(p)], names=[*kept, "score"])
