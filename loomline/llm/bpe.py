@@ -41,16 +41,25 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
-class PrefixBpe:
-    """Encoder and decoder for one vocabulary file."""
+class TokenBytes:
+    """Decoder for one vocabulary file."""
 
-    def __init__(self, path: str):
-        with open(path, encoding="utf-8") as file:
-            saved = json.load(file)
-        alphabet, vocab = byte_alphabet(), saved["model"]["vocab"]
-        self.bytes_of = {i: bytes(alphabet[c] for c in token) for token, i in vocab.items() if all(c in alphabet for c in token)}
+    def __init__(self, saved: dict):
+        alphabet = byte_alphabet()
+        self.bytes_of = {i: bytes(alphabet[c] for c in token) for token, i in saved["model"]["vocab"].items() if all(c in alphabet for c in token)}
         self.special = {t["content"]: t["id"] for t in saved["added_tokens"]}
         self.bytes_of |= {i: token.encode() for token, i in self.special.items()}
+
+    def decode(self, ids: list[int]) -> str:
+        return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", errors="replace")
+
+
+class PrefixBpe(TokenBytes):
+    """Encoder and decoder for one vocabulary file."""
+
+    def __init__(self, saved: dict):
+        super().__init__(saved)
+        vocab = saved["model"]["vocab"]
         self.pattern = regex.compile(public_tokenizers.PATTERN)
         self.at_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         merges = [m.split(" ") if isinstance(m, str) else m for m in saved["model"]["merges"]]
@@ -83,7 +92,7 @@ class PrefixBpe:
         self.fits = Memo(lambda pair: self.apart(pair >> 32, pair & 0xFFFFFFFF), 250_000)
         self.pieces = Memo(self.encode_piece, 30_000)
         self.heads = Memo(self.encode_any, 50_000)
-        self.after_space = Memo(self.encode_word, 450_000)
+        self.after_space = Memo(self.encode_word, 300_000)
 
     def apart(self, a: int, b: int, until: int = FOREVER) -> bool:
         """Whether no merge joins a and b before the merge of rank `until`, when both are built from bytes."""
@@ -141,14 +150,22 @@ class PrefixBpe:
             ids.extend(chain.from_iterable(map(self.after_space.__getitem__, rest)))
         return ids
 
-    def decode(self, ids: list[int]) -> str:
-        return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", errors="replace")
-
 
 @functools.cache
 def encoder(vocabulary: str) -> PrefixBpe:
-    """One encoder for each worker process. A bare name is looked up among the public vocabulary files."""
-    return PrefixBpe(vocabulary if "/" in vocabulary else public_tokenizers.path(vocabulary))
+    """One encoder for each worker process."""
+    return PrefixBpe(load(vocabulary))
+
+
+@functools.cache
+def decoder(vocabulary: str) -> TokenBytes:
+    return TokenBytes(load(vocabulary))
+
+
+def load(vocabulary: str) -> dict:
+    """The vocabulary file's content. A bare name is looked up among the public vocabulary files."""
+    with open(vocabulary if "/" in vocabulary else public_tokenizers.path(vocabulary), encoding="utf-8") as file:
+        return json.load(file)
 
 
 def replaced(batch: pa.RecordBatch, name: str, values: pa.Array, schema_names: list[str]) -> pa.RecordBatch:
@@ -185,7 +202,7 @@ def decode(df: DataFrame, ids: str = "ids", decoded: str = "decoded", vocabulary
     names = df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = encoder(vocabulary)
+        bpe = decoder(vocabulary)
         for batch in (s for b in batches for s in cut_lists(b, ids)):
             lists = batch.column(ids)
             flat, sizes = lists.flatten().to_pylist(), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
