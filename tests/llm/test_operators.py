@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from loomline.llm import bpe, fingerprints, lm_score, packing, pii, quality, rules, sharding, simhash
+from loomline.llm import bpe, fingerprints, lm_score, near_copies, packing, pii, quality, rules, sharding, simhash
 from loomline.llm.components import connected_components
 from loomline.llm.line_dedup import ORACLE_OP7
 from loomline.llm.registry import QUERIES
@@ -379,3 +379,42 @@ def test_pipeline_stages(spark, corpus, folder):
     redacted = {r.doc_id: r.text for r in stages["PII"](spark, plain, folder).collect()}
     assert all(redacted[d] == t for d, t, *_ in corpus if not re.search("[0-9@]", t or ""))
     assert corpus_pipeline.run(spark, folder).count() > 0
+
+
+def runs_of_five(text):
+    words = WORD.findall(lowered(text))
+    return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+
+
+@pytest.mark.parametrize("most", [4096, 6])
+def test_near_copies_link_what_brute_force_jaccard_links(spark, monkeypatch, most):
+    """Texts with more and more words replaced, on both sides of 0.8; also with lists so short that they have to be cut."""
+    monkeypatch.setattr(near_copies, "LIST", most)
+    rng, texts = random.Random(12), [None, "", "  ", "One two", "one TWO", "one two three"]
+    for _ in range(25):
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.randint(60, 400))]
+        texts.append(" ".join(words))
+        for _ in range(6):
+            changed = list(words)
+            for k in rng.sample(range(len(words)), rng.randint(1, max(1, len(words) // 25))):
+                changed[k] = f"x{rng.randrange(5000)}"
+            texts.append(" ".join(changed))
+    runs = [runs_of_five(t) for t in texts]
+    parent, pairs = list(range(len(texts))), 0
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for b in range(len(texts)):
+        for a in range(b):
+            both = len(runs[a] & runs[b])
+            if 5 * both >= 4 * (len(runs[a]) + len(runs[b]) - both):
+                pairs += 10 * both < 9 * (len(runs[a]) + len(runs[b]) - both)
+                x, y = root(a), root(b)
+                parent[max(x, y)] = min(x, y)
+    assert pairs > 40  # between 0.8 and 0.9
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t or "")) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r.doc_id for r in dict(corpus_pipeline.STAGES)["SimHash near-dedup"](spark, docs, "").collect()}
+    assert kept == {root(k) for k in range(len(texts))}
