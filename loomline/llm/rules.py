@@ -11,7 +11,8 @@ probability 1 - `DELTA` each cutoff rejects at most a share `RISK` of its stratu
 
 Null and empty texts have no words, fail the base rule and are not kept. A language with fewer than
 `LEAST` good rows, or null, belongs to the stratum `other`. Labels that contradict each other count as good
-if at least half say so. Without labels only the base rule rejects. Rows that repeat stay.
+if at least half say so. A stratum is judged by its own
+cutoffs only, and any number of them can have some. Without labels only the base rule rejects. Rows that repeat stay.
 """
 
 from __future__ import annotations
@@ -28,7 +29,6 @@ from .common import checkpointed, documents, keep_types, slices, span_hash, text
 
 RISK, DELTA, COST, LEAST = 0.05, 0.05, 3, 200
 SYMBOLS = "#*$%&|<>"  # fixed values
-STRATA = 16
 # Cutoffs of each signal, strict to lax: a document is rejected if the signal is above.
 CUTOFFS = {
     "symbols": [0.005, 0.01, 0.02, 0.03, 0.05, 0.08, 0.12, 0.2, 0.3],
@@ -89,39 +89,45 @@ def ratios(df: DataFrame) -> DataFrame:
     return df.withColumns({"symbols": share("n_symbols", "word_chars"), "repeats": share("n_repeat_words", "n_words"), "lines": share("n_dup_lines", "n_lines"), "capitals": share("n_capitals", "n_words"), "length": share("word_chars", "n_words")})
 
 
+def at_most(failures: int, trials: int, p: float) -> float:
+    """The probability of so few failures at rate p."""
+    logs = [math.lgamma(trials + 1) - math.lgamma(k + 1) - math.lgamma(trials - k + 1) + k * math.log(p) + (trials - k) * math.log1p(-p) for k in range(failures + 1)]
+    most = max(logs)
+    return math.exp(most) * sum(math.exp(x - most) for x in logs)
+
+
+def safe(failures: int, trials: int, delta: float, risk: float) -> bool:
+    """Whether `upper_bound` is at most `risk`, by one evaluation."""
+    return failures <= risk * trials and failures < trials and at_most(failures, trials, risk) <= delta
+
+
 def upper_bound(failures: int, trials: int, delta: float) -> float:
     """The largest rate under which so few failures have probability `delta` at least."""
     if failures >= trials:
         return 1.0
-
-    def at_most(p: float) -> float:
-        logs = [math.lgamma(trials + 1) - math.lgamma(k + 1) - math.lgamma(trials - k + 1) + k * math.log(p) + (trials - k) * math.log1p(-p) for k in range(failures + 1)]
-        most = max(logs)
-        return math.exp(most) * sum(math.exp(x - most) for x in logs)
-
     low, high = failures / trials, 1.0
     for _ in range(50):
         middle = (low + high) / 2
-        low, high = (middle, high) if at_most(middle) > delta else (low, middle)
+        low, high = (middle, high) if at_most(failures, trials, middle) > delta else (low, middle)
     return high
 
 
-def thresholds(scored: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> dict[tuple[str, str], float]:
-    """The cutoff of each stratum and signal. Labelled rows are reduced to counts, one row for each stratum that has enough of them."""
+def thresholds(scored: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> dict[str, dict[str, float]]:
+    """The cutoffs of each named stratum and of `other`, by signal; a signal without a safe cutoff is left out. Labelled rows are reduced to counts, one row for each stratum that has enough of them."""
     known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg((F.avg("quality") >= 0.5).alias("good"))
     known = scored.where("NOT base_failed").join(known, "doc_id")
-    above = [F.count_if((F.col("good") == side) & (F.col(s) > c)).alias(f"{s}_{k}_{side}") for s, cut in CUTOFFS.items() for k, c in enumerate(cut) for side in (True, False)]
-    sums = known.groupBy("stratum").agg(F.count_if("good").alias("n"), *above)
-    named = [r.asDict() for r in sums.where((F.col("n") >= LEAST) & (F.col("stratum") != "other")).orderBy(F.desc("n"), "stratum").limit(STRATA).collect()]
-    rest = known.where(~F.col("stratum").isin([r["stratum"] for r in named])).agg(F.count_if("good").alias("n"), *above).head().asDict()
-    tables = [*named, rest | {"stratum": "other"}]
-    tests = len(tables) * sum(map(len, CUTOFFS.values()))
-    chosen = {}
+    counts = {f"{s}_{k}_{side}": F.count_if((F.col("good") == side) & (F.col(s) > c)) for s, cut in CUTOFFS.items() for k, c in enumerate(cut) for side in (True, False)}
+    sums = known.groupBy("stratum").agg(F.count_if("good").alias("n"), *(c.alias(name) for name, c in counts.items()))
+    merged = F.when(F.col("n") >= LEAST, F.col("stratum")).otherwise("other")
+    tables = [r.asDict() for r in sums.groupBy(merged.alias("stratum")).agg(*(F.sum(c).alias(c) for c in ("n", *counts))).collect()]
+    tests = len({"other", *(r["stratum"] for r in tables)}) * sum(map(len, CUTOFFS.values()))
+    chosen = {"other": {}}
     for row in tables:
+        chosen[row["stratum"]] = found = {}
         for signal, cut in CUTOFFS.items():
-            gain = {c: row[f"{signal}_{k}_False"] - COST * row[f"{signal}_{k}_True"] for k, c in enumerate(cut) if row["n"] and upper_bound(row[f"{signal}_{k}_True"], row["n"], delta / tests) <= risk}
+            gain = {c: row[f"{signal}_{k}_False"] - COST * row[f"{signal}_{k}_True"] for k, c in enumerate(cut) if row["n"] and safe(row[f"{signal}_{k}_True"], row["n"], delta / tests, risk)}
             if gain and max(gain.values()) > 0:
-                chosen[row["stratum"], signal] = max(gain, key=lambda c: (gain[c], c))
+                found[signal] = max(gain, key=lambda c: (gain[c], c))
     return chosen
 
 
@@ -131,12 +137,16 @@ def judge(df: DataFrame, labels: DataFrame, stratum: str = "lang") -> DataFrame:
     counted = signals(df.select("doc_id", "text", F.coalesce(F.col(stratum).cast("string"), F.lit("other")).alias("stratum")))
     scored = checkpointed(ratios(counted).withColumn("base_failed", failed))
     chosen = thresholds(scored, labels)
-    known = sorted({s for s, _ in chosen})
-    where = F.when(F.col("stratum").isin(known), F.col("stratum")).otherwise("other")
+    rows = [(name, *(found.get(signal) for signal in CUTOFFS)) for name, found in chosen.items() if name != "other"]
+    # A named stratum is judged by its own cutoffs only, even if it has none.
+    own = df.sparkSession.createDataFrame([(name, *(None if c is None else float(c) for c in cut)) for name, *cut in rows], ", ".join(["named string", *(f"`cut_{s}` double" for s in CUTOFFS)]))
+    met = scored.join(F.broadcast(own), F.col("stratum") == F.col("named"), "left")
     rejected = F.lit(False)
-    for (name, signal), cutoff in chosen.items():
-        rejected = rejected | ((where == name) & (F.col(signal) > cutoff))
-    return scored.withColumn("kept", ~F.col("base_failed") & ~rejected)
+    for signal in CUTOFFS:
+        other = F.lit(chosen["other"].get(signal)).cast("double")
+        cutoff = F.when(F.col("named").isNotNull(), F.col(f"cut_{signal}")).otherwise(other)
+        rejected = rejected | F.coalesce(F.col(signal) > cutoff, F.lit(False))
+    return met.withColumn("kept", ~F.col("base_failed") & ~rejected).select(*scored.columns, "kept")
 
 
 def op6_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

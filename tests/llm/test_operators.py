@@ -221,6 +221,21 @@ def test_bounds_are_exact():
     assert rules.upper_bound(5, 5, 0.05) == 1
 
 
+def test_each_language_is_judged_by_its_own_cutoffs(spark):
+    """`xx` has enough labels but no safe cutoff for symbols, which the rest has; of twenty languages none is merged."""
+    clean, marked = " ".join(f"word{k}" for k in range(60)), " ".join(f"w{k} #" for k in range(60))
+    texts = [(f"l{k:02d}", t, good) for k in range(20) for t, good in ((clean, 1), (marked, 0)) for _ in range(220)]
+    texts += [("xx", marked, 1)] * 300 + [("xx", marked, 0)] * 20 + [("r", clean, 1)] * 190 + [("s", clean, 1)] * 190 + [("r", marked, 0)] * 50
+    docs = spark.createDataFrame([(k, t, lang) for k, (lang, t, _) in enumerate(texts)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(k, good) for k, (*_, good) in enumerate(texts)], "doc_id long, quality int")
+    scored = rules.judge(docs, labels).withColumnRenamed("kept", "verdict")
+    chosen = rules.thresholds(scored, labels)
+    assert set(chosen) == {"other", "xx", *(f"l{k:02d}" for k in range(20))}
+    assert "symbols" not in chosen["xx"] and "symbols" in chosen["other"] and all("symbols" in chosen[f"l{k:02d}"] for k in range(20))
+    kept = {(r.stratum, r.n_symbols > 0, r.verdict) for r in scored.collect()}
+    assert kept == {("xx", True, True), *((f"l{k:02d}", side, not side) for k in range(20) for side in (True, False)), ("r", False, True), ("r", True, False), ("s", False, True)}
+
+
 def test_op7(spark, folder):
     import duckdb
 
