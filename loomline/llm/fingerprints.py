@@ -1,14 +1,13 @@
 """Document fingerprints by consistent weighted sampling.
 
 A text is a bag of runs of five words (all its words, if there are fewer), each weighted by how
-often it occurs. For each of the `SLOTS` places of a signature and each term, a gamma variate r,
-a gamma variate c and a uniform b decide the level t = floor(ln(weight) / r + b) and the value
-ln(c) - r (t + 1 - b); the term with the least value is the sample (Ioffe's scheme). Two bags
-agree in a slot with probability equal to their generalised Jaccard similarity.
+often it occurs. A run of weight w is w terms, told apart by a number from 0 to w - 1, so that a bag
+is a set whose ordinary Jaccard similarity is the bags' generalised one. For each of the `SLOTS` places of a
+signature every term has a 64-bit hash of its own; the term with the least value is the sample.
+It is uniform over the weight and the same in every text that has the term. Two bags agree in a slot with
+probability equal to their generalised Jaccard similarity, however long they are.
 
-The variates come from one table of 2**16 fixed joint draws, indexed by a hash of term and slot,
-so a value is one lookup. The least value and the term's hash are compared as one integer, and
-32 bits of a hash of it make up the slot. No words: every slot is zero, which equals only itself.
+32 bits of a hash of the least value make up the slot. No words: every slot is zero, which equals only itself.
 
 Null counts as the empty text. Equal texts have equal fingerprints. Rows that repeat, and ties
 in the id, are kept; the next document is then the next row in order of id and text.
@@ -16,7 +15,6 @@ in the id, are kept; the next document is then the next row in order of id and t
 
 from __future__ import annotations
 
-import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -25,33 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BASE, documents, keep_types, mix, power, slices, span_hash, text_bytes, uniforms, windows_hash, word_spans
+from .common import BASE, documents, keep_types, mix, slices, span_hash, text_bytes, windows_hash, word_spans
 
-SHINGLE, SLOTS, SEED = 5, 128, 20
-DRAWS = 1 << 16
-LEVELS = 32  # weights whose values are kept in tables; others are computed
+SHINGLE, SLOTS = 5, 128
 BLOCK_ROWS, MOST_BLOCKS, STEP = 4000, 4096, 64  # rows in a range of ids, where that makes no more ranges than this
 
 
-@functools.cache
-def draws() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """r, ln c and b of each table entry; a gamma(2, 1) variate is the sum of two exponential ones."""
-    u = uniforms(DRAWS, 5, SEED)
-    return -np.log(u[0] * u[1]), np.log(-np.log(u[2] * u[3])), u[4]
-
-
-def values(weight: np.ndarray | float, entry: np.ndarray | slice) -> np.ndarray:
-    """Order-preserving 24-bit integers of the sampled values, in the high bits of 64."""
-    r, ln_c, b = (x[entry] for x in draws())
-    level = np.floor(np.log(weight) / r + b)
-    return (np.clip((ln_c - r * (level + 1 - b) + 60) / 70, 0, 1) * ((1 << 24) - 1)).astype(np.uint64) << np.uint64(40)
-
-
-@functools.cache
-def table(weight: int) -> np.ndarray:
-    return values(float(weight), slice(None))
-
-
 def bags(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Terms and weights of all texts, one text after the other, and where each text's terms begin."""
     starts, ends, first = word_spans(data, offsets)
@@ -79,18 +56,15 @@ def signatures(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     full = np.flatnonzero(np.diff(first))
     if not len(full):
         return out
-    heads = first[:-1][full]
-    low = term & np.uint64((1 << 40) - 1)
-    repeated = np.flatnonzero(weight > 1)
-    steps = mix(np.arange(1, SLOTS + 1, dtype=np.uint64) * np.uint64(BASE)) | np.uint64(1)
-    once = table(1)
+    ends = np.concatenate((np.zeros(1, np.int64), np.cumsum(weight)))
+    number = np.arange(ends[-1]) - np.repeat(ends[:-1], weight)
+    term = np.repeat(term, weight)
+    again = number > 0
+    term[again] = mix(term[again] + number[again].astype(np.uint64) * np.uint64(BASE))
+    heads = ends[first[:-1][full]]
+    steps = mix(np.arange(1, 2 * SLOTS + 1, dtype=np.uint64) * np.uint64(BASE))
     for slot in range(SLOTS):
-        entry = ((term + steps[slot]) * steps[slot] >> np.uint64(48)).astype(np.int64)
-        value = once[entry]
-        if len(repeated):
-            w, e = weight[repeated], entry[repeated]
-            value[repeated] = values(w, e)
-        value |= low
+        value = (term ^ steps[slot]) * (steps[SLOTS + slot] | np.uint64(1))
         out[full, slot] = (mix(np.minimum.reduceat(value, heads)) >> np.uint64(32)).astype(np.uint32)
     return out
 

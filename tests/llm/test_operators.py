@@ -125,6 +125,22 @@ def test_collisions_follow_the_weighted_jaccard():
     assert abs(np.mean(errors)) < 0.02 and np.std(errors) < 0.1
 
 
+def test_long_texts_with_repeated_runs_collide_by_their_weights():
+    """300,000 runs once in one text only, and 10,000 that occur once and five times: more terms than any table of draws has."""
+    import pyarrow as pa
+
+    from loomline.llm.common import text_bytes
+
+    shared, extra = " ".join(f"s{k}" for k in range(20_000)), " ".join(f"x{k}" for k in range(300_000))
+    texts = [f"{shared} {shared} {shared} {shared} {shared} {extra}", f"{extra} {shared}"]
+    one, two = fingerprints.signatures(*text_bytes(pa.array(texts)))
+    want = jaccard(bag(texts[0]), bag(texts[1]))
+    assert abs((one == two).mean() - want) < 4 * math.sqrt(want * (1 - want) / fingerprints.SLOTS)
+    only = fingerprints.signatures(*text_bytes(pa.array([extra])))[0]
+    want = jaccard(bag(texts[0]), bag(extra))
+    assert abs((one == only).mean() - want) < 4 * math.sqrt(want * (1 - want) / fingerprints.SLOTS)
+
+
 def test_op4_learns_from_permitted_labels_only(spark, tmp_path):
     rng, docs, labels = random.Random(4), [], []
     for d in range(500):
