@@ -1,14 +1,14 @@
-"""Exact byte-level BPE by dynamic programming over prefixes.
+"""Exact byte-level BPE by dynamic programming over prefixes (`prefix_bpe`).
 
-The encoding of a piece of text ends, for each of its prefixes, in one certain token. An
-automaton over all tokens reports those that are suffixes of a prefix, longest first; the one
-that may stand after the last token of the remaining, shorter prefix is the right one. Whether
-two tokens may stand side by side is decided by replaying both merge histories at their common
-edge. Following the stored tokens back from the end gives the ids.
+Texts are cut into pieces by the vocabulary's pattern, on arrays of bytes: a piece is a run of
+letters, of numbers, of other signs or of white space; one plain space goes to the run after it,
+and an apostrophe takes the letters of a contraction. The different pieces of a slice of texts are
+encoded once, together, and their ids dealt back to the texts.
 
 Null and empty texts have no tokens. Strings of special tokens inside a text become their ids,
 as the tokenizers library does by default. Long texts are encoded whole, in time linear in
-their length. Columns of the input stay; `ids`/`decoded` replace columns of the same name.
+their length. Rows that repeat are encoded each; an empty table gives an empty one. Columns of the
+input stay; `ids`/`decoded` replace columns of the same name.
 """
 
 from __future__ import annotations
@@ -17,9 +17,7 @@ import functools
 import json
 import re
 from collections.abc import Iterator
-from itertools import chain
 
-import ahocorasick
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
@@ -27,11 +25,14 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Memo, documents, keep_types, slices
+from .common import documents, keep_types, slices, text_bytes
+from .prefix_bpe import PrefixTables, distinct, gathered
 
 VOCABULARY = "byte_bpe_50k.json"
-TWO_SPACES = re.compile(r"\s\s")
-FOREVER = 1 << 60
+SLICE = 1 << 22  # bytes of text at a time
+SPACE, LETTER, NUMBER, SIGN = range(4)
+APOSTROPHE, BLANK = ord("'"), ord(" ")
+ENDINGS = {b"s", b"t", b"m", b"d", b"re", b"ve", b"ll"}  # fixed values: what an apostrophe takes
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -41,125 +42,138 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
-class TokenBytes:
-    """Decoder for one vocabulary file."""
-
-    def __init__(self, saved: dict):
-        alphabet = byte_alphabet()
-        self.bytes_of = {i: bytes(alphabet[c] for c in token) for token, i in saved["model"]["vocab"].items() if all(c in alphabet for c in token)}
-        self.special = {t["content"]: t["id"] for t in saved["added_tokens"]}
-        self.bytes_of |= {i: token.encode() for token, i in self.special.items()}
-
-    def decode(self, ids: list[int]) -> str:
-        return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", errors="replace")
-
-
-class PrefixBpe(TokenBytes):
+@functools.cache
+def character_kinds() -> np.ndarray:
+    """The kind of every character, by its number."""
+    kinds = np.full(0x110000, SIGN, np.uint8)
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    at = lambda k: k if k < 0xD800 else k + 0x800
+    for kind, pattern in ((SPACE, r"\s+"), (LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+")):
+        for m in regex.finditer(pattern, every):
+            kinds[at(m.start()) : at(m.end() - 1) + 1] = kind
+    return kinds
+
+
+def byte_kinds(data: np.ndarray) -> np.ndarray:
+    """The kind of the character to which each byte of UTF-8 text belongs."""
+    table = character_kinds()
+    out = table[:256][data]
+    lead = np.flatnonzero(data >= 0xC0)
+    if len(lead):
+        size = 2 + (data[lead] >= 0xE0).astype(np.int64) + (data[lead] >= 0xF0)
+        number = data[lead].astype(np.int64) & (0xFF >> (size + 1))
+        for k in range(1, 4):
+            more = size > k
+            number[more] = number[more] << 6 | data[lead[more] + k] & 0x3F
+        kind = table[number]
+        for k in range(4):
+            more = size > k
+            out[lead[more] + k] = kind[more]
+    return out
+
+
+def contractions(data: np.ndarray, kinds: np.ndarray, cut: np.ndarray, border: np.ndarray) -> None:
+    """Moves the cuts after lone apostrophes that begin a piece: letters of a contraction in the same text join them."""
+    for at in np.flatnonzero((data[:-1] == APOSTROPHE) & cut[:-2] & cut[1:-1] & (kinds[1:] == LETTER) & ~border[1:-1]).tolist():
+        for size in (1, 2):
+            if data[at + 1 : at + 1 + size].tobytes() in ENDINGS and not border[at + 2 : at + 1 + size].any():
+                cut[at + 1], cut[at + 1 + size] = False, True
+                break
+
+
+def cut_pieces(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Where the pieces of texts begin, and the end; `bounds` are the texts' offsets."""
+    kinds = byte_kinds(data)
+    cut = np.ones(len(data) + 1, bool)
+    cut[1:-1] = kinds[1:] != kinds[:-1]
+    border = np.zeros(len(data) + 1, bool)
+    border[bounds] = True
+    cut |= border
+    # White space before something else in the same text: its last character stands alone, or joins what follows.
+    ends = np.flatnonzero(cut[1:-1] & ~border[1:-1] & (kinds[:-1] == SPACE)) + 1
+    blank = data[ends - 1] == BLANK
+    cut[ends[blank]] = False
+    cut[ends[blank] - 1] = True
+    head = ends[~blank] - 1
+    while (inner := (data[head] & 0xC0) == 0x80).any():
+        head = head - inner
+    cut[head] = True
+    contractions(data, kinds, cut, border)
+    return np.flatnonzero(cut)
+
+
+class Bpe:
     """Encoder and decoder for one vocabulary file."""
 
     def __init__(self, saved: dict):
-        super().__init__(saved)
-        vocab = saved["model"]["vocab"]
-        self.pattern = regex.compile(public_tokenizers.PATTERN)
-        self.at_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        alphabet, vocab = byte_alphabet(), saved["model"]["vocab"]
+        self.special = {t["content"].encode(): t["id"] for t in saved["added_tokens"]}
+        tokens: list[bytes | None] = [None] * (1 + max(*vocab.values(), *self.special.values()))
+        for token, k in vocab.items():
+            if all(c in alphabet for c in token) and token.encode() not in self.special:
+                tokens[k] = bytes(map(alphabet.__getitem__, token))
         merges = [m.split(" ") if isinstance(m, str) else m for m in saved["model"]["merges"]]
-        self.rank: dict[tuple[int, int], int] = {}
-        made: dict[int, tuple[int, int, int]] = {}
-        for rank, (a, b) in enumerate(merges):
-            self.rank[vocab[a], vocab[b]] = rank
-            made.setdefault(vocab[a + b], (rank, vocab[a], vocab[b]))
-        edge = {True: {}, False: {}}  # each token's (sub-token at its right or left edge, rank of the merge that swallows it)
-
-        def history(token: int, right: bool) -> tuple:
-            known = edge[right].get(token)
-            if known is None:
-                if token in made:
-                    rank, a, b = made[token]
-                    inner = history(b if right else a, right)
-                    known = (*inner[:-1], (inner[-1][0], rank), (token, FOREVER))
-                else:
-                    known = ((token, FOREVER),)
-                edge[right][token] = known
-            return known
-
-        self.right = {t: history(t, True) for t in vocab.values()}
-        self.left = {t: history(t, False) for t in vocab.values()}
-        self.automaton = ahocorasick.Automaton()
-        for token, i in vocab.items():
-            if i in self.bytes_of and token not in self.special and (i not in made or self.apart(*made[i][1:], made[i][0])):
-                self.automaton.add_word(self.bytes_of[i].decode("latin-1"), (i, len(self.bytes_of[i])))
-        self.automaton.make_automaton()
-        self.fits = Memo(lambda pair: self.apart(pair >> 32, pair & 0xFFFFFFFF), 250_000)
-        self.pieces = Memo(self.encode_piece, 30_000)
-        self.heads = Memo(self.encode_any, 50_000)
-        self.after_space = Memo(self.encode_word, 300_000)
-
-    def apart(self, a: int, b: int, until: int = FOREVER) -> bool:
-        """Whether no merge joins a and b before the merge of rank `until`, when both are built from bytes."""
-        right, left, i, j = self.right[a], self.left[b], 0, 0
-        while True:
-            (x, x_ends), (y, y_ends) = right[i], left[j]
-            joined = self.rank.get((x, y), FOREVER)
-            if joined < until and joined < x_ends and joined <= y_ends:
-                return False
-            if x_ends == y_ends == FOREVER:
-                return True
-            if x_ends <= y_ends:
-                i += 1
-            else:
-                j += 1
-
-    def encode_piece(self, piece: str) -> tuple[int, ...]:
-        raw = piece if piece.isascii() else piece.encode().decode("latin-1")
-        last, start, fits = [-1] * len(raw), [0] * len(raw), self.fits
-        for end, (token, length) in self.automaton.iter(raw):
-            if last[end] < 0:
-                before = end - length
-                if before < 0 or fits[last[before] << 32 | token]:
-                    last[end], start[end] = token, before
-        ids, at = [], len(raw) - 1
-        while at >= 0:
-            ids.append(last[at])
-            at = start[at]
-        ids.reverse()
-        return tuple(ids)
-
-    def encode_word(self, word: str) -> tuple[int, ...]:
-        """The ids of a space and this word. Letters of the Latin blocks, with a stop or comma after them, need no pattern."""
-        stem, stop = (word[:-1], word[-1]) if word[-1:] in (".", ",") else (word, "")
-        if stem.isalpha() and (stem.isascii() or max(stem) < "\u0250"):
-            return self.after_space[stem] + self.pieces[stop] if stop else self.encode_piece(" " + stem)
-        return self.encode_any(" " + word)
-
-    def encode_any(self, text: str) -> tuple[int, ...]:
-        if self.at_special and self.at_special.search(text):
-            parts = self.at_special.split(text)
-            return tuple(chain.from_iterable((self.special[p],) if k % 2 else self.encode_any(p) for k, p in enumerate(parts)))
-        return tuple(chain.from_iterable(self.pieces[p] if len(p) < 40 else self.encode_piece(p) for p in self.pattern.findall(text)))
-
-    def encode(self, text: str) -> list[int]:
-        """The ids of a text. Single spaces open a new piece and single line ends are one, so words are looked up one by one."""
-        if TWO_SPACES.search(text) or (self.at_special and self.at_special.search(text)):
-            return list(self.encode_any(text))
-        ids: list[int] = []
-        for k, line in enumerate(text.split("\n")):
-            if k:
-                ids += self.pieces["\n"]
-            head, *rest = line.split(" ")
-            ids += self.heads[head]
-            ids.extend(chain.from_iterable(map(self.after_space.__getitem__, rest)))
-        return ids
-
-
-@functools.cache
-def encoder(vocabulary: str) -> PrefixBpe:
-    """One encoder for each worker process."""
-    return PrefixBpe(load(vocabulary))
+        self.tables = PrefixTables(tokens, [(vocab[a], vocab[b], vocab[a + b]) for a, b in merges])
+        for token, k in self.special.items():
+            tokens[k] = token
+        self.token_bytes = pa.array([t or b"" for t in tokens], pa.large_binary())
+        self.at_special = re.compile(b"|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
+
+    def special_spans(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int]]:
+        """Places of special tokens' strings; one that would reach over the end of its text is none."""
+        found, at, raw = [], 0, data.tobytes()
+        while self.at_special and (m := self.at_special.search(raw, at)):
+            inside = np.searchsorted(offsets, m.start(), side="right") == np.searchsorted(offsets, m.end() - 1, side="right")
+            if inside:
+                found.append(m.span())
+            at = m.end() if inside else m.start() + 1
+        return found
+
+    def encode_column(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, and where each text's begin (one more at the end)."""
+        data, offsets = text_bytes(column)
+        if not len(data):
+            return np.zeros(0, np.int32), np.zeros(len(column) + 1, np.int64)
+        spans = self.special_spans(data, offsets)
+        starts = cut_pieces(data, np.concatenate((offsets, np.array(spans, np.int64).ravel())))
+        for a, b in spans:
+            starts = np.delete(starts, np.arange(*np.searchsorted(starts, (a + 1, b))))
+        pieces, ends, which = distinct(data, starts)
+        ids, first = self.tables.encode(pieces, ends)
+        flat, at = gathered(ids, first, which)
+        at = at[np.searchsorted(starts, offsets)]
+        if spans:
+            flat, at = self.with_special(flat, at, starts, offsets, spans, data, first[which + 1] - first[which])
+        return flat, at
+
+    def with_special(self, flat: np.ndarray, at: np.ndarray, starts: np.ndarray, offsets: np.ndarray, spans: list, data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Puts one id in place of the ids of each special token's string."""
+        begin = np.concatenate(([0], np.cumsum(sizes)))
+        piece = np.searchsorted(starts, [a for a, _ in spans])
+        keep = np.ones(len(flat), bool)
+        flat = flat.copy()
+        for p, (a, b) in zip(piece, spans):
+            flat[begin[p]] = self.special[data[a:b].tobytes()]
+            keep[begin[p] + 1 : begin[p + 1]] = False
+        return flat[keep], np.concatenate(([0], np.cumsum(keep)))[at]
+
+    def decode_column(self, flat: np.ndarray, at: np.ndarray) -> pa.Array:
+        """The texts of lists of ids; bytes that are no UTF-8 become U+FFFD."""
+        taken = self.token_bytes.take(pa.array(flat))
+        _, ends, data = taken.buffers()
+        ends = np.ascontiguousarray(np.frombuffer(ends, np.int64)[at]) if len(flat) else np.zeros(len(at), np.int64)
+        texts = pa.Array.from_buffers(pa.large_string(), len(at) - 1, [None, pa.py_buffer(ends), data if data is not None else pa.py_buffer(b"")])
+        try:
+            texts.validate(full=True)
+        except pa.ArrowInvalid:
+            texts = pa.array([b.as_py().decode("utf-8", errors="replace") for b in texts.cast(pa.large_binary(), safe=False)], pa.large_string())
+        return texts.cast(pa.string())
 
 
 @functools.cache
-def decoder(vocabulary: str) -> TokenBytes:
-    return TokenBytes(load(vocabulary))
+def codec(vocabulary: str) -> Bpe:
+    """One encoder and decoder for each worker process."""
+    return Bpe(load(vocabulary))
 
 
 def load(vocabulary: str) -> dict:
@@ -168,12 +182,12 @@ def load(vocabulary: str) -> dict:
         return json.load(file)
 
 
-def replaced(batch: pa.RecordBatch, name: str, values: pa.Array, schema_names: list[str]) -> pa.RecordBatch:
-    columns = {n: batch.column(n) for n in schema_names if n != name} | {name: values}
-    return pa.RecordBatch.from_arrays([columns[n] for n in [*[n for n in schema_names if n != name], name]], names=[*[n for n in schema_names if n != name], name])
+def replaced(batch: pa.RecordBatch, kept: list[str], **values: pa.Array) -> pa.RecordBatch:
+    """The batch's kept columns, then the new ones."""
+    return pa.RecordBatch.from_arrays([*map(batch.column, kept), *values.values()], names=[*kept, *values])
 
 
-def cut_lists(batch: pa.RecordBatch, name: str, limit: int = 1 << 18) -> Iterator[pa.RecordBatch]:
+def cut_lists(batch: pa.RecordBatch, name: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in pieces of about `limit` list items; a longer list is a piece of its own."""
     total = np.cumsum(batch.column(name).value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
     start = 0
@@ -183,39 +197,40 @@ def cut_lists(batch: pa.RecordBatch, name: str, limit: int = 1 << 18) -> Iterato
         start = stop
 
 
-def encode(df: DataFrame, text: str = "text", ids: str = "ids", vocabulary: str = VOCABULARY) -> DataFrame:
-    """Adds the column `ids`, array<int>."""
-    names = df.columns
+def encode(df: DataFrame, text: str = "text", ids: str = "ids", decoded: str | None = None, vocabulary: str = VOCABULARY) -> DataFrame:
+    """Adds the column `ids`, array<int>, and the text that decoding them gives if a name for it is given."""
+    kept = [c for c in df.columns if c not in (ids, decoded)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = encoder(vocabulary)
-        for batch in (s for b in batches for s in slices(b, text)):
-            found = [np.array(bpe.encode(t or ""), np.int32) for t in batch.column(text).to_pylist()]
-            ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
-            yield replaced(batch, ids, pa.ListArray.from_arrays(ends, np.concatenate([*found, np.zeros(0, np.int32)])), names)
+        bpe = codec(vocabulary)
+        for batch in (s for b in batches for s in slices(b, text, SLICE)):
+            flat, at = bpe.encode_column(batch.column(text))
+            values = {ids: pa.ListArray.from_arrays(at.astype(np.int32), flat)}
+            if decoded:
+                values[decoded] = bpe.decode_column(flat, at)
+            yield replaced(batch, kept, **values)
 
-    return df.mapInArrow(run, keep_types(df.drop(ids), f"`{ids}` array<int>"))
+    return df.mapInArrow(run, keep_types(df.select(*kept), f"`{ids}` array<int>", *([f"`{decoded}` string"] if decoded else [])))
 
 
 def decode(df: DataFrame, ids: str = "ids", decoded: str = "decoded", vocabulary: str = VOCABULARY) -> DataFrame:
     """Adds the column `decoded`, the text of the ids; bytes that are no UTF-8 become U+FFFD. Null ids give an empty text."""
-    names = df.columns
+    kept = [c for c in df.columns if c != decoded]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = decoder(vocabulary)
+        bpe = codec(vocabulary)
         for batch in (s for b in batches for s in cut_lists(b, ids)):
             lists = batch.column(ids)
-            flat, sizes = lists.flatten().to_pylist(), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-            ends = np.cumsum([0, *sizes]).tolist()
-            yield replaced(batch, decoded, pa.array([bpe.decode(flat[a:b]) for a, b in zip(ends, ends[1:])], pa.string()), names)
+            at = np.concatenate(([0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))))
+            yield replaced(batch, kept, **{decoded: bpe.decode_column(lists.flatten().to_numpy(), at)})
 
-    return df.mapInArrow(run, keep_types(df.drop(decoded), f"`{decoded}` string"))
+    return df.mapInArrow(run, keep_types(df.select(*kept), f"`{decoded}` string"))
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Round trip of every whole document through the encoder and the decoder."""
-    ids = encode(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "ids")
-    return decode(ids).select(
+    """Round trip of every whole document through the encoder and the decoder, in one pass."""
+    found = encode(documents(spark, sf_dir).select("doc_id", "text"), decoded="decoded")
+    return found.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),

@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -36,10 +37,27 @@ def odd_texts():
 
 
 def test_bpe_equals_the_library(corpus, odd_texts):
-    own, library = bpe.encoder(bpe.VOCABULARY), Tokenizer.from_file(public_tokenizers.path(bpe.VOCABULARY))
-    for text in [*odd_texts, *(t or "" for _, t, *_ in corpus)]:
-        ids = library.encode(text, add_special_tokens=False).ids
-        assert own.encode(text) == ids and own.decode(ids) == library.decode(ids, skip_special_tokens=False)
+    own, library = bpe.codec(bpe.VOCABULARY), Tokenizer.from_file(public_tokenizers.path(bpe.VOCABULARY))
+    texts = [*odd_texts, *(t for _, t, *_ in corpus), "<|endoftext|>", "<|endof", "text|>", "'", "s"]
+    flat, at = own.encode_column(pa.array(texts, pa.string()))
+    decoded = own.decode_column(flat, at).to_pylist()
+    for k, text in enumerate(texts):
+        ids = library.encode(text or "", add_special_tokens=False).ids
+        assert flat[at[k] : at[k + 1]].tolist() == ids and decoded[k] == library.decode(ids, skip_special_tokens=False)
+
+
+def test_long_pieces_are_encoded_alike_alone_and_together():
+    tables, rng = bpe.codec(bpe.VOCABULARY).tables, random.Random(5)
+    for text in ["a", "the " * 9, "".join(rng.choices("thern ", k=60)), "é" * 30]:
+        data = np.frombuffer(text.encode(), np.uint8)
+        assert tables.encode(data, np.array([0, len(data)]))[0].tolist() == tables.alone(data.tobytes())
+
+
+def test_bytes_that_are_no_text_decode_as_the_library_does(spark):
+    library = Tokenizer.from_file(public_tokenizers.path(bpe.VOCABULARY))
+    lists = [library.encode("é漢", add_special_tokens=False).ids[k:] for k in range(3)] + [[], [50256, 1]]
+    rows = bpe.decode(spark.createDataFrame([(k, x, "odd") for k, x in enumerate([*lists, None])], "k int, ids array<int>, decoded string")).orderBy("k").collect()
+    assert [r.decoded for r in rows] == [library.decode(x, skip_special_tokens=False) for x in lists] + [""]
 
 
 def test_op1(spark, corpus, folder):
@@ -64,6 +82,24 @@ def test_word_ids_equal_the_library(corpus, odd_texts):
         assert np.frombuffer(ids, "<u4").tolist() == own.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_words_of_odd_characters_alone():
+    own = packing.words(packing.VOCABULARY)
+    for text in ["漢字", "<|endoftext|>", " \n", "", "\u2003x", "İ", "a\u0301"]:
+        assert np.frombuffer(own.encode([text])[0], "<u4").tolist() == own.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_ranges_hold_equal_bytes_whatever_the_skew(spark):
+    """Half of the rows are one text, so half of the ranges lie in one cell of the curve."""
+    rng = random.Random(2)
+    rows = [(k, "same words here " * 6 if k % 2 else " ".join("".join(rng.choices("thernaed", k=5)) for _ in range(16))) for k in range(4000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    salted = df.select("doc_id", "text", F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - packing.SALT).alias("salt"))
+    bounds = packing.range_bounds(salted, 10_000)
+    spans = Counter(r.span for r in packing.with_place(salted, spark.sparkContext.broadcast(bounds)).select("span").collect())
+    assert len(bounds) == -(-sum(len(t) + 1 for _, t in rows) // 10_000) - 1 and set(spans) == set(range(len(bounds) + 1))
+    assert max(spans.values()) < 2 * len(rows) / len(spans)
+
+
 def test_op2(spark, corpus, folder):
     library = Tokenizer.from_file(public_tokenizers.path(packing.VOCABULARY))
     pieces, used = defaultdict(list), defaultdict(list)
