@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import signal
+from bisect import bisect_left
 from collections.abc import Iterator
+from contextlib import contextmanager
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomline.functions import ratio
+
 
 def in_intervals(points: DataFrame, intervals: DataFrame, series: str, time: str, begin: str, end: str, key: str) -> DataFrame:
     """Points with the key of the interval [begin, end) of their series that holds them, or null.
@@ -29,76 +35,153 @@ def near(left: DataFrame, right: DataFrame, series: str, left_time: str, right_t
     return left.withColumn("cell", cell(left_time)).join(cells, [series, "cell"]).where(F.abs(F.col(left_time) - F.col(right_time)) <= tolerance).drop("cell")
 
 
-def interpolated(grid: DataFrame, points: DataFrame, series: str, time: str, value: str) -> DataFrame:
-    """Grid rows with the last point at or before them, the next one, the value between the two, and whether there are both."""
-    p = points.select(series, F.col(time).alias("at"), F.lit(0).alias("kind"), F.struct(F.col(time).alias("t"), F.col(value).alias("v")).alias("p"))
+def interpolated(grid: DataFrame, points: DataFrame, series: str, time: str, value: str, lead: float = 0.0) -> DataFrame:
+    """Grid rows with the value between the last point at or before them and the next one, its rate, and whether there are both.
+
+    A row less than `lead` before the first point belongs to the first segment. Ties in time: the last point counts.
+    """
+    at_point = Window.partitionBy(series).orderBy(time)
+    segment = F.struct(F.col(time).alias("t"), F.col(value).alias("v"), F.lead(time).over(at_point).alias("t1"), F.lead(value).over(at_point).alias("v1"))
+    p = points.select(series, F.col(time).alias("at"), F.lit(0).alias("kind"), segment.alias("p"))
     both = grid.select(series, F.col(time).alias("at"), F.lit(1).alias("kind")).unionByName(p, allowMissingColumns=True)
     w = Window.partitionBy(series).orderBy("at", "kind")
-    both = both.withColumns({"before": F.last("p", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "after": F.first("p", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))})
-    share = (F.col("at") - F.col("before.t")) / (F.col("after.t") - F.col("before.t"))
-    found = F.col("before.v") + (F.col("after.v") - F.col("before.v")) * share
-    valid = F.col("before").isNotNull() & F.col("after").isNotNull()
-    return both.where("kind = 1").select(series, F.col("at").alias(time), F.when(valid, found).alias(value), valid.alias("valid"))
+    held = F.last("p", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    if lead:
+        first = F.first("p", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+        held = F.coalesce(held, F.when(first["t"] - F.col("at") < lead, first))
+    both = both.withColumn("p", held).where("kind = 1")
+    rate = (F.col("p.v1") - F.col("p.v")) / (F.col("p.t1") - F.col("p.t"))
+    return both.select(series, F.col("at").alias(time), (F.col("p.v") + rate * (F.col("at") - F.col("p.t"))).alias(value), rate.alias("rate"), F.col("p.t1").isNotNull().alias("valid"))
+
+
+class FreeTargets:
+    """Sorted targets; those taken are stepped over by links to their nearest free neighbours."""
+
+    def __init__(self, times: list[float]):
+        self.order = sorted(range(len(times)), key=lambda k: (times[k], k))
+        self.times = [times[k] for k in self.order]
+        n = len(times)
+        self.up, self.down = list(range(n + 1)), list(range(n + 1))  # down is shifted by one: 0 is before all
+
+    @staticmethod
+    def find(link: list[int], at: int) -> int:
+        root = at
+        while link[root] != root:
+            root = link[root]
+        while link[at] != root:
+            link[at], at = root, link[at]
+        return root
+
+    def take(self, time: float, tolerance: float) -> bool:
+        """Takes the nearest free target within the tolerance, of equally near ones the first in the given order."""
+        at = bisect_left(self.times, time)
+        above, below = self.find(self.up, at), self.find(self.down, at) - 1
+        near = [k for k in (below, above) if 0 <= k < len(self.times) and abs(time - self.times[k]) <= tolerance]
+        # Targets of one time stand in their order, but from below the last of them comes first.
+        if below in near:
+            first = self.find(self.up, bisect_left(self.times, self.times[below]))
+            near[near.index(below)] = first
+        if not near:
+            return False
+        one = min(near, key=lambda k: (abs(time - self.times[k]), self.order[k]))
+        self.up[one], self.down[one + 1] = one + 1, one
+        return True
 
 
 def match_events(df: DataFrame, series: str, tolerance: float) -> DataFrame:
     """Greedy one-to-one matching in each series of rows (side 'p' or 't', time, place): hits, precision, recall and F1.
 
     Predictions in order of place take the nearest target within the tolerance that is not used yet, the
-    first on a tie. Each choice depends on those before, so a series is handled as one group.
+    first on a tie. A series is cut where neighbouring times lie further apart than the tolerance, over which no
+    match can reach; each choice depends on those before, so a piece is one group, in time n log n.
     """
+    in_time = Window.partitionBy(series).orderBy("time", "side", "place")
+    gap = (F.col("time") - F.lag("time").over(in_time) > tolerance).cast("long")
+    pieces = df.withColumn("gap", F.coalesce(gap, F.lit(0))).withColumn("piece", F.sum("gap").over(in_time.rowsBetween(Window.unboundedPreceding, 0)))
+    piece = Window.partitionBy(series, "piece")
+    both = pieces.withColumn("mixed", F.min("side").over(piece) != F.max("side").over(piece))
 
     def match(group: pd.DataFrame) -> pd.DataFrame:
-        p = group[group.side == "p"].sort_values("place")["time"].to_list()
-        t = group[group.side == "t"].sort_values("place")["time"].to_list()
-        used: set[int] = set()
-        for x in p:
-            free = [(abs(x - y), k) for k, y in enumerate(t) if k not in used and abs(x - y) <= tolerance]
-            if free:
-                used.add(min(free)[1])
-        hits = len(used)
-        precision, recall = hits / len(p) if p else 0.0, hits / len(t) if t else 0.0
-        f1 = 2 * precision * recall / (precision + recall) if hits else 0.0
-        return pd.DataFrame({series: [group[series].iloc[0]], "hits": [hits], "precision": [precision], "recall": [recall], "f1": [f1]})
-
-    return df.groupBy(series).applyInPandas(match, f"{series} long, hits long, precision double, recall double, f1 double")
-
-
-def sticky_path(df: DataFrame, series: str, order: str, states: list[str], penalty: float) -> DataFrame:
+        p, t = (group[group.side == s].sort_values("place")["time"].to_list() for s in "pt")
+        free = FreeTargets(t)
+        return pd.DataFrame({series: group[series].iloc[:1], "hits": [sum(free.take(x, tolerance) for x in p)]})
+
+    kind = df.schema[series].dataType.simpleString()
+    hits = both.where("mixed").select(series, "piece", "side", "time", "place").groupBy(series, "piece").applyInPandas(match, f"`{series}` {kind}, hits long").groupBy(series).agg(F.sum("hits").alias("hits"))
+    counts = df.groupBy(series).agg(F.count_if(F.col("side") == "p").alias("p"), F.count_if(F.col("side") == "t").alias("t"))
+    found = counts.join(hits, series, "left").withColumn("hits", F.coalesce("hits", F.lit(0)))
+    precision, recall = ratio("hits", "p"), ratio("hits", "t")
+    return found.select(series, "hits", precision.alias("precision"), recall.alias("recall"), ratio(2 * precision * recall, precision + recall).alias("f1"))
+
+
+def steady_states(df: DataFrame, series: str, order: str, states: list[str], penalty: float) -> DataFrame:
     """(series, order, state): the best sequence of states for rows with a log likelihood for each state, when a change costs `penalty`.
 
-    Staying wins ties, and the first state wins among equals. One group is one series.
+    Staying wins ties, and the first state wins among equals. One group is one series; it holds a number for each row and state.
     """
 
-    def path(group: pd.DataFrame) -> pd.DataFrame:
+    def solve(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(order)
-        obs = group[states].to_numpy()
-        score, back = obs[0].copy(), []
-        for row in obs[1:]:
-            best = int(score.argmax())
-            stay = score >= score[best] - penalty
-            back.append([k if s else best for k, s in enumerate(stay)])
-            score = [score[k] if s else score[best] - penalty for k, s in enumerate(stay)] + row
-        at, out = int(score.argmax()), []
-        out.append(at)
-        for step in reversed(back):
-            at = step[at]
-            out.append(at)
-        return pd.DataFrame({series: group[series], order: group[order], "state": [states[k] for k in reversed(out)]})
-
-    return df.groupBy(series).applyInPandas(path, f"{series} long, {order} long, state string")
-
-
-def score_pairs(scorer, schema: str = "status string, score double, message string"):
-    """A function for mapInPandas that gives each row of (a, b) a status: an exception or an empty result never fails the job."""
+        gains = group[states].to_numpy(np.float64)
+        rows, width = gains.shape
+        leaders, entered = np.zeros(rows, np.int64), np.zeros((rows, width), bool)
+        total = np.zeros(width)
+        for t in range(rows):
+            if t:
+                leaders[t] = total.argmax()
+                bar = total[leaders[t]] - penalty
+                entered[t] = bar > total
+                total = np.maximum(total, bar)
+            total = total + gains[t]
+        # The row at which each state's current stay began; a run is filled at once, then its start's leader goes on.
+        began = np.maximum.accumulate(np.where(entered, np.arange(rows)[:, None], 0), axis=0)
+        path, end, state = np.empty(rows, np.int64), rows - 1, int(total.argmax())
+        while end >= 0:
+            start = began[end, state]
+            path[start : end + 1] = state
+            end, state = start - 1, leaders[start]
+        return pd.DataFrame({series: group[series], order: group[order], "state": np.array(states)[path]})
+
+    kinds = {c: df.schema[c].dataType.simpleString() for c in (series, order)}
+    return df.groupBy(series).applyInPandas(solve, f"`{series}` {kinds[series]}, `{order}` {kinds[order]}, state string")
+
+
+class TimedOut(Exception):
+    """A scorer took longer than it may."""
+
+
+@contextmanager
+def time_limit(seconds: float | None) -> Iterator[None]:
+    """Raises TimedOut in the block after so many seconds, by the process's alarm clock."""
+    if not seconds:
+        yield
+        return
+
+    def ring(*_) -> None:
+        raise TimedOut
+
+    before = signal.signal(signal.SIGALRM, ring)
+    signal.setitimer(signal.ITIMER_REAL, seconds)
+    try:
+        yield
+    finally:
+        signal.setitimer(signal.ITIMER_REAL, 0)
+        signal.signal(signal.SIGALRM, before)
+
+
+def score_pairs(scorer, seconds: float | None = None):
+    """A function for mapInPandas that gives each row of (a, b) a status: an exception, an empty result or a call over the time limit never fails the job."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for a, b in zip(batch["a"], batch["b"], strict=True):
                 try:
-                    score = scorer(a, b)
+                    with time_limit(seconds):
+                        score = scorer(a, b)
                     out.append(("success", float(score), None) if score is not None else ("empty", None, "no result"))
+                except TimedOut:
+                    out.append(("timeout", None, f"over {seconds} s"))
                 except Exception as problem:  # a scorer's failure is a result
                     out.append(("error", None, f"{type(problem).__name__}: {problem}"))
             status, score, message = zip(*out) if out else ((), (), ())

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,34 +47,108 @@ def islands(df: DataFrame, series: str, order: str, cut: Column, name: str = "is
     return df.withColumn(name, F.sum(cut.cast("long")).over(Window.partitionBy(series).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))
 
 
-def folded(df: DataFrame, series: str, order: str, value: str, start: Column, step, finish) -> DataFrame:
-    """(series, folded): a fold over a series' values in order, for rules that look back at what they kept.
-
-    The series is gathered into one array, so it has to fit in a row's memory; series themselves are spread over the cluster.
-    """
-    rows = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).alias("v")))), lambda r: r["v"])
-    return df.groupBy(series).agg(rows.alias("rows")).select(series, F.aggregate("rows", start, step, finish).alias("folded"))
-
+def runs(batches: Iterator[pa.RecordBatch], series: str) -> Iterator[tuple[object, pa.RecordBatch]]:
+    """(series, rows) of each stretch of rows of one series, in batches that are sorted by it and have none without it."""
+    for batch in batches:
+        at, keys = 0, batch.column(series)
+        while at < batch.num_rows:
+            other = pc.index(pc.not_equal(keys.slice(at), keys[at]), True).as_py()
+            stop = batch.num_rows if other < 0 else at + other
+            yield keys[at].as_py(), batch.slice(at, stop - at)
+            at = stop
 
-def thin(df: DataFrame, series: str, value: str, gap: float) -> DataFrame:
-    """Values of a series of which each is at least `gap` after the last one kept."""
-    none = F.array().cast("array<double>")
-    kept = folded(df, series, value, value, none, lambda out, x: F.when((F.size(out) == 0) | (x - F.element_at(out, -1) >= gap), F.concat(out, F.array(x))).otherwise(out), lambda out: out)
-    return kept.select(series, F.explode("folded").alias(value))
 
+def by_series(df: DataFrame, series: str, *order: str) -> DataFrame:
+    """Rows dealt by series and sorted, for passes that keep a small state."""
+    return df.where(F.col(series).isNotNull()).repartition(series).sortWithinPartitions(series, *order)
 
-def budget_chunks(df: DataFrame, series: str, order: str, begin: str, end: str, size: float, stride: float) -> DataFrame:
-    """(series, first, last): chunks that grow while a row's end stays within `size` of the chunk's start.
 
-    The next chunk opens at the first row that starts at least `stride` after this chunk's start.
-    One pass: at each row an open chunk is extended while its run of fitting rows is unbroken, and closed
-    when the next one opens; chunks that overlap are kept side by side.
+def thin(df: DataFrame, series: str, value: str, gap: float) -> DataFrame:
+    """Values of a series of which each is at least `gap` after the last one kept. One sorted pass that remembers the last value kept; rows without a series or value go."""
+
+    def following(x: np.ndarray, last: float, at: int) -> int:
+        """The first place from `at` on that is far enough from `last`; the sum may round, so the difference decides."""
+        place = max(at, int(np.searchsorted(x, last + gap)))
+        while place > at and x[place - 1] - last >= gap:
+            place -= 1
+        while place < len(x) and x[place] - last < gap:
+            place += 1
+        return place
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, last = None, 0.0
+        for head, rows in runs(batches, series):
+            x, kept = rows.column(value).to_numpy(), []
+            if head != now:
+                now, last = head, -np.inf
+            at = following(x, last, 0)
+            while at < len(x):
+                kept.append(at)
+                last = x[at]
+                at = following(x, last, at + 1)
+            yield rows.take(pa.array(kept, pa.int64()))
+
+    rows = df.select(series, F.col(value).cast("double").alias(value)).where(F.col(value).isNotNull())
+    return by_series(rows, series, value).mapInArrow(run, rows.schema)
+
+
+class Chunker:
+    """Chunks of one series, decided as its rows come; rows before the open chunk's start are let go."""
+
+    def __init__(self, size: int, stride: float, fps: float):
+        self.size, self.stride, self.fps = size, stride, fps
+        self.order, self.begin, self.end = np.zeros(0, np.int64), np.zeros(0), np.zeros(0)
+
+    def extend(self, order: np.ndarray, begin: np.ndarray, end: np.ndarray) -> None:
+        self.order, self.begin, self.end = (np.concatenate(x) for x in ((self.order, order), (self.begin, begin), (self.end, end)))
+
+    def decided(self, whole: bool, length: int | None = None, annotated: bool = True) -> Iterator[tuple[int, int, int, int]]:
+        """(first, last, start frame, end frame) of the chunks that the rows so far decide, or of all that are left if the series is `whole`."""
+        while len(self.order):
+            start = int(self.begin[0] * self.fps)
+            limit = (start + self.size) / self.fps
+            over = np.flatnonzero(self.end[1:] > limit)
+            following = np.flatnonzero(self.begin[1:] >= self.begin[0] + self.stride)
+            if not whole and not (len(over) and len(following)):
+                return
+            last = int(over[0]) if len(over) else len(self.order) - 1
+            stop = int(self.end[last] * self.fps)
+            yield int(self.order[0]), int(self.order[last]), start, stop if length is None else min(stop, length)
+            # A tail without an annotated end that the stride steps over gets chunks of its own.
+            tail = last + 1 if last < len(self.order) - 1 and not annotated else len(self.order)
+            following = int(following[0]) + 1 if len(following) else tail
+            self.order, self.begin, self.end = self.order[following:], self.begin[following:], self.end[following:]
+
+
+def budget_chunks(df: DataFrame, series: str, order: str, begin: str, end: str, size: int, stride: float, fps: float, length: str | None = None, annotated: str | None = None) -> DataFrame:
+    """(series, first, last, start_frame, end_frame): chunks that grow while a row's end stays within `size` frames of the chunk's first frame.
+
+    A chunk's first frame is the one that holds its first row's begin. The next chunk opens at the first row
+    that starts at least `stride` seconds after this chunk's first row; where there is none, rows that the last
+    chunk left out get chunks of their own if the series' end is not annotated. End frames are cut at the series' `length` in
+    frames. Both are columns, the same in all rows of a series. One sorted pass that holds the rows from the open chunk's start on.
     """
-    row = F.struct(F.col(order).alias("k"), F.col(begin).alias("b"), F.col(end).alias("e"))
-    arrays = df.groupBy(series).agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    nothing = F.array().cast("array<struct<k:bigint,b:double>>")
-    heads = F.aggregate("rows", nothing, lambda out, r: F.when((F.size(out) == 0) | (r["b"] >= F.element_at(out, -1)["b"] + stride), F.concat(out, F.array(F.struct(r["k"].alias("k"), r["b"].alias("b"))))).otherwise(out))
-    opened = arrays.select(series, "rows", F.explode(heads).alias("h"))
-    late = F.filter("rows", lambda r: (r["k"] > F.col("h.k")) & (r["e"] > F.col("h.b") + size))
-    last = F.coalesce(F.array_min(F.transform(late, lambda r: r["k"])) - 1, F.element_at("rows", -1)["k"])
-    return opened.select(series, F.col("h.k").alias("first"), last.alias("last"))
+    extra = [c for c in (length, annotated) if c]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, open_series, facts = None, None, (None, True)
+
+        def table(name, found) -> pa.RecordBatch:
+            columns = [pa.array([name] * len(found), kind), *(pa.array(c, pa.int64()) for c in (zip(*found) if found else [()] * 4))]
+            return pa.RecordBatch.from_arrays(columns, names=[series, "first", "last", "start_frame", "end_frame"])
+
+        for head, rows in runs(batches, series):
+            kind = rows.column(series).type
+            if open_series is not None and head != now:
+                yield table(now, list(open_series.decided(True, *facts)))
+                open_series = None
+            if open_series is None:
+                now, open_series = head, Chunker(size, stride, fps)
+            facts = (rows.column(length)[0].as_py() if length else None, rows.column(annotated)[0].as_py() if annotated else True)
+            open_series.extend(*(rows.column(c).to_numpy() for c in (order, begin, end)))
+            yield table(now, list(open_series.decided(False, *facts)))
+        if open_series is not None:
+            yield table(now, list(open_series.decided(True, *facts)))
+
+    rows = df.select(series, F.col(order).cast("long").alias(order), *(F.col(c).cast("double").alias(c) for c in (begin, end)), *extra)
+    return by_series(rows, series, order).mapInArrow(run, f"`{series}` {rows.schema[series].dataType.simpleString()}, first long, last long, start_frame long, end_frame long")

@@ -82,10 +82,20 @@ def wn5_window_validation(spark, sf):
     return seen.select("user_id", "bar", reason.alias("reason")).where("reason IS NOT NULL")
 
 
-@query("""WITH RECURSIVE head AS (SELECT user_id, min(bar) AS k, arg_min(start_sec, bar) AS b FROM v_bars GROUP BY 1 UNION ALL SELECT user_id, k2, b2 FROM (SELECT h.user_id, min(v.bar) AS k2, arg_min(v.start_sec, v.bar) AS b2 FROM head h JOIN v_bars v ON v.user_id = h.user_id AND v.bar > h.k AND v.start_sec >= h.b + 60000 GROUP BY h.user_id, h.k))
-SELECT h.user_id, h.k AS first, coalesce(min(v.bar) - 1, any_value(m.last)) AS last FROM head h JOIN (SELECT user_id, max(bar) AS last FROM v_bars GROUP BY 1) m USING (user_id) LEFT JOIN v_bars v ON v.user_id = h.user_id AND v.bar > h.k AND v.end_sec > h.b + 120000 GROUP BY h.user_id, h.k""")
+FPS, CHUNK, STRIDE = 0.01, 1200, 60000  # frames a second of the events' long scale, frames of a chunk, seconds
+FACTS_SQL = "SELECT user_id, max(bar) AS last, floor(max(end_sec) * 0.01)::BIGINT - user_id % 3 * 50 AS len, user_id % 4 > 0 AS annotated FROM v_bars GROUP BY 1"
+
+
+@query(f"""WITH RECURSIVE b AS (SELECT v.*, f.last, f.len, f.annotated FROM v_bars v JOIN ({FACTS_SQL}) f USING (user_id)),
+reach AS (SELECT h.user_id, h.bar AS k, h.start_sec AS t, h.last, h.annotated, h.len, floor(h.start_sec * {FPS})::BIGINT AS frame, coalesce((SELECT min(o.bar) FROM b o WHERE o.user_id = h.user_id AND o.bar > h.bar AND o.end_sec > (floor(h.start_sec * {FPS}) + {CHUNK}) / {FPS}) - 1, h.last) AS fit, (SELECT min(o.bar) FROM b o WHERE o.user_id = h.user_id AND o.bar > h.bar AND o.start_sec >= h.start_sec + {STRIDE}) AS nxt FROM b h),
+head AS (SELECT user_id, 0::BIGINT AS k FROM b GROUP BY 1 UNION ALL SELECT r.user_id, coalesce(r.nxt, r.fit + 1) FROM head JOIN reach r ON r.user_id = head.user_id AND r.k = head.k WHERE r.nxt IS NOT NULL OR (r.fit < r.last AND NOT r.annotated))
+SELECT r.user_id, r.k AS first, r.fit AS last, r.frame AS start_frame, least(floor(e.end_sec * {FPS})::BIGINT, r.len) AS end_frame FROM head JOIN reach r ON r.user_id = head.user_id AND r.k = head.k JOIN b e ON e.user_id = r.user_id AND e.bar = r.fit""")
 def wn6_budget_chunks(spark, sf):
-    return windows.budget_chunks(v_bars(spark, sf), "user_id", "bar", "start_sec", "end_sec", 120000.0, 60000.0)
+    """Chunks of at most so many frames, cut at the series' length; a series whose end is not annotated has its tail in further chunks."""
+    bars = v_bars(spark, sf)
+    user = F.col("user_id")
+    facts = bars.groupBy("user_id").agg(F.floor(F.max("end_sec") * FPS).alias("n")).select("user_id", (F.col("n") - user % 3 * 50).alias("length"), (user % 4 > 0).alias("annotated"))
+    return windows.budget_chunks(bars.join(facts, "user_id"), "user_id", "bar", "start_sec", "end_sec", CHUNK, STRIDE, FPS, "length", "annotated")
 
 
 @query("SELECT doc_id, k * 640 AS a, least(k * 640 + 1280, n_chars) AS b FROM (SELECT doc_id, n_chars, unnest(range(CASE WHEN n_chars <= 0 THEN 0 WHEN n_chars <= 1280 THEN 1 ELSE (n_chars - 1280 + 639) // 640 + 1 END)) AS k FROM documents)")
@@ -196,13 +206,22 @@ def wn17_occurrences(spark, sf):
     return falls.withColumn("occurrence", visit).select("user_id", "bar", "original", "occurrence", (F.col("occurrence") > 1).alias("is_repeat"), F.char(F.col("falls") + 65).alias("section"))
 
 
-@query("SELECT user_id, g, n <= 4 AND grounded AND first_state IN ('view', 'click', 'signup') AND coalesce(next_state IN ('view', 'click', 'signup'), true) AS trusted FROM (SELECT *, lead(first_state) OVER (PARTITION BY user_id ORDER BY g) AS next_state FROM (SELECT user_id, bar // 4 AS g, count(*) AS n, bool_and(state <> 'error') AS grounded, arg_min(state, bar) AS first_state FROM v_bars GROUP BY 1, 2))")
+HEADS = ("view", "click", "signup")
+
+
+@query(f"SELECT user_id, g, n <= 4 AND grounded AND NOT (g = 0 AND user_id % 5 = 0) AND NOT (last AND user_id % 7 = 0) AND (first_state IN {HEADS} OR (g = 0 AND user_id % 3 = 1)) AND (last OR next_state IN {HEADS}) AS trusted FROM (SELECT *, lead(first_state) OVER w AS next_state, lead(g) OVER w IS NULL AS last FROM (SELECT user_id, bar // 4 AS g, count(*) AS n, bool_and(state <> 'error') AS grounded, arg_min(state, bar) AS first_state FROM v_bars GROUP BY 1, 2) WINDOW w AS (PARTITION BY user_id ORDER BY g))")
 def wn18_trusted_intervals(spark, sf):
-    """Not overfull, all events grounded, and a grounded head at both ends; the last interval needs none at its end."""
+    """Not overfull, all events grounded, a grounded head at both ends, and no edge that a crop made.
+
+    An opening pickup counts as a grounded start, and the last interval needs no head at its end. Some users' series stand for crops and pickups.
+    """
     g = v_bars(spark, sf).groupBy("user_id", F.expr("bar div 4").alias("g")).agg(F.count(F.lit(1)).alias("n"), F.bool_and(F.col("state") != "error").alias("grounded"), F.min_by("state", "bar").alias("first_state"))
-    heads = ("view", "click", "signup")
-    following = F.lead("first_state").over(Window.partitionBy("user_id").orderBy("g"))
-    return g.withColumn("following", following).select("user_id", "g", ((F.col("n") <= 4) & F.col("grounded") & F.col("first_state").isin(*heads) & F.coalesce(F.col("following").isin(*heads), F.lit(True))).alias("trusted"))
+    w, user, first = Window.partitionBy("user_id").orderBy("g"), F.col("user_id"), F.col("g") == 0
+    ends = g.withColumns({"following": F.lead("first_state").over(w), "last": F.lead("g").over(w).isNull()})
+    cropped = (first & (user % 5 == 0)) | (F.col("last") & (user % 7 == 0))
+    started = F.col("first_state").isin(*HEADS) | (first & (user % 3 == 1))
+    trusted = (F.col("n") <= 4) & F.col("grounded") & ~cropped & started & (F.col("last") | F.col("following").isin(*HEADS))
+    return ends.select("user_id", "g", trusted.alias("trusted"))
 
 
 @query("SELECT o_orderkey, CASE WHEN n = want THEN 'exact' WHEN n = want + 1 AND o_orderstatus = 'F' THEN 'added' ELSE 'skip' END AS verdict, n - want AS difference FROM (SELECT o_orderkey, o_orderstatus, 1 + o_orderkey % 7 AS want, coalesce(n, 0) AS n FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey)")
@@ -240,22 +259,30 @@ def jn12_tolerance_join(spark, sf):
     return pairs.select("event_id", "g", (F.abs(F.col("t") - F.col("t0")) < 1e-3).alias("at_start"))
 
 
-def asof_sql(grid: str) -> str:
-    return f"SELECT user_id, t, bt IS NOT NULL AND nt IS NOT NULL AS valid, CASE WHEN bt IS NOT NULL AND nt IS NOT NULL THEN round(bv + (av - bv) * (t - bt) / (nt - bt) + 1e-9, 6) END AS value FROM (SELECT g.user_id, g.t, b.t AS bt, b.value AS bv, (SELECT min(p.t) FROM ({EVENTS_SQL}) p WHERE p.event_type = 'purchase' AND p.user_id = g.user_id AND p.t > g.t) AS nt, (SELECT arg_min(p.value, p.t) FROM ({EVENTS_SQL}) p WHERE p.event_type = 'purchase' AND p.user_id = g.user_id AND p.t > g.t) AS av FROM ({grid}) g ASOF LEFT JOIN (SELECT * FROM ({EVENTS_SQL}) WHERE event_type = 'purchase') b ON g.user_id = b.user_id AND g.t >= b.t)"
+def asof_sql(grid: str, lead: float) -> str:
+    """Rows of the grid with their segment: the last purchase at or before them, or the first one if it is less than `lead` later."""
+    points = f"SELECT user_id, t, value, lead(t) OVER w AS t1, lead(value) OVER w AS v1, row_number() OVER w = 1 AS opening FROM ({EVENTS_SQL}) WHERE event_type = 'purchase' WINDOW w AS (PARTITION BY user_id ORDER BY t)"
+    held = f"SELECT g.user_id, g.t, CASE WHEN b.t IS NULL THEN o.t ELSE b.t END AS st, CASE WHEN b.t IS NULL THEN o.value ELSE b.value END AS sv, CASE WHEN b.t IS NULL THEN o.t1 ELSE b.t1 END AS t1, CASE WHEN b.t IS NULL THEN o.v1 ELSE b.v1 END AS v1 FROM ({grid}) g ASOF LEFT JOIN ({points}) b ON g.user_id = b.user_id AND g.t >= b.t LEFT JOIN (SELECT * FROM ({points}) WHERE opening) o ON o.user_id = g.user_id AND o.t - g.t < {lead} AND o.t > g.t"
+    return f"SELECT user_id, t, t1 IS NOT NULL AS valid, round(sv + (v1 - sv) / (t1 - st) * (t - st) + 1e-9, 6) AS value, (v1 - sv) / (t1 - st) AS rate FROM ({held})"
 
 
-GRID_SQL = "SELECT user_id, k * 100000.0::DOUBLE AS t FROM (SELECT user_id, unnest(range(24)) AS k FROM (SELECT DISTINCT user_id FROM events))"
+def frames_sql(step: int) -> str:
+    return f"SELECT user_id, k AS frame, k * {step}.0::DOUBLE AS t FROM (SELECT user_id, unnest(range(floor(max(t) / {step})::BIGINT + 1)) AS k FROM ({EVENTS_SQL}) GROUP BY 1)"
 
 
-def grid(spark, sf, step: float = 100000.0, frames: int = 24) -> DataFrame:
-    users = table(spark, sf, "events").select("user_id").distinct()
-    return users.select("user_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(frames - 1).cast("long"))).alias("frame")).withColumn("t", F.col("frame") * step)
+def grid(spark, sf, step: int) -> DataFrame:
+    """Every frame of each user's series, from 0 to that of its last event."""
+    ends = events(spark, sf).groupBy("user_id").agg(F.floor(F.max("t") / step).alias("end")).where("end >= 0")
+    return ends.select("user_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("end").cast("long"))).alias("frame")).withColumn("t", F.col("frame") * float(step))
 
 
-@query(asof_sql(GRID_SQL))
+@query(f"SELECT user_id, t, valid, value, round({2 * math.pi} * rate * 1e6, 6) AS rate, round({2 * math.pi} * value, 4) AS phase FROM ({asof_sql(frames_sql(10000), 5000.0)})")
 def jn13_asof_interpolation(spark, sf):
+    """The value at every frame with the angular rate (in millionths) and phase; the first point's frame may begin up to half a frame before it."""
     points = events(spark, sf).where("event_type = 'purchase'").select("user_id", "t", "value")
-    return timeline.interpolated(grid(spark, sf).select("user_id", "t"), points, "user_id", "t", "value").withColumn("value", r6(F.col("value") + 1e-9))
+    found = timeline.interpolated(grid(spark, sf, 10000).select("user_id", "t"), points, "user_id", "t", "value", 5000.0)
+    value = r6(F.col("value") + 1e-9)
+    return found.select("user_id", "t", "valid", value.alias("value"), r6(2 * math.pi * F.col("rate") * 1e6).alias("rate"), F.round(2 * math.pi * value, 4).alias("phase"))
 
 
 @query()
@@ -313,14 +340,14 @@ def ts4_thinning(spark, sf):
     return windows.thin(v_bars(spark, sf), "user_id", "start_sec", 30000.0)
 
 
-FRAMES_SQL = "SELECT user_id, k AS frame, k * 50000.0::DOUBLE AS t FROM (SELECT user_id, unnest(range(40)) AS k FROM (SELECT DISTINCT user_id FROM events))"
+FRAMES_SQL = frames_sql(50000)
 
 
-@query(f"SELECT f.user_id, f.frame, a.valid, a.value FROM ({FRAMES_SQL}) f JOIN ({asof_sql(FRAMES_SQL)}) a ON a.user_id = f.user_id AND a.t = f.t")
+@query(f"SELECT f.user_id, f.frame, a.valid, a.value FROM ({FRAMES_SQL}) f JOIN ({asof_sql(FRAMES_SQL, 25000.0)}) a ON a.user_id = f.user_id AND a.t = f.t")
 def ts5_frame_grid(spark, sf):
-    """Every frame of a chunk with its interpolated value and validity."""
+    """Every frame of a series with its interpolated value and validity."""
     points = events(spark, sf).where("event_type = 'purchase'").select("user_id", "t", "value")
-    dense = timeline.interpolated(grid(spark, sf, 50000.0, 40).select("user_id", "t"), points, "user_id", "t", "value")
+    dense = timeline.interpolated(grid(spark, sf, 50000).select("user_id", "t"), points, "user_id", "t", "value", 25000.0)
     return dense.select("user_id", F.rint(F.col("t") / 50000).cast("long").alias("frame"), "valid", r6(F.col("value") + 1e-9).alias("value"))
 
 
@@ -338,7 +365,7 @@ def ts6_cycle_fraction(spark, sf):
 def ts7_event_targets(spark, sf):
     """0 or 1 for each frame, and no weight where the frame holds an error."""
     seen = events(spark, sf).groupBy("user_id", F.floor(F.col("t") / 50000).alias("frame")).agg(F.bool_or(F.col("event_type") == "purchase").alias("hit"), F.bool_or(F.col("event_type") == "error").alias("bad"))
-    frames = grid(spark, sf, 50000.0, 40).select("user_id", "frame").join(seen, ["user_id", "frame"], "left")
+    frames = grid(spark, sf, 50000).select("user_id", "frame").join(seen, ["user_id", "frame"], "left")
     return frames.select("user_id", "frame", F.coalesce("hit", F.lit(False)).cast("int").alias("target"), (~F.coalesce("bad", F.lit(False))).cast("int").alias("weight"))
 
 
@@ -365,7 +392,7 @@ def ts10_sticky_path(spark, sf):
     states = ["click", "error", "purchase", "signup", "view"]
     days = events(spark, sf).groupBy("user_id", F.floor(F.col("t") / 86400).alias("day")).pivot("event_type", states).agg(F.count(F.lit(1)))
     evidence = days.select("user_id", "day", *(F.log1p(F.coalesce(F.col(s), F.lit(0)).cast("double")).alias(s) for s in states))
-    return timeline.sticky_path(evidence, "user_id", "day", states, 0.8)
+    return timeline.steady_states(evidence, "user_id", "day", states, 0.8)
 
 
 @query(f"SELECT floor(t / 86400)::BIGINT AS day, event_type, round(max(value / 10) + ln(sum(exp(value / 10)) / exp(max(value / 10))), 6) AS evidence FROM ({EVENTS_SQL}) GROUP BY 1, 2")

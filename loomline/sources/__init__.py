@@ -47,23 +47,27 @@ def read_dirty_csv(spark: SparkSession, path: str, required: dict[str, str], tot
 
 
 def read_name_list(spark: SparkSession, path: str, header: str = "name") -> DataFrame:
-    """A list of names, one a line under its header; lines that begin with ! or # are comments."""
-    lines = spark.read.text(path).select(F.trim("value").alias("name"))
-    first = lines.head()
-    if first is None or first.name != header:
-        raise checks.CheckFailed(f"the first line is not {header!r}")
-    return lines.where((F.col("name") != "") & (F.col("name") != header) & ~F.col("name").rlike("^[!#]"))
+    """A list of names, one a line under its header, in one file or several; lines that begin with ! or # are comments."""
+    lines = spark.read.text(path, wholetext=False).select(F.trim("value").alias("name"), F.input_file_name().alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    # A file's first line is the first of its first block, so each file is judged by one row.
+    firsts = lines.where("block = 0").groupBy("file").agg(F.min_by("name", "at").alias("first"))
+    checks.assert_empty(firsts.where(~F.col("first").eqNullSafe(header)), f"the first line is not {header!r}")
+    return lines.where((F.col("name") != "") & (F.col("name") != header) & ~F.col("name").rlike("^[!#]")).select("name")
 
 
-def read_keyed_directory(spark: SparkSession, path: str, schema: str, suffix: str) -> DataFrame:
-    """One JSON file for each key, which its name gives; a key without a file has no row."""
-    return spark.read.schema(schema).option("pathGlobFilter", f"*{suffix}").json(path).withColumn("key", F.regexp_extract(F.input_file_name(), r"([^/]+)\Q" + suffix + r"\E$", 1))
+def read_keyed_directory(spark: SparkSession, path: str, schema: str, pattern: str, files: str = "*") -> DataFrame:
+    """JSON files that each hold one key's rows; `pattern` takes the key from a file's path as its first group. A key without a file has no row."""
+    rows = spark.read.schema(schema).option("recursiveFileLookup", True).option("pathGlobFilter", files).json(path)
+    return rows.withColumn("key", F.regexp_extract(F.input_file_name(), pattern, 1))
 
 
 def file_inventory(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """(name, length, sha256) of all files under a folder. Each file is read whole by one task."""
+    """(name, length, sha256) of all files under a folder, named by their path in it; a file name that occurs twice is an error. Each file is read whole by one task."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
-    return files.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), "length", F.sha2("content", 256).alias("sha256"))
+    stem = F.regexp_extract("path", r"([^/]+)$", 1)
+    checks.assert_empty(checks.duplicate_keys(files.select(stem.alias("name")), "name"), "file names repeat")
+    root = path.rstrip("/").split("://")[-1]
+    return files.select(F.substring_index("path", f"{root}/", -1).alias("name"), "length", F.sha2("content", 256).alias("sha256"))
 
 
 def read_annotations(spark: SparkSession, path: str) -> DataFrame:
@@ -103,14 +107,13 @@ def write_ledger(df: DataFrame, path: str) -> None:
 
 
 def read_ledger(spark: SparkSession, path: str, *names: str) -> DataFrame:
-    """The ledger's rows with their escapes undone, from left to right."""
-    marked = F.split("value", "\t")
+    """The ledger's rows with their escapes undone, from left to right: between doubled backslashes every other one begins a code."""
 
-    def plain(column):
-        # A doubled backslash is set aside first, so that it can't join with the letter after it.
-        out = F.replace(column, F.lit("\\\\"), F.lit("\u0000"))
+    def single(part):
         for text, code in ESCAPES[1:]:
-            out = F.replace(out, F.lit(code), F.lit(text))
-        return F.replace(out, F.lit("\u0000"), F.lit("\\"))
+            part = F.replace(part, F.lit(code), F.lit(text))
+        return part
 
-    return spark.read.text(path).select(*(plain(F.get(marked, k)).alias(n) for k, n in enumerate(names)))
+    plain = lambda cell: F.array_join(F.transform(F.split(cell, r"\\\\"), single), "\\")
+    cells = F.split("value", "\t")
+    return spark.read.text(path).select(*(plain(F.get(cells, k)).alias(n) for k, n in enumerate(names)))

@@ -4,20 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
-def append_results(spark: SparkSession, source: str, target: str, checkpoint: str, schema, key: str) -> None:
-    """Appends what is new in a folder of result files to a table, each key once, and stops when all is read.
 
-    A batch drops its own repeats and keys that the table already has. The checkpoint remembers which
-    files are done; each batch is a folder of its own, so a batch that is tried again replaces itself.
-    """
-
-    def append(batch: DataFrame, number: int) -> None:
-        fresh = batch.dropDuplicates([key])
-        if number:
-            done = spark.read.schema(schema).option("recursiveFileLookup", True).parquet(*[f"{target}/{k}" for k in range(number)])
-            fresh = fresh.join(done.select(key), key, "left_anti").select(batch.columns)
-        fresh.write.mode("overwrite").parquet(f"{target}/{number}")
+def append_results(spark: SparkSession, source: str, target: str, checkpoint: str, schema, key: str) -> DataFrame:
+    """Appends what is new in a folder of result files to a table, each key once, and returns the table when all is read.
 
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(source)
-    stream.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    Keys that have been appended are kept as the stream's state, on disk, so no batch reads an earlier one again.
+    The checkpoint remembers which files are done, and the file sink which batches are whole, so a batch that
+    is tried again replaces itself. Of rows with one key in a batch any one stays.
+    """
+    before = spark.conf.get(PROVIDER, None)
+    spark.conf.set(PROVIDER, ROCKS)
+    try:
+        rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(source).dropDuplicates([key])
+        rows.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.unset(PROVIDER) if before is None else spark.conf.set(PROVIDER, before)
+    return spark.read.schema(schema).parquet(target)

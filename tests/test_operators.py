@@ -42,7 +42,7 @@ def test_keyed_directory(spark, tmp_path):
     (tmp_path / "one_mv.json").write_text('{"x": 1}')
     (tmp_path / "two_mv.json").write_text('{"x": 2}')
     (tmp_path / "other.json").write_text('{"x": 3}')
-    rows = sources.read_keyed_directory(spark, str(tmp_path), "x long", "_mv.json").collect()
+    rows = sources.read_keyed_directory(spark, str(tmp_path), "x long", r"([^/]+)_mv\.json$", "*_mv.json").collect()
     assert {(r.key, r.x) for r in rows} == {("one", 1), ("two", 2)}
 
 
@@ -63,7 +63,7 @@ def test_publish_refuses_an_existing_target(spark, tmp_path):
 
 
 def test_ledger_round_trip(spark, tmp_path):
-    rows = [("a\tb", "x\\ty", "line\nnext\\"), ("", "\\\\n", "\r\n")]
+    rows = [("a\tb", "x\\ty", "line\nnext\\"), ("", "\\\\n", "\r\n"), ("a\0b", "\\\t\\", "\\\\\\t\0")]
     df = spark.createDataFrame(rows, "a string, b string, c string")
     sources.write_ledger(df, str(tmp_path / "l"))
     assert sorted(map(tuple, sources.read_ledger(spark, str(tmp_path / "l"), "a", "b", "c").collect())) == sorted(rows)
@@ -137,12 +137,12 @@ def best_path(obs, penalty):
     return best
 
 
-def test_sticky_path_is_optimal(spark):
+def test_steady_states_are_optimal(spark):
     rng, rows, obs = random.Random(6), [], {}
     for s in range(6):
         obs[s] = [[rng.random() for _ in range(3)] for _ in range(7)]
         rows += [(s, k, *o) for k, o in enumerate(obs[s])]
-    got = timeline.sticky_path(spark.createDataFrame(rows, "s long, k long, x double, y double, z double"), "s", "k", ["x", "y", "z"], 0.5).collect()
+    got = timeline.steady_states(spark.createDataFrame(rows, "s long, k long, x double, y double, z double"), "s", "k", ["x", "y", "z"], 0.5).collect()
     for s, o in obs.items():
         path = ["xyz".index(r.state) for r in sorted((r for r in got if r.s == s), key=lambda r: r.k)]
         score = sum(v[p] for v, p in zip(o, path)) - 0.5 * sum(a != b for a, b in zip(path, path[1:]))
