@@ -37,7 +37,7 @@ END = 2
 LENGTH = 4096
 AXES, BITS = 3, 10
 RANGE_BYTES, MOST_RANGES = 2 << 20, 1 << 20
-SALT, CELL = 31, 18  # bits of the hash below a place on the curve; a part of the curve has 2**CELL cells
+SALT, CELL = 31, 10  # bits of the hash below a place on the curve; a part of the curve has 2**CELL cells
 SLICE = 1 << 22  # bytes of text at a time
 
 
@@ -207,18 +207,16 @@ def with_place(df: DataFrame, bounds: Broadcast | None = None) -> DataFrame:
 def range_bounds(salted: DataFrame, range_bytes: int) -> np.ndarray:
     """Sort keys at which ranges of `range_bytes` of text begin, from the bytes of all documents in each cell of the curve.
 
-    The bytes before a cell are those of earlier parts of the curve and of earlier cells in its own;
-    a part has at most 2**CELL cells. Inside a cell the salt, which is even, carries on in proportion.
+    The bytes before a cell are those of earlier parts of the curve and of earlier cells in its own. There
+    are at most 2**20 parts, whose totals reach the driver, with at most 2**CELL cells each. Inside a cell
+    the salt, which is even, carries on in proportion.
     """
     cells = checkpointed(with_place(salted).groupBy(F.shiftright("place", SALT + 1).alias("cell")).agg(F.sum("bytes").alias("bytes")))
     part = F.shiftright("cell", CELL).cast("int")
-    totals = sorted((r.part, r.bytes) for r in cells.groupBy(part.alias("part")).agg(F.sum("bytes").alias("bytes")).collect())
-    total, ahead = 0, []
-    for number, weight in totals:
-        ahead.append((number, total))
-        total += weight
-    wide = max(range_bytes, -(-total // MOST_RANGES))
-    parts = F.broadcast(salted.sparkSession.createDataFrame(ahead, "part int, ahead long"))
+    totals = cells.groupBy(part.alias("part")).agg(F.sum("bytes").alias("ahead")).toPandas().sort_values("part")
+    wide = max(range_bytes, -(-int(totals["ahead"].sum()) // MOST_RANGES))
+    totals["ahead"] = totals["ahead"].cumsum() - totals["ahead"]
+    parts = F.broadcast(salted.sparkSession.createDataFrame(totals.astype({"part": "int32", "ahead": "int64"}), "part int, ahead long"))
     earlier = F.sum("bytes").over(Window.partitionBy("part").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1))
     placed = cells.withColumn("part", part).join(parts, "part").select("cell", "bytes", (F.col("ahead") + F.coalesce(earlier, F.lit(0))).alias("from"))
     up = lambda x: F.call_function("div", x + wide - 1, F.lit(wide))
