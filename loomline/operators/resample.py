@@ -28,7 +28,7 @@ def cluster_draws(works: DataFrame, draws: int, seed: str) -> DataFrame:
     n = works.agg(F.count(F.lit(1)).alias("n"))
     rows = works.sparkSession.range(draws).select(F.col("id").alias("b")).join(F.broadcast(n)).where("n > 0")
     slots = rows.select("b", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("slot"))
-    return slots.withColumn("pick", draw_int(F.lit(seed), "b", "slot", below=F.col("n"))).drop("n").join(F.broadcast(works), "pick")
+    return slots.withColumn("pick", draw_int(F.lit(seed), "b", "slot", below=F.col("n"))).drop("n").join(works, "pick")
 
 
 def cluster_totals(filled: DataFrame, metric: str, keys: tuple[str, ...] = ("system",), work: str = "work_id") -> DataFrame:
@@ -36,9 +36,22 @@ def cluster_totals(filled: DataFrame, metric: str, keys: tuple[str, ...] = ("sys
 
 
 def replicates(totals: DataFrame, draws: int, seed: str, keys: tuple[str, ...] = ("system",), work: str = "work_id") -> DataFrame:
-    """(keys, b, score): sum of the drawn clusters' sums over the sum of their counts."""
+    """(keys, b, score): sum of the drawn clusters' sums over the sum of their counts. A draw whose counts are all 0 is an error."""
+    sums = drawn_sums(totals, draws, seed, keys, work)
+    score = F.when(F.col("c") != 0, F.col("s") / F.col("c")).otherwise(F.raise_error(F.lit("a draw has no observations, its score is undefined")).cast("double"))
+    return sums.select(*keys, "b", score.alias("score"))
+
+
+def drawn_sums(totals: DataFrame, draws: int, seed: str, keys: tuple[str, ...] = ("system",), work: str = "work_id") -> DataFrame:
+    """(keys, b, s, c): sums of the drawn clusters' sums and counts."""
     drawn = cluster_draws(ranked_works(totals, work), draws, seed)
-    return drawn.join(totals, work).groupBy(*keys, "b").agg((F.sum("s") / F.sum("c")).alias("score"))
+    return drawn.join(totals, work).groupBy(*keys, "b").agg(F.sum("s").alias("s"), F.sum("c").alias("c"))
+
+
+def empty_sums(totals: DataFrame, draws: int, seed: str) -> DataFrame:
+    """(system, b): systems whose counts are all 0 (b is null), and of the others the draws whose counts are."""
+    none = totals.groupBy("system").agg(F.sum("c").alias("c")).where("c = 0").select("system", F.lit(None).cast("long").alias("b"))
+    return none.unionByName(drawn_sums(totals, draws, seed).where("c = 0").select("system", "b").join(none.select("system"), "system", "left_anti"))
 
 
 def seed_replicates(totals: DataFrame, draws: int, seed: str, arms: dict[str, tuple[str, ...]], work: str = "work_id") -> DataFrame:

@@ -47,6 +47,22 @@ def islands(df: DataFrame, series: str, order: str, cut: Column, name: str = "is
     return df.withColumn(name, F.sum(cut.cast("long")).over(Window.partitionBy(series).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))
 
 
+def ranked(df: DataFrame, key: str, *more: str, name: str = "rank", block: int = 1 << 14) -> DataFrame:
+    """Adds each row's place from 0 in order of a whole-number key and further columns, without a task that sees all rows.
+
+    Ranks inside blocks of the key are put end to end by the blocks' counts, and those by the counts of blocks of
+    blocks, of which there is one for every `block` squared values that the key spans.
+    """
+    inner = df.withColumn("__b", F.floor(F.col(key) / block))
+    counts = inner.groupBy("__b").agg(F.count(F.lit(1)).alias("__n")).withColumn("__c", F.floor(F.col("__b") / block))
+    total = counts.groupBy("__c").agg(F.sum("__n").alias("__m"))
+    ahead = total.select("__c", (F.sum("__m").over(Window.partitionBy(F.lit(0)).orderBy("__c")) - F.col("__m")).alias("__ahead"))
+    before = counts.withColumn("__sum", F.sum("__n").over(Window.partitionBy("__c").orderBy("__b")) - F.col("__n"))
+    before = before.join(ahead, "__c").select("__b", (F.col("__sum") + F.col("__ahead")).alias("__before"))
+    place = F.row_number().over(Window.partitionBy("__b").orderBy(key, *more)) - 1
+    return inner.withColumn("__place", place).join(before, "__b").withColumn(name, (F.col("__before") + F.col("__place")).cast("long")).drop("__b", "__place", "__before")
+
+
 def runs(batches: Iterator[pa.RecordBatch], series: str) -> Iterator[tuple[object, pa.RecordBatch]]:
     """(series, rows) of each stretch of rows of one series, in batches that are sorted by it and have none without it."""
     for batch in batches:

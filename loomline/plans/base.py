@@ -13,8 +13,6 @@ from loomline.functions import epoch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
-SYSTEMS = ("A", "N", "R")
-METRICS = ("m1", "m2", "m3", "m4", "m5")
 ORIGIN = 1704067200  # 2024-01-01, where the events begin
 
 VIEWS = {
@@ -77,6 +75,13 @@ def scratch(spark: SparkSession) -> str:
     return f"{shared}/scratch-{uuid.uuid4().hex}"
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """A result written once and read again, for tables that a plan uses several times."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def v_grounding(spark: SparkSession, sf: str) -> DataFrame:
     """Evaluation inventory: task, recording, work, status of the reference."""
     joined = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))

@@ -9,7 +9,7 @@ from loomline.functions import r6
 from loomline.operators import resample
 from loomline.operators.resample import DRAWS
 
-from .base import query, v_grounding
+from .base import kept, query, v_grounding
 from .q_scores import v_filled
 
 SEED = "7"
@@ -19,13 +19,15 @@ REPLICATES = f"SELECT system, metric, b, sum(s) / sum(c) AS score FROM ({DRAWN})
 
 
 def totals(spark, sf, metric="mv5") -> DataFrame:
-    return resample.cluster_totals(v_filled(spark, sf), metric)
+    """Totals of each system and work, few rows, checked and kept."""
+    return resample.guard(kept(resample.cluster_totals(v_filled(spark, sf), metric)))
 
 
 def both_metrics(spark, sf) -> DataFrame:
-    """Totals of two metrics in one pass."""
+    """Totals of two metrics in one pass, checked and kept."""
     filled = v_filled(spark, sf).groupBy("system", "work_id").agg(F.sum("mv5").alias("mv5"), F.sum("m1").alias("m1"), F.count(F.lit(1)).alias("c"))
-    return filled.select("system", "work_id", "c", F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).alias("s")) for m in ("mv5", "m1")))).alias("x")).select("system", "work_id", "x.metric", "x.s", "c")
+    rows = filled.select("system", "work_id", "c", F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).alias("s")) for m in ("mv5", "m1")))).alias("x")).select("system", "work_id", "x.metric", "x.s", "c")
+    return resample.guard(kept(rows))
 
 
 @query(f"SELECT b, slot, work_id FROM ({DRAWN})")
@@ -100,10 +102,12 @@ def rs7_own_interval(spark, sf):
 
 @query(f"SELECT system, round(100 * any_value(rate), 6) AS rate, round(100 * (quantile_cont(score, 0.975) - quantile_cont(score, 0.025)) / 2, 6) AS half_width, any_value(n) AS n, any_value(works) AS works, any_value(failures) AS failures FROM ({REPLICATES}) JOIN (SELECT system, avg(mv5) AS rate, count(*) AS n, count(DISTINCT work_id) AS works, count_if(NOT present)::BIGINT AS failures FROM v_filled GROUP BY 1) USING (system) WHERE metric = 'mv5' GROUP BY 1")
 def rs8_corpus_cell(spark, sf):
-    filled = v_filled(spark, sf)
+    """Rate, half width of its interval, and what it rests on, all from one kept table of works."""
+    filled = v_filled(spark, sf).groupBy("system", "work_id").agg(F.sum("mv5").alias("s"), F.count(F.lit(1)).alias("c"), F.count_if(~F.col("present")).alias("failures"))
+    works = resample.guard(kept(filled))
     low, high = resample.interval()
-    spread = resample.replicates(resample.cluster_totals(filled, "mv5"), DRAWS, SEED).groupBy("system").agg(r6(100 * (high - low) / 2).alias("half_width"))
-    cell = filled.groupBy("system").agg(r6(100 * F.avg("mv5")).alias("rate"), F.count(F.lit(1)).alias("n"), F.count_distinct("work_id").alias("works"), F.count_if(~F.col("present")).alias("failures"))
+    spread = resample.replicates(works, DRAWS, SEED).groupBy("system").agg(r6(100 * (high - low) / 2).alias("half_width"))
+    cell = works.groupBy("system").agg(r6(100 * F.sum("s") / F.sum("c")).alias("rate"), F.sum("c").alias("n"), F.count(F.lit(1)).alias("works"), F.sum("failures").alias("failures"))
     return cell.join(spread, "system")
 
 
@@ -115,17 +119,37 @@ def rs9_arm_minus_base(spark, sf):
     return difference(scores, "system", "A", "R", ("metric",)).groupBy("metric").agg((-r6(F.avg("d"))).alias("diff"), (-r6(high)).alias("low"), (-r6(low)).alias("high"))
 
 
-@query("SELECT system, work_id, reason FROM (SELECT system, work_id, CASE WHEN s < 0 OR c < 0 THEN 'negative' WHEN isnan(s) OR isinf(s) THEN 'not finite' WHEN c = 0 AND s <> 0 THEN 'numerator without denominator' END AS reason FROM (SELECT system, work_id, sum(mv5) - 8 AS s, CASE WHEN work_id = 3 THEN 0 ELSE count(*) END AS c FROM v_filled GROUP BY system, work_id)) WHERE reason IS NOT NULL")
+SPOILT = "SELECT system, work_id, CASE WHEN system = 'A' THEN sum(mv5) - 8 WHEN system = 'N' AND work_id = 5 THEN sum(mv5) ELSE 0 END AS s, CASE WHEN system = 'A' AND work_id <> 3 THEN count(*) WHEN system = 'N' AND work_id = 5 THEN count(*) ELSE 0 END AS c FROM v_filled GROUP BY system, work_id"
+
+
+@query(f"""WITH t AS ({SPOILT}) SELECT system, work_id AS place, CASE WHEN s < 0 OR c < 0 THEN 'negative' WHEN isnan(s) OR isinf(s) THEN 'not finite' ELSE 'numerator without denominator' END AS reason FROM t WHERE s < 0 OR c < 0 OR isnan(s) OR isinf(s) OR (c = 0 AND s <> 0)
+UNION ALL SELECT system, NULL, 'no observations' FROM t GROUP BY system HAVING sum(c) = 0
+UNION ALL SELECT system, b, 'draw without observations' FROM ({DRAWN}) JOIN t USING (work_id) WHERE system NOT IN (SELECT system FROM t GROUP BY system HAVING sum(c) = 0) GROUP BY system, b HAVING sum(c) = 0""")
 def rs10_guards(spark, sf):
-    """Totals made to break the rules, and what is wrong with each."""
-    spoilt = totals(spark, sf).select("system", "work_id", (F.col("s") - 8).alias("s"), F.when(F.col("work_id") == 3, 0).otherwise(F.col("c")).alias("c"))
-    return resample.bad_totals(spoilt).select("system", "work_id", "reason")
+    """Totals made to break the rules, and what is wrong with each: works, whole systems, draws."""
+    system, work = F.col("system"), F.col("work_id")
+    sums = kept(resample.cluster_totals(v_filled(spark, sf), "mv5"))
+    lone = (system == "N") & (work == 5)
+    spoilt = sums.select("system", "work_id", F.when(system == "A", F.col("s") - 8).when(lone, F.col("s")).otherwise(0.0).alias("s"), F.when((system == "A") & (work != 3), F.col("c")).when(lone, F.col("c")).otherwise(0).alias("c"))
+    bad = resample.bad_totals(spoilt).select("system", F.col("work_id").cast("long").alias("place"), "reason")
+    empty = resample.empty_sums(spoilt, DRAWS, SEED)
+    return bad.unionByName(empty.select("system", F.col("b").alias("place"), F.when(F.col("b").isNull(), "no observations").otherwise("draw without observations").alias("reason")))
+
 
+LOWER = "m1"  # plays the part of an error rate: less is better
 
-@query(f"SELECT system, CASE WHEN best THEN 'dagger' WHEN beats_r THEN 'star' ELSE '' END AS mark FROM (SELECT p.a AS system, bool_and(p.low > 0) AS best, bool_or(p.low > 0 AND p.b = 'R') AS beats_r FROM (SELECT x.system AS a, y.system AS b, quantile_cont(x.score - y.score, 0.025) AS low FROM ({REPLICATES}) x JOIN ({REPLICATES}) y ON x.b = y.b AND x.metric = 'mv5' AND y.metric = 'mv5' AND x.system <> y.system GROUP BY 1, 2) p GROUP BY 1)")
+
+@query(f"SELECT metric, system, CASE WHEN system = 'R' THEN '' WHEN best THEN 'dagger' WHEN beats_r THEN 'star' ELSE '' END AS mark FROM (SELECT metric, a AS system, bool_and(better) AS best, bool_or(better AND z = 'R') AS beats_r FROM (SELECT x.metric, x.system AS a, y.system AS z, CASE WHEN x.metric = '{LOWER}' THEN quantile_cont(x.score - y.score, 0.975) < 0 ELSE quantile_cont(x.score - y.score, 0.025) > 0 END AS better FROM ({REPLICATES}) x JOIN ({REPLICATES}) y ON x.b = y.b AND x.metric = y.metric AND x.system <> y.system GROUP BY 1, 2, 3) GROUP BY 1, 2)")
 def agg14_significance_marks(spark, sf):
-    """A dagger for a system better than all others, else a star for one better than the baseline R."""
-    scores = resample.replicates(totals(spark, sf), DRAWS, SEED)
-    pairs = scores.withColumnsRenamed({"system": "a", "score": "sa"}).join(scores.withColumnsRenamed({"system": "z", "score": "sz"}), "b").where("a <> z").groupBy("a", "z").agg(F.percentile(F.col("sa") - F.col("sz"), F.lit(0.025)).alias("low"))
-    marks = pairs.groupBy(F.col("a").alias("system")).agg(F.bool_and(F.col("low") > 0).alias("best"), F.bool_or((F.col("low") > 0) & (F.col("z") == "R")).alias("beats"))
-    return marks.select("system", F.when(F.col("best"), "dagger").when(F.col("beats"), "star").otherwise("").alias("mark"))
+    """A dagger for a system better than all others, else a star for one better than the baseline R, which gets none.
+
+    Better means that the interval of the difference lies above 0, or below it where less is better.
+    """
+    scores = resample.replicates(both_metrics(spark, sf), DRAWS, SEED, ("system", "metric"))
+    gathered = scores.groupBy("metric", "b").agg(F.collect_list(F.struct("system", "score")).alias("all"))
+    sides = gathered.withColumn("x", F.explode("all")).withColumn("y", F.explode("all")).where("x.system <> y.system")
+    low, high = resample.interval(F.col("x.score") - F.col("y.score"))
+    pairs = sides.groupBy("metric", F.col("x.system").alias("system"), F.col("y.system").alias("z")).agg(low.alias("low"), high.alias("high"))
+    better = F.when(F.col("metric") == LOWER, F.col("high") < 0).otherwise(F.col("low") > 0)
+    marks = pairs.groupBy("metric", "system").agg(F.bool_and(better).alias("best"), F.bool_or(better & (F.col("z") == "R")).alias("beats"))
+    return marks.select("metric", "system", F.when(F.col("system") == "R", "").when(F.col("best"), "dagger").when(F.col("beats"), "star").otherwise("").alias("mark"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomline.functions import draw_int, draw_unit, md5_key, r6, ratio
 from loomline.operators import checks
+from loomline.operators.windows import ranked
 
 from .base import query, table, v_bars, v_turns
 
@@ -202,12 +203,13 @@ def jn16_fallback_match(spark, sf):
     return joined.select("c_custkey", F.when(F.col("ckpt").isNotNull(), F.col("ckpt")).when(F.col("n") == 1, F.col("only")).when(F.col("n") > 1, -1).otherwise(0).alias("ckpt"))
 
 
-@query("SELECT DISTINCT n_nationkey FROM nation WHERE n_name IN ('NATION_1', 'NATION_4', 'NATION_9', 'NATION_20')")
+@query("SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT')")
 def jn18_catalog_overlap(spark, sf):
-    """Rows whose recording is in another catalogue, once its paths lose their root."""
-    other = values(spark, "path string", ("{root}/NATION_1",), ("{root}/NATION_4",), ("{root}/NATION_9",), ("{root}/NOWHERE",), ("{root}/NATION_20",))
-    names = other.select(F.regexp_replace("path", r"^\{root\}/", "").alias("n_name"))
-    return table(spark, sf, "nation").join(F.broadcast(names), "n_name").select("n_nationkey").distinct()
+    """Rows whose recording is in the test split of another catalogue, once its paths lose their root."""
+    tested = table(spark, sf, "orders").where("o_orderstatus = 'F' AND o_orderpriority = '1-URGENT'")
+    paths = tested.select(F.concat(F.lit("{root}/Customer#"), F.lpad(F.col("o_custkey").cast("string"), 9, "0")).alias("path"))
+    names = paths.select(F.regexp_replace("path", r"^\{root\}/", "").alias("c_name")).distinct()
+    return table(spark, sf, "customer").select("c_custkey", F.concat(F.lit("Customer#"), F.lpad(F.col("c_custkey").cast("string"), 9, "0")).alias("c_name")).join(names, "c_name").select("c_custkey")
 
 
 @query("SELECT p_brand AS k, count(DISTINCT p_size) AS n_values, count(*) AS n_rows FROM part GROUP BY 1 HAVING count(DISTINCT p_size) > 1")
@@ -322,9 +324,10 @@ def agg11_manifest_stats(spark, sf):
     return table(spark, sf, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("n_chars"), F.lit(0)).alias("total"), r6(F.coalesce(F.avg("n_chars"), F.lit(0.0))).alias("mean"), F.coalesce(F.sum(F.expr("n_chars div 16")), F.lit(0)).alias("frames"))
 
 
-@query("SELECT n_regionkey, sha256(string_agg(n_nationkey || '|' || n_name, chr(10) ORDER BY n_nationkey)) AS fingerprint FROM nation GROUP BY 1")
+@query("SELECT o_custkey, sha256(string_agg(o_orderkey || '|' || o_orderstatus || '|' || o_orderpriority, chr(10) ORDER BY o_orderkey)) AS fingerprint FROM orders GROUP BY 1")
 def agg12_ordered_fingerprint(spark, sf):
-    return ordered_fingerprint(table(spark, sf, "nation"), "n_regionkey", "n_nationkey", "n_name")
+    """One digest for each customer over its orders."""
+    return ordered_fingerprint(table(spark, sf, "orders"), "o_custkey", "o_orderkey", "o_orderstatus", "o_orderpriority")
 
 
 def ordered_fingerprint(df: DataFrame, group: str, *columns: str) -> DataFrame:
@@ -334,14 +337,32 @@ def ordered_fingerprint(df: DataFrame, group: str, *columns: str) -> DataFrame:
     return df.groupBy(group).agg(F.sha2(F.array_join(lines, "\n"), 256).alias("fingerprint"))
 
 
-@query("SELECT transitions, changes, series, round(changes / transitions, 6) AS p, round(ln((1 - changes / transitions) * 4 / (changes / transitions)), 6) AS penalty FROM (SELECT count(*)::BIGINT AS transitions, count_if(state <> prev)::BIGINT AS changes, count(DISTINCT CASE WHEN state <> prev THEN user_id END) AS series FROM (SELECT user_id, state, lag(state) OVER (PARTITION BY user_id ORDER BY bar) AS prev FROM v_bars) WHERE prev IS NOT NULL)")
+STATES = ("view", "click", "purchase", "signup", "error")
+STATE_SQL = "SELECT user_id, bar, CASE WHEN user_id % 13 = 5 AND bar = 2 THEN 'other' WHEN user_id % 11 = 4 AND bar = 3 THEN NULL ELSE state END AS state FROM v_bars WHERE user_id % 17 <> 3 OR bar = 0"
+
+
+@query(f"""WITH s AS (SELECT *, lag(state) OVER w AS prev, row_number() OVER w AS place FROM ({STATE_SQL}) WINDOW w AS (PARTITION BY user_id ORDER BY bar)),
+u AS (SELECT user_id, CASE WHEN count(*) < 2 THEN 'few' WHEN bool_or(state IS NULL) THEN 'missing' WHEN bool_or(state NOT IN {STATES}) THEN 'unknown' END AS skipped, count(*) - 1 AS t, count_if(place > 1 AND state <> prev) AS c FROM s GROUP BY 1)
+SELECT sum(t)::BIGINT AS transitions, sum(c)::BIGINT AS changes, count_if(c > 0)::BIGINT AS series, round(sum(c) / sum(t), 6) AS p, round(ln((1 - sum(c) / sum(t)) * 4 / (sum(c) / sum(t))), 6) AS penalty, any_value(few) AS skipped_few, any_value(missing) AS skipped_missing, any_value(unknown) AS skipped_unknown
+FROM u, (SELECT count_if(skipped = 'few')::BIGINT AS few, count_if(skipped = 'missing')::BIGINT AS missing, count_if(skipped = 'unknown')::BIGINT AS unknown FROM u) WHERE skipped IS NULL""")
 def agg13_switch_rate(spark, sf):
-    """Changes of state over transitions, and the penalty ln((1 - p)(K - 1) / p) of K = 5 states."""
-    w = Window.partitionBy("user_id").orderBy("bar")
-    moved = v_bars(spark, sf).withColumn("prev", F.lag("state").over(w)).where("prev IS NOT NULL").withColumn("changed", F.col("state") != F.col("prev"))
-    by_series = moved.groupBy("user_id").agg(F.count(F.lit(1)).alias("t"), F.count_if("changed").alias("c"))
-    total = by_series.agg(F.sum("t").alias("transitions"), F.sum("c").alias("changes"), F.count_if(F.col("c") > 0).alias("series")).withColumn("rate", F.col("changes") / F.col("transitions"))
-    return total.select("transitions", "changes", "series", r6("rate").alias("p"), r6(F.log((1 - F.col("rate")) * 4 / F.col("rate"))).alias("penalty"))
+    """Changes of state over transitions, the penalty ln((1 - p)(K - 1) / p) of K states, and how many series are left out for which reason."""
+    user = F.col("user_id")
+    state = F.when((user % 13 == 5) & (F.col("bar") == 2), "other").when((user % 11 == 4) & (F.col("bar") == 3), None).otherwise(F.col("state"))
+    return switch_rate(v_bars(spark, sf).where((user % 17 != 3) | (F.col("bar") == 0)).withColumn("state", state), "user_id", "bar", STATES)
+
+
+def switch_rate(df: DataFrame, series: str, order: str, states: tuple[str, ...]) -> DataFrame:
+    moved = df.withColumn("prev", F.lag("state").over(Window.partitionBy(series).orderBy(order)))
+    per = moved.groupBy(series).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("state") != F.col("prev")).alias("c"), F.bool_or(F.col("state").isNull()).alias("missing"), F.bool_or(~F.col("state").isin(*states)).alias("unknown"))
+    skipped = F.when(F.col("n") < 2, "few").when(F.col("missing"), "missing").when(F.col("unknown"), "unknown")
+    used = lambda x: F.when(F.col("skipped").isNull(), x)
+    total = per.withColumn("skipped", skipped).agg(
+        F.sum(used(F.col("n") - 1)).alias("transitions"), F.sum(used(F.col("c"))).alias("changes"), F.count_if(used(F.col("c") > 0)).alias("series"),
+        *(F.count_if(F.col("skipped") == reason).alias(f"skipped_{reason}") for reason in ("few", "missing", "unknown")),
+    )
+    rate = F.col("changes") / F.col("transitions")
+    return total.select("transitions", "changes", "series", r6(rate).alias("p"), r6(F.log((1 - rate) * (len(states) - 1) / rate)).alias("penalty"), "skipped_few", "skipped_missing", "skipped_unknown")
 
 
 @query("SELECT 'outcome ' || split_part(outcome, ':', 1) AS what, count(*) AS n FROM (SELECT lang || ': ' || source AS outcome FROM documents) GROUP BY 1 UNION ALL SELECT 'family ' || f, count(*) FROM (SELECT unnest(string_split(lang || ',' || source, ',')) AS f FROM documents) GROUP BY 1")
@@ -450,15 +471,27 @@ def smp8_ledger_refresh(spark, sf):
     return joined.select("s_suppkey", "s_name", plan.alias("plan"), (~plan.eqNullSafe(F.col("old_plan"))).alias("changed"))
 
 
-@query("WITH m AS (SELECT s_nationkey AS fam, s_suppkey AS member, s_acctbal < 3000 AS b FROM supplier), r AS (SELECT *, row_number() OVER (PARTITION BY fam ORDER BY b, md5('k|' || member)) - 1 AS slot FROM m) SELECT fam, slot, CASE WHEN b THEN 'B' ELSE 'A' END AS tier, member FROM r WHERE slot < 4 UNION ALL SELECT fam, k, 'generated', NULL FROM (SELECT fam, least(count(*), 4) AS c FROM m GROUP BY 1), range(4) t(k) WHERE k >= c")
+CANDIDATE_SQL = "SELECT c_nationkey AS fam, c_mktsegment AS folder, c_custkey AS member, c_acctbal < 9000 AS b FROM customer WHERE c_acctbal > 7500"
+
+
+@query(f"""WITH m AS ({CANDIDATE_SQL}), o AS (SELECT c_nationkey AS fam, min(c_mktsegment) AS origin FROM customer GROUP BY 1),
+r AS (SELECT m.*, folder = origin AS own, row_number() OVER (PARTITION BY fam ORDER BY b, folder <> origin, folder, md5('k|' || member)) AS turn FROM m JOIN o USING (fam)),
+k AS (SELECT *, row_number() OVER (PARTITION BY fam ORDER BY b, NOT own, folder, member) - 1 AS slot FROM r WHERE turn <= 8)
+SELECT fam, slot, CASE WHEN b THEN 'B' ELSE 'A' END AS tier, folder, member FROM k UNION ALL SELECT fam, s, 'generated', origin, NULL FROM (SELECT o.fam, o.origin, count(k.fam) AS c FROM o LEFT JOIN k USING (fam) GROUP BY 1, 2), range(8) t(s) WHERE s >= c""")
 def srt2_tiered_top_k(spark, sf):
-    """Four slots a family: tier A before B, in order of a hash; what is left is generated."""
-    members = table(spark, sf, "supplier").select(F.col("s_nationkey").alias("fam"), F.col("s_suppkey").alias("member"), (F.col("s_acctbal") < 3000).alias("b"))
-    order = Window.partitionBy("fam").orderBy("b", md5_key(F.lit("k"), "member"))
-    filled = members.withColumn("slot", (F.row_number().over(order) - 1).cast("long")).where("slot < 4").select("fam", "slot", F.when(F.col("b"), "B").otherwise("A").alias("tier"), "member")
-    counts = members.groupBy("fam").agg(F.least(F.count(F.lit(1)), F.lit(4)).alias("c")).where("c < 4")
-    rest = counts.select("fam", F.explode(F.sequence("c", F.lit(3).cast("long"))).alias("slot"), F.lit("generated").alias("tier"), F.lit(None).cast("long").alias("member"))
-    return filled.unionByName(rest)
+    """Eight slots a family: tier A before B, in a tier the origin folder first and then by name, in a folder by name; what is left is generated.
+
+    Only the folder in which the slots run out is sampled, in order of a hash.
+    """
+    customer = table(spark, sf, "customer").select(F.col("c_nationkey").alias("fam"), F.col("c_mktsegment").alias("folder"), F.col("c_custkey").alias("member"), "c_acctbal")
+    origins = customer.groupBy("fam").agg(F.min("folder").alias("origin"))
+    members = customer.where("c_acctbal > 7500").withColumn("b", F.col("c_acctbal") < 9000).join(F.broadcast(origins), "fam").withColumn("other", F.col("folder") != F.col("origin"))
+    w = Window.partitionBy("fam")
+    chosen = members.withColumn("turn", F.row_number().over(w.orderBy("b", "other", "folder", md5_key(F.lit("k"), "member")))).where("turn <= 8")
+    filled = chosen.withColumn("slot", (F.row_number().over(w.orderBy("b", "other", "folder", "member")) - 1).cast("long"))
+    counts = origins.join(filled.groupBy("fam").agg(F.count(F.lit(1)).alias("c")), "fam", "left").withColumn("c", F.coalesce("c", F.lit(0))).where("c < 8")
+    rest = counts.select("fam", F.explode(F.sequence("c", F.lit(7).cast("long"))).alias("slot"), F.lit("generated").alias("tier"), F.col("origin").alias("folder"), F.lit(None).cast("long").alias("member"))
+    return filled.select("fam", "slot", F.when(F.col("b"), "B").otherwise("A").alias("tier"), "folder", "member").unionByName(rest)
 
 
 @query("SELECT user_id, bar, state, row_number() OVER (PARTITION BY user_id ORDER BY bar) AS place FROM v_bars")
@@ -468,16 +501,25 @@ def srt1_canonical_order(spark, sf):
     return placed.select("user_id", "bar", "state", "place").orderBy("user_id", "bar")
 
 
-@query("SELECT o_orderkey, (row_number() OVER (ORDER BY o_orderkey) - 1) // 100 AS shard FROM orders")
+@query("SELECT o_orderkey, shard, shard * 100 AS first, least(shard * 100 + 100, n) AS last FROM (SELECT o_orderkey, (row_number() OVER (ORDER BY o_orderkey) - 1) // 100 AS shard, count(*) OVER () AS n FROM orders)")
 def udf2_even_shards(spark, sf):
-    """Contiguous shards of a hundred rows, the last one short."""
-    return even_shards(table(spark, sf, "orders").select("o_orderkey"), "o_orderkey", 100)
-
-
-def even_shards(df: DataFrame, key: str, size: int, block: int = 1 << 14) -> DataFrame:
-    """Adds `shard`, floor(rank / size), where ranks in ranges of a whole-number key are put end to end, so that no task sees all rows."""
-    ranged = df.withColumn("part", F.floor(F.col(key) / block))
-    counts = ranged.groupBy("part").agg(F.count(F.lit(1)).alias("c"))
-    before = counts.select("part", (F.sum("c").over(Window.partitionBy(F.lit(0)).orderBy("part")) - F.col("c")).alias("before"))
-    rank = F.row_number().over(Window.partitionBy("part").orderBy(key)) - 1
-    return ranged.withColumn("rank", rank).join(before, "part").withColumn("shard", F.floor((F.col("before") + F.col("rank")) / size).cast("long")).drop("part", "rank", "before")
+    """Contiguous shards [first, last) of a hundred rows, the last one short; none may be empty."""
+    orders = table(spark, sf, "orders").select("o_orderkey")
+    shards = even_shards(orders, "o_orderkey", 100)
+    n = orders.agg(F.count(F.lit(1)).alias("n"))
+    bounds = shards.join(F.broadcast(n)).withColumns({"first": F.col("shard") * 100, "last": F.least(F.col("shard") * 100 + 100, "n")}).drop("n")
+    checks.assert_empty(bounds.where("first < 0 OR last <= first"), "empty shards")
+    return bounds
+
+
+def even_shards(df: DataFrame, key: str, size: int) -> DataFrame:
+    """Adds `shard`, floor(rank / size)."""
+    return ranked(df, key).withColumn("shard", F.floor(F.col("rank") / size).cast("long")).drop("rank")
+
+
+def range_shard(df: DataFrame, key: str, first: int, last: int) -> DataFrame:
+    """The rows with ranks in [first, last) of the key's order; a shard that is empty or reaches past the end is an error."""
+    rows = ranked(df, key)
+    if first < 0 or last <= first or last > rows.count():
+        raise checks.CheckFailed(f"no shard [{first}, {last})")
+    return rows.where(F.col("rank").between(first, last - 1)).drop("rank")

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from loomline.functions import r6
 from loomline.operators import checks
-from loomline.operators.scores import classify_status, composites, fill_inventory, long_metrics, rates, seen_by_all, work_totals
+from loomline.operators.scores import METRICS, classify_status, composites, fill_inventory, long_metrics, rates, seen_by_all, work_totals
+from loomline.operators.windows import ranked
 
-from .base import METRICS, query, table, v_grounding, v_scores
+from .base import query, table, v_grounding, v_scores
 
 ALL = (*METRICS, "mv4", "mv5")
 
@@ -88,11 +89,7 @@ def set1_shard_union(spark, sf):
     shards = [items.where(F.col("l_partkey") % 3 == k).select("l_orderkey", "l_linenumber").distinct() for k in range(3)]
     union = shards[0].unionByName(shards[1]).unionByName(shards[2])
     twice = union.groupBy("l_orderkey", "l_linenumber").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    # The rank is a count of smaller keys: ranks inside ranges of the order key, put end to end.
-    ranged = twice.withColumn("part", F.floor(F.col("l_orderkey") / 4096))
-    before = ranged.groupBy("part").agg(F.count(F.lit(1)).alias("c")).select("part", (F.sum("c").over(Window.orderBy("part")) - F.col("c")).alias("before"))
-    inside = F.row_number().over(Window.partitionBy("part").orderBy("l_orderkey", "l_linenumber"))
-    return ranged.withColumn("inside", inside).join(before, "part").select("l_orderkey", "l_linenumber", "n", (F.col("before") + F.col("inside")).cast("long").alias("place"))
+    return ranked(twice, "l_orderkey", "l_linenumber", name="place").withColumn("place", F.col("place") + 1)
 
 
 @query("""SELECT o_orderkey, list_filter([CASE WHEN o_orderstatus IS DISTINCT FROM s2 THEN 'o_orderstatus' END, CASE WHEN o_orderpriority IS DISTINCT FROM p2 THEN 'o_orderpriority' END], lambda x: x IS NOT NULL) AS differing, o_orderstatus IS NOT DISTINCT FROM s2 AND o_orderpriority IS NOT DISTINCT FROM p2 AS identical
@@ -122,7 +119,9 @@ LONG_SQL = "SELECT * FROM (UNPIVOT (SELECT system, work_id, task_id, present, m1
 
 @query(f"SELECT system, metric, round(avg(value), 6) AS mean, count(*) AS n FROM ({LONG_SQL}) GROUP BY 1, 2")
 def agg1_pooled_mean(spark, sf):
-    return long_metrics(v_filled(spark, sf), ALL).groupBy("system", "metric").agg(r6(F.avg("value")).alias("mean"), F.count(F.lit(1)).alias("n"))
+    """All metrics in one pass; only their results become rows."""
+    means = v_filled(spark, sf).groupBy("system").agg(*(F.avg(m).alias(m) for m in ALL), F.count(F.lit(1)).alias("n"))
+    return long_metrics(means, ALL).select("system", "metric", r6("value").alias("mean"), "n")
 
 
 @query("SELECT system, round(avg(CASE WHEN present THEN mv5 END), 6) AS mean_success, round(sum(mv5) / count(*), 6) AS mean_all, count(*) AS n_total, count_if(present)::BIGINT AS n_success FROM v_filled GROUP BY 1")
@@ -161,8 +160,10 @@ def agg6_mean_absolute_difference(spark, sf):
 
 @query(f"SELECT level, metric, round(min(value), 6) AS low, round(max(value), 6) AS high FROM (SELECT CASE WHEN metric IN ('mv4', 'mv5') THEN 'composite' ELSE 'component' END AS level, metric, value FROM ({LONG_SQL})) GROUP BY GROUPING SETS ((level, metric), (level), ())")
 def agg7_score_ranges(spark, sf):
-    levels = long_metrics(v_filled(spark, sf), ALL).withColumn("level", F.when(F.col("metric").isin("mv4", "mv5"), "composite").otherwise("component"))
-    return levels.groupingSets([["level", "metric"], ["level"], []], "level", "metric").agg(r6(F.min("value")).alias("low"), r6(F.max("value")).alias("high")).select("level", "metric", "low", "high")
+    """Ranges of each metric, each level and all: one pass over the scores, then grouping sets over its one row a metric."""
+    bounds = v_filled(spark, sf).agg(*(F.struct(F.min(m).alias("low"), F.max(m).alias("high")).alias(m) for m in ALL))
+    levels = long_metrics(bounds, ALL).select("metric", "value.*").withColumn("level", F.when(F.col("metric").isin("mv4", "mv5"), "composite").otherwise("component"))
+    return levels.groupingSets([["level", "metric"], ["level"], []], "level", "metric").agg(r6(F.min("low")).alias("low"), r6(F.max("high")).alias("high")).select("level", "metric", "low", "high")
 
 
 @query("SELECT work_id, round(avg(m), 6) AS mean, count(*) AS n FROM (SELECT work_id, task_id, avg(mv5) AS m FROM v_filled WHERE present GROUP BY 1, 2) GROUP BY 1")
@@ -199,15 +200,14 @@ def agg10_coverage(spark, sf):
 @query("SELECT system, metric, format('{:.3f}', mean) AS cell FROM (SELECT system, metric, avg(value) AS mean FROM (" + LONG_SQL + ") WHERE metric IN ('m1', 'mv4') GROUP BY 1, 2)")
 def snk4_report_cells(spark, sf):
     """The cells of a report, one row each; `report_table` pivots them."""
-    cells = long_metrics(v_filled(spark, sf), ALL).where("metric IN ('m1', 'mv4')").groupBy("system", "metric").agg(F.avg("value").alias("mean"))
-    return cells.select("system", "metric", F.format_string("%.3f", "mean").alias("cell"))
+    means = v_filled(spark, sf).groupBy("system").agg(F.avg("m1").alias("m1"), F.avg("mv4").alias("mv4"))
+    return long_metrics(means, ("m1", "mv4")).select("system", "metric", F.format_string("%.3f", "value").alias("cell"))
 
 
 @query("SELECT system, max(CASE WHEN metric = 'm1' THEN c END) AS m1, max(CASE WHEN metric = 'mv4' THEN c END) AS mv4 FROM (SELECT system, metric, format('{:.2f} [{:.2f}, {:.2f}]', avg(value), min(value), max(value)) AS c FROM (" + LONG_SQL + ") GROUP BY 1, 2) GROUP BY 1")
 def snk4_report_table(spark, sf):
     """Systems in rows, metrics in columns, cells as mean [low, high]."""
-    grouped = long_metrics(v_filled(spark, sf), ("m1", "mv4")).groupBy("system").pivot("metric", ["m1", "mv4"])
-    return grouped.agg(F.format_string("%.2f [%.2f, %.2f]", F.avg("value"), F.min("value"), F.max("value")))
+    return v_filled(spark, sf).groupBy("system").agg(*(F.format_string("%.2f [%.2f, %.2f]", F.avg(m), F.min(m), F.max(m)).alias(m) for m in ("m1", "mv4")))
 
 
 @query("SELECT count(*) AS n, (SELECT string_agg(k, ',' ORDER BY k) FROM (SELECT task_id AS k FROM v_filled WHERE NOT present AND system = 'A' ORDER BY 1 LIMIT 10)) AS first_keys FROM v_filled WHERE NOT present AND system = 'A'")
