@@ -29,7 +29,7 @@ from .common import documents, keep_types, slices, text_bytes
 from .prefix_bpe import PrefixTables, distinct, gathered
 
 VOCABULARY = "byte_bpe_50k.json"
-SLICE = 1 << 22  # bytes of text at a time
+SLICE = 1 << 21  # bytes of text at a time
 SPACE, LETTER, NUMBER, SIGN = range(4)
 APOSTROPHE, BLANK = ord("'"), ord(" ")
 ENDINGS = {b"s", b"t", b"m", b"d", b"re", b"ve", b"ll"}  # fixed values: what an apostrophe takes

@@ -38,7 +38,7 @@ LENGTH = 4096
 AXES, BITS = 3, 10
 RANGE_BYTES, MOST_RANGES = 2 << 20, 1 << 20
 SALT, CELL = 31, 10  # bits of the hash below a place on the curve; a part of the curve has 2**CELL cells
-SLICE = 1 << 22  # bytes of text at a time
+SLICE = 1 << 21  # bytes of text at a time
 
 
 class WordIds:
@@ -49,7 +49,7 @@ class WordIds:
     """
 
     def __init__(self, path: str):
-        self.tokenizer = Tokenizer.from_file(path)
+        self.path = path
         with open(path, encoding="utf-8") as file:
             model = json.load(file)["model"]
         alphabet, vocab, suffix = byte_alphabet(), model["vocab"], model["end_of_word_suffix"]
@@ -71,6 +71,11 @@ class WordIds:
             self.small[k] = ord(small[0])
             self.odd[k] = len(small) > 1 or not 0x80 <= self.small[k] < 0x250 or chr(k).isspace()
 
+    @functools.cached_property
+    def tokenizer(self) -> Tokenizer:
+        """Read when a word needs it."""
+        return Tokenizer.from_file(self.path)
+
     def normal(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The bytes in lower case, and which words (given by the offsets of their bytes) the tokenizer has to see."""
         data = self.lower[data]

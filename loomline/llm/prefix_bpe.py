@@ -8,8 +8,8 @@ histories at their common edge. Following the stored tokens back from the end gi
 
 The programme advances all pieces together, one byte a step, in numpy arrays; the few pieces
 longer than `LONG` bytes go through the same tables one at a time. Both are linear in the bytes.
-The automaton is a dense table, 1 KB for each of its states, built once in a worker. Outcomes of
-pair tests are kept in a table of fixed size, in which later pairs displace earlier ones.
+The automaton has one entry of a hash table for each of its edges and a link from each state to its longest
+suffix. Outcomes of pair tests are kept in a table of fixed size, in which later pairs displace earlier ones.
 """
 
 from __future__ import annotations
@@ -18,7 +18,8 @@ import numpy as np
 import pyarrow as pa
 
 FOREVER = np.int32(2**31 - 1)
-LONG, REMEMBERED = 64, 21
+LONG, REMEMBERED = 64, 20
+MULTIPLIER, PAIR = 0x9E3779B1, 24  # ids are below 2**PAIR
 
 
 class PrefixTables:
@@ -31,18 +32,18 @@ class PrefixTables:
         made: dict[int, tuple[int, int, int]] = {}
         for rank, (a, b, whole) in enumerate(merges):
             made.setdefault(whole, (rank, a, b))
-        self.right = self.edges(len(tokens), made, 2)
-        self.left = self.edges(len(tokens), made, 1)
+        self.right = self.histories(len(tokens), made, 2)
+        self.left = self.histories(len(tokens), made, 1)
         built = np.array([(t, *made[t]) for t in sorted(made)], np.int64).reshape(-1, 4)
         stable = np.ones(len(tokens), bool)
         stable[built[:, 0]] = self.apart(built[:, 2], built[:, 3], built[:, 1])
         self.size = np.array([len(t) if t else 0 for t in tokens], np.int32)
         self.build([t if t and stable[k] else None for k, t in enumerate(tokens)])
         self.seen = np.full(1 << REMEMBERED, -1, np.int64)
-        self.views = None
+        self.lone = None
 
     @staticmethod
-    def edges(count: int, made: dict[int, tuple[int, int, int]], side: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def histories(count: int, made: dict[int, tuple[int, int, int]], side: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The sub-tokens at one edge of each token, from the innermost on, each with the rank of the merge that swallows it; where each token's begin."""
         known: dict[int, tuple] = {}
 
@@ -85,53 +86,82 @@ class PrefixTables:
         return out
 
     def build(self, tokens: list[bytes | None]) -> None:
-        """The automaton: for each state and byte the next state, for each state its longest token, for each token its next shorter suffix."""
-        child: dict[tuple[int, int], int] = {}
+        """The automaton: edges between states, each state's longest suffix that is a state, its longest token, and each token's next shorter suffix."""
+        child: dict[int, int] = {}
         levels: list[list[tuple[int, int, int]]] = []
         own = {}
-        count = 1
         for k, token in enumerate(tokens):
             state = 0
             for depth, byte in enumerate(token or b""):
-                following = child.get((state, byte))
+                edge = state << 8 | byte
+                following = child.get(edge)
                 if following is None:
-                    child[state, byte] = following = count
-                    count += 1
+                    child[edge] = following = len(child) + 1
                     if depth == len(levels):
                         levels.append([])
                     levels[depth].append((following, state, byte))
                 state = following
             if token:
                 own[state] = k
-        self.goto = np.zeros((count, 256), np.int32)
+        count = len(child) + 1
+        self.store(np.array(list(child), np.int64), np.array(list(child.values()), np.int32))
+        self.back = np.zeros(count, np.int32)
         self.longest = np.full(count, -1, np.int32)
         self.shorter = np.full(len(tokens), -1, np.int32)
         token_at = np.full(count, -1, np.int32)
         token_at[list(own)] = list(own.values())
-        back = np.zeros(count, np.int32)
         for depth, level in enumerate(levels):
             state, parent, byte = np.array(level).T
-            # A parent's row still holds what its own suffix does, until its children are entered.
             if depth:
-                back[state] = self.goto[parent, byte]
-            self.goto[parent, byte] = state
-            self.goto[state] = self.goto[back[state]]
-            suffix = self.longest[back[state]]
-            self.longest[state] = np.where(token_at[state] >= 0, token_at[state], suffix)
-            named = token_at[state] >= 0
+                self.back[state] = self.follow(self.back[parent], byte)
+            suffix, named = self.longest[self.back[state]], token_at[state] >= 0
+            self.longest[state] = np.where(named, token_at[state], suffix)
             self.shorter[token_at[state][named]] = suffix[named]
-        self.goto = self.goto.ravel()
+
+    def store(self, edge: np.ndarray, target: np.ndarray) -> None:
+        """Puts edges and the states they lead to in a hash table of open addresses."""
+        self.slots = 1 << (4 * len(edge)).bit_length()
+        self.edge, self.target = np.full(self.slots, -1, np.int64), np.zeros(self.slots, np.int32)
+        place, row = self.place(edge), np.arange(len(edge))
+        while len(row):
+            free = self.edge[place[row]] < 0
+            self.edge[place[row[free]]] = edge[row[free]]
+            held = self.edge[place[row]] == edge[row]
+            self.target[place[row[held]]] = target[row[held]]
+            row = row[~held]
+            place[row] = (place[row] + 1) & (self.slots - 1)
+
+    def place(self, edge: np.ndarray) -> np.ndarray:
+        return (edge * MULTIPLIER >> 16) & (self.slots - 1)
+
+    def follow(self, state: np.ndarray, byte: np.ndarray) -> np.ndarray:
+        """The state after each state and byte: along its edge, or that of its longest suffix that has one."""
+        out, row = np.zeros(len(state), np.int32), np.arange(len(state))
+        edge = state.astype(np.int64) << 8 | byte
+        while len(row):
+            place = self.place(edge)
+            found = self.edge[place]
+            other = np.flatnonzero((found != edge) & (found >= 0))
+            while len(other):
+                place[other] = (place[other] + 1) & (self.slots - 1)
+                found[other] = self.edge[place[other]]
+                other = other[(found[other] != edge[other]) & (found[other] >= 0)]
+            hit = found >= 0
+            out[row[hit]] = self.target[place[hit]]
+            on = np.flatnonzero(~hit & (edge > 255))
+            row, edge = row[on], self.back[edge[on] >> 8].astype(np.int64) << 8 | edge[on] & 255
+        return out
 
     def fits(self, before: np.ndarray, after: np.ndarray) -> np.ndarray:
         """Whether each token may follow the other one, from the table of outcomes where it is known."""
-        key = before.astype(np.int64) << 16 | after
-        place = (key * 0x9E3779B1 >> 11) & ((1 << REMEMBERED) - 1)
+        key = before.astype(np.int64) << PAIR | after
+        place = (key * MULTIPLIER >> 11) & ((1 << REMEMBERED) - 1)
         known = self.seen[place]
         out = (known & 1).astype(bool)
         new = np.flatnonzero(known >> 1 != key)
         if len(new):
             fresh, which = np.unique(key[new], return_inverse=True)
-            found = self.apart(fresh >> 16, fresh & 0xFFFF)
+            found = self.apart(fresh >> PAIR, fresh & ((1 << PAIR) - 1))
             out[new] = found[which]
             self.seen[place[new]] = key[new] << 1 | found[which]
         return out
@@ -163,7 +193,7 @@ class PrefixTables:
         state = np.zeros(len(sizes), np.int32)
         for step in range(steps):
             n = alive[step]
-            state = self.goto[(state[:n].astype(np.int64) << 8) + data[starts[:n] + step]]
+            state = self.follow(state[:n], data[starts[:n] + step])
             token = self.longest[state]
             row = np.flatnonzero(self.size[token] <= step)
             trial = token[row]
@@ -196,20 +226,24 @@ class PrefixTables:
 
     def alone(self, piece: bytes) -> list[int]:
         """The ids of one long piece."""
-        if self.views is None:
-            self.views = [memoryview(x) for x in (self.goto, self.longest, self.shorter, self.size)]
-        goto, longest, shorter, size = self.views
+        if self.lone is None:
+            self.lone = dict(zip(self.edge[self.edge >= 0].tolist(), self.target[self.edge >= 0].tolist())), *(memoryview(x) for x in (self.back, self.longest, self.shorter, self.size))
+        edges, back, longest, shorter, size = self.lone
         last, state, met = [], 0, {}
         for step, byte in enumerate(piece):
-            state = goto[(state << 8) + byte]
+            following = edges.get(state << 8 | byte)
+            while following is None and state:
+                state = back[state]
+                following = edges.get(state << 8 | byte)
+            state = following or 0
             token = longest[state]
             while size[token] <= step:
-                pair = last[step - size[token]] << 16 | token
+                pair = last[step - size[token]] << PAIR | token
                 good = met.get(pair)
                 if good is None:
                     if len(met) > 100_000:
                         met.clear()
-                    met[pair] = good = bool(self.fits(np.array([pair >> 16]), np.array([pair & 0xFFFF]))[0])
+                    met[pair] = good = bool(self.fits(np.array([pair >> PAIR]), np.array([pair & ((1 << PAIR) - 1)]))[0])
                 if good:
                     break
                 token = shorter[token]
