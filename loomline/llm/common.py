@@ -138,6 +138,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def skew_join(big: DataFrame, small: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """A join of `big` with `small`, which has one row for each key.
+
+    The small side is written first, so that both sides come to the join straight from a shuffle, or the small one by
+    broadcast if it turns out to be below the session's limit. Only then can adaptive execution deal the rows of a
+    frequent key to several tasks.
+    """
+    return big.join(checkpointed(small), key, how)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -2,18 +2,21 @@
 
 A text's fingerprint has a bit set where over half the XXH64 hashes (seed 42) of its runs of
 `size` words have it. Two fingerprints at most `DISTANCE` = 4 bits apart differ in at most four of
-their eight bytes, so they share at least four (position, byte) postings. The index holds, for each
-distinct fingerprint, its 70 sets of four postings; fingerprints that meet in one have the
-guaranteed number of shared bytes, and are verified by the number of differing bits.
+their eight bytes, so they share at least four (position, byte) postings. The lists of single
+postings would hold a 256th of all fingerprints each; two fingerprints share four postings just
+where they meet in one of the 70 sets of four, so the index holds those. Of fingerprints that meet, the
+shared bytes are tallied for each pair, pairs with the guaranteed number are kept, and verified by the
+number of differing bits.
 
-A list of the index is not expanded into pairs. It is searched breadth-first: the fingerprints not
-reached yet are compared with one that is, so a list of m costs at most m - 1 links, and dense
-groups are used up in a few steps. Lists longer than `LIST` fingerprints are cut by hash into parts
-and every two parts form a list, so that no link is lost and no task holds more. Links of all lists
-are joined into components. Copies of one text share a fingerprint and enter the index once.
+Lists are searched without expanding them into pairs (`lists`). Links of all lists are joined into components.
+Copies of one text share a fingerprint and enter the index once, so a list has at most one member
+for each value of its other four bytes. Rows come back to their component by joins that adaptive
+execution can deal to several tasks for a frequent key.
 
 Null and empty texts have fingerprint zero, linked like any other. Fewer words than `size`: all
-of them form one run. Rows that repeat share everything. Columns of the input stay.
+of them form one run. Long texts are hashed whole. Rows that repeat share everything. A null id is
+never a component's name unless all of its ids are null. An empty table gives no rows. Columns of the
+input stay, but the text and columns named fp or component_id, which are replaced.
 """
 
 from __future__ import annotations
@@ -27,10 +30,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, documents, keep_types, slices
+from .common import checkpointed, documents, keep_types, slices, skew_join
 from .components import connected_components
+from .lists import Near, linked
 
-SEED, DISTANCE, SHARED, LIST = 42, 4, 4, 8192
+SEED, DISTANCE, SHARED, LIST = 42, 4, 4, 1024
 
 
 def fingerprint(words: list[bytes], size: int) -> int:
@@ -70,55 +74,24 @@ def index(distinct: DataFrame) -> DataFrame:
     return distinct.select("fp", F.explode(F.array(*keys)).alias("posting"))
 
 
-def links_within(found: np.ndarray) -> list[tuple[int, int]]:
-    """A spanning forest of the links between distinct fingerprints: each is reached from another at most DISTANCE bits away."""
-    out, left = [], found.view(np.uint64)
-    while len(left) > 1:
-        front, left = [left[0]], left[1:]
-        while front and len(left):
-            one = front.pop()
-            near = np.bitwise_count(left ^ one) <= DISTANCE
-            if near.any():
-                reached = left[near]
-                out += [(int(one), int(x)) for x in reached]
-                front += list(reached)
-                left = left[~near]
-    return out
-
-
-def search_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links from rows sorted by list; a list may go over several batches."""
-    held = np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def found(posting: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
-        edges = np.flatnonzero(np.diff(posting))
-        starts, ends = np.concatenate(([0], edges + 1)), np.concatenate((edges + 1, [len(posting)]))
-        several = np.flatnonzero(ends - starts > 1)
-        pairs = [p for k in several for p in links_within(fp[starts[k] : ends[k]])]
-        pairs = np.array(pairs, np.uint64).reshape(-1, 2).view(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
-
-    for batch in batches:
-        posting, fp = (np.concatenate((h, batch.column(c).to_numpy())) for h, c in zip(held, ("posting", "fp")))
-        if len(posting):
-            cut = int(np.searchsorted(posting, posting[-1]))
-            held = posting[cut:], fp[cut:]
-            if cut:
-                yield found(posting[:cut], fp[:cut])
-    if len(held[0]):
-        yield found(*held)
+def near_bits(batch: pa.RecordBatch) -> Near:
+    """Whether two members share SHARED bytes, by tally, and then differ in at most DISTANCE bits."""
+    fp = batch.column("key").to_numpy().view(np.uint64)
+
+    def near(one: int, left: np.ndarray) -> np.ndarray:
+        differing = fp[left] ^ fp[one]
+        tally = (differing.view(np.uint8).reshape(-1, 8) == 0).sum(axis=1)
+        out = tally >= SHARED
+        out[out] = np.bitwise_count(differing[out]) <= DISTANCE
+        return out
+
+    return near
 
 
 def links(distinct: DataFrame) -> DataFrame:
     """(a, b): enough links between distinct fingerprints to connect all that are linked."""
-    postings = index(distinct)
-    long = postings.groupBy("posting").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LIST)
-    parted = postings.join(long, "posting", "left").withColumn("parts", F.coalesce(F.ceil(2 * F.col("n") / LIST), F.lit(1)).cast("int"))
-    # Part i of p meets part j in the list (i, j); a row goes to the lists of its own part.
-    part = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
-    lists = parted.withColumn("part", part).select("posting", "fp", F.explode(F.when(F.col("parts") == 1, F.array(F.lit(0))).otherwise(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.least(k, "part") * 65536 + F.greatest(k, "part")))).alias("pair"))
-    dealt = lists.select(F.xxhash64("posting", "pair").alias("posting"), "fp").repartition("posting").sortWithinPartitions("posting", "fp")
-    return dealt.mapInArrow(search_lists, "a long, b long").distinct()
+    spread = distinct.repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    return linked(index(spread).withColumnRenamed("fp", "key"), "posting", near_bits, F.lit(1), LIST)
 
 
 def near_duplicates(df: DataFrame, size: int = 4) -> DataFrame:
@@ -126,9 +99,10 @@ def near_duplicates(df: DataFrame, size: int = 4) -> DataFrame:
     marked = checkpointed(with_fingerprint(df.drop("component_id"), size))
     groups = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = connected_components(links(groups.select("fp"))).withColumnRenamed("node", "fp")
-    classes = groups.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    classes = checkpointed(groups.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")))
     least = classes.groupBy("root").agg(F.min("least").alias("component_id"))
-    return marked.join(classes.select("fp", "root").join(least, "root").drop("root"), "fp", "left")
+    named = skew_join(classes.select("fp", "root"), least, "root").drop("root")
+    return skew_join(marked, named, "fp")
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

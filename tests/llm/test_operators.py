@@ -485,3 +485,25 @@ def test_near_copies_link_what_brute_force_jaccard_links(spark, monkeypatch, mos
     docs = spark.createDataFrame([(k, t, "en", "s", len(t or "")) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
     kept = {r.doc_id for r in dict(corpus_pipeline.STAGES)["SimHash near-dedup"](spark, docs, "").collect()}
     assert kept == {root(k) for k in range(len(texts))}
+
+
+@pytest.mark.parametrize("limit", [8, 1024])
+def test_lists_cut_into_parts_lose_no_link(spark, limit):
+    """Numbers at most 3 apart are linked; one list is a dense chain, one is loose, and some members lie in several lists."""
+    from loomline.llm import lists
+
+    rng = random.Random(7)
+    members = [("dense", k) for k in range(60)] + [("loose", 1000 + 5 * k) for k in range(40)] + [("mixed", rng.randrange(2000, 2200)) for _ in range(50)] + [("small", 3007), ("small", 3009)]
+    rows = spark.createDataFrame(sorted(set(members)), "name string, key long")
+
+    def near_of(batch):
+        key = batch.column("key").to_numpy()
+        return lambda one, left: np.abs(key[left] - key[one]) <= 3
+
+    roots = {r.node: r.root for r in connected_components(lists.linked(rows.withColumn("name", F.xxhash64("name")), "name", near_of, F.lit(1), limit)).collect()}
+    for name, key in members:
+        group = sorted({k for n, k in members if n == name})
+        least = key
+        while any(k < least and least - k <= 3 for k in group):
+            least = min(k for k in group if least - k <= 3)
+        assert roots.get(key, key) == least
