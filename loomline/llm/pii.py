@@ -1,21 +1,24 @@
 """Personal data: exact patterns, and a semi-Markov conditional random field that adds to them.
 
 The patterns (`base_spans`) find e-mail addresses, IP addresses, card and telephone numbers. The
-field looks at the surroundings of digits and at-signs. Whole spans of up to `LONGEST` tokens get
+field looks at the surroundings of digits, at-signs and at-signs spelt out in brackets. Whole spans of up to `LONGEST` tokens get
 a score for each kind from features of the span as a whole (its shape, digits, groups, check digit,
 neighbours); all other tokens score zero. A dynamic programme over the tokens picks boundaries and
 kinds together, and a forward-backward pass gives a span's probability; spans that overlap no
 pattern's are added if it is at least `SURE`. The weights are fitted by gradient ascent on the
-likelihood of the patterns' own spans, and of other spellings of them, in at most `SAMPLE` documents, those with the least hash of
-their id among all that have a digit or at-sign.
+likelihood of the patterns' own spans, and of the same data written otherwise (`variants`), so that the
+field learns what the patterns pass over. It learns from at most `SAMPLE` documents, those with the least hash of
+their id among all that have something to look at, and in each from at most `REGIONS` regions, those with the least hash.
 
 Positions are code points, ends exclusive. Null and empty texts have no spans. All work on a text
-is linear in its length. Columns of the input stay; `base` and `spans` replace columns so named.
+is linear in its length, so long texts are read whole. Rows that repeat are read each; an empty table gives an
+empty one. Columns of the input stay; `base` and `spans` replace columns so named.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,15 +30,18 @@ from pyspark.sql import functions as F
 from .common import documents, keep_types, slices
 
 KINDS = ("email", "ip", "card", "phone")
-SAMPLE, LONGEST, WIDEST, SURE, EPOCHS, SIZE = 600, 14, 60, 0.9, 4, 1 << 12
+SAMPLE, REGIONS, LONGEST, WIDEST, SURE, EPOCHS, SIZE = 600, 50, 18, 64, 0.8, 4, 1 << 13
 AFTER_AT = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 # A match can only begin at the beginning of a run of digits, so runs are entered once.
 IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-HINT = re.compile(r"[0-9@]")
-TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|[\s\S]")
+DIGIT = re.compile(r"[0-9@]")
+HINTS = r"[0-9@]|[(\[{<] ?at ?[)\]}>]"
+HINT = re.compile(HINTS)
+# An at-sign or a dot in brackets is one token.
+TOKEN = re.compile(r"[(\[{<] ?(?:at|dot|\.) ?[)\]}>]|[^\W\d_]+|[0-9]+|[\s\S]")
 Span = tuple[str, int, int]
 
 
@@ -56,7 +62,7 @@ def base_spans(text: str) -> list[Span]:
             out.append(("email", start, m.end()))
             last = m.end()
         at = text.find("@", max(at + 1, last))
-    if not HINT.search(text):
+    if not DIGIT.search(text):
         return out
     out += [("ip", *m.span()) for m in IP.finditer(text) if all(len(p.lstrip("0")) < 4 and int(p) <= 255 for p in m[0].split("."))]
     for m in CARD.finditer(text):
@@ -85,6 +91,8 @@ def regions(text: str, margin: int = 24) -> list[tuple[int, int]]:
 
 
 def shape(token: str) -> str:
+    if len(token) > 2 and not token[0].isalnum():
+        return "spelt at" if "at" in token else "spelt dot"
     return f"d{min(len(token), 7)}" if token[0] in "0123456789" else "a" if token[0].isalpha() else "s" if token.isspace() else token
 
 
@@ -102,7 +110,8 @@ def candidates(text: str, tokens: list[str], starts: list[int]) -> list[tuple[in
             if t[0] in "0123456789":
                 hint, digits = True, digits + t
                 groups.append(t)
-            hint, ats, dots = hint or t == "@", ats + (t == "@"), dots + (t == ".")
+            at, dot = t == "@" or shapes[j] == "spelt at", t == "." or shapes[j] == "spelt dot"
+            hint, ats, dots = hint or at, ats + at, dots + dot
             if not hint or not t.isalnum() or starts[j] + len(t) - starts[i] < 6:
                 continue
             n = len(digits)
@@ -110,7 +119,8 @@ def candidates(text: str, tokens: list[str], starts: list[int]) -> list[tuple[in
                 "shape " + "".join(shapes[i : j + 1]),
                 f"digits {min(n, 20)}",
                 f"at {ats} {dots > 0}",
-                f"octets {len(groups) == 4 == dots + 1 and all(len(g) < 4 and int(g) < 256 for g in groups)}",
+                f"octets {len(groups) == 4 and all(len(g) < 4 and int(g) < 256 for g in groups)} {dots}",
+                f"groups {' '.join(str(len(g)) for g in groups[:6])}",
                 f"check {13 <= n <= 19 and luhn(digits)} {'a' in shapes[i : j + 1]}",
                 f"plus {head == '+'} {9 <= n <= 15}",
                 f"first {shapes[i]} last {shapes[j]}",
@@ -204,15 +214,20 @@ def variants(kind: str, found: str) -> list[str]:
         area, first, last = digits[-10:-7], digits[-7:-4], digits[-4:]
         return [f"({area}) {first}-{last}", f"{area}-{first}-{last}", f"{area}.{first}.{last}", f"{digits[:-10] or 1} ({area}) {first}-{last}"]
     if kind == "card" and len(digits) == 16:
-        return [".".join(digits[k : k + 4] for k in range(0, 16, 4))]
+        return [mark.join(digits[k : k + 4] for k in range(0, 16, 4)) for mark in (".", "/", "_", " - ")]
+    if kind == "ip":
+        return [found.replace(".", mark) for mark in ("[.]", "(dot)", " . ", "-")]
+    if kind == "email":
+        name, domain = found.split("@")
+        return [f"{name}(at){domain}", f"{name} [at] {domain.replace('.', ' [dot] ')}", f"{name} @ {domain}", f"{name}@{domain.replace('.', '(dot)')}"]
     return []
 
 
-def lessons(texts: list[str]) -> Iterator[tuple[str, int, int, dict[tuple[int, int], int]]]:
+def lessons(texts: list[str], most: int = REGIONS) -> Iterator[tuple[str, int, int, dict[tuple[int, int], int]]]:
     """Regions to learn from with their entities: those of the texts, and the same with entities written otherwise."""
     for text in texts:
         base = base_spans(text)
-        for a, b in regions(text)[:50]:
+        for a, b in sorted(regions(text), key=lambda r: xxhash.xxh64_intdigest(text[r[0] : r[1]]))[:most]:
             inside = [(k, s, e) for k, s, e in base if a <= s and e <= b]
             yield text, a, b, {(s, e): KINDS.index(k) for k, s, e in inside}
             if len(inside) == 1:
@@ -240,8 +255,13 @@ def train(texts: list[str]) -> Field:
 
 def added_spans(text: str, base: list[Span], field: Field) -> list[Span]:
     """The field's spans that overlap none of the patterns'."""
-    out = []
-    taken = sorted((s, e) for _, s, e in base)
+    out, taken = [], []
+    for s, e in sorted((s, e) for _, s, e in base):
+        if taken and s < taken[-1][1]:
+            taken[-1] = taken[-1][0], max(taken[-1][1], e)
+        else:
+            taken.append((s, e))
+    ends = [e for _, e in taken]
     for a, b in regions(text):
         tokens, starts = region_tokens(text, a, b)
         spans = candidates(text, tokens, starts)
@@ -249,14 +269,15 @@ def added_spans(text: str, base: list[Span], field: Field) -> list[Span]:
             continue
         for i, j, kind, p in field.best(len(tokens), spans):
             start, end = starts[i], starts[j - 1] + len(tokens[j - 1])
-            if p >= SURE and not any(s < end and start < e for s, e in taken):
+            near = bisect_right(ends, start)
+            if p >= SURE and not (near < len(taken) and taken[near][0] < end):
                 out.append((KINDS[kind], start, end))
     return out
 
 
 def training_texts(df: DataFrame, sample: int = SAMPLE) -> list[str]:
     """The sample's texts. Only hashes are sorted; the texts of those up to the last one chosen follow in a second pass."""
-    hinted = df.where(F.col("text").rlike("[0-9@]")).select(F.xxhash64("doc_id", "text").alias("h"), "text")
+    hinted = df.where(F.col("text").rlike(HINTS)).select(F.xxhash64("doc_id", "text").alias("h"), "text")
     last = hinted.select("h").orderBy("h").limit(sample).agg(F.max("h")).head()[0]
     if last is None:
         return []
