@@ -1,23 +1,27 @@
 """Quality rules with risk-controlled thresholds.
 
-A document's signals are ratios of what its text shows. For each stratum (the language, where
-enough labelled rows have it) and each signal, candidate cutoffs from strict to lax are tested on
-the labelled rows that are good: a cutoff is safe if the exact binomial upper bound (Clopper and
-Pearson) of the rate at which it rejects good documents is at most `RISK`, at confidence
-1 - `DELTA` / (number of strata x signals x cutoffs), Bonferroni's correction. Of the safe cutoffs,
-that with the best balance of labelled bad rows rejected against `COST` times the good ones is
-taken, the laxest on a tie; where none is safe and worth it, the signal rejects nothing. So with
-probability 1 - `DELTA` each cutoff rejects at most a share `RISK` of its stratum's good documents.
+A document's signals are ratios of what its text shows. Labelled rows are dealt by a hash of the id: a third,
+for tuning, proposes rules and the rest, the holdout, tests them. For each stratum (the language) tuning rows
+propose one joint rule for each of `RATES`: for every signal the strictest cutoff that rejects at most that
+share of the good tuning rows, if it rejects more bad rows than `COST` times the good ones. The
+holdout tests a stratum's joint rules from lax to strict: a rule is safe if the exact binomial upper
+bound (Clopper and Pearson) of the rate at which it rejects good documents, by any of its signals, is at
+most `RISK`. Testing stops at the first rule that isn't safe, so the order needs no correction; over
+the strata Bonferroni's divides `DELTA`. Of the safe rules that with the best balance on tuning rows is taken, the
+laxest on a tie; without one, nothing is rejected. So with probability 1 - `DELTA` no stratum's verdict
+rejects more than a share `RISK` of its good documents that pass the base rule.
 
 Null and empty texts have no words, fail the base rule and are not kept. A language with fewer than
-`LEAST` good rows, or null, belongs to the stratum `other`. Labels that contradict each other count as good
-if at least half say so. A stratum is judged by its own
-cutoffs only, and any number of them can have some. Without labels only the base rule rejects. Rows that repeat stay.
+`LEAST` good rows, or null, belongs to the stratum `other`; any number of languages can have a stratum of
+their own, judged by its own rule only. Labels that contradict each other count as good
+if at least half say so. Without labels only the base rule rejects. Rows that repeat, and rows of one id
+with other texts, are judged each. Long texts are read whole. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +32,9 @@ from pyspark.sql import functions as F
 from .common import checkpointed, documents, keep_types, slices, span_hash, text_bytes, windows_hash, word_spans
 
 RISK, DELTA, COST, LEAST = 0.05, 0.05, 3, 200
+RATES = (0.0, 0.003, 0.01, 0.02, 0.04)  # of good tuning rows that one signal may reject, lax rules first
 SYMBOLS = "#*$%&|<>"  # fixed values
+SPACES = re.compile(r"[\x20\x09-\x0D]+")
 # Cutoffs of each signal, strict to lax: a document is rejected if the signal is above.
 CUTOFFS = {
     "symbols": [0.005, 0.01, 0.02, 0.03, 0.05, 0.08, 0.12, 0.2, 0.3],
@@ -77,7 +83,7 @@ def signals(df: DataFrame) -> DataFrame:
                         lines += 1
                         again += line in seen
                         seen.add(line)
-                capitals = sum(1 for w in text.split() if len(w) > 1 and w.isupper())
+                capitals = sum(1 for w in SPACES.split(text) if len(w) > 1 and w.isupper())
                 rows.append((first[k + 1] - first[k], chars[first[k + 1]] - chars[first[k]], count_symbols(text), again, repeated_words(words[first[k] : first[k + 1]]), lines, capitals))
             yield pa.RecordBatch.from_arrays([*map(batch.column, kept), *(pa.array(c, pa.int64()) for c in zip(*rows))], names=[*kept, *COUNTS])
 
@@ -89,11 +95,32 @@ def ratios(df: DataFrame) -> DataFrame:
     return df.withColumns({"symbols": share("n_symbols", "word_chars"), "repeats": share("n_repeat_words", "n_words"), "lines": share("n_dup_lines", "n_lines"), "capitals": share("n_capitals", "n_words"), "length": share("word_chars", "n_words")})
 
 
+def beta_share(x: float, a: float, b: float) -> float:
+    """The regularised incomplete beta function, by its continued fraction (modified Lentz)."""
+    if x <= 0 or x >= 1:
+        return float(x >= 1)
+    if x > (a + 1) / (a + b + 2):
+        return 1 - beta_share(1 - x, b, a)
+    tiny = 1e-300
+    c, d = 1.0, 1 / max(1 - (a + b) * x / (a + 1), tiny)
+    value, m = d, 0
+    while True:
+        m += 1
+        step = 1.0
+        for top in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d = 1 / (1 + top * d or tiny)
+            c = 1 + top / c or tiny
+            step = c * d
+            value *= step
+        if abs(step - 1) < 1e-14 or m > 100_000:
+            break
+    front = math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)
+    return math.exp(front) * value / a
+
+
 def at_most(failures: int, trials: int, p: float) -> float:
-    """The probability of so few failures at rate p."""
-    logs = [math.lgamma(trials + 1) - math.lgamma(k + 1) - math.lgamma(trials - k + 1) + k * math.log(p) + (trials - k) * math.log1p(-p) for k in range(failures + 1)]
-    most = max(logs)
-    return math.exp(most) * sum(math.exp(x - most) for x in logs)
+    """The probability of so few failures at rate p, without a sum over them."""
+    return 1.0 if failures >= trials else beta_share(1 - p, trials - failures, failures + 1)
 
 
 def safe(failures: int, trials: int, delta: float, risk: float) -> bool:
@@ -112,22 +139,49 @@ def upper_bound(failures: int, trials: int, delta: float) -> float:
     return high
 
 
+def proposed(row: dict) -> list[dict[str, float]]:
+    """The joint rules that a stratum's tuning counts propose, lax ones first."""
+    rules = []
+    for rate in RATES:
+        rule = {}
+        for signal, cut in CUTOFFS.items():
+            for k, c in enumerate(cut):
+                good, bad = row[f"{signal}_{k}_True"], row[f"{signal}_{k}_False"]
+                if good <= rate * row["n"] and bad > COST * good:
+                    rule[signal] = c
+                    break
+        rules.append(rule)
+    return rules
+
+
 def thresholds(scored: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> dict[str, dict[str, float]]:
-    """The cutoffs of each named stratum and of `other`, by signal; a signal without a safe cutoff is left out. Labelled rows are reduced to counts, one row for each stratum that has enough of them."""
+    """The cutoffs of each named stratum and of `other`, by signal. Labelled rows are reduced to counts, one row for each stratum that has enough of them."""
     known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg((F.avg("quality") >= 0.5).alias("good"))
-    known = scored.where("NOT base_failed").join(known, "doc_id")
-    counts = {f"{s}_{k}_{side}": F.count_if((F.col("good") == side) & (F.col(s) > c)) for s, cut in CUTOFFS.items() for k, c in enumerate(cut) for side in (True, False)}
-    sums = known.groupBy("stratum").agg(F.count_if("good").alias("n"), *(c.alias(name) for name, c in counts.items()))
-    merged = F.when(F.col("n") >= LEAST, F.col("stratum")).otherwise("other")
-    tables = [r.asDict() for r in sums.groupBy(merged.alias("stratum")).agg(*(F.sum(c).alias(c) for c in ("n", *counts))).collect()]
-    tests = len({"other", *(r["stratum"] for r in tables)}) * sum(map(len, CUTOFFS.values()))
-    chosen = {"other": {}}
-    for row in tables:
-        chosen[row["stratum"]] = found = {}
-        for signal, cut in CUTOFFS.items():
-            gain = {c: row[f"{signal}_{k}_False"] - COST * row[f"{signal}_{k}_True"] for k, c in enumerate(cut) if row["n"] and safe(row[f"{signal}_{k}_True"], row["n"], delta / tests, risk)}
-            if gain and max(gain.values()) > 0:
-                found[signal] = max(gain, key=lambda c: (gain[c], c))
+    known = scored.where("NOT base_failed").join(known, "doc_id").withColumn("tuning", F.pmod(F.xxhash64("doc_id"), F.lit(3)) == 0)
+    counts = {f"{s}_{k}_{side}": F.count_if(F.col("tuning") & (F.col("good") == side) & (F.col(s) > c)) for s, cut in CUTOFFS.items() for k, c in enumerate(cut) for side in (True, False)}
+    sums = known.groupBy("stratum").agg(F.count_if("good").alias("all"), F.count_if(F.col("good") & F.col("tuning")).alias("n"), *(c.alias(name) for name, c in counts.items()))
+    merged = F.when(F.col("all") >= LEAST, F.col("stratum")).otherwise("other")
+    tables = {r["stratum"]: r.asDict() for r in sums.groupBy(merged.alias("stratum")).agg(*(F.sum(c).alias(c) for c in ("n", *counts))).collect()}
+    rules = {name: proposed(row) for name, row in tables.items()}
+    if not rules:
+        return {"other": {}}
+    # The holdout's good rows meet the rules of their stratum, of which there are few, each cutoff a column's array over the rules.
+    given = [(name, *([None if (c := r.get(s)) is None else float(c) for r in found] for s in CUTOFFS)) for name, found in rules.items()]
+    table = scored.sparkSession.createDataFrame(given, ", ".join(["named string", *(f"`cut_{s}` array<double>" for s in CUTOFFS)]))
+    names = F.broadcast(table.select(F.col("named").alias("stratum"), F.col("named").alias("own")))
+    held = known.where("good AND NOT tuning").join(names, "stratum", "left").withColumn("named", F.coalesce("own", F.lit("other"))).join(F.broadcast(table), "named")
+    rejected = lambda k: F.array_max(F.array(*(F.coalesce(F.col(s) > F.get(f"cut_{s}", k), F.lit(False)) for s in CUTOFFS)))
+    tests = held.groupBy("named").agg(F.count(F.lit(1)).alias("n"), *(F.count_if(rejected(k)).alias(f"r{k}") for k in range(len(RATES)))).collect()
+    chosen: dict[str, dict[str, float]] = {"other": {}} | {name: {} for name in rules}
+    for row in tests:
+        best = 0
+        for k, rule in enumerate(rules[row["named"]]):
+            if not safe(row[f"r{k}"], row["n"], delta / len(rules), risk):
+                break
+            counts_of = tables[row["named"]]
+            gain = sum(counts_of[f"{s}_{CUTOFFS[s].index(c)}_False"] - COST * counts_of[f"{s}_{CUTOFFS[s].index(c)}_True"] for s, c in rule.items())
+            if gain > best:
+                best, chosen[row["named"]] = gain, rule
     return chosen
 
 

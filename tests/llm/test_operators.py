@@ -273,6 +273,47 @@ def test_bounds_are_exact():
     assert rules.upper_bound(5, 5, 0.05) == 1
 
 
+def test_bounds_of_many_rows_take_no_longer():
+    assert 0.0499 < rules.upper_bound(4_990_000, 100_000_000, 0.05) < 0.05
+    assert rules.safe(4_900_000, 100_000_000, 1e-6, 0.05) and not rules.safe(5_000_000, 100_000_000, 1e-6, 0.05)
+    assert rules.at_most(3, 10, 0.3) == pytest.approx(sum(math.comb(10, k) * 0.3**k * 0.7 ** (10 - k) for k in range(4)))
+
+
+def test_cutoffs_equal_plain_ones_and_hold_their_risk(spark):
+    """Signals of noise and of use, by a plain version of tuning and testing; the whole verdict keeps to the risk on fresh rows."""
+    rng, rows = random.Random(14), []
+    for k in range(3000):
+        good = rng.random() < 0.6
+        rows.append((k, "en" if k % 3 else "fr", good, *(rng.random() * (0.2 if good else 0.6) for _ in range(4)), rng.gauss(6.5 if good else 8, 1)))
+    names = list(rules.CUTOFFS)
+    scored = spark.createDataFrame([(k, lang, False, *x) for k, lang, _, *x in rows], f"doc_id long, stratum string, base_failed boolean, {', '.join(f'`{n}` double' for n in names)}")
+    labels = spark.createDataFrame([(k, int(good)) for k, _, good, *_ in rows], "doc_id long, quality int")
+    chosen = rules.thresholds(scored, labels)
+    tuning = {r.doc_id: r.t for r in scored.select("doc_id", (F.pmod(F.xxhash64("doc_id"), F.lit(3)) == 0).alias("t")).collect()}
+    for lang in ("en", "fr"):
+        own = [(tuning[k], good, dict(zip(names, x))) for k, stratum, good, *x in rows if stratum == lang]
+        good_tune = [x for t, g, x in own if t and g]
+        bad_tune = [x for t, g, x in own if t and not g]
+        held = [x for t, g, x in own if not t and g]
+        best, want = 0, {}
+        for rate in rules.RATES:
+            rule, gain = {}, 0
+            for n in names:
+                for c in rules.CUTOFFS[n]:
+                    g, b = sum(x[n] > c for x in good_tune), sum(x[n] > c for x in bad_tune)
+                    if g <= rate * len(good_tune) and b > 3 * g:
+                        rule[n], gain = c, gain + b - 3 * g
+                        break
+            failures = sum(any(x[n] > c for n, c in rule.items()) for x in held)
+            if rules.upper_bound(failures, len(held), 0.05 / 2) > 0.05:
+                break
+            if gain > best:
+                best, want = gain, rule
+        assert chosen[lang] == want and want
+        fresh = [[rng.random() * 0.2 for _ in range(4)] + [rng.gauss(6.5, 1)] for _ in range(4000)]
+        assert sum(any(dict(zip(names, x))[n] > c for n, c in want.items()) for x in fresh) <= 0.05 * 4000
+
+
 def test_each_language_is_judged_by_its_own_cutoffs(spark):
     """`xx` has enough labels but no safe cutoff for symbols, which the rest has; of twenty languages none is merged."""
     clean, marked = " ".join(f"word{k}" for k in range(60)), " ".join(f"w{k} #" for k in range(60))
