@@ -6,7 +6,9 @@ place; the lines of every later one are marked, overlapping marks merge, and mar
 first of all equal lines is never marked, so no line is lost altogether. Texts of fewer than three
 lines are left alone, null stays null, and a text all of whose lines go becomes empty. Rows with
 the same id but other texts count as different rows, in order of a hash of the text; rows equal in both
-are treated as one and stay together. Columns of the input stay.
+are treated as one and stay together. All work on a text is linear in its lines, so long texts are
+handled whole. An empty table gives an empty one. Columns of the input stay; `n_lines` and `n_removed`
+replace columns so named, and columns whose names begin with two underscores are not allowed to be there.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import checkpointed, documents
 
 SIZE = 3
 
@@ -38,7 +40,8 @@ def marked_lines(df: DataFrame) -> DataFrame:
     """(key, marked): the numbers of the lines of each row that go, counted among lines that are not blank."""
     found = windows(df)
     first = found.groupBy("a", "b").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    later = found.join(first, ["a", "b"]).where(F.col("at") > F.col("first"))
+    # Written first, so that adaptive execution can deal the rows of a very common window to several tasks.
+    later = found.join(checkpointed(first), ["a", "b"]).where(F.col("at") > F.col("first"))
     return later.groupBy("at.key").agg(F.collect_set("at.place").alias("places")).select("key", F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(p, p + SIZE - 1)))).alias("marked"))
 
 
@@ -47,20 +50,16 @@ def dedup_lines(df: DataFrame) -> DataFrame:
     keyed = df.withColumn("__key", F.struct("doc_id", F.xxhash64("text").alias("h")))
     marked = marked_lines(keyed.select(F.col("__key").alias("key"), "text")).toDF("__of", "__marked")
     joined = keyed.join(marked, F.col("__key") == F.col("__of"), "left")
-    lines = F.split("text", "\n")
     blank = lambda line: F.trim(line) == ""
-    # Number of each line among those that are not blank, then the lines that stay.
-    numbered = F.aggregate(
-        lines,
-        F.struct(F.lit(0).alias("n"), F.array().cast("array<string>").alias("kept")),
-        lambda s, line: F.struct(
-            (s["n"] + F.when(blank(line), 0).otherwise(1)).alias("n"),
-            F.when(~blank(line) & F.array_contains("__marked", s["n"]), s["kept"]).otherwise(F.concat(s["kept"], F.array(line))).alias("kept"),
-        ),
-    )
-    cleaned = F.when(F.col("__marked").isNull(), F.col("text")).otherwise(F.array_join(numbered["kept"], "\n"))
+    at = lambda column, k: F.get(F.col(column), k)
+    # Columns of their own, so that a line is looked up in an array that is there once: the lines, the places of those
+    # that are not blank, and what is left of all places without those marked.
+    split = joined.withColumn("__lines", F.split("text", "\n"))
+    split = split.withColumn("__places", F.sequence(F.lit(0), F.size("__lines") - 1)).withColumn("__full", F.filter("__places", lambda k: ~blank(at("__lines", k))))
+    gone = split.withColumn("__gone", F.transform("__marked", lambda k: at("__full", k))).withColumn("__left", F.array_except("__places", "__gone"))
+    cleaned = F.when(F.col("__marked").isNull(), F.col("text")).otherwise(F.array_join(F.transform("__left", lambda k: at("__lines", k)), "\n"))
     rest = [c for c in df.columns if c not in ("text", "n_lines", "n_removed")]
-    return joined.select(*rest, cleaned.alias("text"), F.coalesce(F.size(F.filter(lines, lambda line: ~blank(line))), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("__marked"), F.lit(0)).cast("long").alias("n_removed"))
+    return gone.select(*rest, cleaned.alias("text"), F.coalesce(F.size("__full"), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("__marked"), F.lit(0)).cast("long").alias("n_removed"))
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
