@@ -90,7 +90,8 @@ def near_bits(batch: pa.RecordBatch) -> Near:
 
 def links(distinct: DataFrame) -> DataFrame:
     """(a, b): enough links between distinct fingerprints to connect all that are linked."""
-    spread = distinct.repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    # By a hash of its own and a number, so that neither the planner nor adaptive execution puts the few bytes that become 70 times as many in a few tasks.
+    spread = distinct.repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("fp"))
     return linked(index(spread).withColumnRenamed("fp", "key"), "posting", near_bits, F.lit(1), LIST)
 
 
