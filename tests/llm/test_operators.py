@@ -616,3 +616,42 @@ def test_lists_cut_into_parts_lose_no_link(spark, limit):
         while any(k < least and least - k <= 3 for k in group):
             least = min(k for k in group if least - k <= 3)
         assert roots.get(key, key) == least
+
+
+def plain_tree(rows, dims, shards):
+    """rows: (id, size, group, *measures), cut recursively at the weighted quantile along the widest dimension."""
+    if shards == 1 or not rows:
+        return [rows] * min(shards, 1) + [[]] * (shards - 1)
+    axis = max(range(dims), key=lambda d: (max(r[3 + d] for r in rows) - min(r[3 + d] for r in rows), -d))
+    ordered = sorted(rows, key=lambda r: (r[3 + axis], r[2]))
+    wanted, total, best = sum(r[1] for r in rows) * (shards // 2) / shards, 0, (math.inf, 0)
+    for k in range(len(ordered) + 1):
+        best = min(best, (abs(total - wanted), -k))
+        total += ordered[k][1] if k < len(ordered) else 0
+    at = -best[1]
+    return plain_tree(ordered[:at], dims, shards // 2) + plain_tree(ordered[at:], dims, shards - shards // 2)
+
+
+def test_shards_equal_a_plain_tree(spark):
+    """Rows of one size, which evening out leaves where the tree put them."""
+    rng = random.Random(15)
+    rows = [(k, 10, crc, rng.randrange(1 << 20), rng.randrange(1 << 19)) for k, crc in enumerate(rng.sample(range(1 << 32), 230))]
+    df = spark.createDataFrame(rows, "doc_id long, size long, text_crc32 long, d0 long, d1 long")
+    got = defaultdict(set)
+    for r in sharding.kd_shards(df, ["d0", "d1"], 5).collect():
+        got[r.shard].add(r.doc_id)
+    assert [got[k] for k in range(5)] == [{r[0] for r in part} for part in plain_tree(rows, 2, 5)]
+
+
+def test_shards_are_even_and_keep_groups_whole(spark):
+    rng = random.Random(16)
+    rows = [(k, " ".join("".join(rng.choices("therné", k=rng.randint(1, 8))) for _ in range(rng.choice([5, 20, 80, 400])))) for k in range(1500)]
+    rows += [(2000 + k, rows[7][1]) for k in range(9)]
+    got = sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string"), shards=6).collect()
+    weights, groups = Counter(), defaultdict(set)
+    for r in got:
+        weights[r.shard] += r.size
+        groups[r.text_crc32].add(r.shard)
+    mean = sum(weights.values()) / 6
+    assert len(weights) == 6 and all(abs(w - mean) < 0.005 * mean for w in weights.values())
+    assert all(len(s) == 1 for s in groups.values())
