@@ -7,6 +7,7 @@ Words are maximal runs of bytes other than space and 0x09-0x0D, everywhere in th
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -138,6 +139,19 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> tuple[DataFrame, str]:
+    """The frame as a table in the shared folder, and its path, for results that `discard` removes once they have been used."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a folder in whatever store it lies."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def skew_join(big: DataFrame, small: DataFrame, key: str, how: str = "inner") -> DataFrame:
     """A join of `big` with `small`, which has one row for each key.
 

@@ -2,10 +2,11 @@
 
 A list is searched breadth-first: the members not reached yet are compared with one that is, so a list
 of m gives at most m - 1 links, and a dense one is used up in a few steps. Lists that are too long are
-cut by a hash of the member into parts, which are searched alone. What these links connect need not be
-compared again: of a long list, the members outside its largest component then meet all parts of
-it, and each other. A dense list of n members so costs about n rows, whatever its length; one whose members are
-linked to few others costs up to n * n / limit, and loses no link.
+cut by a hash of the member into parts, of which every two form a list, so that no link is lost and no task
+holds more. With more than `FEW` parts that would be too many rows: such parts are searched alone first. What these
+links connect need not be compared again, so of such a list the members outside its largest component then
+meet all its parts, and each other. A dense list of n members so costs about n rows, whatever its length; one whose
+members are linked to few others costs up to n * n / limit.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 from .common import checkpointed
 from .components import connected_components
 
+FEW = 64
 Near = Callable[[int, np.ndarray], np.ndarray]
 
 
@@ -80,22 +82,29 @@ def linked(rows: DataFrame, group: str, near_of: Callable[[pa.RecordBatch], Near
     part = lambda n: F.pmod(F.xxhash64("key"), n).cast("int")
     payload = [c for c in rows.columns if c != group]
     rows, group = rows.withColumnRenamed(group, "named"), "named"
+    every = lambda n: F.sequence(F.lit(0), n - 1)
+    two = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), F.least(i, j).alias("i"), F.greatest(i, j).alias("j"))
     long = checkpointed(rows.groupBy(group).agg(F.sum(weight).alias("w")).where(F.col("w") > limit).select(group, parts(F.col("w")).alias("parts")))
     if long.isEmpty():
         return search(rows.select(F.col(group).alias("list"), *payload), near_of)
-    cut = rows.join(long, group, "left")
-    alone = F.when(F.col("parts").isNull(), F.col(group)).otherwise(F.xxhash64(group, part(F.col("parts"))))
-    found = checkpointed(search(cut.select(alone.alias("list"), *payload), near_of))
+    cut = rows.join(long, group, "left").withColumn("part", F.coalesce(part(F.col("parts")), F.lit(0)))
+    pairs = F.transform(every(F.col("parts")), lambda k: two(1, k, F.col("part")))
+    alone = F.array(two(1, F.col("part"), F.col("part")))
+    dealt = cut.withColumn("pair", F.explode(F.when(F.coalesce("parts", F.lit(1)).between(2, FEW), pairs).otherwise(alone)))
+    found = search(dealt.select(F.xxhash64(group, "pair").alias("list"), *payload), near_of)
+    long = long.where(F.col("parts") > FEW)
+    if long.isEmpty():
+        return found
+    found = checkpointed(found)
     roots = connected_components(found).withColumnRenamed("node", "key")
     members = rows.join(long.select(group), group).join(roots, "key", "left").withColumn("root", F.coalesce("root", "key")).withColumn("w", weight)
     sizes = members.groupBy(group, "root").agg(F.sum("w").alias("w"))
     heads = sizes.groupBy(group).agg(F.max_by("root", "w").alias("main"), F.max("w").alias("most"), F.sum("w").alias("all")).where(F.col("all") > F.col("most"))
     heads = checkpointed(heads.select(group, "main", parts(F.col("most")).alias("p"), parts(F.col("all") - F.col("most")).alias("q")))
     met = members.join(heads, group)
-    every = lambda n: F.sequence(F.lit(0), n - 1)
     own, other = F.transform(every(F.col("q")), lambda j: F.struct(F.lit(0).alias("kind"), part(F.col("p")).alias("i"), j.alias("j"))), part(F.col("q"))
     across = F.transform(every(F.col("p")), lambda i: F.struct(F.lit(0).alias("kind"), i.alias("i"), other.alias("j")))
-    among = F.transform(every(F.col("q")), lambda k: F.struct(F.lit(1).alias("kind"), F.least(k, other).alias("i"), F.greatest(k, other).alias("j")))
+    among = F.transform(every(F.col("q")), lambda k: two(1, k, other))
     lists = F.when(F.col("root") == F.col("main"), own).otherwise(F.concat(across, among))
-    again = met.withColumn("pair", F.explode(lists)).select(F.xxhash64(group, "pair.kind", "pair.i", "pair.j").alias("list"), *payload)
+    again = met.withColumn("pair", F.explode(lists)).select(F.xxhash64(group, "pair").alias("list"), *payload)
     return found.unionByName(search(again, near_of)).distinct()

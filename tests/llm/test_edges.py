@@ -26,3 +26,14 @@ def test_stages_keep_the_columns_of_documents(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert dict(stage(spark, docs, folder).dtypes) == dict(docs.dtypes)
+
+
+def test_near_copies_with_repeated_and_null_ids(spark):
+    """Of one id's texts only the copy goes; equal rows stay together; rows without an id stay."""
+    text = " ".join(f"word{k}" for k in range(60))
+    near, other = text + " more", " ".join(f"other{k}" for k in range(60))
+    rows = [(1, text), (1, text), (2, near), (2, other), (None, text), (3, other), (4, None), (5, ""), (6, "")]
+    docs = spark.createDataFrame([(d, t, "en", "s", 0) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = dict(corpus_pipeline.STAGES)["SimHash near-dedup"](spark, docs, "").select("doc_id", "text").collect()
+    key = lambda r: (r[0] or 0, r[1] or "")
+    assert sorted(map(tuple, kept), key=key) == sorted([(1, text), (1, text), (2, other), (None, text), (4, None)], key=key)

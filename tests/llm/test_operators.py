@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from loomline.llm import bpe, fingerprints, lm_score, near_copies, packing, pii, quality, rules, sharding, simhash
+from loomline.llm import bpe, fingerprints, lists, lm_score, near_copies, packing, pii, quality, rules, sharding, simhash
 from loomline.llm.components import connected_components
 from loomline.llm.line_dedup import ORACLE_OP7
 from loomline.llm.registry import QUERIES
@@ -596,11 +596,10 @@ def test_near_copies_link_what_brute_force_jaccard_links(spark, monkeypatch, mos
     assert kept == {root(k) for k in range(len(texts))}
 
 
-@pytest.mark.parametrize("limit", [8, 1024])
-def test_lists_cut_into_parts_lose_no_link(spark, limit):
+@pytest.mark.parametrize("limit, few", [(8, 64), (8, 3), (1024, 64)])
+def test_lists_cut_into_parts_lose_no_link(spark, monkeypatch, limit, few):
     """Numbers at most 3 apart are linked; one list is a dense chain, one is loose, and some members lie in several lists."""
-    from loomline.llm import lists
-
+    monkeypatch.setattr(lists, "FEW", few)
     rng = random.Random(7)
     members = [("dense", k) for k in range(60)] + [("loose", 1000 + 5 * k) for k in range(40)] + [("mixed", rng.randrange(2000, 2200)) for _ in range(50)] + [("small", 3007), ("small", 3009)]
     rows = spark.createDataFrame(sorted(set(members)), "name string, key long")
