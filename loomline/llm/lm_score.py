@@ -7,14 +7,17 @@ log space adds their probabilities. The pieces' weights start from the vocabular
 distinct words gives each piece's expected count. Each word counts once there, as spellings serve
 for words that are new or rare.
 
-A word of the training texts is also one arc of its own lattice, weighted by its count c less
-`DISCOUNT`; the mass so set free goes to the spellings, so probabilities of all tokens sum to one:
-P(w) = max(c - DISCOUNT, 0) / N + DISCOUNT * V / N * spelling(w). Without training texts, P(w) is
+A word of the training texts is also one arc of its own lattice, weighted by its count c less a
+discount d; the mass so set free goes to the spellings, so probabilities of all tokens sum to one:
+P(w) = max(c - d, 0) / N + d * V / N * spelling(w). (Over all words the spellings sum to one: a word
+goes on until the next piece begins with the mark.) The discount is the leave-one-out estimate
+n1 / (n1 + 2 n2) from the numbers of words seen once and twice. Without training texts, P(w) is
 the spelling's. The end's share of the spellings is `END_SHARE`.
 
 Counts of words come from all training texts. The `FREQUENT` commonest words (a fixed bound) go to
 all tasks; every other word of a text meets its count in a join. Null is the empty text, which is
-one end. Rows that repeat are scored each. An empty table gives no rows.
+one end. Long texts are scored whole. Rows that repeat are scored each. An empty table gives no rows. Columns other
+than doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -34,7 +37,7 @@ from pyspark.sql import functions as F
 from .common import checkpointed, doc_crc, documents, slices
 
 VOCABULARY = "piece_bpe_32k.model"
-FREQUENT, DISCOUNT, END_SHARE, HELD = 1 << 17, 0.75, 0.01, 400_000
+FREQUENT, END_SHARE, HELD = 1 << 17, 0.01, 400_000
 END = "\n"  # no word has a line feed
 MARK = "▁".encode().decode("latin-1")
 
@@ -193,25 +196,31 @@ def least_count(counts: DataFrame, most: int) -> int:
     return least
 
 
+def discounted(once: int, twice: int) -> float:
+    """The discount by leaving each token out in turn, kept off its bounds."""
+    return min(max(once / max(once + 2 * twice, 1), 0.1), 0.9)
+
+
 def score(df: DataFrame, training, vocabulary: str = VOCABULARY, frequent: int = FREQUENT) -> DataFrame:
     """Scores of all texts; `training` is the condition that picks the rows to learn from."""
     spark = df.sparkSession
     counts = checkpointed(word_counts(df.where(training)))
-    n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).head()
+    n, v, once, twice = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1)), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).head()
+    discount = discounted(once, twice)
     top = counts.where((F.col("word") != END) & (F.col("c") >= least_count(counts, frequent))).toPandas()
     ends = counts.where(F.col("word") == END).select("c").head()
     ends = ends.c if ends else 0
     shared = spark.sparkContext.broadcast((top["word"].str.encode("utf-8").tolist(), top["c"].to_numpy(np.int64), piece_weights(counts, vocabulary)))
-    free = DISCOUNT * v / n if n else 1.0
+    free = discount * v / n if n else 1.0
     divisor = n + 0.1 * (v + 1)
     end_base = float(np.log10((ends + 0.1) / divisor))
-    end_score = float(np.log10(max(ends - DISCOUNT, 0) / max(n, 1) + free * END_SHARE))
+    end_score = float(np.log10(max(ends - discount, 0) / max(n, 1) + free * END_SHARE))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spelling, (words, c, weight) = lattice(vocabulary), shared.value
         place = {w: k for k, w in enumerate(words)}
         spell = spelling.marginals([spelt(w) for w in words], weight) / np.log(10) + np.log10(1 - END_SHARE)
-        base, own = np.log10((c + 0.1) / divisor), np.log10(np.maximum(c - DISCOUNT, 0) / max(n, 1) + free * 10**spell)
+        base, own = np.log10((c + 0.1) / divisor), np.log10(np.maximum(c - discount, 0) / max(n, 1) + free * 10**spell)
         for batch in (s for b in batches for s in slices(b, "text")):
             rows: list[tuple] = []
             for row, doc, text in zip(*(batch.column(k).to_pylist() for k in ("row", "doc_id", "text")), strict=True):
@@ -235,7 +244,7 @@ def score(df: DataFrame, training, vocabulary: str = VOCABULARY, frequent: int =
             spell = spelling.marginals([spelt(w) for w in words.dictionary.to_pylist()], weight)[words.indices.to_numpy()] / np.log(10) + np.log10(1 - END_SHARE)
             tf = columns["tf"].take(pa.array(rare)).to_numpy()
             c = columns["c"].take(pa.array(rare)).fill_null(0).to_numpy(zero_copy_only=False)
-            own = np.where(c > 0, np.log10(np.maximum(c - DISCOUNT, 0.25) / max(n, 1) + free * 10**spell), np.log10(free) + spell)
+            own = np.where(c > 0, np.log10(np.maximum(c - discount, 0) / max(n, 1) + free * 10**spell), np.log10(free) + spell)
             for name, value in (("known", np.where(c > 0, tf, 0)), ("base", tf * np.log10((c + 0.1) / divisor)), ("own", tf * own)):
                 full = columns[name].fill_null(0).to_numpy(zero_copy_only=False).copy()
                 full[rare] = value

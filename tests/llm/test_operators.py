@@ -219,6 +219,47 @@ def test_op5(spark, corpus, folder):
         assert r.score < 0
 
 
+def test_op5_scores_equal_a_plain_model_that_sums_to_one(spark, corpus, folder):
+    c = Counter()
+    tokens = {d: [*lowered(t).encode().split(), b"\n"] for d, t, *_ in corpus}
+    for d, found in tokens.items():
+        if zlib.crc32(str(d).encode()) % 10:
+            c.update(found)
+    n, v = sum(c.values()), len(c)
+    once, twice = (sum(x == k for x in c.values()) for k in (1, 2))
+    discount = min(max(once / (once + 2 * twice), 0.1), 0.9)
+    free = discount * v / n
+    lattice = lm_score.lattice(lm_score.VOCABULARY)
+    learnt = [w for w in c if w != b"\n"]
+    used = 0.1 + lattice.expected([lm_score.spelt(w) for w in learnt], np.ones(len(learnt)), lattice.start)
+    weight = np.log(used / used.sum())
+    assert np.exp(weight).sum() == pytest.approx(1) and sum(x - discount for x in c.values()) / n + free == pytest.approx(1)
+    every = sorted({w for found in tokens.values() for w in found if w != b"\n"})
+    spelling = dict(zip(every, 0.99 * np.exp(lattice.marginals([lm_score.spelt(w) for w in every], weight)))) | {b"\n": 0.01}
+    p = {w: max(c[w] - discount, 0) / n + free * s for w, s in spelling.items()}
+    for r in QUERIES["op5_lm_score"](spark, folder).collect():
+        want = sum(math.log10(p[w]) for w in tokens[r.doc_id] if p[w] > 1e-300)
+        if all(p[w] > 1e-300 for w in tokens[r.doc_id]):
+            assert r.score == pytest.approx(want, rel=1e-9)
+
+
+def test_spellings_sum_to_one():
+    """Of all words of up to so many bytes: the mass of those spelt by pieces of a small vocabulary, by enumeration, and what is left over for longer ones."""
+    lattice = lm_score.lattice(lm_score.VOCABULARY)
+    size = np.zeros(len(lattice.start))
+    marked = np.zeros(len(lattice.start), bool)
+    for word, value in lattice.automaton.items():
+        size[value >> 8] = value & 0xFF
+        marked[value >> 8] = word.startswith(lm_score.MARK)
+    p = np.exp(lattice.start)
+    first = np.bincount((size[marked] - 3).astype(int), p[marked], 500)
+    more = np.bincount(size[~marked].astype(int), p[~marked], 500)
+    mass = first.copy()
+    for n in range(500):
+        mass[n] += sum(mass[n - k] * more[k] for k in range(1, min(n, 60) + 1))
+    assert 0.9 < mass.sum() <= 1 + 1e-9
+
+
 def test_rare_words_meet_the_same_score_as_frequent_ones(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
     few, many = ({r.doc_id: r for r in lm_score.score(docs, F.col("doc_id") % 5 > 0, frequent=k).collect()} for k in (3, 1 << 17))
