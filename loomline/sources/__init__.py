@@ -62,7 +62,7 @@ def read_keyed_directory(spark: SparkSession, path: str, schema: str, pattern: s
 
 
 def file_inventory(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """(name, length, sha256) of all files under a folder, named by their path in it; a file name that occurs twice is an error. Each file is read whole by one task."""
+    """(name, length, sha256) of all files under a folder, named by their path in it; a file name that occurs twice is an error. Each file is read whole by one task; the source passes over empty files."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
     stem = F.regexp_extract("path", r"([^/]+)$", 1)
     checks.assert_empty(checks.duplicate_keys(files.select(stem.alias("name")), "name"), "file names repeat")

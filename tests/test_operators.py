@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from loomline import sources
 from loomline.operators import checks, resample, timeline, windows
 from loomline.operators.scores import fill_inventory
-from loomline.plans.q_rows import parse_cells
+from loomline.plans.q_rows import parse_cells, range_shard
 from loomline.plans.q_scores import remaining_tasks
 
 
@@ -118,9 +118,11 @@ def greedy(p, t, tolerance):
 
 
 def test_greedy_match(spark):
+    """Dense and sparse series, ties in time and distance, series with one side only."""
     rng, rows, want = random.Random(5), [], {}
-    for s in range(8):
-        p, t = ([rng.randrange(60) for _ in range(rng.randrange(12))] for _ in range(2))
+    for s in range(30):
+        span = rng.choice([12, 60, 400])
+        p, t = ([rng.randrange(span) for _ in range(rng.randrange(40))] for _ in range(2))
         if p or t:
             want[s] = greedy(p, t, 4)
         rows += [(s, "p", float(x), k) for k, x in enumerate(p)] + [(s, "t", float(x), k) for k, x in enumerate(t)]
@@ -152,3 +154,113 @@ def test_steady_states_are_optimal(spark):
 def test_cells_that_are_no_numbers_are_null(spark):
     df = spark.createDataFrame([("8",), ("8-0,3",), ("x",), ("1-",), (None,)], "c string")
     assert [r.g for r in df.select(parse_cells("c").alias("g")).collect()] == [[[8]], [[8, 0], [3]], None, None, None]
+
+
+def test_file_inventory_equals_hashes_taken_by_hand(spark, tmp_path):
+    import hashlib
+
+    (tmp_path / "deep" / "er").mkdir(parents=True)
+    files = {"a.bin": b"a", "deep/b.bin": b"\0x" * 999, "deep/er/c.bin": "é".encode()}
+    for name, content in files.items():
+        (tmp_path / name).write_bytes(content)
+    rows = sources.file_inventory(spark, str(tmp_path), "*.bin").collect()
+    assert {(r.name, r.length, r.sha256) for r in rows} == {(n, len(c), hashlib.sha256(c).hexdigest()) for n, c in files.items()}
+    (tmp_path / "a.bin").rename(tmp_path / "deep" / "er" / "b.bin")
+    with pytest.raises(checks.CheckFailed):
+        sources.file_inventory(spark, str(tmp_path), "*.bin")
+
+
+def test_ranks_over_blocks_of_blocks(spark):
+    rng = random.Random(21)
+    keys = sorted(rng.sample(range(-500, 3000), 400)) + [7, 7]
+    rows = windows.ranked(spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "k long, i long"), "k", "i", block=8).collect()
+    assert {(r.k, r.i): r["rank"] for r in rows} == {pair: at for at, pair in enumerate(sorted((k, i) for i, k in enumerate(keys)))}
+
+
+def test_shards_of_ranks(spark):
+    df = spark.createDataFrame([(k * 3,) for k in range(10)], "k long")
+    assert sorted(r.k for r in range_shard(df, "k", 8, 10).collect()) == [24, 27]
+    for first, last in ((3, 3), (-1, 2), (8, 11)):
+        with pytest.raises(checks.CheckFailed):
+            range_shard(df, "k", first, last)
+
+
+def test_thinning_equals_a_plain_loop(spark):
+    rng, rows, want = random.Random(22), [], set()
+    for s in range(6):
+        values = sorted(rng.choice([rng.uniform(0, 50), float(rng.randrange(50))]) for _ in range(rng.randrange(60)))
+        last = None
+        for x in values:
+            if last is None or x - last >= 2.5:
+                want.add((s, x))
+                last = x
+        rows += [(s, x) for x in values]
+    got = windows.thin(spark.createDataFrame([*rows, (None, 1.0), (1, None)], "s long, x double"), "s", "x", 2.5).collect()
+    assert {(r.s, r.x) for r in got} == want and len(got) == len(want)
+
+
+def plain_chunks(rows, size, stride, fps, length, annotated):
+    out, start = [], 0
+    while start < len(rows):
+        frame = int(rows[start][0] * fps)
+        last = start
+        while last + 1 < len(rows) and rows[last + 1][1] <= (frame + size) / fps:
+            last += 1
+        out.append((start, last, frame, min(int(rows[last][1] * fps), length)))
+        later = [k for k in range(start + 1, len(rows)) if rows[k][0] >= rows[start][0] + stride]
+        if not later and (annotated or last == len(rows) - 1):
+            break
+        start = later[0] if later else last + 1
+    return out
+
+
+def test_chunks_equal_a_plain_loop(spark):
+    """Over several Arrow batches too, so that chunks are decided before a series ends."""
+    rng, rows, want = random.Random(23), [], {}
+    for s in range(12):
+        t, own = 0.0, []
+        for _ in range(rng.randrange(1, 80)):
+            step = rng.choice([0.3, 1.0, 2.5, 9.0])
+            own.append((t, t + step))
+            t += step
+        length, annotated = int(t * 10) - rng.randrange(5), s % 2 == 0
+        want[s] = plain_chunks(own, 60, 3.0, 10.0, length, annotated)
+        rows += [(s, k, a, b, length, annotated) for k, (a, b) in enumerate(own)]
+    df = spark.createDataFrame(rows, "s long, k long, a double, b double, len long, ann boolean")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        found = windows.budget_chunks(df, "s", "k", "a", "b", 60, 3.0, 10.0, "len", "ann").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert {s: sorted((r.first, r.last, r.start_frame, r.end_frame) for r in found if r.s == s) for s in want} == want
+
+
+def test_scorers_that_hang_are_timed_out(spark):
+    import time
+
+    def scorer(a, b):
+        time.sleep(5 if a == "slow" else 0)
+        return 1.0
+
+    df = spark.createDataFrame([(1, "slow", ""), (2, "x", "")], "k long, a string, b string")
+    rows = {r.k: (r.status, r.score) for r in df.mapInPandas(timeline.score_pairs(scorer, 0.5), "k long, status string, score double, message string").collect()}
+    assert rows == {1: ("timeout", None), 2: ("success", 1.0)}
+
+
+def test_draws_without_observations_are_errors(spark):
+    totals = spark.createDataFrame([("A", w, float(w == 5), int(w == 5)) for w in range(12)], "system string, work_id long, s double, c long")
+    with pytest.raises(Exception, match="no observations"):
+        resample.replicates(totals, 50, "1").collect()
+    assert resample.empty_sums(totals, 50, "1").count() > 0
+
+
+def test_streamed_results_keep_each_key_once(spark, tmp_path):
+    from loomline.streaming import append_results
+
+    schema, folder = "k long, v string", str(tmp_path / "in")
+    spark.createDataFrame([(k, "a") for k in range(50)], schema).repartition(5).write.parquet(folder)
+    append_results(spark, folder, str(tmp_path / "out"), str(tmp_path / "state"), spark.createDataFrame([], schema).schema, "k")
+    spark.createDataFrame([(k, "b") for k in range(40, 60)], schema).repartition(3).write.mode("append").parquet(folder)
+    rows = append_results(spark, folder, str(tmp_path / "out"), str(tmp_path / "state"), spark.createDataFrame([], schema).schema, "k").collect()
+    assert {r.k: r.v for r in rows} == {k: "a" if k < 50 else "b" for k in range(60)} and len(rows) == 60
