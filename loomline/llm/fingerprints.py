@@ -10,7 +10,8 @@ probability equal to their generalised Jaccard similarity, however long they are
 32 bits of a hash of the least value make up the slot. No words: every slot is zero, which equals only itself.
 
 Null counts as the empty text. Equal texts have equal fingerprints. Rows that repeat, and ties
-in the id, are kept; the next document is then the next row in order of id and text.
+in the id, are kept; the next document is then the next row in order of id and text. Long texts are read whole. An
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -19,14 +20,15 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import BASE, documents, keep_types, mix, slices, span_hash, text_bytes, windows_hash, word_spans
 
 SHINGLE, SLOTS = 5, 128
-BLOCK_ROWS, MOST_BLOCKS, STEP = 4000, 4096, 64  # rows in a range of ids, where that makes no more ranges than this
+BLOCK_ROWS, COARSE, MOST_BLOCKS = 4000, 4096, 1 << 20  # rows in a range of ids, ranges of the first cut, and of all
 
 
 def bags(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -94,21 +96,38 @@ def likenesses(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a == b).mean(axis=1)
 
 
+def id_cuts(ids: DataFrame) -> np.ndarray:
+    """Ids that cut their order in ranges of about `BLOCK_ROWS` rows: at most `COARSE` quantiles, and where these are too few as many again in each of their ranges, up to 2**20 in all."""
+    blocks = min(-(-ids.count() // BLOCK_ROWS), MOST_BLOCKS)
+    inner = lambda n: F.percentile_approx("doc_id", [k / n for k in range(1, n)], 20_000).alias("at")
+    if blocks < 2:
+        return np.zeros(0, np.int64)
+    cuts = np.unique(np.array(ids.agg(inner(min(blocks, COARSE))).head()["at"] or [], np.int64))
+    within = -(-blocks // COARSE)
+    if within > 1:
+        parts = ids.where(F.col("doc_id").isNotNull()).groupBy(range_number(ids, cuts).alias("part")).agg(inner(within)).collect()
+        cuts = np.unique(np.concatenate([cuts, *(np.array(r["at"], np.int64) for r in parts)]))
+    return cuts
+
+
+def range_number(df: DataFrame, cuts: np.ndarray) -> Column:
+    """How many cuts lie below a row's id; 0 without an id. Only the ids go to Python."""
+    shared = df.sparkSession.sparkContext.broadcast(cuts)
+
+    def number(ids: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(shared.value, ids.to_numpy(), side="left").astype(np.int32))
+
+    return F.pandas_udf(number, "int")(F.coalesce("doc_id", F.lit(-(1 << 63))))
+
+
 def in_id_order(df: DataFrame) -> DataFrame:
     """(doc_id, text, block, guest) dealt by ranges of the id and sorted, so that each row's successor follows it.
 
     A guest is a copy of the next range's first row (after the last range: of the first) that
     closes a range; if several rows tie for it, the first counts. Only quantiles of the ids and
-    each range's least id reach the driver. Null ids come first.
+    each range's least id reach the driver, at most 2**20 of each. Null ids come first.
     """
-    ids = df.select("doc_id")
-    seen = ids.agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("doc_id", [k / MOST_BLOCKS for k in range(1, MOST_BLOCKS)], 20_000).alias("at")).head()
-    blocks = max(1, min(MOST_BLOCKS, seen.n // BLOCK_ROWS))
-    cuts = sorted({int(seen["at"][k * MOST_BLOCKS // blocks - 1]) for k in range(1, blocks)}) if seen["at"] else []
-    fine, coarse = F.lit(cuts).cast("array<long>"), F.lit(cuts[STEP - 1 :: STEP]).cast("array<long>")
-    above = lambda at: F.size(F.filter(at, lambda c: F.col("doc_id") > c))
-    dealt = df.select("doc_id", "text", F.coalesce(above(coarse) * STEP, F.lit(0)).alias("block"))
-    dealt = dealt.withColumn("block", F.coalesce(F.col("block") + above(F.slice(fine, F.col("block") + 1, STEP)), F.lit(0)))
+    dealt = df.select("doc_id", "text", range_number(df, id_cuts(df.select("doc_id"))).alias("block"))
     heads = dealt.groupBy("block").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("some"), "doc_id"))["doc_id"].alias("doc_id"))
     heads = sorted(heads.collect())
     guests = [(heads[k - 1].block, h.doc_id) for k, h in enumerate(heads)]

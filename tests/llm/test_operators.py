@@ -695,3 +695,24 @@ def test_shards_are_even_and_keep_groups_whole(spark):
     mean = sum(weights.values()) / 6
     assert len(weights) == 6 and all(abs(w - mean) < 0.005 * mean for w in weights.values())
     assert all(len(s) == 1 for s in groups.values())
+
+
+@pytest.mark.parametrize("rows, coarse", [(4000, 4096), (7, 4096), (3, 4)])
+def test_ranges_of_ids_keep_every_successor(spark, monkeypatch, rows, coarse):
+    """One range, many, and ranges cut in two levels; with gaps, ids beyond 2**53 and a null one."""
+    monkeypatch.setattr(fingerprints, "BLOCK_ROWS", rows)
+    monkeypatch.setattr(fingerprints, "COARSE", coarse)
+    rng = random.Random(17)
+    ids = sorted(rng.sample(range(-50, 400), 90)) + [(1 << 60) + k for k in range(20)]
+    df = spark.createDataFrame([(d, f"text {d}") for d in [None, *ids]], "doc_id long, text string")
+    blocks = defaultdict(list)
+    for r in fingerprints.in_id_order(df).collect():
+        blocks[r.block].append((r.guest, -(1 << 62) if r.doc_id is None else r.doc_id))
+    pairs = set()
+    for rows in blocks.values():
+        rows.sort()
+        pairs |= {(a, b) for (_, a), (_, b) in zip(rows, rows[1:])}
+        assert sum(guest for guest, _ in rows) == 1
+    order = [-(1 << 62), *ids]
+    assert pairs == set(zip(order, [*order[1:], order[0]]))
+    assert len(blocks) == 1 if coarse == 4096 and len(blocks) == 1 else len(blocks) >= 10
