@@ -197,12 +197,42 @@ def test_op4_learns_from_permitted_labels_only(spark, tmp_path):
 
 
 def test_the_temperature_calibrates():
+    """It is the best of its grid on the held-out fifth, and probabilities of fresh rows match what happens."""
     rng = np.random.default_rng(1)
-    x = rng.normal(size=(4000, 4))
-    y = (rng.random(4000) < 1 / (1 + np.exp(-2 * x[:, 0]))).astype(int)
-    network = quality.Network(x, y, np.arange(4000) % 5 == 0)
-    p = network(rng.normal(size=(4000, 4)))
-    assert 0.3 < p.mean() < 0.7 and network.temperature > 0.5
+    draw = lambda n: (x := rng.normal(size=(n, 4)), (rng.random(n) < 1 / (1 + np.exp(-2 * x[:, 0]))).astype(int))
+    x, y = draw(4000)
+    held = np.arange(4000) % 5 == 0
+    network = quality.Network(x, y, held)
+    loss = lambda t: np.logaddexp(0, np.where(y[held] > 0, -1, 1) * network.logits(x[held]) / t).mean()
+    assert loss(network.temperature) == min(map(loss, quality.TEMPERATURES))
+    x, y = draw(20_000)
+    p = network(x)
+    bins = np.minimum((p * 10).astype(int), 9)
+    error = sum(abs(p[bins == k].mean() - y[bins == k].mean()) * (bins == k).mean() for k in range(10) if (bins == k).any())
+    assert error < 0.05
+
+
+def test_vectors_equal_plain_random_indexing(spark, corpus):
+    """Vectors of words from their neighbours, and pooled documents, by loops."""
+    index, sums, texts = quality.index_vectors(), defaultdict(lambda: np.zeros(quality.WIDTH)), [t or "" for _, t, *_ in corpus[:40]] + ["a b... c\n\nb", ""]
+    bucket = lambda token: int(quality.tokens(pa.array([token]))[0][0])
+    cut = [[bucket(t) for t in re.findall(r"[0-9A-Za-z\x80-\U0010ffff]+|[^0-9A-Za-z\x80-\U0010ffff \t\n\x0b\x0c\r]+", text)] for text in texts]
+    for tokens in cut:
+        for k, b in enumerate(tokens):
+            for j in range(max(0, k - quality.REACH), min(len(tokens), k + quality.REACH + 1)):
+                if j != k:
+                    sums[b] += index[tokens[j]]
+    vectors = quality.word_vectors(spark.createDataFrame([(t,) for t in texts], "text string"))
+    for b, total in sums.items():
+        assert np.allclose(vectors[b, : quality.WIDTH], total / max(np.linalg.norm(total), 1e-9), atol=1e-5)
+    pooled = quality.pooled(*quality.tokens(pa.array(texts)), vectors)
+    for tokens, row in zip(cut, pooled):
+        if tokens:
+            assert np.allclose(row[:-3], vectors[tokens].sum(axis=0) / (len(tokens) + quality.SHRINK), atol=1e-5)
+            again = sum(a == b for a, b in zip(tokens, tokens[1:]))
+            assert np.allclose(row[-3:], [math.log1p(len(tokens)), 1 - len(set(tokens)) / len(tokens), again / len(tokens)], atol=1e-5)
+        else:
+            assert not row.any()
 
 
 def test_op5(spark, corpus, folder):
