@@ -13,10 +13,13 @@ replace columns so named, and columns whose names begin with two underscores are
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, documents
+from .common import checkpointed, documents, keep_types, slices
 
 SIZE = 3
 
@@ -45,21 +48,32 @@ def marked_lines(df: DataFrame) -> DataFrame:
     return later.groupBy("at.key").agg(F.collect_set("at.place").alias("places")).select("key", F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(p, p + SIZE - 1)))).alias("marked"))
 
 
+def without(text: str | None, marked: list[int] | None) -> tuple[str | None, int, int]:
+    """A text without its marked lines, the number of its lines that are not blank, and of those that went."""
+    if text is None:
+        return None, 0, 0
+    lines = text.split("\n")
+    full = [k for k, line in enumerate(lines) if line.strip(" ")]
+    if not marked:
+        return text, len(full), 0
+    gone = {full[k] for k in marked}
+    return "\n".join([line for k, line in enumerate(lines) if k not in gone]), len(full), len(gone)
+
+
 def dedup_lines(df: DataFrame) -> DataFrame:
     """The input with cleaned texts, the number of lines that are not blank and of those removed."""
     keyed = df.withColumn("__key", F.struct("doc_id", F.xxhash64("text").alias("h")))
     marked = marked_lines(keyed.select(F.col("__key").alias("key"), "text")).toDF("__of", "__marked")
-    joined = keyed.join(marked, F.col("__key") == F.col("__of"), "left")
-    blank = lambda line: F.trim(line) == ""
-    at = lambda column, k: F.get(F.col(column), k)
-    # Columns of their own, so that a line is looked up in an array that is there once: the lines, the places of those
-    # that are not blank, and what is left of all places without those marked.
-    split = joined.withColumn("__lines", F.split("text", "\n"))
-    split = split.withColumn("__places", F.sequence(F.lit(0), F.size("__lines") - 1)).withColumn("__full", F.filter("__places", lambda k: ~blank(at("__lines", k))))
-    gone = split.withColumn("__gone", F.transform("__marked", lambda k: at("__full", k))).withColumn("__left", F.array_except("__places", "__gone"))
-    cleaned = F.when(F.col("__marked").isNull(), F.col("text")).otherwise(F.array_join(F.transform("__left", lambda k: at("__lines", k)), "\n"))
     rest = [c for c in df.columns if c not in ("text", "n_lines", "n_removed")]
-    return gone.select(*rest, cleaned.alias("text"), F.coalesce(F.size("__full"), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("__marked"), F.lit(0)).cast("long").alias("n_removed"))
+    joined = keyed.join(marked, F.col("__key") == F.col("__of"), "left").select(*rest, "text", "__marked")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (s for b in batches for s in slices(b, "text")):
+            found = [without(t, m) for t, m in zip(batch.column("text").to_pylist(), batch.column("__marked").to_pylist(), strict=True)]
+            columns = [pa.array(c, t) for c, t in zip(zip(*found), (pa.string(), pa.int64(), pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*map(batch.column, rest), *columns], names=[*rest, "text", "n_lines", "n_removed"])
+
+    return joined.mapInArrow(run, keep_types(df.select(*rest), "text string", "n_lines long", "n_removed long"))
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,7 +38,7 @@ LENGTH = 4096
 AXES, BITS = 3, 10
 RANGE_BYTES, MOST_RANGES = 2 << 20, 1 << 20
 SALT, CELL = 31, 10  # bits of the hash below a place on the curve; a part of the curve has 2**CELL cells
-SLICE = 1 << 21  # bytes of text at a time
+SLICE = 1 << 20  # bytes of text at a time
 
 
 class WordIds:
