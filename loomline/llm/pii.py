@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import documents, keep_types, slices
 
 KINDS = ("email", "ip", "card", "phone")
-SAMPLE, REGIONS, LONGEST, WIDEST, SURE, EPOCHS, SIZE = 600, 50, 18, 64, 0.8, 4, 1 << 13
+SAMPLE, REGIONS, LONGEST, WIDEST, SURE, EPOCHS, SIZE = 400, 20, 18, 64, 0.8, 4, 1 << 13
 AFTER_AT = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 # A match can only begin at the beginning of a run of digits, so runs are entered once.
@@ -96,7 +96,7 @@ def shape(token: str) -> str:
     return f"d{min(len(token), 7)}" if token[0] in "0123456789" else "a" if token[0].isalpha() else "s" if token.isspace() else token
 
 
-def candidates(text: str, tokens: list[str], starts: list[int]) -> list[tuple[int, int, list[int]]]:
+def candidates(text: str, tokens: list[str], starts: list[int]) -> list[tuple[int, int, np.ndarray]]:
     """(first token, token after the last, feature numbers) of each span that may be an entity."""
     shapes, out = [shape(t) for t in tokens], []
     for i, head in enumerate(tokens):
@@ -129,7 +129,7 @@ def candidates(text: str, tokens: list[str], starts: list[int]) -> list[tuple[in
                 f"tokens {j + 1 - i}",
                 "any",
             ]
-            out.append((i, j + 1, [xxhash.xxh32_intdigest(x) % SIZE for x in names]))
+            out.append((i, j + 1, np.array([xxhash.xxh32_intdigest(x) % SIZE for x in names], np.uint16)))
     return out
 
 
@@ -140,7 +140,7 @@ class Field:
         self.weight = np.zeros((SIZE, len(KINDS)))
         self.weight[xxhash.xxh32_intdigest("any") % SIZE] = -2.0
 
-    def sums(self, n: int, spans: list[tuple[int, int, list[int]]], scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def sums(self, n: int, spans: list[tuple[int, int, np.ndarray]], scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Forward and backward log sums at the gaps between n tokens."""
         ends: dict[int, list[int]] = {}
         heads: dict[int, list[int]] = {}
@@ -159,7 +159,7 @@ class Field:
                 backward[i] = np.logaddexp(backward[i], backward[spans[k][1]] + whole[k])
         return forward, backward
 
-    def scores(self, spans: list[tuple[int, int, list[int]]]) -> np.ndarray:
+    def scores(self, spans: list[tuple[int, int, np.ndarray]]) -> np.ndarray:
         return np.stack([self.weight[f].sum(axis=0) for _, _, f in spans])
 
     def posterior(self, n: int, spans: list, scores: np.ndarray) -> np.ndarray:

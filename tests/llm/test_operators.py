@@ -540,7 +540,7 @@ def test_the_field_equals_an_enumeration_of_all_segmentations(field):
     for text in ("a (743) 555-3824 b", "x 10[.]2 7 y", "1 (22) 333-4444"):
         tokens, _ = pii.region_tokens(text, 0, len(text))
         spans = [s for s in pii.candidates(text, tokens, pii.region_tokens(text, 0, len(text))[1])]
-        spans = sorted(rng.sample(spans, min(len(spans), 7)))
+        spans = sorted(rng.sample(spans, min(len(spans), 7)), key=lambda s: s[:2])
         scores = field.scores(spans)
 
         def paths(at):
