@@ -60,9 +60,9 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = 1 << 20) -> Iterator
         start = stop
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end byte of every word, and for each row the index of its first word (one more at the end)."""
-    word = IS_WORD[data]
+def word_spans(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray = IS_WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end byte of every word, a maximal run of the bytes that `kind` marks, and for each row the index of its first word (one more at the end)."""
+    word = kind[data]
     inner = np.zeros(len(word), bool)
     inner[1:] = word[:-1]
     inner[offsets[:-1][offsets[:-1] < len(word)]] = False
