@@ -301,3 +301,28 @@ def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = dedup_bytes(documents(spark, sf_dir).select("doc_id", "text"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
     return found.select("doc_id", (F.octet_length("kept") + removed).cast("long").alias("n_bytes"), removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLE_OP12 = """
+WITH doc AS (
+  SELECT doc_id, coalesce(hex(encode(text)), '') AS h FROM documents
+), win AS (
+  SELECT doc_id, UNNEST(range(0, (length(h) // 2 - 199)::BIGINT)) AS p, h FROM doc WHERE length(h) >= 400
+), hashed AS (
+  SELECT doc_id, p, md5_number(substring(h, 2 * p + 1, 400)) AS w FROM win
+), again AS (
+  SELECT doc_id, p FROM (SELECT doc_id, p, count(*) OVER (PARTITION BY w) AS n FROM hashed) WHERE n > 1
+), island AS (
+  SELECT doc_id, p, sum((p - before > 200 OR before IS NULL)::INT) OVER (PARTITION BY doc_id ORDER BY p) AS k
+  FROM (SELECT doc_id, p, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS before FROM again)
+), span AS (
+  SELECT doc_id, k, min(p) AS a, max(p) + 200 AS b FROM island GROUP BY doc_id, k
+), gap AS (
+  SELECT doc_id, b AS a, lead(a) OVER (PARTITION BY doc_id ORDER BY a, k) AS b FROM (SELECT * FROM span UNION ALL SELECT doc_id, -1, 0, 0 FROM doc)
+), kept AS (
+  SELECT doc_id, string_agg(substring(h, 2 * a + 1, 2 * (coalesce(b, length(h) // 2) - a)), '' ORDER BY a) AS h FROM gap JOIN doc USING (doc_id) GROUP BY doc_id
+)
+SELECT d.doc_id, (length(d.h) // 2)::BIGINT AS n_bytes, ((length(d.h) - length(k.h)) // 2)::BIGINT AS n_removed,
+  (SELECT count(*) FROM span s WHERE s.doc_id = d.doc_id)::BIGINT AS n_spans, sha256(unhex(k.h)) AS kept_sha256
+FROM doc d JOIN kept k USING (doc_id)
+"""

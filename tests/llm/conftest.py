@@ -3,6 +3,9 @@ import random
 import pytest
 
 TYPES = "doc_id long, text string, lang string, source string, n_chars long"
+ITEM, TURN = "item_id long, text string", "conv_id long, turn long, role string, text string"
+ITEMS = [(1, "the on Theran the"), (2, None), (3, ""), (None, "word one"), (5, "xyzzyx-Qqqq"), (6, "Ünï 漢字 a")]
+TURNS = [(c, t, ["user", "assistant", None][(c + t) % 3], f"turn {c // 2 % 3} {t}" if (c * t) % 5 else None) for c in range(23) for t in range(c % 6)]
 
 
 def prose(rng: random.Random, words: int) -> str:
@@ -31,6 +34,8 @@ def folder(spark, corpus, tmp_path_factory):
     spark.createDataFrame(corpus, TYPES).repartition(3).write.parquet(f"{where}/documents.parquet")
     labels = [(d, int("x" * 9 not in (t or "")), 0) for d, t, *_ in corpus] + [(3, 1, 0), (999, 1, 0), (None, 0, 0), (10, None, 0)]
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{where}/labels.parquet")
+    spark.createDataFrame(ITEMS, ITEM).write.parquet(f"{where}/benchmark.parquet")
+    spark.createDataFrame(TURNS, TURN).repartition(3).write.parquet(f"{where}/conversations.parquet")
     return where
 
 
@@ -39,6 +44,8 @@ def empty_folder(spark, tmp_path_factory):
     where = str(tmp_path_factory.mktemp("empty"))
     spark.createDataFrame([], TYPES).write.parquet(f"{where}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{where}/labels.parquet")
+    spark.createDataFrame([], ITEM).write.parquet(f"{where}/benchmark.parquet")
+    spark.createDataFrame([], TURN).write.parquet(f"{where}/conversations.parquet")
     return where
 
 
@@ -49,7 +56,11 @@ def odd_folder(spark, corpus, tmp_path_factory):
 
     where = str(tmp_path_factory.mktemp("odd"))
     rows = [*corpus[:12], *corpus[:4], (None, "one two three four", None, None, None), (None, None, None, None, None)]
-    names = "ids decoded key marked score fp component_id base spans shard size node place span vector row word kept stratum block guest".split()
+    names = "item_id rank item terms counts n h c which kept spans runs again ids decoded key marked score fp component_id base spans shard size node place span vector row word stratum block guest".split()
     spark.createDataFrame(rows, TYPES).withColumns({n: F.lit("odd") for n in names}).write.parquet(f"{where}/documents.parquet")
     spark.createDataFrame([(d, k % 2, 0) for k, (d, *_) in enumerate(corpus[:12])], "doc_id long, quality int, toxic int").write.parquet(f"{where}/labels.parquet")
+    odd = {n: F.lit("odd") for n in ("doc_id", "n", "score", "turns", "key", "base", "bytes", "depth")}
+    spark.createDataFrame([*ITEMS, *ITEMS[:2], (1, "in heed")], ITEM).withColumns({**odd, "lang": F.lit("en")}).write.parquet(f"{where}/benchmark.parquet")
+    turns = [*TURNS, *TURNS[:9], (None, 1, "user", "lost"), (7, None, None, "before all"), (-3, None, None, None), (-4, 2, "user", "x")]
+    spark.createDataFrame(turns, TURN).withColumns(odd).write.parquet(f"{where}/conversations.parquet")
     return where
