@@ -235,6 +235,28 @@ def contents(texts: DataFrame, spots: DataFrame) -> DataFrame:
     return once.join(of_text, "id").select("text", "spots").mapInArrow(run, "h long, c long, which int, hot boolean, content binary")
 
 
+def united(found: DataFrame, *keys: str) -> DataFrame:
+    """One row for each key, with all its runs in order; those that meet or overlap are one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            runs = batch.column("runs")
+            row = np.repeat(np.arange(batch.num_rows), runs.value_lengths().to_numpy())
+            start, stop = (c.to_numpy() for c in runs.flatten().flatten())
+            first = np.searchsorted(row, np.arange(batch.num_rows))
+            reach = stop.copy()
+            for a, b in zip(first.tolist(), np.append(first[1:], len(row)).tolist()):
+                np.maximum.accumulate(reach[a:b], out=reach[a:b])
+            new = np.ones(len(row), bool)
+            new[1:] = (row[1:] != row[:-1]) | (start[1:] > reach[:-1])
+            head = np.flatnonzero(new)
+            last = (np.append(head[1:], len(row)) - 1)[: len(head)]
+            yield pa.RecordBatch.from_arrays([*map(batch.column, keys), run_lists(row[head], start[head], reach[last], batch.num_rows)], names=[*keys, "runs"])
+
+    gathered = found.groupBy(*keys).agg(F.array_sort(F.flatten(F.collect_set("runs"))).alias("runs"))
+    return gathered.mapInArrow(run, keep_types(found.select(*keys), f"runs {RUNS}"))
+
+
 def repeats(texts: DataFrame, level: int = 0) -> DataFrame:
     """(id, runs): the starts of repeated windows of each of `texts` (id, text) that has some, as runs; rows equal in id are equal in text. A table in the shared folder."""
     spark = texts.sparkSession
@@ -254,9 +276,9 @@ def repeats(texts: DataFrame, level: int = 0) -> DataFrame:
     if again:
         below = repeats(cut.where("hot").select(F.struct("h", "c", "which").alias("id"), F.col("content").alias("text")), level + 1)
         found = found.unionByName(below.select("id.h", "id.c", "runs"))
-    found = found.groupBy("h", "c").agg(F.array_distinct(F.flatten(F.collect_list("runs"))).alias("runs"))
-    placed = skew_join(kept, found, ["h", "c"]).select("id", F.explode(F.transform("runs", lambda r: F.struct((F.col("start") + r["start"]).alias("start"), (F.col("start") + r["stop"]).alias("stop")))).alias("run"))
-    out, _ = written(placed.groupBy("id").agg(F.array_sort(F.collect_set("run")).alias("runs")))
+    found = united(found, "h", "c")
+    moved = F.transform("runs", lambda r: F.struct((F.col("start") + r["start"]).alias("start"), (F.col("start") + r["stop"]).alias("stop")))
+    out, _ = written(united(skew_join(kept, found, ["h", "c"]).select("id", moved.alias("runs")), "id"))
     for path in (kept_path, chosen_path, cut_path):
         discard(spark, path)
     return out
