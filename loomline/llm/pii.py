@@ -64,7 +64,7 @@ def base_spans(text: str) -> list[Span]:
         at = text.find("@", max(at + 1, last))
     if not DIGIT.search(text):
         return out
-    out += [("ip", *m.span()) for m in IP.finditer(text) if all(len(p.lstrip("0")) < 4 and int(p) <= 255 for p in m[0].split("."))]
+    out += [("ip", *m.span()) for m in IP.finditer(text) if all(len(p := part.lstrip("0")) < 4 and int(p or "0") <= 255 for part in m[0].split("."))]
     for m in CARD.finditer(text):
         digits = m[0].replace(" ", "").replace("-", "")
         if 13 <= len(digits) <= 19 and luhn(digits):
