@@ -35,6 +35,30 @@ def near(left: DataFrame, right: DataFrame, series: str, left_time: str, right_t
     return left.withColumn("cell", cell(left_time)).join(cells, [series, "cell"]).where(F.abs(F.col(left_time) - F.col(right_time)) <= tolerance).drop("cell")
 
 
+def tolerance_counts(df: DataFrame, series: str, time: str, side: str, sides: tuple[str, str], tolerance: float) -> DataFrame:
+    """(series, predicted, hits, targets, found): rows of either side, and how many of them have a row of the other side within the tolerance.
+
+    Each row is given the last time of the other side up to its own and the first one from its own on, so no pairs are built.
+    """
+    in_time = Window.partitionBy(series)
+    up = in_time.orderBy(time).rangeBetween(Window.unboundedPreceding, 0)
+    down = in_time.orderBy(F.desc(time)).rangeBetween(Window.unboundedPreceding, 0)
+    of = [F.when(F.col(side) == s, F.col(time)) for s in sides]
+    seen = df.withColumns({"__before_0": F.max(of[0]).over(up), "__before_1": F.max(of[1]).over(up)})
+    seen = seen.withColumns({"__after_0": F.min(of[0]).over(down), "__after_1": F.min(of[1]).over(down)})
+    near = lambda k: F.coalesce(F.least(F.col(time) - F.col(f"__before_{k}"), F.col(f"__after_{k}") - F.col(time)) <= tolerance, F.lit(False))
+    first, second = (F.col(side) == s for s in sides)
+    return seen.groupBy(series).agg(F.count_if(first).alias("predicted"), F.count_if(first & near(1)).alias("hits"), F.count_if(second).alias("targets"), F.count_if(second & near(0)).alias("found"))
+
+
+def log_sum_exp(df: DataFrame, keys: list[str], x: str, name: str) -> DataFrame:
+    """ln of the sum of exp(x) of each group, for x of any size: sums over unit steps of x combine before the shuffle, and meet around the group's highest step."""
+    step = F.floor(x)
+    steps = df.groupBy(*keys, step.alias("__step")).agg(F.sum(F.exp(F.col(x) - step)).alias("__sum"))
+    top = F.max("__step").over(Window.partitionBy(*keys))
+    return steps.withColumn("__top", top).groupBy(*keys).agg((F.first("__top") + F.log(F.sum(F.col("__sum") * F.exp(F.col("__step") - F.col("__top"))))).alias(name))
+
+
 def interpolated(grid: DataFrame, points: DataFrame, series: str, time: str, value: str, lead: float = 0.0) -> DataFrame:
     """Grid rows with the value between the last point at or before them and the next one, its rate, and whether there are both.
 
@@ -47,7 +71,7 @@ def interpolated(grid: DataFrame, points: DataFrame, series: str, time: str, val
     w = Window.partitionBy(series).orderBy("at", "kind")
     held = F.last("p", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
     if lead:
-        first = F.first("p", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+        first = F.first("p", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
         held = F.coalesce(held, F.when(first["t"] - F.col("at") < lead, first))
     both = both.withColumn("p", held).where("kind = 1")
     rate = (F.col("p.v1") - F.col("p.v")) / (F.col("p.t1") - F.col("p.t"))

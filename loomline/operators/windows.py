@@ -38,7 +38,7 @@ def carried(df: DataFrame, series: str, order: str, value: Column, name: str, be
     w = Window.partitionBy(series).orderBy(order)
     out = F.last(value, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
     if before == "first":
-        out = F.coalesce(out, F.first(value, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+        out = F.coalesce(out, F.first(value, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     return df.withColumn(name, out)
 
 

@@ -297,10 +297,7 @@ def jn14_greedy_match(spark, sf):
 def jn15_tolerance_counts(spark, sf):
     """Predictions near any target and targets near any prediction."""
     both = events(spark, sf).where("event_type IN ('click', 'purchase')")
-    c, p = (both.where(F.col("event_type") == kind).select("user_id", F.col("event_id").alias(f"{n}_id"), F.col("t").alias(n)) for kind, n in (("click", "c"), ("purchase", "p")))
-    pairs = timeline.near(c, p, "user_id", "c", "p", 10800.0).groupBy("user_id").agg(F.count_distinct("c_id").alias("hits"), F.count_distinct("p_id").alias("found"))
-    counts = both.groupBy("user_id").agg(F.count_if(F.col("event_type") == "click").alias("predicted"), F.count_if(F.col("event_type") == "purchase").alias("targets"))
-    return counts.join(pairs, "user_id", "left").fillna(0, ["hits", "found"])
+    return timeline.tolerance_counts(both, "user_id", "t", "event_type", ("click", "purchase"), 10800.0)
 
 
 # Time series ------------------------------------------------------------------------------------
@@ -397,10 +394,9 @@ def ts10_sticky_path(spark, sf):
 
 @query(f"SELECT floor(t / 86400)::BIGINT AS day, event_type, round(max(value / 10) + ln(sum(exp(value / 10)) / exp(max(value / 10))), 6) AS evidence FROM ({EVENTS_SQL}) GROUP BY 1, 2")
 def ts11_log_evidence(spark, sf):
-    """ln of a sum of exponentials, taken around the greatest value of the group."""
+    """ln of a sum of exponentials, by steps of the exponent."""
     e = events(spark, sf).select(F.floor(F.col("t") / 86400).alias("day"), "event_type", (F.col("value") / 10).alias("x"))
-    top = F.max("x").over(Window.partitionBy("day", "event_type"))
-    return e.withColumn("top", top).groupBy("day", "event_type").agg(r6(F.first("top") + F.log(F.sum(F.exp(F.col("x") - F.col("top"))))).alias("evidence"))
+    return timeline.log_sum_exp(e, ["day", "event_type"], "x", "evidence").withColumn("evidence", r6("evidence"))
 
 
 @query("SELECT user_id, bar, floor(start_sec * 62.5)::BIGINT AS floor_frame, round_even(end_sec * 62.5, 0)::BIGINT AS near_frame, round(floor(start_sec * 62.5) / 62.5, 4) AS back FROM v_bars")
