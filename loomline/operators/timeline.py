@@ -7,7 +7,6 @@ from bisect import bisect_left
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -138,38 +137,6 @@ def match_events(df: DataFrame, series: str, tolerance: float) -> DataFrame:
     return found.select(series, "hits", precision.alias("precision"), recall.alias("recall"), ratio(2 * precision * recall, precision + recall).alias("f1"))
 
 
-def steady_states(df: DataFrame, series: str, order: str, states: list[str], penalty: float) -> DataFrame:
-    """(series, order, state): the best sequence of states for rows with a log likelihood for each state, when a change costs `penalty`.
-
-    Staying wins ties, and the first state wins among equals. One group is one series; it holds a number for each row and state.
-    """
-
-    def solve(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(order)
-        gains = group[states].to_numpy(np.float64)
-        rows, width = gains.shape
-        leaders, entered = np.zeros(rows, np.int64), np.zeros((rows, width), bool)
-        total = np.zeros(width)
-        for t in range(rows):
-            if t:
-                leaders[t] = total.argmax()
-                bar = total[leaders[t]] - penalty
-                entered[t] = bar > total
-                total = np.maximum(total, bar)
-            total = total + gains[t]
-        # The row at which each state's current stay began; a run is filled at once, then its start's leader goes on.
-        began = np.maximum.accumulate(np.where(entered, np.arange(rows)[:, None], 0), axis=0)
-        path, end, state = np.empty(rows, np.int64), rows - 1, int(total.argmax())
-        while end >= 0:
-            start = began[end, state]
-            path[start : end + 1] = state
-            end, state = start - 1, leaders[start]
-        return pd.DataFrame({series: group[series], order: group[order], "state": np.array(states)[path]})
-
-    kinds = {c: df.schema[c].dataType.simpleString() for c in (series, order)}
-    return df.groupBy(series).applyInPandas(solve, f"`{series}` {kinds[series]}, `{order}` {kinds[order]}, state string")
-
-
 class TimedOut(Exception):
     """A scorer took longer than it may."""
 

@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from loomline.functions import epoch, r6
-from loomline.operators import timeline, windows
+from loomline.operators import paths, timeline, windows
 
-from .base import ORIGIN, query, table, v_bars, v_turns
+from .base import ORIGIN, kept, query, table, v_bars, v_turns
 
 
 def by_bar() -> WindowSpec:
@@ -383,13 +383,20 @@ def ts9_circular_blur(spark, sf):
     return spread.groupBy("user_id", F.pmod(F.col("hour") + F.col("d"), F.lit(24)).alias("class")).agg(r6(F.sum(F.col("k") * (1 - F.abs("d") * 0.25) / 4)).alias("weight"))
 
 
-@query()
+STATES = ["click", "error", "purchase", "signup", "view"]
+GAINS_SQL = ", ".join(f"round_even(ln(1 + count_if(event_type = '{s}')::DOUBLE) * 1073741824, 0)::BIGINT" for s in STATES)
+
+
+@query(f"""WITH RECURSIVE g AS (SELECT user_id, floor(t / 86400)::BIGINT AS day, row_number() OVER (PARTITION BY user_id ORDER BY day) AS n, [{GAINS_SQL}] AS gain FROM ({EVENTS_SQL}) GROUP BY user_id, day),
+f AS (SELECT user_id, n, gain AS total, [1, 2, 3, 4, 5]::BIGINT[] AS back FROM g WHERE n = 1 UNION ALL
+SELECT g.user_id, g.n, list_transform([1, 2, 3, 4, 5], lambda s: greatest(f.total[s], list_max(f.total) - 858993459) + g.gain[s]), list_transform([1, 2, 3, 4, 5], lambda s: CASE WHEN list_max(f.total) - 858993459 > f.total[s] THEN list_position(f.total, list_max(f.total)) ELSE s END) FROM f JOIN g ON g.user_id = f.user_id AND g.n = f.n + 1),
+b AS (SELECT user_id, max(n) AS n, arg_max(list_position(total, list_max(total)), n) AS s FROM f GROUP BY 1 UNION ALL SELECT b.user_id, b.n - 1, f.back[b.s] FROM b JOIN f ON f.user_id = b.user_id AND f.n = b.n WHERE b.n > 1)
+SELECT b.user_id, g.day, {STATES}[b.s] AS state FROM b JOIN g ON g.user_id = b.user_id AND g.n = b.n""")
 def ts10_sticky_path(spark, sf):
     """The best path of event types over a user's days, with ln(1 + count) for evidence."""
-    states = ["click", "error", "purchase", "signup", "view"]
-    days = events(spark, sf).groupBy("user_id", F.floor(F.col("t") / 86400).alias("day")).pivot("event_type", states).agg(F.count(F.lit(1)))
-    evidence = days.select("user_id", "day", *(F.log1p(F.coalesce(F.col(s), F.lit(0)).cast("double")).alias(s) for s in states))
-    return timeline.steady_states(evidence, "user_id", "day", states, 0.8)
+    days = events(spark, sf).groupBy("user_id", F.floor(F.col("t") / 86400).alias("day")).pivot("event_type", STATES).agg(F.count(F.lit(1)))
+    evidence = days.select("user_id", "day", *(F.log1p(F.coalesce(F.col(s), F.lit(0)).cast("double")).alias(s) for s in STATES))
+    return paths.steady_states(evidence, "user_id", "day", STATES, 0.8, kept)
 
 
 @query(f"SELECT floor(t / 86400)::BIGINT AS day, event_type, round(max(value / 10) + ln(sum(exp(value / 10)) / exp(max(value / 10))), 6) AS evidence FROM ({EVENTS_SQL}) GROUP BY 1, 2")

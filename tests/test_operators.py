@@ -130,27 +130,6 @@ def test_greedy_match(spark):
     assert {r.s: r.hits for r in got} == want
 
 
-def best_path(obs, penalty):
-    best = None
-    for code in range(3 ** len(obs)):
-        path = [code // 3**k % 3 for k in range(len(obs))]
-        score = sum(o[s] for o, s in zip(obs, path)) - penalty * sum(a != b for a, b in zip(path, path[1:]))
-        best = max(best or score, score)
-    return best
-
-
-def test_steady_states_are_optimal(spark):
-    rng, rows, obs = random.Random(6), [], {}
-    for s in range(6):
-        obs[s] = [[rng.random() for _ in range(3)] for _ in range(7)]
-        rows += [(s, k, *o) for k, o in enumerate(obs[s])]
-    got = timeline.steady_states(spark.createDataFrame(rows, "s long, k long, x double, y double, z double"), "s", "k", ["x", "y", "z"], 0.5).collect()
-    for s, o in obs.items():
-        path = ["xyz".index(r.state) for r in sorted((r for r in got if r.s == s), key=lambda r: r.k)]
-        score = sum(v[p] for v, p in zip(o, path)) - 0.5 * sum(a != b for a, b in zip(path, path[1:]))
-        assert score == pytest.approx(best_path(o, 0.5))
-
-
 def test_cells_that_are_no_numbers_are_null(spark):
     df = spark.createDataFrame([("8",), ("8-0,3",), ("x",), ("1-",), (None,)], "c string")
     assert [r.g for r in df.select(parse_cells("c").alias("g")).collect()] == [[[8]], [[8, 0], [3]], None, None, None]

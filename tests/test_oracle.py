@@ -6,7 +6,7 @@ from loomline.queries import ORACLE, QUERIES
 
 from .oracle import SF, database, spark_rows, sql_rows
 
-NO_SQL = {"src7_file_inventory", "jn14_greedy_match", "ts10_sticky_path"}
+NO_SQL = {"src7_file_inventory", "jn14_greedy_match"}
 
 
 @pytest.fixture(scope="module")
