@@ -1,11 +1,9 @@
 """Best state sequences of series of any length, by blocks of rows that meet in an associative product.
 
-Rows are dealt by ranges of (series, order), so a long series lies in many tasks. A task cuts its rows into blocks of one
-series and up to `ROWS` rows. A block is a max-plus matrix: the best score from each state before it to each state after it. Matrices are
+Rows lie in blocks of one series over many tasks (`stretches`). A block is a max-plus matrix: the best score from each state before it to each state after it. Matrices are
 multiplied within each task's range and then from range to range, which gives the scores before each block; from these the block's
 own recurrence says which state each way out of it came from. Such maps compose just as matrices multiply, from the
-last block to the first, and pick one of the block's ways out. Nothing but a matrix or a map for each block goes from task to task in
-order, and of those one series' in one range, or one for each range, at a time.
+last block to the first, and pick one of the block's ways out. Nothing but a matrix or a map for each block goes from task to task in order.
 
 Scores are whole multiples of 2**-30, so sums don't depend on how they are grouped, and equal scores are equal.
 """
@@ -16,12 +14,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
 
-ROWS, TOGETHER = 256, 512
+from .stretches import in_blocks, scanned, together
+
 UNIT, LARGEST, NEVER = 1 << 30, 1 << 12, -(1 << 60)
 
 
@@ -86,116 +83,15 @@ def composed(later: np.ndarray, earlier: np.ndarray) -> np.ndarray:
     return earlier[later]
 
 
-Combine = Callable[[np.ndarray, np.ndarray], np.ndarray]
-
-
-def folded(items: DataFrame, keys: list[str], order: str, descending: bool, combine: Combine, start: str | None, last: bool) -> DataFrame:
-    """In order of `order` within `keys`: the state before each item (keys, order, state), or only what remains after the last one (keys, state).
-
-    Without `start`, a column with the first state, the first item is it. The pass holds one state.
-    """
-    names = [*keys, order]
-    kinds = ", ".join(f"`{c}` {items.schema[c].dataType.simpleString()}" for c in (keys if last else names))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, state = None, None
-        final: dict[str, list] = {c: [] for c in [*keys, "state"]}
-
-        def flushed() -> None:
-            if now is not None:
-                for c, x in zip(keys, now):
-                    final[c].append(x)
-                final["state"].append(state)
-
-        for batch in batches:
-            out = []
-            columns = {c: batch.column(c).to_pylist() for c in keys}
-            item = batch.column("item")
-            flat, at = item.flatten().to_numpy(), np.concatenate(([0], np.cumsum(item.value_lengths().to_numpy())))
-            first = batch.column(start).to_pylist() if start else None
-            for r, key in enumerate(zip(*columns.values())):
-                value = flat[at[r] : at[r + 1]]
-                if key != now:
-                    flushed()
-                    now, state = key, np.array(first[r], np.int64) if start else None
-                out.append(state)
-                state = value if state is None else combine(state, value)
-            if not last:
-                yield pa.RecordBatch.from_arrays([*map(batch.column, names), pa.array(out, pa.list_(pa.int64()))], names=[*names, "state"])
-        if last:
-            flushed()
-            types = [items_schema.field(c).type for c in keys]
-            yield pa.RecordBatch.from_arrays([*(pa.array(final[c], t) for c, t in zip(keys, types)), pa.array(final["state"], pa.list_(pa.int64()))], names=[*keys, "state"])
-
-    items_schema = to_arrow_schema(items.schema)
-    sort = F.desc(order) if descending else F.asc(order)
-    dealt = items.repartition(*keys).sortWithinPartitions(*keys, sort)
-    return dealt.select(*names, "item", *([start] if start else [])).mapInArrow(run, f"{kinds}, state array<long>")
-
-
-def scanned(items: DataFrame, series: str, start: DataFrame, combine: Combine, step: Combine, descending: bool) -> DataFrame:
-    """(series, block, state): the state before each block of its series when `start` (series, state) goes in at one end. `items`: series, block, item.
-
-    Items are combined within each range (the upper half of a block's number), then the state goes from range to range, and then from block to block in each range.
-    """
-    ranged = items.withColumn("range", F.shiftright("block", 32))
-    wholes = folded(ranged, [series, "range"], "block", descending, combine, None, True).withColumnRenamed("state", "item")
-    between = folded(wholes.join(start.withColumnRenamed("state", "start"), series), [series], "range", descending, step, "start", False)
-    placed = ranged.join(between.withColumnRenamed("state", "start"), [series, "range"])
-    return folded(placed, [series, "range"], "block", descending, step, "start", False).drop("range")
-
-
-def cut_blocks(df: DataFrame, series: str, order: str, states: list[str]) -> DataFrame:
-    """(series, block, order, gains): rows in blocks of one series, each one row of arrays; numbers of blocks follow the order."""
-    kinds = {c: df.schema[c].dataType.simpleString() for c in (series, order)}
-    size = ROWS
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 32
-        held = None
-
-        def table(rows: pa.RecordBatch, cuts: np.ndarray) -> pa.RecordBatch:
-            nonlocal number
-            gains = np.stack([whole_scores(rows.column(s).cast(pa.float64()).to_numpy(zero_copy_only=False)) for s in states], axis=1)
-            gains -= gains.max(axis=1, keepdims=True)
-            n = len(cuts) - 1
-            blocks = pa.array(np.arange(number, number + n))
-            number += n
-            offsets = pa.array(cuts.astype(np.int32))
-            lists = [pa.ListArray.from_arrays(offsets, rows.column(order)), pa.ListArray.from_arrays(pa.array((cuts * len(states)).astype(np.int32)), pa.array(gains.ravel()))]
-            return pa.RecordBatch.from_arrays([rows.column(series).take(pa.array(cuts[:-1])), blocks, *lists], names=[series, "block", order, "gains"])
-
-        for batch in batches:
-            batch = pa.concat_batches([held, batch]) if held is not None else batch
-            names = batch.column(series).dictionary_encode().indices.to_numpy()
-            heads = np.concatenate(([0], np.flatnonzero(np.diff(names)) + 1, [len(names)]))
-            cuts = np.unique(np.concatenate([heads, *(np.arange(a, b, size) for a, b in zip(heads, heads[1:]))]))
-            # The last block may go on in the next batch.
-            if len(cuts) > 2:
-                yield table(batch.slice(0, int(cuts[-2])), cuts[:-1])
-            held = batch.slice(int(cuts[-2])) if len(cuts) > 1 else None
-        if held is not None and held.num_rows:
-            yield table(held, np.array([0, held.num_rows]))
-
-    rows = df.select(series, order, *(F.col(s).cast("double").alias(s) for s in states)).where(F.col(series).isNotNull())
-    return rows.repartitionByRange(series, order, *states).sortWithinPartitions(series, order, *states).mapInArrow(run, f"`{series}` {kinds[series]}, block long, `{order}` array<{kinds[order]}>, gains array<long>")
-
-
-def padded_blocks(batch: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Gains of blocks as (blocks, rows, states) with zeros at the end, and the blocks' rows."""
-    gains = batch.column("gains")
-    length = gains.value_lengths().to_numpy() // k
-    out = np.zeros((batch.num_rows, int(length.max(initial=0)), k), np.int64)
-    out[np.arange(out.shape[1]) < length[:, None]] = gains.flatten().to_numpy().reshape(-1, k)
+def padded_blocks(batch: pa.RecordBatch, states: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Gains of blocks as (blocks, rows, states), relative to the best of each row and with zeros at the end, and the blocks' rows."""
+    gains = np.stack([whole_scores(batch.column(s).flatten().to_numpy(zero_copy_only=False)) for s in states], axis=1)
+    length = batch.column(states[0]).value_lengths().to_numpy()
+    out = np.zeros((batch.num_rows, int(length.max(initial=0)), len(states)), np.int64)
+    out[np.arange(out.shape[1]) < length[:, None]] = gains - gains.max(axis=1, keepdims=True)
     return out, length
 
 
-def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, TOGETHER):
-            yield batch.slice(at, TOGETHER)
-
-
 def steady_states(df: DataFrame, series: str, order: str, states: list[str], penalty: float, kept: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(series, order, state): the best sequence of states for rows with a log likelihood for each state, when a change costs `penalty`.
 
@@ -206,28 +102,29 @@ def steady_states(df: DataFrame, series: str, order: str, states: list[str], pen
     cost = int(round(penalty * UNIT)) if penalty < LARGEST << 16 else 1 << 59
     kinds = {c: df.schema[c].dataType.simpleString() for c in (series, order)}
     head = f"`{series}` {kinds[series]}, block long"
-    blocks = kept(cut_blocks(df, series, order, states))
+    rows = df.select(series, order, *(F.col(s).cast("double").alias(s) for s in states))
+    blocks = kept(in_blocks(rows, series, [order, *states]))
     opening = blocks.groupBy(series).agg(F.min("block").alias("opening"))
     blocks = kept(blocks.join(opening, series).withColumn("opening", F.col("block") == F.col("opening")))
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in together(batches):
-            found = matrices(*padded_blocks(batch, k), batch.column("opening").to_numpy(zero_copy_only=False), cost).reshape(batch.num_rows, -1)
+            found = matrices(*padded_blocks(batch, states), batch.column("opening").to_numpy(zero_copy_only=False), cost).reshape(batch.num_rows, -1)
             yield pa.RecordBatch.from_arrays([batch.column(series), batch.column("block"), pa.array(list(found), pa.list_(pa.int64()))], names=[series, "block", "item"])
 
-    items = kept(blocks.select(series, "block", "opening", "gains").mapInArrow(weigh, f"{head}, item array<long>"))
+    items = kept(blocks.select(series, "block", "opening", *states).mapInArrow(weigh, f"{head}, item array<long>"))
     level = opening.select(series, F.array_repeat(F.lit(0).cast("long"), k).alias("state"))
     scores = kept(scanned(items, series, level, product, applied, False))
 
     def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in together(batches):
-            gains, length = padded_blocks(batch, k)
+            gains, length = padded_blocks(batch, states)
             start = batch.column("state").flatten().to_numpy().reshape(-1, k)
             back, path = ways(gains, length, batch.column("opening").to_numpy(zero_copy_only=False), start, cost)
             paths = [p[:n].T.tobytes() for p, n in zip(path, length.tolist())]
             yield pa.RecordBatch.from_arrays([batch.column(series), batch.column("block"), pa.array(list(back), pa.list_(pa.int64())), batch.column(order), pa.array(paths, pa.binary())], names=[series, "block", "item", order, "paths"])
 
-    with_scores = blocks.join(scores.select("block", "state"), "block").select(series, "block", "opening", "gains", "state", order)
+    with_scores = blocks.join(scores.select("block", "state"), "block").select(series, "block", "opening", *states, "state", order)
     routes = kept(with_scores.mapInArrow(follow, f"{head}, item array<long>, `{order}` array<{kinds[order]}>, paths binary"))
     # The state in which a series ends: the first of the best after its last block.
     newest = items.join(items.groupBy(series).agg(F.max("block").alias("block")), [series, "block"]).join(scores.select("block", "state"), "block")

@@ -7,7 +7,7 @@ import random
 import numpy as np
 import pytest
 
-from loomline.operators import paths
+from loomline.operators import paths, stretches
 from loomline.plans.base import kept
 
 NAMES = ["x", "y", "z"]
@@ -52,7 +52,7 @@ def found(spark, series, penalty, partitions=None):
 @pytest.mark.parametrize("rows", [1, 3, 16])
 def test_equal_to_the_sequential_path(spark, monkeypatch, penalty, rows):
     """Many ties; short series and long ones over many blocks, and blocks over many ranges."""
-    monkeypatch.setattr(paths, "ROWS", rows)
+    monkeypatch.setattr(stretches, "ROWS", rows)
     rng = random.Random(rows)
     series = {f"s{n}": [[rng.choice([0.0, 0.0, 0.25, 0.5, 1.0, -2.0]) for _ in NAMES] for _ in range(n)] for n in (1, 2, 5, 17, 90, 400)}
     series["flat"] = [[0.0] * 3] * 50
@@ -64,8 +64,8 @@ def test_one_series_in_many_tasks(spark, uncoalesced):
     gains = (np.rint(rng.normal(0, 1, (20_000, 3)) * 4) / 4 + np.eye(3)[np.arange(20_000) // 700 % 3]).tolist()
     assert found(spark, {"one": gains}, 2.5) == {"one": sequential(gains, 2.5)}
     df = spark.createDataFrame([("one", k, *g) for k, g in enumerate(gains)], "s string, k long, x double, y double, z double")
-    blocks = paths.cut_blocks(df, "s", "k", NAMES).collect()
-    assert len({r.block >> 32 for r in blocks}) > 1 and max(len(r.k) for r in blocks) <= paths.ROWS and len(blocks) < 120
+    blocks = stretches.in_blocks(df, "s", ["k"]).collect()
+    assert len({r.block >> 32 for r in blocks}) > 1 and max(len(r.k) for r in blocks) <= stretches.ROWS and len(blocks) < 120
 
 
 def test_best_of_all_sequences(spark):
