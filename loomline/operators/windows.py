@@ -6,7 +6,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,12 +65,10 @@ def ranked(df: DataFrame, key: str, *more: str, name: str = "rank", block: int =
 def runs(batches: Iterator[pa.RecordBatch], series: str) -> Iterator[tuple[object, pa.RecordBatch]]:
     """(series, rows) of each stretch of rows of one series, in batches that are sorted by it and have none without it."""
     for batch in batches:
-        at, keys = 0, batch.column(series)
-        while at < batch.num_rows:
-            other = pc.index(pc.not_equal(keys.slice(at), keys[at]), True).as_py()
-            stop = batch.num_rows if other < 0 else at + other
-            yield keys[at].as_py(), batch.slice(at, stop - at)
-            at = stop
+        names = batch.column(series).dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        heads = np.flatnonzero(np.diff(names, prepend=np.nan))
+        for at, stop in zip(heads.tolist(), [*heads[1:].tolist(), batch.num_rows]):
+            yield batch.column(series)[at].as_py(), batch.slice(at, stop - at)
 
 
 def by_series(df: DataFrame, series: str, *order: str) -> DataFrame:
@@ -79,35 +76,6 @@ def by_series(df: DataFrame, series: str, *order: str) -> DataFrame:
     return df.where(F.col(series).isNotNull()).repartition(series).sortWithinPartitions(series, *order)
 
 
-def thin(df: DataFrame, series: str, value: str, gap: float) -> DataFrame:
-    """Values of a series of which each is at least `gap` after the last one kept. One sorted pass that remembers the last value kept; rows without a series or value go."""
-
-    def following(x: np.ndarray, last: float, at: int) -> int:
-        """The first place from `at` on that is far enough from `last`; the sum may round, so the difference decides."""
-        place = max(at, int(np.searchsorted(x, last + gap)))
-        while place > at and x[place - 1] - last >= gap:
-            place -= 1
-        while place < len(x) and x[place] - last < gap:
-            place += 1
-        return place
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, last = None, 0.0
-        for head, rows in runs(batches, series):
-            x, kept = rows.column(value).to_numpy(), []
-            if head != now:
-                now, last = head, -np.inf
-            at = following(x, last, 0)
-            while at < len(x):
-                kept.append(at)
-                last = x[at]
-                at = following(x, last, at + 1)
-            yield rows.take(pa.array(kept, pa.int64()))
-
-    rows = df.select(series, F.col(value).cast("double").alias(value)).where(F.col(value).isNotNull())
-    return by_series(rows, series, value).mapInArrow(run, rows.schema)
-
-
 class Chunker:
     """Chunks of one series, decided as its rows come; rows before the open chunk's start are let go."""
 
@@ -136,14 +104,8 @@ class Chunker:
             self.order, self.begin, self.end = self.order[following:], self.begin[following:], self.end[following:]
 
 
-def budget_chunks(df: DataFrame, series: str, order: str, begin: str, end: str, size: int, stride: float, fps: float, length: str | None = None, annotated: str | None = None) -> DataFrame:
-    """(series, first, last, start_frame, end_frame): chunks that grow while a row's end stays within `size` frames of the chunk's first frame.
-
-    A chunk's first frame is the one that holds its first row's begin. The next chunk opens at the first row
-    that starts at least `stride` seconds after this chunk's first row; where there is none, rows that the last
-    chunk left out get chunks of their own if the series' end is not annotated. End frames are cut at the series' `length` in
-    frames. Both are columns, the same in all rows of a series. One sorted pass that holds the rows from the open chunk's start on.
-    """
+def budget_pass(df: DataFrame, series: str, order: str, begin: str, end: str, size: int, stride: float, fps: float, length: str | None = None, annotated: str | None = None) -> DataFrame:
+    """The chunks of `reach.budget_chunks` for series that one task can pass: one sorted pass that holds the rows from the open chunk's start on."""
     extra = [c for c in (length, annotated) if c]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from loomline.functions import epoch, r6
-from loomline.operators import paths, timeline, windows
+from loomline.operators import paths, reach, timeline, windows
 
 from .base import ORIGIN, kept, query, table, v_bars, v_turns
 
@@ -95,7 +95,7 @@ def wn6_budget_chunks(spark, sf):
     bars = v_bars(spark, sf)
     user = F.col("user_id")
     facts = bars.groupBy("user_id").agg(F.floor(F.max("end_sec") * FPS).alias("n")).select("user_id", (F.col("n") - user % 3 * 50).alias("length"), (user % 4 > 0).alias("annotated"))
-    return windows.budget_chunks(bars.join(facts, "user_id"), "user_id", "bar", "start_sec", "end_sec", CHUNK, STRIDE, FPS, "length", "annotated")
+    return reach.budget_chunks(bars.join(facts, "user_id"), "user_id", "bar", "start_sec", "end_sec", CHUNK, STRIDE, FPS, kept, "length", "annotated")
 
 
 @query("SELECT doc_id, k * 640 AS a, least(k * 640 + 1280, n_chars) AS b FROM (SELECT doc_id, n_chars, unnest(range(CASE WHEN n_chars <= 0 THEN 0 WHEN n_chars <= 1280 THEN 1 ELSE (n_chars - 1280 + 639) // 640 + 1 END)) AS k FROM documents)")
@@ -334,7 +334,7 @@ def ts3_zero_crossings(spark, sf):
 
 @query("WITH RECURSIVE kept AS (SELECT user_id, min(start_sec) AS start_sec FROM v_bars GROUP BY 1 UNION ALL SELECT user_id, t FROM (SELECT k.user_id, min(b.start_sec) AS t FROM kept k JOIN v_bars b ON b.user_id = k.user_id AND b.start_sec - k.start_sec >= 30000 GROUP BY k.user_id, k.start_sec)) SELECT user_id, start_sec FROM kept")
 def ts4_thinning(spark, sf):
-    return windows.thin(v_bars(spark, sf), "user_id", "start_sec", 30000.0)
+    return reach.thin(v_bars(spark, sf), "user_id", "start_sec", 30000.0, kept)
 
 
 FRAMES_SQL = frames_sql(50000)

@@ -164,57 +164,6 @@ def test_shards_of_ranks(spark):
             range_shard(df, "k", first, last)
 
 
-def test_thinning_equals_a_plain_loop(spark):
-    rng, rows, want = random.Random(22), [], set()
-    for s in range(6):
-        values = sorted(rng.choice([rng.uniform(0, 50), float(rng.randrange(50))]) for _ in range(rng.randrange(60)))
-        last = None
-        for x in values:
-            if last is None or x - last >= 2.5:
-                want.add((s, x))
-                last = x
-        rows += [(s, x) for x in values]
-    got = windows.thin(spark.createDataFrame([*rows, (None, 1.0), (1, None)], "s long, x double"), "s", "x", 2.5).collect()
-    assert {(r.s, r.x) for r in got} == want and len(got) == len(want)
-
-
-def plain_chunks(rows, size, stride, fps, length, annotated):
-    out, start = [], 0
-    while start < len(rows):
-        frame = int(rows[start][0] * fps)
-        last = start
-        while last + 1 < len(rows) and rows[last + 1][1] <= (frame + size) / fps:
-            last += 1
-        out.append((start, last, frame, min(int(rows[last][1] * fps), length)))
-        later = [k for k in range(start + 1, len(rows)) if rows[k][0] >= rows[start][0] + stride]
-        if not later and (annotated or last == len(rows) - 1):
-            break
-        start = later[0] if later else last + 1
-    return out
-
-
-def test_chunks_equal_a_plain_loop(spark):
-    """Over several Arrow batches too, so that chunks are decided before a series ends."""
-    rng, rows, want = random.Random(23), [], {}
-    for s in range(12):
-        t, own = 0.0, []
-        for _ in range(rng.randrange(1, 80)):
-            step = rng.choice([0.3, 1.0, 2.5, 9.0])
-            own.append((t, t + step))
-            t += step
-        length, annotated = int(t * 10) - rng.randrange(5), s % 2 == 0
-        want[s] = plain_chunks(own, 60, 3.0, 10.0, length, annotated)
-        rows += [(s, k, a, b, length, annotated) for k, (a, b) in enumerate(own)]
-    df = spark.createDataFrame(rows, "s long, k long, a double, b double, len long, ann boolean")
-    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
-    try:
-        found = windows.budget_chunks(df, "s", "k", "a", "b", 60, 3.0, 10.0, "len", "ann").collect()
-    finally:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
-    assert {s: sorted((r.first, r.last, r.start_frame, r.end_frame) for r in found if r.s == s) for s in want} == want
-
-
 def test_scorers_that_hang_are_timed_out(spark):
     import time
 
