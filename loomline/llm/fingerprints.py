@@ -1,13 +1,14 @@
 """Document fingerprints by consistent weighted sampling.
 
 A text is a bag of runs of five words (all its words, if there are fewer), each weighted by how
-often it occurs. A run of weight w is w terms, told apart by a number from 0 to w - 1, so that a bag
-is a set whose ordinary Jaccard similarity is the bags' generalised one. For each of the `SLOTS` places of a
-signature every term has a 64-bit hash of its own; the term with the least value is the sample.
-It is uniform over the weight and the same in every text that has the term. Two bags agree in a slot with
-probability equal to their generalised Jaccard similarity, however long they are.
+often it occurs. For each of the `SLOTS` places of a signature a distinct term has 64 bits of its own, and from these two gamma variates r and c
+of shape 2 and a uniform b. A term of weight w is sampled at the level t, the greatest whole number up to ln w / r + b, and the term with the least
+ln c - r (t - b) - r is the slot's sample, together with its level. Two bags agree in a slot with
+probability equal to their generalised Jaccard similarity. Work and memory grow with the distinct terms, whatever they weigh.
 
-32 bits of a hash of the least value make up the slot. No words: every slot is zero, which equals only itself.
+The variates are quantiles at 2**16 steps; the outermost steps, which decide in texts of very many terms, are divided into as many again.
+
+32 bits of a hash of the term and its level make up the slot. No words: every slot is zero, which equals only itself.
 
 Null counts as the empty text. Equal texts have equal fingerprints. Rows that repeat, and ties
 in the id, are kept; the next document is then the next row in order of id and text. Long texts are read whole. An
@@ -51,6 +52,23 @@ def bags(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return term[at], np.diff(np.append(at, len(term))), np.searchsorted(owner[at], np.arange(len(first)))
 
 
+def gamma_quantiles(share: np.ndarray) -> np.ndarray:
+    """Quantiles of the gamma distribution of shape 2, from the share below (up to one half) or, given as negative, above."""
+    upper = share < 0
+    x = np.where(upper, 1 - np.log(np.where(upper, -share, 0.5)), np.sqrt(2 * np.abs(share)))
+    for _ in range(60):  # 1 - (1 + x) exp(-x) is the share below x
+        off = np.where(upper, -(1 + x) * np.exp(-x) - share, -np.expm1(-x) - x * np.exp(-x) - share)
+        x = np.maximum(x - off / (x * np.exp(-x)), x / 2)
+    return x
+
+
+STEPS = 1 << 16
+_middle = (np.arange(STEPS) + 0.5) / STEPS
+_all = gamma_quantiles(np.where(_middle < 0.5, _middle, _middle - 1))
+RATE, LOG_SCALE = _all.astype(np.float32), np.log(_all).astype(np.float32)
+RATE_TAIL, LOG_SCALE_TAIL = gamma_quantiles(-_middle / STEPS).astype(np.float32), np.log(gamma_quantiles(_middle / STEPS)).astype(np.float32)
+
+
 def signatures(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Fingerprints of texts, shape (texts, SLOTS), 32-bit integers."""
     term, weight, first = bags(data, offsets)
@@ -58,16 +76,30 @@ def signatures(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     full = np.flatnonzero(np.diff(first))
     if not len(full):
         return out
-    ends = np.concatenate((np.zeros(1, np.int64), np.cumsum(weight)))
-    number = np.arange(ends[-1]) - np.repeat(ends[:-1], weight)
-    term = np.repeat(term, weight)
-    again = number > 0
-    term[again] = mix(term[again] + number[again].astype(np.uint64) * np.uint64(BASE))
-    heads = ends[first[:-1][full]]
-    steps = mix(np.arange(1, 2 * SLOTS + 1, dtype=np.uint64) * np.uint64(BASE))
+    heads = first[:-1][full]
+    salts = mix(np.arange(1, 2 * SLOTS + 1, dtype=np.uint64) * np.uint64(BASE))
+    name = mix(term).astype(np.uint32)
+    heavy = np.flatnonzero(weight > 1)
+    log_weight = np.log(weight[heavy])
+    # A sample's rank, as the bits of a positive float, above its name: the greatest of these pairs is the least sample.
+    pair = np.empty((len(term), 2), np.uint32)
+    pair[:, 0] = name
+    rank = pair[:, 1].view(np.float32)
     for slot in range(SLOTS):
-        value = (term ^ steps[slot]) * (steps[SLOTS + slot] | np.uint64(1))
-        out[full, slot] = (mix(np.minimum.reduceat(value, heads)) >> np.uint64(32)).astype(np.uint32)
+        bits = (term ^ salts[slot]) * (salts[SLOTS + slot] | np.uint64(1))
+        parts = bits.view(np.uint16).reshape(-1, 4)
+        log_scale, rate = np.take(LOG_SCALE, parts[:, 3], mode="clip"), np.take(RATE, parts[:, 2], mode="clip")
+        for tail, step, values in ((LOG_SCALE_TAIL, parts[:, 3] == 0, log_scale), (RATE_TAIL, parts[:, 2] == STEPS - 1, rate)):
+            outer = np.flatnonzero(step)
+            if len(outer):
+                values[outer] = tail[(mix(bits[outer]) & np.uint64(STEPS - 1)).astype(np.int64)]
+        shift = (parts[:, 1].astype(np.float32) + np.float32(0.5)) * np.float32(1 / STEPS)
+        if len(heavy):
+            level = np.floor(log_weight / rate[heavy] + shift[heavy])
+            shift[heavy] -= level
+            pair[heavy, 0] = mix(term[heavy] + level.astype(np.int64).view(np.uint64) * np.uint64(BASE)).astype(np.uint32)
+        np.subtract(rate - rate * shift + np.float32(4), log_scale, out=rank)
+        out[full, slot] = np.maximum.reduceat(pair.view(np.uint64).ravel(), heads).astype(np.uint32)
     return out
 
 
@@ -85,7 +117,7 @@ def fingerprint(df: DataFrame, text: str = "text", name: str = "fingerprint") ->
     """Adds the fingerprint of a text column as a string of hexadecimal digits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (s for b in batches for s in slices(b, text)):
+        for batch in (s for b in batches for s in slices(b, text, 1 << 18)):
             kept = [n for n in batch.schema.names if n != name]
             yield pa.RecordBatch.from_arrays([*map(batch.column, kept), pa.array(as_text(signatures(*text_bytes(batch.column(text)))))], names=[*kept, name])
 
