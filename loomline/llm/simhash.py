@@ -2,15 +2,13 @@
 
 A text's fingerprint has a bit set where over half the XXH64 hashes (seed 42) of its runs of
 `size` words have it. Two fingerprints at most `DISTANCE` = 4 bits apart differ in at most four of
-their eight bytes, so they share at least four (position, byte) postings. The lists of single
-postings would hold a 256th of all fingerprints each; two fingerprints share four postings just
-where they meet in one of the 70 sets of four, so the index holds those. Of fingerprints that meet, the
-shared bytes are tallied for each pair, pairs with the guaranteed number are kept, and verified by the
-number of differing bits.
+their eight bytes, so they share at least `SHARED` = 4 of the (position, byte) postings. The lists of single
+postings would hold a 256th of all fingerprints each, so the index holds `INDEXED` = 3 positions at a time: a list holds the fingerprints
+with the same three bytes in the same three positions. Of a pair that meets in a list all shared
+positions are counted, pairs with fewer than the guaranteed four go, and the rest is verified by the number of differing bits.
 
 Lists are searched without expanding them into pairs (`lists`). Links of all lists are joined into components.
-Copies of one text share a fingerprint and enter the index once, so a list has at most one member
-for each value of its other four bytes. Rows come back to their component by joins that adaptive
+Copies of one text share a fingerprint and enter the index once. Rows come back to their component by joins that adaptive
 execution can deal to several tasks for a frequent key.
 
 Null and empty texts have fingerprint zero, linked like any other. Fewer words than `size`: all
@@ -34,7 +32,7 @@ from .common import checkpointed, documents, keep_types, slices, skew_join
 from .components import connected_components
 from .lists import Near, linked
 
-SEED, DISTANCE, SHARED, LIST = 42, 4, 4, 1024
+SEED, DISTANCE, SHARED, INDEXED, LIST = 42, 4, 4, 3, 1024
 
 
 def fingerprint(words: list[bytes], size: int) -> int:
@@ -62,8 +60,8 @@ def with_fingerprint(df: DataFrame, size: int = 4, text: str = "text", name: str
 
 
 def index(distinct: DataFrame) -> DataFrame:
-    """(posting, fp): four byte positions and their bytes, in one long, for every choice of positions."""
-    sets = list(combinations(range(8), SHARED))
+    """(posting, fp): three byte positions and their bytes, in one long, for every choice of positions."""
+    sets = list(combinations(range(8), INDEXED))
     byte = [F.shiftrightunsigned("fp", 8 * p).bitwiseAND(255) for p in range(8)]
     keys = []
     for k, chosen in enumerate(sets):
@@ -74,14 +72,18 @@ def index(distinct: DataFrame) -> DataFrame:
     return distinct.select("fp", F.explode(F.array(*keys)).alias("posting"))
 
 
+def shared_bytes(differing: np.ndarray) -> np.ndarray:
+    """How many positions agree, of fingerprints with these differing bits."""
+    return (differing.view(np.uint8).reshape(-1, 8) == 0).sum(axis=1)
+
+
 def near_bits(batch: pa.RecordBatch) -> Near:
-    """Whether two members share SHARED bytes, by tally, and then differ in at most DISTANCE bits."""
+    """Whether two members share SHARED bytes, by count, and then differ in at most DISTANCE bits."""
     fp = batch.column("key").to_numpy().view(np.uint64)
 
     def near(one: int, left: np.ndarray) -> np.ndarray:
         differing = fp[left] ^ fp[one]
-        tally = (differing.view(np.uint8).reshape(-1, 8) == 0).sum(axis=1)
-        out = tally >= SHARED
+        out = shared_bytes(differing) >= SHARED
         out[out] = np.bitwise_count(differing[out]) <= DISTANCE
         return out
 
@@ -90,7 +92,7 @@ def near_bits(batch: pa.RecordBatch) -> Near:
 
 def links(distinct: DataFrame) -> DataFrame:
     """(a, b): enough links between distinct fingerprints to connect all that are linked."""
-    # By a hash of its own and a number, so that neither the planner nor adaptive execution puts the few bytes that become 70 times as many in a few tasks.
+    # By a hash of its own and a number, so that neither the planner nor adaptive execution puts the few bytes that become 56 times as many in a few tasks.
     spread = distinct.repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("fp"))
     return linked(index(spread).withColumnRenamed("fp", "key"), "posting", near_bits, F.lit(1), LIST)
 
