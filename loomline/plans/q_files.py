@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from loomline import sources
 from loomline.functions import r6, ratio
+from loomline.operators import edits as edits_of
 from loomline.operators import timeline, windows
 from loomline.streaming import append_results
 
@@ -218,6 +219,30 @@ def txt5_edit_distance(spark, sf):
     return scored.groupBy("conv_id").agg(r6(F.avg(ratio("e", "n"))).alias("macro_rate"), r6(ratio(F.sum("e"), F.sum("n"))).alias("corpus_rate"), F.count(F.lit(1)).alias("pairs"))
 
 
+CODE_SQL = "33 + 3 * CASE WHEN ascii(lower({0})) BETWEEN 97 AND 122 THEN ascii(lower({0})) - 96 ELSE 0 END + length({0}) % 3"
+CODES_SQL = "list_transform(list_filter(string_split({}, ' '), lambda w: w <> ''), lambda w: chr((" + CODE_SQL.format("w") + ")::INT))"
+SYMBOLS_SQL = f"SELECT conv_id, turn, CASE WHEN (conv_id + turn) % 9 = 4 THEN 'error' WHEN b IS NULL THEN 'missing' ELSE 'success' END AS status, array_to_string(a, '') AS a, array_to_string(b, '') AS b FROM (SELECT a.conv_id, a.turn, {CODES_SQL.format('a.text')} AS a, {CODES_SQL.format('b.text')} AS b FROM v_turns a LEFT JOIN v_turns b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1)"
+SCORED_SQL = f"SELECT conv_id, turn, status, CASE WHEN status = 'success' THEN levenshtein(a, b) END::BIGINT AS e, CASE WHEN status = 'success' THEN length(a) + length(b) END::BIGINT AS n FROM ({SYMBOLS_SQL})"
+
+
+def symbol_pairs(spark, sf) -> DataFrame:
+    """Turns and their successors as arrays of symbols (a word's first letter and its length modulo 3), some with a status from before and some without a successor."""
+    letter = lambda word: F.ascii(F.lower(word))
+    code = lambda word: F.lit(33) + F.when(letter(word).between(97, 122), letter(word) - 96).otherwise(0) * 3 + F.length(word) % 3
+    symbols = lambda text: F.transform(F.filter(F.split(text, " "), lambda word: word != ""), code)
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    turns = v_turns(spark, sf).withColumns({"following": F.lead("text").over(w), "next": F.lead("turn").over(w)})
+    before = F.when((F.col("conv_id") + F.col("turn")) % 9 == 4, "error")
+    return turns.select("conv_id", "turn", before.alias("before"), symbols("text").alias("a"), F.when(F.col("next") == F.col("turn") + 1, symbols("following")).alias("b"))
+
+
+@query(f"SELECT conv_id, count(*) AS n_total, count_if(status = 'success')::BIGINT AS n_success, count_if(status = 'missing')::BIGINT AS n_missing, count_if(status = 'error')::BIGINT AS n_failed, round(avg(coalesce(e / nullif(n, 0), 0)) FILTER (status = 'success'), 6) AS macro_rate, CASE WHEN n_success > 0 THEN round(coalesce(sum(e) / nullif(sum(n), 0), 0), 6) END AS corpus_rate, sum(e)::BIGINT AS edits, sum(n)::BIGINT AS symbols FROM ({SCORED_SQL}) GROUP BY 1")
+def txt5_symbol_edits(spark, sf):
+    """Edits of whole symbols between neighbouring turns, as a mean of rates and a rate of sums, with pairs that could not be scored apart."""
+    scored = edits_of.with_edits(symbol_pairs(spark, sf), "a", "b", F.col("before"))
+    return edits_of.edit_rates(scored, "conv_id").withColumns({c: r6(c) for c in ("macro_rate", "corpus_rate")})
+
+
 TEMPO_SQL = "SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN 'unit = ' || (60 + p_size) WHEN p_partkey % 5 = 1 THEN 'unknown; ' || p_name ELSE p_name END AS t FROM part"
 
 
