@@ -17,6 +17,13 @@ def assert_empty(violations: DataFrame, message: str, shown: int = 5) -> None:
         raise CheckFailed(f"{message}: {', '.join(map(str, rows))}")
 
 
+def assert_some(df: DataFrame, message: str) -> DataFrame:
+    """The table itself, if it has a row."""
+    if df.isEmpty():
+        raise CheckFailed(message)
+    return df
+
+
 def duplicate_keys(df: DataFrame, *keys: str) -> DataFrame:
     """Keys that occur more than once or are null, with their number."""
     grouped = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))

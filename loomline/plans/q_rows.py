@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomline.functions import draw_int, draw_unit, md5_key, r6, ratio
-from loomline.operators import checks
+from loomline.operators import checks, digests
 from loomline.operators.windows import ranked
 
-from .base import query, table, v_bars, v_turns
+from .base import kept, query, table, v_bars, v_turns
 
 
 def values(spark: SparkSession, schema: str, *rows: tuple) -> DataFrame:
@@ -148,12 +148,29 @@ def jn6_render_index(spark, sf):
     return index.groupBy("render").agg(F.count_distinct("owner").alias("owners"), F.min("owner").alias("owner"))
 
 
-@query("SELECT a.user_id, a.bar, a.state AS left_state, b.state AS right_state FROM v_bars a JOIN v_bars b ON a.user_id + 1 = b.user_id AND a.bar = b.bar WHERE a.user_id % 2 = 0")
+ZIP_SQL = "SELECT conv_id, turn, role, count(*) OVER (PARTITION BY conv_id) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS place FROM v_turns"
+
+
+@query(f"WITH t AS ({ZIP_SQL}), l AS (SELECT * FROM t WHERE conv_id % 2 = 0), r AS (SELECT conv_id - 1 AS conv_id, turn, role, n, place FROM t WHERE conv_id % 2 = 1) SELECT l.conv_id, l.place, l.role AS left_role, r.role AS right_role, 'paired' AS verdict FROM l JOIN r USING (conv_id, place) WHERE l.n = r.n UNION ALL SELECT DISTINCT coalesce(a.conv_id, b.conv_id), NULL::BIGINT, NULL::VARCHAR, NULL::VARCHAR, 'unequal' FROM l a FULL JOIN r b ON a.conv_id = b.conv_id WHERE a.n IS DISTINCT FROM b.n")
 def jn7_positional_zip(spark, sf):
-    """The i-th interval of one list with the i-th of another."""
-    bars = v_bars(spark, sf)
-    left = bars.where("user_id % 2 = 0").select("user_id", "bar", F.col("state").alias("left_state"))
-    return left.join(bars.select((F.col("user_id") - 1).alias("user_id"), "bar", F.col("state").alias("right_state")), ["user_id", "bar"])
+    """The i-th turn of one conversation with the i-th of the next one; conversations of unequal length are violations, not cut to the shorter."""
+    turns = v_turns(spark, sf).select("conv_id", "turn", "role")
+    left, right = turns.where("conv_id % 2 = 0"), turns.where("conv_id % 2 = 1").withColumn("conv_id", F.col("conv_id") - 1)
+    zipped = zip_lists(left, right, "conv_id", "turn", "role")
+    return zipped.select("conv_id", "place", "left_role", "right_role", "verdict")
+
+
+def zip_lists(left: DataFrame, right: DataFrame, series: str, order: str, value: str, strict: bool = False) -> DataFrame:
+    """(series, place, left, right, verdict): values of both lists by their place. A series whose lists differ in length has one row `unequal`, or is an error if `strict`."""
+    placed = lambda df, side: df.select(series, (F.row_number().over(Window.partitionBy(series).orderBy(order)) - 1).cast("long").alias("place"), F.col(value).alias(f"{side}_{value}"), F.lit(True).alias(side))
+    both = placed(left, "left").join(placed(right, "right"), [series, "place"], "full_outer")
+    alone = F.max((F.col("left").isNull() | F.col("right").isNull()).cast("int")).over(Window.partitionBy(series)) == 1
+    marked = both.withColumn("unequal", alone)
+    broken = marked.where("unequal").select(series).distinct()
+    if strict:
+        checks.assert_empty(broken, "lists of unequal length")
+    paired = marked.where("NOT unequal").drop("left", "right", "unequal").withColumn("verdict", F.lit("paired"))
+    return paired.unionByName(broken.withColumn("verdict", F.lit("unequal")), allowMissingColumns=True)
 
 
 @query("SELECT d.doc_id, coalesce(l.quality::VARCHAR, nullif(d.lang, ''), 'none') AS merged, l.doc_id IS NOT NULL AS from_labels FROM documents d LEFT JOIN labels l USING (doc_id)")
@@ -337,6 +354,33 @@ def ordered_fingerprint(df: DataFrame, group: str, *columns: str) -> DataFrame:
     return df.groupBy(group).agg(F.sha2(F.array_join(lines, "\n"), 256).alias("fingerprint"))
 
 
+ROW_SQL = "sha256(" + " || ".join(f"coalesce(length({c}::VARCHAR) || ':' || {c}::VARCHAR, 'n')" for c in ("o_orderkey", "o_custkey", "o_orderpriority")) + ")"
+LEVEL_SQL = "SELECT g, node >> 16 AS node, sha256(string_agg(node || '=' || digest, ',' ORDER BY node)) AS digest, sum(n)::BIGINT AS n FROM {} GROUP BY 1, 2"
+KEYS_SQL = """rows AS (SELECT o_orderstatus AS g, o_orderkey AS node, {row} AS row, count(*) AS n FROM {table} GROUP BY 1, 2, 3),
+digits AS (SELECT g, node, left(row, 4) AS digits, sha256(string_agg(row || '=' || n, ',' ORDER BY row)) AS digest, sum(n) AS n FROM rows GROUP BY 1, 2, 3),
+keys AS (SELECT g, node, sha256(string_agg(digits || '=' || digest, ',' ORDER BY digits)) AS digest, sum(n) AS n FROM digits GROUP BY 1, 2)"""
+
+
+@query(f"WITH {KEYS_SQL.format(row=ROW_SQL, table='orders')}, a AS ({LEVEL_SQL.format('keys')}), b AS ({LEVEL_SQL.format('a')}), c AS ({LEVEL_SQL.format('b')}) SELECT g AS o_orderstatus, sha256(string_agg(node || '=' || digest, ',' ORDER BY node)) AS fingerprint, sum(n)::BIGINT AS n FROM c GROUP BY 1")
+def agg12_digest_tree(spark, sf):
+    """One digest for all orders of a status, by ranges of their keys."""
+    tree = digests.digest_tree(table(spark, sf, "orders"), "o_orderstatus", "o_orderkey", ["o_orderkey", "o_custkey", "o_orderpriority"], kept)
+    return tree[0].select("o_orderstatus", F.col("digest").alias("fingerprint"), "n")
+
+
+ALTERED_SQL = "SELECT o_orderkey + CASE WHEN o_orderkey % 501 = 7 THEN 90000000 ELSE 0 END AS o_orderkey, o_custkey, o_orderstatus, CASE WHEN o_orderkey % 203 = 5 THEN 'changed' ELSE o_orderpriority END AS o_orderpriority FROM orders WHERE o_orderkey % 397 <> 11"
+
+
+@query(f"WITH a AS (SELECT o_orderstatus, o_orderkey, o_orderpriority, o_custkey FROM orders), b AS ({ALTERED_SQL}) SELECT coalesce(a.o_orderstatus, b.o_orderstatus) AS o_orderstatus, coalesce(a.o_orderkey, b.o_orderkey) AS key, CASE WHEN b.o_orderkey IS NULL THEN 'left' WHEN a.o_orderkey IS NULL THEN 'right' ELSE 'both' END AS side FROM a FULL JOIN b USING (o_orderstatus, o_orderkey) WHERE a.o_orderkey IS NULL OR b.o_orderkey IS NULL OR a.o_orderpriority <> b.o_orderpriority")
+def set3_located_differences(spark, sf):
+    """Keys at which an altered copy differs, found by descending two digest trees."""
+    orders, key = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"), F.col("o_orderkey")
+    altered = orders.where(key % 397 != 11).withColumn("o_orderpriority", F.when(key % 203 == 5, "changed").otherwise(F.col("o_orderpriority"))).withColumn("o_orderkey", key + F.when(key % 501 == 7, 90000000).otherwise(0))
+    columns = ["o_orderkey", "o_custkey", "o_orderpriority"]
+    trees = [digests.digest_tree(x, "o_orderstatus", "o_orderkey", columns, kept) for x in (orders, altered)]
+    return digests.differing_keys(*trees, "o_orderstatus", kept)
+
+
 STATES = ("view", "click", "purchase", "signup", "error")
 STATE_SQL = "SELECT user_id, bar, CASE WHEN user_id % 13 = 5 AND bar = 2 THEN 'other' WHEN user_id % 11 = 4 AND bar = 3 THEN NULL ELSE state END AS state FROM v_bars WHERE user_id % 17 <> 3 OR bar = 0"
 

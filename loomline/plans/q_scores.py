@@ -55,12 +55,20 @@ def jn1_inventory_zero_fill(spark, sf):
 
 @query("SELECT task_id, work_id FROM v_grounding WHERE work_id IN (SELECT n_nationkey FROM nation WHERE n_regionkey IN (1, 3)) OR recording_id IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
 def jn2_allow_list(spark, sf):
-    """Tasks whose work, or whose recording under an alias, is on a list: two semi joins, one union of keys."""
-    grounding = v_grounding(spark, sf)
+    """Tasks whose work, or whose recording under an alias, is on a list; lists that leave nothing are an error."""
     works = table(spark, sf, "nation").where("n_regionkey IN (1, 3)").select(F.col("n_nationkey").alias("work_id"))
     recordings = table(spark, sf, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("recording_id"))
-    marked = grounding.join(works.withColumn("by_work", F.lit(True)), "work_id", "left").join(recordings.withColumn("by_recording", F.lit(True)), "recording_id", "left")
-    return marked.where("by_work OR by_recording").select("task_id", "work_id")
+    return allowed(v_grounding(spark, sf), {"work_id": works, "recording_id": recordings}).select("task_id", "work_id")
+
+
+def allowed(df: DataFrame, lists: dict[str, DataFrame]) -> DataFrame:
+    """Rows of which one of the named columns is on its list (a table with a column of that name); an error if none is left."""
+    marked = df
+    for k, (name, listed) in enumerate(lists.items()):
+        marked = marked.join(listed.select(name).distinct().withColumn(f"__by_{k}", F.lit(True)), name, "left")
+    names = [f"__by_{k}" for k in range(len(lists))]
+    some = marked.where(F.coalesce(*names, F.lit(False))).drop(*names)
+    return checks.assert_some(some, f"the lists of {', '.join(lists)} leave no rows")
 
 
 @query("SELECT s.system, s.task_id FROM v_scores s WHERE s.task_id IN (SELECT task_id FROM v_scores GROUP BY 1 HAVING count(DISTINCT system) = 3)")
@@ -69,12 +77,28 @@ def jn4_all_systems(spark, sf):
     return scores.join(seen_by_all(scores), "task_id", "left_semi").select("system", "task_id")
 
 
-@query("SELECT g.task_id, CASE WHEN s.task_id IS NULL THEN 'no_prediction' WHEN g.ref_status = 'P' THEN 'no_reference' ELSE 'paired' END AS status, round(s.m1, 6) AS prediction, g.recording_id AS reference FROM v_grounding g LEFT JOIN (SELECT * FROM v_scores WHERE system = 'A') s USING (task_id)")
+PREDICTED_SQL = "SELECT task_id + CASE WHEN task_id % 97 = 5 THEN 1000000000 ELSE 0 END AS task_id, m1 FROM v_scores WHERE system = 'A'"
+
+
+@query(f"SELECT coalesce(g.task_id, s.task_id) AS task_id, CASE WHEN g.task_id IS NULL THEN 'unknown_reference' WHEN s.task_id IS NULL THEN 'no_prediction' WHEN g.ref_status = 'P' THEN 'no_reference' ELSE 'paired' END AS status, round(s.m1, 6) AS prediction, g.recording_id AS reference FROM v_grounding g FULL JOIN ({PREDICTED_SQL}) s ON s.task_id = g.task_id")
 def jn17_pairing(spark, sf):
-    """One row for each reference, with the artifacts of both sides and a status."""
-    predictions = v_scores(spark, sf).where("system = 'A'").select("task_id", F.lit(True).alias("found"), r6("m1").alias("prediction"))
-    status = F.when(F.col("found").isNull(), "no_prediction").when(F.col("ref_status") == "P", "no_reference").otherwise("paired")
-    return v_grounding(spark, sf).join(predictions, "task_id", "left").select("task_id", status.alias("status"), "prediction", F.col("recording_id").alias("reference"))
+    """One row for each reference, with the artifacts of both sides and a status, and one for each prediction that no reference knows."""
+    key = F.col("task_id")
+    predictions = v_scores(spark, sf).where("system = 'A'").select((key + F.when(key % 97 == 5, 1000000000).otherwise(0)).alias("task_id"), r6("m1").alias("prediction"))
+    references = v_grounding(spark, sf).select("task_id", F.col("recording_id").alias("reference"), (F.col("ref_status") != "P").alias("usable"))
+    return paired(references, predictions, "task_id").select("task_id", "status", "prediction", "reference")
+
+
+def paired(references: DataFrame, predictions: DataFrame, key: str, strict: bool = False) -> DataFrame:
+    """All columns of both sides by their key, with a status. `references` says which are `usable`. If `strict`, a repeated key, a prediction without its reference and a reference without prediction are errors."""
+    both = references.withColumn("__r", F.lit(True)).join(predictions.withColumn("__p", F.lit(True)), key, "full_outer")
+    status = F.when(F.col("__r").isNull(), "unknown_reference").when(F.col("__p").isNull(), "no_prediction").when(~F.col("usable"), "no_reference").otherwise("paired")
+    found = both.withColumn("status", status).drop("__r", "__p", "usable")
+    if strict:
+        for side, df in (("references", references), ("predictions", predictions)):
+            checks.assert_empty(checks.duplicate_keys(df, key), f"repeated keys of {side}")
+        checks.assert_empty(found.where("status IN ('unknown_reference', 'no_prediction')").select(key, "status"), "keys of one side only")
+    return found
 
 
 @query("SELECT key, side FROM (SELECT DISTINCT o_orderkey AS key, 'missing' AS side FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem) UNION ALL SELECT DISTINCT l_orderkey, 'unexpected' FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders))")
