@@ -46,6 +46,42 @@ def islands(df: DataFrame, series: str, order: str, cut: Column, name: str = "is
     return df.withColumn(name, F.sum(cut.cast("long")).over(Window.partitionBy(series).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))
 
 
+def active_chains(df: DataFrame, series: str, order: str, active: Column, hole: Column, event: Column, name: str = "chain") -> DataFrame:
+    """The active rows with the number of their chain, from 0. Neighbouring active rows part where there is a hole from the one to the other, either included, or an event strictly between them.
+
+    Holes and events are counted up once along the series, and the counts of neighbours differ by what lies between. Null flags are false.
+    """
+    flag = lambda c: F.coalesce(c, F.lit(False)).cast("long")
+    w = Window.partitionBy(series).orderBy(order)
+    counted = df.withColumns({"__hole": flag(hole), "__event": flag(event), "__active": F.coalesce(active, F.lit(False))})
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    counted = counted.withColumns({"__holes": F.sum("__hole").over(upto), "__events": F.sum("__event").over(upto)}).where("__active")
+    before_hole = F.lag(F.col("__holes") - F.col("__hole")).over(w)
+    cut = (F.col("__holes") > before_hole) | (F.col("__events") - F.col("__event") > F.lag("__events").over(w))
+    return islands(counted.withColumn("__cut", F.coalesce(cut, F.lit(False))), series, order, F.col("__cut"), name).drop("__hole", "__event", "__active", "__holes", "__events", "__cut")
+
+
+def without_trailing_repeats(df: DataFrame, series: str, order: str, head: Column, content: list[str]) -> DataFrame:
+    """Rows of each series without the blocks at its end that repeat the one before them; a block runs from a `head` row to the next.
+
+    Two blocks are equal if they have as many rows with the same content in the same order. A block is known by its length and two sums of
+    64-bit hashes of each row's content with its place in the block, so its rows aren't gathered. Rows before the first head are a block too.
+    """
+    numbered = islands(df, series, order, F.coalesce(head, F.lit(False)), "__block")
+    place = F.row_number().over(Window.partitionBy(series, "__block").orderBy(order))
+    values = [F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in content]
+    hashed = numbered.withColumn("__place", place)
+    sums = [F.sum(F.xxhash64(F.lit(k), "__place", *values).cast("decimal(38,0)")).alias(f"__h{k}") for k in (1, 2)]
+    blocks = hashed.groupBy(series, "__block").agg(F.count(F.lit(1)).alias("__rows"), *sums)
+    w = Window.partitionBy(series).orderBy("__block")
+    known = F.struct("__rows", "__h1", "__h2")
+    differs = blocks.withColumn("__known", known).withColumn("__new", F.coalesce(~F.col("__known").eqNullSafe(F.lag("__known").over(w)), F.lit(True)).cast("long"))
+    later = F.sum("__new").over(Window.partitionBy(series).orderBy(F.desc("__block")).rowsBetween(Window.unboundedPreceding, -1))
+    # A block goes if it repeats the one before it and so do all blocks after it.
+    gone = differs.withColumn("__later", F.coalesce(later, F.lit(0))).where("__new = 0 AND __later = 0").select(F.col(series).alias("__s"), F.col("__block").alias("__b"))
+    return numbered.join(gone, F.col(series).eqNullSafe(F.col("__s")) & (F.col("__block") == F.col("__b")), "left_anti").drop("__block")
+
+
 def ranked(df: DataFrame, key: str, *more: str, name: str = "rank", block: int = 1 << 14) -> DataFrame:
     """Adds each row's place from 0 in order of a whole-number key and further columns, without a task that sees all rows.
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from loomline import sources
 from loomline.functions import r6, ratio
 from loomline.operators import edits as edits_of
-from loomline.operators import timeline, windows
+from loomline.operators import playback, timeline, windows
 from loomline.streaming import append_results
 
 from .base import query, scratch, table, v_lines, v_turns
@@ -149,6 +149,44 @@ def txt2_playback(spark, sf):
     return played.select("doc_id", "place", "section", "line_no", "occurrence")
 
 
+LABELS = ("A", "B", "B1", "B2", "C", "D1", "D2", "E2")
+ORDERS = ("*>[A,A,B,B1,B,B2]", "*>[A, B1 ,A,B2,C]", None, "*>[A,Q,C,D1,C,D2]", "*>[C,E2,C]")
+SCORES_SQL = f"""SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id ORDER BY line_no, sub) - 1 AS line_no FROM (
+SELECT doc_id, -1 AS line_no, 0 AS sub, {list(ORDERS)!r}[doc_id % 5 + 1] AS line FROM documents UNION ALL
+SELECT doc_id, line_no, unnest([0, 1]) AS sub, unnest([CASE WHEN starts_with(line, 'T') THEN '*>' || coalesce({list(LABELS)}[k], 'S' || k) END, line]) AS line
+FROM (SELECT *, sum(starts_with(line, 'T')::INT) OVER (PARTITION BY doc_id ORDER BY line_no)::BIGINT AS k FROM v_lines)) WHERE line IS NOT NULL""".replace("None", "NULL")
+MARKED_SQL = f"SELECT *, nullif(regexp_extract(line, '^\\*>([A-Za-z0-9]+)\\s*$', 1), '') AS mark, regexp_extract(line, '^\\*>\\[([^\\]]+)\\]', 1) AS listed FROM ({SCORES_SQL})"
+VISITS_SQL = f"""m AS ({MARKED_SQL}), body AS (SELECT doc_id, line_no, coalesce(last_value(mark IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), '') AS section, mark, listed FROM m),
+has AS (SELECT doc_id, section, min(line_no) AS first FROM body WHERE mark IS NOT NULL OR listed = '' GROUP BY 1, 2),
+declared AS (SELECT doc_id, unnest(string_split(arg_min(listed, line_no), ',')) AS section, generate_subscripts(string_split(arg_min(listed, line_no), ','), 1) - 1 AS place FROM m WHERE listed <> '' GROUP BY doc_id),
+plan AS (SELECT doc_id, place, trim(section) AS section FROM declared UNION ALL SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY first) - 1, section FROM has WHERE doc_id NOT IN (SELECT doc_id FROM declared)),
+visits AS (SELECT p.*, row_number() OVER (PARTITION BY p.doc_id, p.section ORDER BY place) - 1 AS occurrence, h.doc_id IS NOT NULL AS known, CASE WHEN regexp_matches(p.section, '^[A-Za-z]+[0-9]+$') AND EXISTS (SELECT 1 FROM has o WHERE o.doc_id = p.doc_id AND o.section = regexp_extract(p.section, '^[A-Za-z]*') || CASE WHEN regexp_extract(p.section, '[0-9]+$') = '1' THEN '2' ELSE '1' END) THEN regexp_extract(p.section, '[0-9]+$')::INT ELSE 0 END AS ending FROM plan p LEFT JOIN has h ON h.doc_id = p.doc_id AND h.section = p.section)"""
+
+
+def score_lines(spark, sf) -> DataFrame:
+    """Documents as scores: four of five declare an order, and each line that begins with T opens a section with the next label."""
+    lines = sections(spark, sf)
+    label = F.coalesce(F.get(F.array(*map(F.lit, LABELS)), (F.col("section") - 1).cast("int")), F.concat(F.lit("S"), F.col("section").cast("string")))
+    both = F.when(F.startswith("line", F.lit("T")), F.array(F.concat(F.lit("*>"), label), F.col("line"))).otherwise(F.array("line"))
+    body = lines.select("doc_id", "line_no", F.posexplode(both).alias("sub", "line"))
+    order = F.get(F.array(*map(F.lit, ORDERS)), (F.col("doc_id") % 5).cast("int"))
+    heads = table(spark, sf, "documents").select("doc_id", F.lit(-1).cast("long").alias("line_no"), F.lit(0).alias("sub"), order.alias("line")).where("line IS NOT NULL")
+    number = F.row_number().over(Window.partitionBy("doc_id").orderBy("line_no", "sub")) - 1
+    return body.unionByName(heads).withColumn("line_no", number.cast("long")).drop("sub")
+
+
+@query(f"WITH {VISITS_SQL} SELECT v.doc_id, v.place::BIGINT AS place, v.section, b.line_no, v.occurrence, v.occurrence > 0 AS is_repeat, v.ending FROM visits v JOIN body b ON b.doc_id = v.doc_id AND b.section = v.section AND b.mark IS NULL AND b.listed = '' UNION ALL SELECT doc_id, place, section, NULL, occurrence, occurrence > 0, ending FROM visits WHERE NOT known")
+def txt2_declared_playback(spark, sf):
+    """Lines in the order that each document declares, with occurrences and endings; undeclared sections are violations."""
+    return playback.played(score_lines(spark, sf))
+
+
+@query(f"WITH {VISITS_SQL}, sized AS (SELECT v.*, (SELECT count(*) FROM body b WHERE b.doc_id = v.doc_id AND b.section = v.section AND b.mark IS NULL AND b.listed = '') AS n FROM visits v) SELECT doc_id, bool_or(occurrence > 0) AS has_repeats, sum(CASE WHEN occurrence = 0 THEN n ELSE 0 END)::BIGINT AS original, sum(n)::BIGINT AS expanded, count_if(NOT known)::BIGINT AS undeclared, round(sum(n) / nullif(sum(CASE WHEN occurrence = 0 THEN n ELSE 0 END), 0), 6) AS ratio FROM sized GROUP BY 1")
+def txt2_expansion_ratio(spark, sf):
+    """How much longer each document is when played."""
+    return playback.expansion(score_lines(spark, sf)).withColumn("ratio", r6("ratio"))
+
+
 LABEL_SQL = "CASE WHEN doc_id % 5 = 0 THEN '*' ELSE (doc_id % 3)::VARCHAR END"
 PATCH_SQL = f"SELECT doc_id + CASE WHEN doc_id % 50 = 9 THEN 100000000 ELSE 0 END AS doc_id, {LABEL_SQL} AS label, (doc_id % 4 + CASE WHEN doc_id % 50 = 3 THEN 1000 ELSE 0 END)::INT AS col, string_split(line, ' ')[doc_id % 4 + 1] AS old, CASE WHEN doc_id % 6 = 0 THEN NULL ELSE 'PATCHED' END AS new FROM v_lines WHERE line_no = doc_id % 7"
 

@@ -171,6 +171,31 @@ def wn14_islands(spark, sf):
     return cut.where(flagged).groupBy("user_id", "island").agg(F.min("bar").alias("first"), F.count(F.lit(1)).alias("n")).drop("island")
 
 
+@query("""WITH c AS (SELECT user_id, bar, state, (state = 'error')::INT AS hole, (state = 'purchase')::INT AS event, sum((state = 'error')::INT) OVER w AS holes, sum((state = 'purchase')::INT) OVER w AS events FROM v_bars WINDOW w AS (PARTITION BY user_id ORDER BY bar)),
+a AS (SELECT *, holes > lag(holes - hole) OVER w OR events - event > lag(events) OVER w AS cut FROM c WHERE state IN ('view', 'purchase') WINDOW w AS (PARTITION BY user_id ORDER BY bar)),
+n AS (SELECT *, sum(coalesce(cut, false)::INT) OVER (PARTITION BY user_id ORDER BY bar) AS chain FROM a)
+SELECT user_id, chain::BIGINT AS chain, min(bar) AS first, max(bar) AS last, count(*) AS n FROM n GROUP BY 1, 2""")
+def wn14_active_chains(spark, sf):
+    """Chains of views and purchases, cut by errors, and by purchases between two active rows."""
+    state = F.col("state")
+    chains = windows.active_chains(v_bars(spark, sf), "user_id", "bar", state.isin("view", "purchase"), state == "error", state == "purchase")
+    return chains.groupBy("user_id", "chain").agg(F.min("bar").alias("first"), F.max("bar").alias("last"), F.count(F.lit(1)).alias("n"))
+
+
+FOLDED_SQL = "SELECT user_id, bar, CASE WHEN state IN ('view', 'signup') THEN 'v' ELSE 'c' END AS note, bar = 0 OR bar % (2 + user_id % 2) = user_id % 2 AS head FROM v_bars"
+
+
+@query(f"""WITH b AS (SELECT *, sum(head::INT) OVER (PARTITION BY user_id ORDER BY bar) AS block FROM ({FOLDED_SQL})), k AS (SELECT user_id, block, string_agg(note, ',' ORDER BY bar) AS content FROM b GROUP BY 1, 2),
+d AS (SELECT *, coalesce(content <> lag(content) OVER (PARTITION BY user_id ORDER BY block), true)::INT AS new FROM k), l AS (SELECT *, coalesce(sum(new) OVER (PARTITION BY user_id ORDER BY block DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS later FROM d)
+SELECT b.user_id, b.bar, b.note FROM b JOIN l USING (user_id, block) WHERE NOT (new = 0 AND later = 0)""")
+def wn16_trailing_blocks(spark, sf):
+    """Series without the blocks of two or three rows at their end that repeat the block before."""
+    bar, user = F.col("bar"), F.col("user_id")
+    notes = v_bars(spark, sf).select("user_id", "bar", F.when(F.col("state").isin("view", "signup"), "v").otherwise("c").alias("note"))
+    head = (bar == 0) | (F.pmod(bar, 2 + user % 2) == user % 2)
+    return windows.without_trailing_repeats(notes, "user_id", "bar", head, ["note"])
+
+
 EDGES = [("view", "click"), ("view", "view"), ("click", "purchase"), ("click", "view"), ("purchase", "view"), ("signup", "view"), ("view", "signup"), ("error", "view")]
 
 
