@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import signal
 from bisect import bisect_left
-from collections.abc import Iterator
-from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -135,47 +132,3 @@ def match_events(df: DataFrame, series: str, tolerance: float) -> DataFrame:
     found = counts.join(hits, series, "left").withColumn("hits", F.coalesce("hits", F.lit(0)))
     precision, recall = ratio("hits", "p"), ratio("hits", "t")
     return found.select(series, "hits", precision.alias("precision"), recall.alias("recall"), ratio(2 * precision * recall, precision + recall).alias("f1"))
-
-
-class TimedOut(Exception):
-    """A scorer took longer than it may."""
-
-
-@contextmanager
-def time_limit(seconds: float | None) -> Iterator[None]:
-    """Raises TimedOut in the block after so many seconds, by the process's alarm clock."""
-    if not seconds:
-        yield
-        return
-
-    def ring(*_) -> None:
-        raise TimedOut
-
-    before = signal.signal(signal.SIGALRM, ring)
-    signal.setitimer(signal.ITIMER_REAL, seconds)
-    try:
-        yield
-    finally:
-        signal.setitimer(signal.ITIMER_REAL, 0)
-        signal.signal(signal.SIGALRM, before)
-
-
-def score_pairs(scorer, seconds: float | None = None):
-    """A function for mapInPandas that gives each row of (a, b) a status: an exception, an empty result or a call over the time limit never fails the job."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for a, b in zip(batch["a"], batch["b"], strict=True):
-                try:
-                    with time_limit(seconds):
-                        score = scorer(a, b)
-                    out.append(("success", float(score), None) if score is not None else ("empty", None, "no result"))
-                except TimedOut:
-                    out.append(("timeout", None, f"over {seconds} s"))
-                except Exception as problem:  # a scorer's failure is a result
-                    out.append(("error", None, f"{type(problem).__name__}: {problem}"))
-            status, score, message = zip(*out) if out else ((), (), ())
-            yield batch.drop(columns=["a", "b"]).assign(status=list(status), score=pd.array(score, dtype="Float64"), message=list(message))
-
-    return run

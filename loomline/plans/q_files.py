@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import time
 
 from pyspark.sql import DataFrame, Window
@@ -10,7 +11,8 @@ from pyspark.sql import functions as F
 from loomline import sources
 from loomline.functions import r6, ratio
 from loomline.operators import edits as edits_of
-from loomline.operators import playback, timeline, windows
+from loomline.operators import playback, scorers, windows
+from loomline.sources.files import file_inventory
 from loomline.streaming import append_results
 
 from .base import query, scratch, table, v_lines, v_turns
@@ -81,7 +83,7 @@ def src6_keyed_directory(spark, sf):
 
 @query()
 def src7_file_inventory(spark, sf):
-    return sources.file_inventory(spark, sf, "*.parquet")
+    return file_inventory(spark, sf, "*.parquet")
 
 
 @query("SELECT event_id, round(value, 6) AS sec, event_type AS type, CASE WHEN event_id % 3 > 0 THEN '4/4' END AS meter, CASE WHEN event_id % 3 = 2 THEN (event_id % 12)::INT END AS key FROM events")
@@ -313,9 +315,11 @@ def inc2_append_stream(spark, sf):
 
 
 def edits(a: str, b: str) -> float | None:
-    """Share of differing places; refuses some inputs, fails on some and hangs on some, as a real scorer does."""
+    """Share of differing places; refuses some inputs, fails on some, hangs on some and ends its process on some, as a real scorer does."""
     if len(a) % 97 == 1:
-        time.sleep(60)
+        time.sleep(600)
+    if len(a) % 89 == 2:
+        os._exit(3)
     if len(a) % 7 == 0:
         raise ValueError("length")
     if len(b) % 5 == 0:
@@ -323,9 +327,9 @@ def edits(a: str, b: str) -> float | None:
     return sum(x != y for x, y in zip(a, b)) / max(len(a), len(b))
 
 
-@query(f"SELECT conv_id, turn, CASE WHEN length(a) % 97 = 1 THEN 'timeout' WHEN length(a) % 7 = 0 THEN 'error' WHEN length(b) % 5 = 0 THEN 'empty' ELSE 'success' END AS status, CASE WHEN length(a) % 97 = 1 THEN 'over 0.5 s' WHEN length(a) % 7 = 0 THEN 'ValueError: length' WHEN length(b) % 5 = 0 THEN 'no result' END AS message FROM ({PAIRS_SQL})")
+@query(f"SELECT conv_id, turn, CASE WHEN length(a) % 97 = 1 THEN 'timeout' WHEN length(a) % 89 = 2 THEN 'crashed' WHEN length(a) % 7 = 0 THEN 'error' WHEN length(b) % 5 = 0 THEN 'empty' ELSE 'success' END AS status, CASE WHEN length(a) % 97 = 1 THEN 'over 1.0 s' WHEN length(a) % 89 = 2 THEN 'exit code 3' WHEN length(a) % 7 = 0 THEN 'ValueError: length' WHEN length(b) % 5 = 0 THEN 'no result' END AS message FROM ({PAIRS_SQL})")
 def udf1_fault_isolation(spark, sf):
-    """A scorer over pairs whose failures and time limit become statuses."""
+    """A scorer over pairs whose failures, death and time limit become statuses."""
     pairs = turn_pairs(spark, sf)
-    scored = pairs.mapInPandas(timeline.score_pairs(edits, 0.5), "conv_id long, turn long, status string, score double, message string")
+    scored = pairs.mapInPandas(scorers.score_pairs(edits, 1.0), "conv_id long, turn long, status string, score double, message string")
     return scored.select("conv_id", "turn", "status", "message")

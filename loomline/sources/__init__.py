@@ -61,15 +61,6 @@ def read_keyed_directory(spark: SparkSession, path: str, schema: str, pattern: s
     return rows.withColumn("key", F.regexp_extract(F.input_file_name(), pattern, 1))
 
 
-def file_inventory(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """(name, length, sha256) of all files under a folder, named by their path in it; a file name that occurs twice is an error. Each file is read whole by one task; the source passes over empty files."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
-    stem = F.regexp_extract("path", r"([^/]+)$", 1)
-    checks.assert_empty(checks.duplicate_keys(files.select(stem.alias("name")), "name"), "file names repeat")
-    root = path.rstrip("/").split("://")[-1]
-    return files.select(F.substring_index("path", f"{root}/", -1).alias("name"), "length", F.sha2("content", 256).alias("sha256"))
-
-
 def read_annotations(spark: SparkSession, path: str) -> DataFrame:
     """Rows `time, time, type[,meter[,key]]`, the type after tabs, as typed columns; fields that are left out are null."""
     cells = spark.read.text(path).where(F.trim("value") != "").select(F.split("value", "\t").alias("c"))

@@ -135,20 +135,6 @@ def test_cells_that_are_no_numbers_are_null(spark):
     assert [r.g for r in df.select(parse_cells("c").alias("g")).collect()] == [[[8]], [[8, 0], [3]], None, None, None]
 
 
-def test_file_inventory_equals_hashes_taken_by_hand(spark, tmp_path):
-    import hashlib
-
-    (tmp_path / "deep" / "er").mkdir(parents=True)
-    files = {"a.bin": b"a", "deep/b.bin": b"\0x" * 999, "deep/er/c.bin": "é".encode()}
-    for name, content in files.items():
-        (tmp_path / name).write_bytes(content)
-    rows = sources.file_inventory(spark, str(tmp_path), "*.bin").collect()
-    assert {(r.name, r.length, r.sha256) for r in rows} == {(n, len(c), hashlib.sha256(c).hexdigest()) for n, c in files.items()}
-    (tmp_path / "a.bin").rename(tmp_path / "deep" / "er" / "b.bin")
-    with pytest.raises(checks.CheckFailed):
-        sources.file_inventory(spark, str(tmp_path), "*.bin")
-
-
 def test_ranks_over_blocks_of_blocks(spark):
     rng = random.Random(21)
     keys = sorted(rng.sample(range(-500, 3000), 400)) + [7, 7]
@@ -164,18 +150,6 @@ def test_shards_of_ranks(spark):
             range_shard(df, "k", first, last)
 
 
-def test_scorers_that_hang_are_timed_out(spark):
-    import time
-
-    def scorer(a, b):
-        time.sleep(5 if a == "slow" else 0)
-        return 1.0
-
-    df = spark.createDataFrame([(1, "slow", ""), (2, "x", "")], "k long, a string, b string")
-    rows = {r.k: (r.status, r.score) for r in df.mapInPandas(timeline.score_pairs(scorer, 0.5), "k long, status string, score double, message string").collect()}
-    assert rows == {1: ("timeout", None), 2: ("success", 1.0)}
-
-
 def test_draws_without_observations_are_errors(spark):
     totals = spark.createDataFrame([("A", w, float(w == 5), int(w == 5)) for w in range(12)], "system string, work_id long, s double, c long")
     with pytest.raises(Exception, match="no observations"):
