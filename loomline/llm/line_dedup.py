@@ -8,7 +8,7 @@ lines are left alone, null stays null, and a text all of whose lines go becomes
 the same id but other texts count as different rows, in order of a hash of the text; rows equal in both
 are treated as one and stay together. All work on a text is linear in its lines, so long texts are
 handled whole. An empty table gives an empty one. Columns of the input stay; `n_lines` and `n_removed`
-replace columns so named, and columns whose names begin with two underscores are not allowed to be there.
+replace columns so named.
 """
 
 from __future__ import annotations
@@ -62,14 +62,17 @@ def without(text: str | None, marked: list[int] | None) -> tuple[str | None, int
 
 def dedup_lines(df: DataFrame) -> DataFrame:
     """The input with cleaned texts, the number of lines that are not blank and of those removed."""
-    keyed = df.withColumn("__key", F.struct("doc_id", F.xxhash64("text").alias("h")))
-    marked = marked_lines(keyed.select(F.col("__key").alias("key"), "text")).toDF("__of", "__marked")
-    rest = [c for c in df.columns if c not in ("text", "n_lines", "n_removed")]
-    joined = keyed.join(marked, F.col("__key") == F.col("__of"), "left").select(*rest, "text", "__marked")
+    key = F.struct("doc_id", F.xxhash64("text").alias("h"))
+    marked = marked_lines(df.select(key.alias("key"), "text")).select(F.struct("key", "marked").alias("gone"))
+    rest, lines = [c for c in df.columns if c not in ("text", "n_lines", "n_removed")], "marked"
+    while lines in df.columns:
+        lines += "_"
+    keyed = df.select(F.struct(*rest, "text").alias("row"), key.alias("key")).join(marked, F.col("key") == F.col("gone.key"), "left")
+    joined = keyed.select(*(F.col("row")[c].alias(c) for c in [*rest, "text"]), F.col("gone.marked").alias(lines))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (s for b in batches for s in slices(b, "text")):
-            found = [without(t, m) for t, m in zip(batch.column("text").to_pylist(), batch.column("__marked").to_pylist(), strict=True)]
+            found = [without(t, m) for t, m in zip(batch.column("text").to_pylist(), batch.column(lines).to_pylist(), strict=True)]
             columns = [pa.array(c, t) for c, t in zip(zip(*found), (pa.string(), pa.int64(), pa.int64()))]
             yield pa.RecordBatch.from_arrays([*map(batch.column, rest), *columns], names=[*rest, "text", "n_lines", "n_removed"])
 

@@ -164,7 +164,9 @@ def fit(df: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndar
     """Word vectors from all texts and a network from the sampled labels (bounded, so both may be broadcast)."""
     vectors = word_vectors(df)
     known = df.select("doc_id", "text").join(F.broadcast(training_rows(labels, sample)), "doc_id")
-    rows = features(known, vectors).dropDuplicates(["doc_id"]).withColumn("h", F.xxhash64("doc_id")).toPandas().sort_values(["h", "doc_id"], kind="stable")
+    # Of an id's several texts the one with the least hash.
+    known = known.groupBy("doc_id").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"), F.first("quality").alias("quality"))
+    rows = features(known, vectors).withColumn("h", F.xxhash64("doc_id")).toPandas().sort_values(["h", "doc_id"], kind="stable")
     if rows["quality"].nunique() < 2:
         return vectors, None
     x = np.stack(rows["vector"].to_numpy()).astype(np.float64)

@@ -1,7 +1,8 @@
 """Quality rules with risk-controlled thresholds.
 
-A document's signals are ratios of what its text shows. Labelled rows are dealt by a hash of the id: a third,
-for tuning, proposes rules and the rest, the holdout, tests them. For each stratum (the language) tuning rows
+A document's signals are ratios of what its text shows. Labelled texts are dealt by a hash: a third,
+for tuning, proposes rules and the rest, the holdout, tests them. Copies of a text within a stratum are one trial, for the bound holds for independent ones;
+near copies still count each. For each stratum (the language) tuning rows
 propose one joint rule for each of `RATES`: for every signal the strictest cutoff that rejects at most that
 share of the good tuning rows, if it rejects more bad rows than `COST` times the good ones. The
 holdout tests a stratum's joint rules from lax to strict: a rule is safe if the exact binomial upper
@@ -12,9 +13,9 @@ laxest on a tie; without one, nothing is rejected. So with probability 1 - `DELT
 rejects more than a share `RISK` of its good documents that pass the base rule.
 
 Null and empty texts have no words, fail the base rule and are not kept. A language with fewer than
-`LEAST` good rows, or null, belongs to the stratum `other`; any number of languages can have a stratum of
+`LEAST` good texts, or null, belongs to the stratum `other`; any number of languages can have a stratum of
 their own, judged by its own rule only. Labels that contradict each other count as good
-if at least half say so. Without labels only the base rule rejects. Rows that repeat, and rows of one id
+if at least half say so, over all copies. Without labels only the base rule rejects. Rows that repeat, and rows of one id
 with other texts, are judged each. Long texts are read whole. An empty table gives no rows.
 """
 
@@ -155,9 +156,11 @@ def proposed(row: dict) -> list[dict[str, float]]:
 
 
 def thresholds(scored: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> dict[str, dict[str, float]]:
-    """The cutoffs of each named stratum and of `other`, by signal. Labelled rows are reduced to counts, one row for each stratum that has enough of them."""
+    """The cutoffs of each named stratum and of `other`, by signal. Labelled texts, told apart by `mark` (without that column, rows by id), are reduced to counts, one row for each stratum that has enough of them."""
     known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg((F.avg("quality") >= 0.5).alias("good"))
-    known = scored.where("NOT base_failed").join(known, "doc_id").withColumn("tuning", F.pmod(F.xxhash64("doc_id"), F.lit(3)) == 0)
+    unit = "mark" if "mark" in scored.columns else "doc_id"
+    known = scored.where("NOT base_failed").join(known, "doc_id").groupBy("stratum", unit).agg((F.avg(F.col("good").cast("int")) >= 0.5).alias("good"), *(F.first(s).alias(s) for s in CUTOFFS))
+    known = known.withColumn("tuning", F.pmod(F.xxhash64(unit), F.lit(3)) == 0)
     counts = {f"{s}_{k}_{side}": F.count_if(F.col("tuning") & (F.col("good") == side) & (F.col(s) > c)) for s, cut in CUTOFFS.items() for k, c in enumerate(cut) for side in (True, False)}
     sums = known.groupBy("stratum").agg(F.count_if("good").alias("all"), F.count_if(F.col("good") & F.col("tuning")).alias("n"), *(c.alias(name) for name, c in counts.items()))
     merged = F.when(F.col("all") >= LEAST, F.col("stratum")).otherwise("other")
@@ -186,9 +189,9 @@ def thresholds(scored: DataFrame, labels: DataFrame, risk: float = RISK, delta:
 
 
 def judge(df: DataFrame, labels: DataFrame, stratum: str = "lang") -> DataFrame:
-    """Counts of each document, the base rule's verdict and the rules' verdict `kept`. `df` needs doc_id, text and the stratum."""
+    """Counts of each document, a hash of its text (`mark`), the base rule's verdict and the rules' verdict `kept`. `df` needs doc_id, text and the stratum."""
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    counted = signals(df.select("doc_id", "text", F.coalesce(F.col(stratum).cast("string"), F.lit("other")).alias("stratum")))
+    counted = signals(df.select("doc_id", "text", F.coalesce(F.col(stratum).cast("string"), F.lit("other")).alias("stratum"), F.xxhash64("text").alias("mark")))
     scored = checkpointed(ratios(counted).withColumn("base_failed", failed))
     chosen = thresholds(scored, labels)
     rows = [(name, *(found.get(signal) for signal in CUTOFFS)) for name, found in chosen.items() if name != "other"]

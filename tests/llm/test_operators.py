@@ -390,7 +390,7 @@ def test_each_language_is_judged_by_its_own_cutoffs(spark):
     clean, marked = " ".join(f"word{k}" for k in range(60)), " ".join(f"w{k} #" for k in range(60))
     texts = [(f"l{k:02d}", t, good) for k in range(20) for t, good in ((clean, 1), (marked, 0)) for _ in range(220)]
     texts += [("xx", marked, 1)] * 300 + [("xx", marked, 0)] * 20 + [("r", clean, 1)] * 190 + [("s", clean, 1)] * 190 + [("r", marked, 0)] * 50
-    docs = spark.createDataFrame([(k, t, lang) for k, (lang, t, _) in enumerate(texts)], "doc_id long, text string, lang string")
+    docs = spark.createDataFrame([(k, f"{t} n{k}", lang) for k, (lang, t, _) in enumerate(texts)], "doc_id long, text string, lang string")
     labels = spark.createDataFrame([(k, good) for k, (*_, good) in enumerate(texts)], "doc_id long, quality int")
     scored = rules.judge(docs, labels).withColumnRenamed("kept", "verdict")
     chosen = rules.thresholds(scored, labels)
