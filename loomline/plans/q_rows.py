@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomline.functions import draw_int, draw_unit, md5_key, r6, ratio
-from loomline.operators import checks, digests
+from loomline.operators import checks, digests, routes
 from loomline.operators.windows import ranked
 
 from .base import kept, query, table, v_bars, v_turns
@@ -308,6 +308,50 @@ def nst3_conditional_insert(spark, sf):
     return made.select("p_partkey", with_pickup("f").alias("route"), (~F.array_contains("f", 0)).alias("inserted"))
 
 
+ROUTES_SQL = """SELECT p_partkey, 4 + p_partkey % 3 AS n, p_partkey % 4 = 1 AS pickup, CASE WHEN p_partkey % 30 = 0 THEN [[]::BIGINT[], [1]] WHEN p_partkey % 6 = 0 THEN [[p_partkey % 4, 1], [2], [3]] END AS official,
+p_partkey % 5 = 0 AS adjudicated, CASE WHEN p_partkey % 35 = 0 THEN 'pending' ELSE 'user_approved' END AS status, [p_partkey % 4]::BIGINT[] AS drops, CASE WHEN p_partkey % 12 = 0 THEN 2 ELSE p_partkey % 4 + 1 END AS seen, [0, 1, p_partkey % 7]::BIGINT[] AS route,
+p_partkey % 3 = 1 AS aligned, 4 + p_partkey % 3 - (p_partkey % 4 = 1)::INT + CASE WHEN p_partkey % 11 = 0 THEN 2 ELSE 0 END AS wanted,
+CASE WHEN p_partkey % 8 = 0 THEN range(4 + p_partkey % 3) WHEN p_partkey % 2 = 0 THEN [0, 1]::BIGINT[] || range(4 + p_partkey % 3) WHEN p_partkey % 13 = 0 THEN [3, 2, 1] || range(1 + p_partkey % 3) END AS expanded,
+CASE p_partkey % 9 WHEN 0 THEN [0.5, 2.0, 9.0] WHEN 1 THEN [3.5] ELSE [] END::DOUBLE[] AS undefined_times FROM part"""
+
+
+@query(f"""WITH r AS ({ROUTES_SQL}), c AS (SELECT *, CASE WHEN pickup THEN range(1, n) ELSE range(n) END AS written, CASE WHEN pickup AND expanded[1] = 0 THEN expanded[2:] ELSE expanded END AS played FROM r),
+k AS (SELECT *, len(written) = wanted AS w, coalesce(len(played) = wanted, false) AND NOT (len(written) = wanted AND written = played) AS p FROM c),
+g AS (SELECT *, CASE WHEN official IS NOT NULL AND adjudicated THEN list_filter(official, lambda x, i: i - 1 <> drops[1]) WHEN official IS NOT NULL THEN official WHEN adjudicated THEN list_transform(route, lambda x: [x]) WHEN aligned THEN list_transform(CASE WHEN w THEN written WHEN p THEN played END, lambda x: [x]) ELSE list_transform(range(n), lambda x: [x]) END AS groups,
+CASE WHEN official IS NOT NULL AND adjudicated THEN 'user_approved_official_adjustment' WHEN official IS NOT NULL THEN 'official' WHEN adjudicated THEN 'user_approved_fallback' WHEN aligned THEN CASE WHEN w THEN 'written' WHEN p THEN 'expanded' END ELSE 'source_written_unaligned' END AS provenance,
+CASE WHEN adjudicated AND status <> 'user_approved' THEN 'not_approved' WHEN official IS NOT NULL AND adjudicated AND drops[1] >= len(official) THEN 'drop_out_of_range' WHEN official IS NOT NULL AND adjudicated AND drops[1] = 1 AND official[2] <> [seen]::BIGINT[] THEN 'evidence_changed' WHEN official IS NULL AND NOT adjudicated AND aligned AND NOT w AND NOT p THEN 'no_candidate' WHEN official IS NULL AND NOT adjudicated AND aligned AND w AND p THEN 'ambiguous_route' END AS early FROM k),
+v AS (SELECT *, coalesce(early, CASE WHEN len(list_filter(groups, lambda x: len(x) = 0)) > 0 THEN 'empty_group' WHEN len(list_filter(flatten(groups), lambda x: x < 0 OR x >= n)) > 0 THEN 'ordinal_out_of_range' END) AS violation FROM g),
+i AS (SELECT *, CASE WHEN violation IS NULL THEN pickup AND len(groups) > 0 AND NOT list_contains(groups[1], 0) END AS inserted FROM v),
+f AS (SELECT *, CASE WHEN violation IS NULL THEN CASE WHEN inserted THEN [[0]::BIGINT[]] || groups ELSE groups END END AS path FROM i)
+SELECT p_partkey, provenance, violation, inserted AS pickup_inserted, array_to_string(list_transform(path, lambda x: array_to_string(x, '-')), ',') AS route, CASE WHEN violation IS NULL THEN array_to_string(list_sort(list_distinct(list_filter(list_transform(undefined_times, lambda t: CASE WHEN t < 1 THEN 0 ELSE least(floor(t), 4)::INT - 1 + inserted::INT END), lambda x: x < len(path)))), ',') END AS undefined FROM f""")
+def nst3_routes(spark, sf):
+    """Routes of recordings by official maps, adjudications, unique candidates or the written order, with what is wrong where there is none."""
+    k, none = F.col("p_partkey"), F.lit(None)
+    longs = lambda *xs: F.array(*(x.cast("long") if isinstance(x, Column) else F.lit(x).cast("long") for x in xs))
+    count = (4 + k % 3).cast("long")
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    seen = F.when(k % 12 == 0, 2).otherwise(k % 4 + 1).cast("long")
+    adjudication = F.struct(
+        F.when(k % 35 == 0, "pending").otherwise("user_approved").alias("status"), F.lit("drop_official_positions").alias("operation"), longs(k % 4).alias("drops"),
+        longs(0, 1, k % 7).alias("route"), F.create_map(F.lit(1).cast("long"), F.array(seen)).alias("evidence"),
+    )
+    recordings = table(spark, sf, "part").select(
+        "p_partkey",
+        count.alias("count"),
+        (k % 4 == 1).alias("pickup"),
+        F.when(k % 30 == 0, F.array(F.array().cast("array<bigint>"), longs(1))).when(k % 6 == 0, F.array(longs(k % 4, 1), longs(2), longs(3))).alias("official"),
+        F.when(k % 5 == 0, adjudication).alias("adjudication"),
+        (k % 3 == 1).alias("aligned"),
+        (count - (k % 4 == 1).cast("int") + F.when(k % 11 == 0, 2).otherwise(0)).alias("wanted"),
+        F.when(k % 8 == 0, upto(count)).when(k % 2 == 0, F.concat(longs(0, 1), upto(count))).when(k % 13 == 0, F.concat(longs(3, 2, 1), upto(1 + k % 3))).otherwise(none).alias("expanded"),
+        F.array(*map(F.lit, (1.0, 2.0, 3.0, 4.0))).alias("downbeats"),
+        F.when(k % 9 == 0, F.array(*map(F.lit, (0.5, 2.0, 9.0)))).when(k % 9 == 1, F.array(F.lit(3.5))).otherwise(F.array().cast("array<double>")).alias("undefined_times"),
+    )
+    found = routes.resolved_routes(recordings, fallback=True)
+    text = F.array_join(F.transform("groups", lambda g: F.array_join(g.cast("array<string>"), "-")), ",")
+    return found.select("p_partkey", "provenance", "violation", "pickup_inserted", text.alias("route"), F.array_join(F.col("undefined").cast("array<string>"), ",").alias("undefined"))
+
+
 def with_pickup(column: str, dropped: list[int] | None = None) -> Column:
     """The array with 0 in front if it lacks it, without the listed positions."""
     whole = F.when(F.array_contains(column, 0), F.col(column)).otherwise(F.concat(F.array(F.lit(0).cast("long")), F.col(column)))
