@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomline.functions import draw_int, draw_unit, md5_key, r6, ratio
+from loomline.functions import draw_int, draw_unit, fractions, md5_key, r6, ratio
 from loomline.operators import checks, digests, routes
 from loomline.operators.windows import ranked
 
@@ -80,6 +80,25 @@ def prj10_meter(spark, sf):
     return parsed.withColumns({"large": F.when(compound, F.expr("num div 3").cast("int")).otherwise(F.col("num")), "compound": compound})
 
 
+TOKENS = ("4", "8.", "16..", "3%2", "[0a", "(4A.", "q8", ".", "=12", "12", "6%5. 8", "r")
+TOKEN_SQL = f"SELECT p_partkey, generate_subscripts(t, 1) AS place, unnest(t) AS token FROM (SELECT p_partkey, list_transform(range(p_size % 6 + 2), lambda i: {list(TOKENS)}[((p_partkey * 7 + i * 5) % 12 + 1)::INT]) AS t FROM part)"
+
+
+@query(f"""WITH d AS (SELECT *, TRY_CAST(nullif(regexp_extract(token, '(\\d+)(?:%(\\d+))?', 1), '') AS BIGINT) AS top, coalesce(TRY_CAST(nullif(regexp_extract(token, '(\\d+)(?:%(\\d+))?', 2), '') AS BIGINT), 1) AS bottom, length(split_part(token, ' ', 1)) - length(replace(split_part(token, ' ', 1), '.', '')) AS dots FROM ({TOKEN_SQL})),
+f AS (SELECT p_partkey, CASE WHEN token IN ('.', 'r') OR token[1] = '=' THEN NULL WHEN contains(token, 'q') THEN 0 WHEN top = 0 THEN 8 * (2 * (1 << dots) - 1) ELSE 4 * bottom * (2 * (1 << dots) - 1) END AS num, CASE WHEN contains(token, 'q') THEN 1 WHEN top = 0 THEN 1 << dots ELSE top * (1 << dots) END AS den FROM d),
+s AS (SELECT p_partkey, sum(num * (2880 // den))::BIGINT AS parts, count(num) AS notes, count(*) - count(num) AS silent FROM f GROUP BY 1)
+SELECT p_partkey, notes, silent, coalesce(parts, 0) // gcd(coalesce(parts, 0), 2880) AS num, 2880 // gcd(coalesce(parts, 0), 2880) AS den, coalesce(parts, 0) < 2880 * 4 AS short, coalesce(parts, 0) > 2880 * 4 AS overfull FROM s""")
+def prj10_durations(spark, sf):
+    """The notes' exact lengths summed for each part, and whether they fall short of or exceed four quarters."""
+    place = F.sequence(F.lit(0).cast("long"), (F.col("p_size") % 6 + 1).cast("long"))
+    tokens_of = F.transform(place, lambda i: F.get(F.array(*map(F.lit, TOKENS)), ((F.col("p_partkey") * 7 + i * 5) % 12).cast("int")))
+    lengths = table(spark, sf, "part").select("p_partkey", F.transform(tokens_of, fractions.note_duration).alias("d"))
+    known = F.filter("d", lambda x: x.isNotNull())
+    summed = lengths.select("p_partkey", F.size(known).cast("long").alias("notes"), (F.size("d") - F.size(known)).cast("long").alias("silent"), fractions.checked(fractions.total(known)).alias("f"))
+    four = fractions.fraction(4, 1)
+    return summed.select("p_partkey", "notes", "silent", "f.num", "f.den", fractions.less(F.col("f"), four).alias("short"), fractions.less(four, F.col("f")).alias("overfull"))
+
+
 @query("SELECT event_id, coalesce(id, -100) AS label FROM events LEFT JOIN (VALUES ('click', 0), ('purchase', 1), ('view', 2)) v(name, id) ON event_type = name")
 def prj11_label_encoding(spark, sf):
     words = values(spark, "event_type string, id int", ("click", 0), ("purchase", 1), ("view", 2))
