@@ -31,6 +31,77 @@ def near(left: DataFrame, right: DataFrame, series: str, left_time: str, right_t
     return left.withColumn("cell", cell(left_time)).join(cells, [series, "cell"]).where(F.abs(F.col(left_time) - F.col(right_time)) <= tolerance).drop("cell")
 
 
+def trusted_intervals(intervals: DataFrame, beats: DataFrame, series: str, tolerance: float = 1e-3) -> DataFrame:
+    """Adds `trusted` to intervals (series, number, begin, end, overfull, begin_known, end_known) by the beats (series, sec, head, grounded, place) of their series.
+
+    An interval is trusted if both its edges are known, it isn't overfull, it holds beats and all of them are grounded, and a grounded head lies
+    within the tolerance of either edge. In the first interval an opening beat whose place isn't the first stands for the head (a pickup), and the last needs
+    none at its end. A beat just before an edge, within the tolerance, belongs to the interval behind it.
+    """
+    spans = intervals.select(series, "number", "begin", "end")
+    placed = in_intervals(beats.withColumn("__at", F.col("sec") + tolerance), spans, series, "__at", "begin", "end", "number").where(F.col("number").isNotNull())
+    inner = placed.groupBy(series, "number").agg(F.bool_and("grounded").alias("__grounded"), F.min_by("place", "sec").alias("__place"))
+    heads = beats.where("head AND grounded").select(series, "sec")
+    at_edge = lambda edge, name: near(heads, spans.select(series, "number", edge), series, "sec", edge, tolerance).select(series, "number").distinct().withColumn(name, F.lit(True))
+    ends = spans.groupBy(series).agg(F.min("number").alias("__first"), F.max("number").alias("__last"))
+    met = intervals.join(inner, [series, "number"], "left").join(at_edge("begin", "__begins"), [series, "number"], "left").join(at_edge("end", "__ends"), [series, "number"], "left").join(ends, series)
+    pickup = (F.col("number") == F.col("__first")) & F.coalesce(F.col("__place") > 0, F.lit(False))
+    begins = F.coalesce("__begins", F.lit(False)) | pickup
+    ends_well = F.coalesce("__ends", F.lit(False)) | (F.col("number") == F.col("__last"))
+    trusted = F.col("begin_known") & F.col("end_known") & ~F.col("overfull") & F.coalesce("__grounded", F.lit(False)) & begins & ends_well
+    return met.select(*intervals.columns, trusted.alias("trusted"))
+
+
+def clamped(grid: DataFrame, points: DataFrame, series: str, time: str, value: str) -> DataFrame:
+    """(series, time, value) of distinct grid rows: interpolated between points, and the first or last point's value outside of them."""
+    ends = points.groupBy(series).agg(F.min_by(value, time).alias("__low"), F.max_by(value, time).alias("__high"), F.min(time).alias("__from"))
+    inner = interpolated(grid.select(series, time).distinct(), points, series, time, value)
+    outer = F.when(F.col(time) < F.col("__from"), F.col("__low")).otherwise(F.col("__high"))
+    return inner.join(ends, series).select(series, time, F.coalesce(value, outer).alias(value))
+
+
+def interval_cycles(intervals: DataFrame, beats: DataFrame, grid: DataFrame, series: str, slack: float = 0.01) -> DataFrame:
+    """(series, number, begin, end, trusted, low, span, violation): the whole cycles at which intervals begin and what they span, by a grid of points (series, sec, cycle).
+
+    Edges take the grid's interpolated cycle, rounded half to even. A closing edge behind the last point lies one cycle after it. Where the first edge lies before
+    the first point, or the first beat inside is not the first of its bar (`place` above 0, a pickup), it lies that beat's place before that beat; without a
+    beat one cycle before the second edge. An edge of a trusted interval further than `slack` from a whole cycle is `off_grid`, and a trusted interval has to span something.
+    """
+    edges = intervals.select(series, F.col("begin").alias("sec")).unionByName(intervals.select(series, F.col("end").alias("sec")))
+    first = Window.partitionBy(series).orderBy("number")
+    spans = intervals.withColumns({"__first": F.row_number().over(first) == 1, "__last": F.lead("number").over(first).isNull()})
+    opening = spans.where("__first").select(series, "begin", "end")
+    inside = beats.join(opening, series).where((F.col("sec") >= F.col("begin")) & (F.col("sec") < F.col("end")))
+    anchor = inside.groupBy(series).agg(F.min(F.struct("sec", "place")).alias("a")).select(series, F.col("a.sec").alias("__anchor"), F.col("a.place").alias("__place"))
+    times = clamped(edges.unionByName(anchor.select(series, F.col("__anchor").alias("sec"))), grid, series, "sec", "cycle")
+    at = lambda time, name: times.select(series, F.col("sec").alias(time), F.col("cycle").alias(name))
+    points = grid.groupBy(series).agg(F.min("sec").alias("__from"), F.max("sec").alias("__upto"), F.max_by("cycle", "sec").alias("__top"))
+    met = spans.join(at("begin", "__b"), [series, "begin"]).join(at("end", "__e"), [series, "end"]).join(points, series)
+    met = met.join(anchor.join(at("__anchor", "__c"), [series, "__anchor"]), series, "left")
+    closing = F.when(F.col("__last") & (F.col("end") > F.col("__upto")), F.col("__top") + 1).otherwise(F.col("__e"))
+    met = met.withColumn("__e", closing)
+    moved = F.col("__first") & ((F.col("begin") < F.col("__from")) | F.coalesce(F.col("__place") > 0, F.lit(False)))
+    met = met.withColumn("__b", F.when(moved, F.coalesce(F.col("__c") - F.col("__place"), F.col("__e") - 1)).otherwise(F.col("__b")))
+    low, high = F.rint("__b"), F.rint("__e")
+    off = (F.abs(F.col("__b") - low) > slack) | (F.abs(F.col("__e") - high) > slack)
+    wrong = F.when(F.col("trusted") & off, "off_grid").when(F.col("trusted") & (high <= low), "no_span")
+    return met.select(series, "number", "begin", "end", "trusted", low.cast("long").alias("low"), (high - low).cast("long").alias("span"), wrong.alias("violation"))
+
+
+def cycle_curve(frames: DataFrame, cycles: DataFrame, grid: DataFrame, series: str) -> DataFrame:
+    """(series, sec, number, fraction): how far each frame is through the interval that it lies in, 0 in one that isn't trusted or has a violation.
+
+    Frames before the first interval count to it, and those behind the last to that. `cycles` are from `interval_cycles`.
+    """
+    values = clamped(frames, grid, series, "sec", "cycle")
+    opened = cycles.withColumn("__far", F.lit(float("inf"))).withColumn("__open", F.struct("number", "low", "span", (F.col("trusted") & F.col("violation").isNull()).alias("good")))
+    held = in_intervals(values, opened, series, "sec", "begin", "__far", "__open")
+    first = opened.groupBy(series).agg(F.min_by("__open", "begin").alias("__first"))
+    held = held.join(first, series).withColumn("__open", F.coalesce("__open", "__first"))
+    part = F.when(F.col("__open.good"), (F.col("cycle") - F.col("__open.low")) / F.col("__open.span")).otherwise(0.0)
+    return held.select(series, "sec", F.col("__open.number").alias("number"), part.alias("fraction"))
+
+
 def tolerance_counts(df: DataFrame, series: str, time: str, side: str, sides: tuple[str, str], tolerance: float) -> DataFrame:
     """(series, predicted, hits, targets, found): rows of either side, and how many of them have a row of the other side within the tolerance.
 

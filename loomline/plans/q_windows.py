@@ -249,6 +249,34 @@ def wn18_trusted_intervals(spark, sf):
     return ends.select("user_id", "g", trusted.alias("trusted"))
 
 
+CLOCK_SQL = f"""i AS (SELECT *, (user_id + number) % 6 = 0 AS overfull, NOT (number = 0 AND user_id % 5 = 0) AS begin_known, NOT (number = max(number) OVER (PARTITION BY user_id) AND user_id % 7 = 0) AS end_known, number = max(number) OVER (PARTITION BY user_id) AS last FROM (SELECT user_id, bar // 3 AS number, min(start_sec) AS a, max(end_sec) AS b FROM v_bars GROUP BY 1, 2)),
+e AS (SELECT user_id, t + CASE event_id % 10 WHEN 0 THEN 0.002 WHEN 1 THEN 0.0005 WHEN 2 THEN -0.0004 ELSE 0 END AS sec, event_type IN {HEADS} AS head, event_type <> 'error' AS grounded, CASE WHEN event_id % 3 = 0 THEN 1 ELSE 0 END AS place FROM ({EVENTS_SQL})),
+n AS (SELECT i.user_id, i.number, bool_and(grounded) AS grounded, arg_min(place, sec) AS place FROM i JOIN e ON e.user_id = i.user_id AND e.sec >= i.a - 1e-3 AND e.sec < i.b - 1e-3 GROUP BY 1, 2),
+clock AS (SELECT i.*, begin_known AND end_known AND NOT overfull AND coalesce(n.grounded, false) AND (EXISTS (SELECT 1 FROM e WHERE e.user_id = i.user_id AND head AND grounded AND abs(e.sec - i.a) <= 1e-3) OR (i.number = 0 AND coalesce(n.place > 0, false))) AND (last OR EXISTS (SELECT 1 FROM e WHERE e.user_id = i.user_id AND head AND grounded AND abs(e.sec - i.b) <= 1e-3)) AS trusted FROM i LEFT JOIN n ON n.user_id = i.user_id AND n.number = i.number)"""
+
+
+def clock_tables(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Intervals of three bars, and the events as beats, some of which lie a little off the intervals' edges."""
+    groups = v_bars(spark, sf).groupBy("user_id", F.expr("bar div 3").alias("number")).agg(F.min("start_sec").alias("begin"), F.max("end_sec").alias("end"))
+    last = F.col("number") == F.max("number").over(Window.partitionBy("user_id"))
+    user, number, event = F.col("user_id"), F.col("number"), F.col("event_id") % 10
+    intervals = groups.withColumns({"overfull": (user + number) % 6 == 0, "begin_known": ~((number == 0) & (user % 5 == 0)), "end_known": ~(last & (user % 7 == 0))})
+    shift = F.when(event == 0, 0.002).when(event == 1, 0.0005).when(event == 2, -0.0004).otherwise(0.0)
+    kind = F.col("event_type")
+    beats = events(spark, sf).select("user_id", (F.col("t") + shift).alias("sec"), kind.isin(*HEADS).alias("head"), (kind != "error").alias("grounded"), F.when(F.col("event_id") % 3 == 0, 1).otherwise(0).alias("place"))
+    return intervals, beats
+
+
+def clock(spark, sf) -> DataFrame:
+    return timeline.trusted_intervals(*clock_tables(spark, sf), "user_id")
+
+
+@query(f"WITH {CLOCK_SQL} SELECT user_id, number, trusted FROM clock")
+def wn18_trusted_clock(spark, sf):
+    """Intervals whose events are grounded, found by the interval join, and whose edges carry grounded heads, found by the tolerance join."""
+    return clock(spark, sf).select("user_id", "number", "trusted")
+
+
 @query("SELECT o_orderkey, CASE WHEN n = want THEN 'exact' WHEN n = want + 1 AND o_orderstatus = 'F' THEN 'added' ELSE 'skip' END AS verdict, n - want AS difference FROM (SELECT o_orderkey, o_orderstatus, 1 + o_orderkey % 7 AS want, coalesce(n, 0) AS n FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey)")
 def wn19_count_alignment(spark, sf):
     """Equal counts are exact; one too many at a terminal row adds an interval; all else is skipped with its difference."""
@@ -383,6 +411,34 @@ def ts6_cycle_fraction(spark, sf):
     return cycle.select("user_id", "bar", r6("cycle").alias("cycle"), F.round(F.cos(F.col("cycle") * (2 * math.pi)), 5).alias("c"))
 
 
+CYCLES_SQL = f"""{CLOCK_SQL}, p AS (SELECT user_id, bar, start_sec, end_sec, bar + CASE WHEN user_id % 9 = 4 THEN 0.05 ELSE 0 END AS cycle, bar = max(bar) OVER (PARTITION BY user_id) AS final FROM v_bars),
+anchor AS (SELECT c.user_id, min(e.sec) AS sec, arg_min(place, e.sec) AS place FROM clock c JOIN e ON e.user_id = c.user_id AND e.sec >= c.a AND e.sec < c.b WHERE c.number = 0 GROUP BY 1),
+anchored AS (SELECT n.user_id, n.place, CASE WHEN p.final THEN p.cycle ELSE p.cycle + (n.sec - p.start_sec) / (p.end_sec - p.start_sec) END AS cycle FROM anchor n JOIN p ON p.user_id = n.user_id AND n.sec >= p.start_sec AND n.sec < p.end_sec),
+edge AS (SELECT c.*, CASE WHEN c.number = 0 AND n.place > 0 THEN n.cycle - n.place ELSE f.cycle END AS lo, CASE WHEN c.last THEN l.cycle + 1 ELSE l.cycle END AS hi FROM clock c JOIN p f ON f.user_id = c.user_id AND f.start_sec = c.a JOIN p l ON l.user_id = c.user_id AND (CASE WHEN c.last THEN l.final ELSE l.start_sec = c.b END) LEFT JOIN anchored n ON n.user_id = c.user_id),
+cycles AS (SELECT *, round_even(lo, 0)::BIGINT AS low, (round_even(hi, 0) - round_even(lo, 0))::BIGINT AS span, CASE WHEN trusted AND (abs(lo - round_even(lo, 0)) > 0.01 OR abs(hi - round_even(hi, 0)) > 0.01) THEN 'off_grid' WHEN trusted AND round_even(hi, 0) <= round_even(lo, 0) THEN 'no_span' END AS violation FROM edge)"""
+
+
+def cycle_tables(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """The clock's intervals with their cycles, and the grid: a cycle for each bar, off by a twentieth for some users."""
+    points = v_bars(spark, sf).select("user_id", F.col("start_sec").alias("sec"), (F.col("bar") + F.when(F.col("user_id") % 9 == 4, 0.05).otherwise(0.0)).alias("cycle"))
+    intervals, beats = clock_tables(spark, sf)
+    return timeline.interval_cycles(timeline.trusted_intervals(intervals, beats, "user_id"), beats, points, "user_id"), points
+
+
+@query(f"WITH {CYCLES_SQL} SELECT user_id, number, low, span, trusted, violation FROM cycles")
+def ts6_interval_cycles(spark, sf):
+    """Where intervals begin in whole cycles and what they span, with pickups, a closing edge and edges off the grid."""
+    return cycle_tables(spark, sf)[0].select("user_id", "number", "low", "span", "trusted", "violation")
+
+
+@query(f"WITH {CYCLES_SQL}, f AS (SELECT f.user_id, f.t, CASE WHEN p.user_id IS NULL THEN CASE WHEN f.t < s.t0 THEN s.c0 ELSE s.c1 END WHEN p.final THEN p.cycle ELSE p.cycle + (f.t - p.start_sec) / (p.end_sec - p.start_sec) END AS cycle FROM ({frames_sql(10000)}) f JOIN (SELECT user_id, min(start_sec) AS t0, arg_min(cycle, start_sec) AS c0, arg_max(cycle, start_sec) AS c1 FROM p GROUP BY 1) s USING (user_id) LEFT JOIN p ON p.user_id = f.user_id AND f.t >= p.start_sec AND f.t < p.end_sec) SELECT f.user_id, f.t, coalesce(c.number, 0) AS number, round(CASE WHEN coalesce(c.trusted, z.trusted) AND coalesce(c.violation, CASE WHEN c.user_id IS NULL THEN z.violation END) IS NULL THEN (f.cycle - coalesce(c.low, z.low)) / coalesce(c.span, z.span) ELSE 0 END, 6) AS fraction FROM f ASOF LEFT JOIN cycles c ON c.user_id = f.user_id AND f.t >= c.a JOIN cycles z ON z.user_id = f.user_id AND z.number = 0")
+def ts6_cycle_curve(spark, sf):
+    """How far each frame is through its interval, in cycles of the grid instead of seconds."""
+    cycles, points = cycle_tables(spark, sf)
+    frames = grid(spark, sf, 10000).select("user_id", F.col("t").alias("sec"))
+    return timeline.cycle_curve(frames, cycles, points, "user_id").select("user_id", F.col("sec").alias("t"), "number", r6("fraction").alias("fraction"))
+
+
 @query(f"WITH e AS (SELECT user_id, floor(t / 50000)::BIGINT AS frame, bool_or(event_type = 'purchase') AS hit, bool_or(event_type = 'error') AS bad FROM ({EVENTS_SQL}) GROUP BY 1, 2) SELECT f.user_id, f.frame, coalesce(hit, false)::INT AS target, (NOT coalesce(bad, false))::INT AS weight FROM ({FRAMES_SQL}) f LEFT JOIN e USING (user_id, frame)")
 def ts7_event_targets(spark, sf):
     """0 or 1 for each frame, and no weight where the frame holds an error."""
@@ -391,6 +447,15 @@ def ts7_event_targets(spark, sf):
     return frames.select("user_id", "frame", F.coalesce("hit", F.lit(False)).cast("int").alias("target"), (~F.coalesce("bad", F.lit(False))).cast("int").alias("weight"))
 
 
+@query(f"WITH {CLOCK_SQL}, h AS (SELECT DISTINCT user_id, floor(t / 50000)::BIGINT AS frame FROM ({EVENTS_SQL}) WHERE event_type = 'purchase') SELECT f.user_id, f.frame, (h.frame IS NOT NULL)::INT AS target, coalesce(c.trusted, true)::INT AS weight FROM ({FRAMES_SQL}) f LEFT JOIN h ON h.user_id = f.user_id AND h.frame = f.frame LEFT JOIN clock c ON c.user_id = f.user_id AND f.t >= c.a AND f.t < c.b")
+def ts7_trusted_targets(spark, sf):
+    """0 or 1 for each frame, and no weight where the frame begins in an interval that isn't trusted."""
+    hits = events(spark, sf).where("event_type = 'purchase'").select("user_id", F.floor(F.col("t") / 50000).alias("frame"), F.lit(1).alias("target")).distinct()
+    spans = clock(spark, sf).select("user_id", "begin", "end", "trusted")
+    frames = timeline.in_intervals(grid(spark, sf, 50000), spans, "user_id", "t", "begin", "end", "trusted")
+    return frames.join(hits, ["user_id", "frame"], "left").select("user_id", "frame", F.coalesce("target", F.lit(0)).alias("target"), F.coalesce("trusted", F.lit(True)).cast("int").alias("weight"))
+
+
 @query(f"SELECT user_id, bar, coalesce(c.id + place, -100) AS class FROM (SELECT user_id, bar, row_number() OVER (PARTITION BY user_id, grp ORDER BY bar) - 1 AS place, count(*) OVER (PARTITION BY user_id, grp) AS n FROM ({NUMBERED_SQL})) LEFT JOIN (VALUES (2, 0), (3, 2), (4, 5), (6, 9)) c(n, id) USING (n)")
 def ts8_position_classes(spark, sf):
     """The class of a row's place in its group, where a cycle of the group's size is known."""
