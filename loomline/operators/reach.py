@@ -190,7 +190,7 @@ def budget_chunks(df: DataFrame, series: str, order: str, begin: str, end: str,
     Rows at which chunks open are found by `Rule`, and a chunk's end by `first_over`. Only rows from the last opening on, which lie within one stride, are passed one by one.
     """
     extra = [c for c in (length, annotated) if c]
-    rows = df.select(series, F.col(order).cast("long").alias(order), *(F.col(c).cast("double").alias(c) for c in (begin, end)), *extra)
+    rows = kept(df.select(series, F.col(order).cast("long").alias(order), *(F.col(c).cast("double").alias(c) for c in (begin, end)), *extra))
     rule = Rule(stride, by_sum=True)
     blocks, before = kept_blocks(rows, series, begin, [order], rule, kept)
     kind = rows.schema[series].dataType.simpleString()

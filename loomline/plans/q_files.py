@@ -304,6 +304,25 @@ def srt3_top_tokens(spark, sf):
     return unclean.groupBy("token").agg(F.sum("k").alias("n"), F.count(F.lit(1)).alias("docs")).orderBy(F.desc("n"), "token").limit(25)
 
 
+CATEGORIES = (("number sign", "#"), ("money", "[$%]"), ("joined", "[&|]"))
+
+
+@query(f"""WITH t AS (SELECT token, count(*) AS n FROM (SELECT unnest(string_split(replace(text, chr(10), ' '), ' ')) AS token FROM documents) WHERE regexp_matches(token, '[#*$%&|]') GROUP BY 1 ORDER BY n DESC, token LIMIT 100)
+SELECT CASE {' '.join(f"WHEN regexp_matches(token, '{rule}') THEN '{name}'" for name, rule in CATEGORIES)} ELSE 'other' END AS category, count(*) AS tokens, sum(n)::BIGINT AS occurrences FROM t GROUP BY 1""")
+def srt3_token_categories(spark, sf):
+    """The hundred most frequent unclean tokens by the first kind that each is of: the limit is the feature."""
+    top = tokens(spark, sf).where(F.col("token").rlike("[#*$%&|]")).groupBy("token").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "token").limit(100)
+    return by_category(top, "token", CATEGORIES).groupBy("category").agg(F.count(F.lit(1)).alias("tokens"), F.sum("n").alias("occurrences"))
+
+
+def by_category(df: DataFrame, column: str, rules: tuple[tuple[str, str], ...]) -> DataFrame:
+    """Adds the name of the first rule (name, pattern) that a text fits, else `other`."""
+    kind = F
+    for name, pattern in rules:
+        kind = kind.when(F.col(column).rlike(pattern), name)
+    return df.withColumn("category", kind.otherwise("other"))
+
+
 @query("SELECT event_id, event_type, user_id FROM events")
 def inc2_append_stream(spark, sf):
     """Result files that repeat some rows, appended as a stream, each key once."""

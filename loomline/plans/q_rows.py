@@ -520,6 +520,19 @@ def smp2_balanced_permutation(spark, sf):
     return rows.select("s_suppkey", (F.row_number().over(order) - 1).cast("long").alias("version"), "opt")
 
 
+@query(f"WITH o AS (SELECT o_custkey, o_orderkey, o_orderstatus <> 'P' AS drawn, row_number() OVER (PARTITION BY o_custkey, o_orderstatus <> 'P' ORDER BY o_orderkey) - 1 AS place FROM orders) SELECT o_custkey, o_orderkey, CASE WHEN drawn THEN ['hall', 'room', 'plate', 'none'][({H("'timbre|' || o_custkey")} + place) % 4 + 1] END AS opt FROM o")
+def smp2_rotation(spark, sf):
+    """Options in turn from an offset of each customer; orders that take none don't use up a turn."""
+    return rotated(table(spark, sf, "orders").select("o_custkey", "o_orderkey", (F.col("o_orderstatus") != "P").alias("drawn")), "o_custkey", "o_orderkey", "drawn", OPTIONS).select("o_custkey", "o_orderkey", "opt")
+
+
+def rotated(df: DataFrame, group: str, order: str, drawn: str, options: tuple[str, ...] | list[str]) -> DataFrame:
+    """Adds `opt`: the options in turn over a group's drawn rows, from an offset that the group's name decides; null for the others."""
+    place = F.row_number().over(Window.partitionBy(group, drawn).orderBy(order)) - 1
+    start = draw_int(F.lit("timbre"), group, below=len(options))
+    return df.withColumn("opt", F.when(F.col(drawn), F.get(F.array(*map(F.lit, options)), ((start + place) % len(options)).cast("int"))))
+
+
 @query(f"SELECT p_partkey, v AS version, CASE WHEN p_brand = 'Brand#5' THEN '' WHEN p_size % 10 = 0 THEN 'fixed' WHEN v = 0 THEN 'default' ELSE ['a', 'b', 'c'][{H("'s|' || p_partkey || '|' || v")} % 3 + 1] END AS style FROM part, range(3) t(v)")
 def smp3_first_fixed_style(spark, sf):
     rows = table(spark, sf, "part").select("p_partkey", "p_brand", "p_size", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2).cast("long"))).alias("version"))
@@ -578,6 +591,25 @@ def smp8_ledger_refresh(spark, sf):
     return joined.select("s_suppkey", "s_name", plan.alias("plan"), (~plan.eqNullSafe(F.col("old_plan"))).alias("changed"))
 
 
+@query(f"WITH l AS (SELECT s_suppkey, {H("'old|' || s_suppkey")} % 5 AS plan, CASE WHEN s_nationkey % 3 = 0 THEN {H("'new|' || s_suppkey")} % 5 END AS fresh FROM supplier), c AS (SELECT count_if(fresh <> plan)::BIGINT AS n FROM l) SELECT s_suppkey, 'current' AS version, coalesce(fresh, plan) AS plan, n AS n_changed FROM l, c UNION ALL SELECT s_suppkey, 'prior', plan, n FROM l, c WHERE n > 0")
+def smp8_versions(spark, sf):
+    """The refreshed ledger beside the one before it, with the number of rows that changed."""
+    ledger = table(spark, sf, "supplier").select("s_suppkey", draw_int(F.lit("old"), "s_suppkey", below=5).alias("plan"))
+    fresh = table(spark, sf, "supplier").where("s_nationkey % 3 = 0").select("s_suppkey", draw_int(F.lit("new"), "s_suppkey", below=5).alias("plan"))
+    return refreshed(ledger, fresh, "s_suppkey", "plan")
+
+
+def refreshed(ledger: DataFrame, fresh: DataFrame, key: str, column: str) -> DataFrame:
+    """The ledger's rows with `column` from `fresh` where that has their key, as version `current`; if any changed, the old rows stay as version `prior`. Keys that the ledger lacks are not added."""
+    new = fresh.select(key, F.col(column).alias("__new"), F.lit(True).alias("__there"))
+    joined = ledger.join(new, key, "left").withColumn("__now", F.when(F.col("__there"), F.col("__new")).otherwise(F.col(column)))
+    n_changed = joined.agg(F.count_if(~F.col("__now").eqNullSafe(F.col(column)))).head()[0]
+    rows = [c for c in ledger.columns if c != column]
+    current = joined.select(*rows, F.lit("current").alias("version"), F.col("__now").alias(column))
+    whole = current.unionByName(ledger.select(*rows, F.lit("prior").alias("version"), column)) if n_changed else current
+    return whole.withColumn("n_changed", F.lit(n_changed))
+
+
 CANDIDATE_SQL = "SELECT c_nationkey AS fam, c_mktsegment AS folder, c_custkey AS member, c_acctbal < 9000 AS b FROM customer WHERE c_acctbal > 7500"
 
 

@@ -221,6 +221,26 @@ def agg10_coverage(spark, sf):
     return rows.withColumn("worst_present", F.min("present").over(Window.partitionBy(F.lit(0))))
 
 
+OUTCOME_SQL = "SELECT work_id, system, CASE WHEN NOT present THEN 'absent' WHEN m1 < 0.2 THEN 'failed' WHEN m1 < 0.3 THEN 'zero_score' ELSE 'success' END AS status FROM v_filled"
+
+
+@query(f"WITH o AS ({OUTCOME_SQL}), s AS (SELECT work_id, system, count(*) AS n, count_if(status = 'success') AS good, count_if(status IN ('failed', 'absent')) AS bad FROM o GROUP BY 1, 2) SELECT work_id, min(n) AS n_total, min(good)::BIGINT AS min_success, max(bad)::BIGINT AS max_fail, arg_min(system, (good, system)) AS worst_seed, (SELECT string_agg(status || '=' || k, ',' ORDER BY status) FROM (SELECT status, count(*) AS k FROM o WHERE o.work_id = s.work_id GROUP BY 1)) AS statuses FROM s GROUP BY work_id")
+def agg10_worst_seed(spark, sf):
+    """Each work's outcomes over all seeds, with the fewest successes and the most failures of a seed."""
+    status = F.when(~F.col("present"), "absent").when(F.col("m1") < 0.2, "failed").when(F.col("m1") < 0.3, "zero_score").otherwise("success")
+    return worst_seed(v_filled(spark, sf).withColumn("status", status), "work_id", "system")
+
+
+def worst_seed(rows: DataFrame, group: str, seed: str, good: tuple[str, ...] = ("success",), bad: tuple[str, ...] = ("failed", "absent")) -> DataFrame:
+    """(group, n_total, min_success, max_fail, worst_seed, statuses): coverage by the worst seed, and the statuses of all of them."""
+    counts = rows.groupBy(group, seed, "status").agg(F.count(F.lit(1)).alias("n"))
+    sums = lambda names: F.sum(F.when(F.col("status").isin(*names), F.col("n")).otherwise(0))
+    seeds = counts.groupBy(group, seed).agg(F.sum("n").alias("n"), sums(good).alias("good"), sums(bad).alias("bad"))
+    worst = seeds.groupBy(group).agg(F.min("n").alias("n_total"), F.min("good").alias("min_success"), F.max("bad").alias("max_fail"), F.min_by(seed, F.struct("good", seed)).alias("worst_seed"))
+    listed = counts.groupBy(group, "status").agg(F.sum("n").alias("n")).groupBy(group).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("status", "n"))), lambda x: F.concat_ws("=", x["status"], x["n"].cast("string"))), ",").alias("statuses"))
+    return worst.join(listed, group)
+
+
 @query("SELECT system, metric, format('{:.3f}', mean) AS cell FROM (SELECT system, metric, avg(value) AS mean FROM (" + LONG_SQL + ") WHERE metric IN ('m1', 'mv4') GROUP BY 1, 2)")
 def snk4_report_cells(spark, sf):
     """The cells of a report, one row each; `report_table` pivots them."""

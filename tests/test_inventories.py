@@ -63,3 +63,36 @@ def test_differences_are_located(spark):
     at = lambda n: n * 7919 - 20_000_000
     assert found == {("a", at(17), "left"), ("b", at(17), "left"), ("hot", 5, "both"), ("b", at(4000), "both"), ("a", 123_456_789_012, "right"), ("new", 3, "right")}
     assert digests.differing_keys(trees[0], trees[0], "g", kept).collect() == []
+
+
+def test_refreshed_ledgers_keep_what_was_before(spark):
+    from loomline.plans.q_rows import refreshed
+
+    ledger = spark.createDataFrame([(1, "a", 5), (2, "b", None), (3, "c", 7)], "k long, name string, plan long")
+    same = spark.createDataFrame([(1, 5), (2, None), (9, 9)], "k long, plan long")
+    assert sorted(map(str, (tuple(r) for r in refreshed(ledger, same, "k", "plan").collect()))) == sorted(map(str, [(1, "a", "current", 5, 0), (2, "b", "current", None, 0), (3, "c", "current", 7, 0)]))
+    other = spark.createDataFrame([(1, 6), (3, None)], "k long, plan long")
+    rows = {(r.k, r.version): (r.plan, r.n_changed) for r in refreshed(ledger, other, "k", "plan").collect()}
+    assert rows == {(1, "current"): (6, 2), (2, "current"): (None, 2), (3, "current"): (None, 2), (1, "prior"): (5, 2), (2, "prior"): (None, 2), (3, "prior"): (7, 2)}
+
+
+def test_rotation_goes_on_where_a_row_takes_nothing(spark):
+    from loomline.plans.q_rows import rotated
+
+    rows = [(g, k, k % 3 != 1) for g in range(6) for k in range(9)]
+    found = {}
+    for r in rotated(spark.createDataFrame(rows, "g long, k long, d boolean"), "g", "k", "d", ["p", "q", "r"]).collect():
+        found.setdefault(r.g, {})[r.k] = r.opt
+    for got in found.values():
+        drawn = [got[k] for k in range(9) if k % 3 != 1]
+        start = ["p", "q", "r"].index(drawn[0])
+        assert drawn == [["p", "q", "r"][(start + i) % 3] for i in range(6)] and all(got[k] is None for k in range(1, 9, 3))
+    assert len({got[0] for got in found.values()}) > 1
+
+
+def test_worst_seeds(spark):
+    from loomline.plans.q_scores import worst_seed
+
+    rows = [("w", "s1", "success")] * 3 + [("w", "s2", "success"), ("w", "s2", "failed"), ("w", "s2", "absent"), ("w", "s3", "zero_score"), ("w", "s3", "failed"), ("w", "s3", "success")]
+    r = worst_seed(spark.createDataFrame(rows, "g string, seed string, status string"), "g", "seed").head()
+    assert (r.n_total, r.min_success, r.max_fail, r.worst_seed, r.statuses) == (3, 1, 2, "s2", "absent=1,failed=2,success=5,zero_score=1")
