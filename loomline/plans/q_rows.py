@@ -153,8 +153,9 @@ def jn5_any_alias(spark, sf):
     """Rows one of whose spellings is listed, and the listed names that no row has."""
     entries = values(spark, "entry string", *((f"Customer#{k * 3:09d}",) for k in range(1, 20)), *((f"cust_{k}",) for k in range(100, 110)), *((f"{k}",) for k in range(40, 45)), ("nobody",))
     aliases = table(spark, sf, "customer").select("c_custkey", F.explode(F.array("c_name", F.concat(F.lit("cust_"), F.col("c_custkey").cast("string")), F.col("c_custkey").cast("string"))).alias("entry"))
-    matched = aliases.join(F.broadcast(entries), "entry", "left_semi").select("c_custkey").distinct().withColumn("kind", F.lit("matched"))
-    return matched.unionByName(entries.join(aliases, "entry", "left_anti").select(F.lit(None).cast("long").alias("c_custkey"), F.concat(F.lit("unmatched "), F.col("entry")).alias("kind")))
+    hits = aliases.join(F.broadcast(entries), "entry")
+    matched = hits.select("c_custkey").distinct().withColumn("kind", F.lit("matched"))
+    return matched.unionByName(entries.join(hits.select("entry").distinct(), "entry", "left_anti").select(F.lit(None).cast("long").alias("c_custkey"), F.concat(F.lit("unmatched "), F.col("entry")).alias("kind")))
 
 
 @query("SELECT render, count(DISTINCT owner) AS owners, min(owner) AS owner FROM (SELECT l_orderkey AS owner, 'o' || l_orderkey AS render FROM lineitem UNION SELECT l_orderkey, 'p' || l_partkey FROM lineitem WHERE l_linenumber = 1) GROUP BY 1")
@@ -257,7 +258,7 @@ def jn19_functional_dependency(spark, sf):
 def jn20_donor(spark, sf):
     """Each row takes the first item of the next group, the last group that of the first. Groups are few: ranks are over groups, not rows."""
     supplier = table(spark, sf, "supplier").select("s_suppkey", "s_nationkey")
-    return supplier.join(F.broadcast(next_groups(supplier, "s_nationkey", "s_suppkey")), "s_nationkey").select("s_suppkey", "donor")
+    return supplier.join(next_groups(supplier, "s_nationkey", "s_suppkey"), "s_nationkey").select("s_suppkey", "donor")
 
 
 def next_groups(df: DataFrame, group: str, item: str) -> DataFrame:
@@ -624,7 +625,7 @@ def srt2_tiered_top_k(spark, sf):
     """
     customer = table(spark, sf, "customer").select(F.col("c_nationkey").alias("fam"), F.col("c_mktsegment").alias("folder"), F.col("c_custkey").alias("member"), "c_acctbal")
     origins = customer.groupBy("fam").agg(F.min("folder").alias("origin"))
-    members = customer.where("c_acctbal > 7500").withColumn("b", F.col("c_acctbal") < 9000).join(F.broadcast(origins), "fam").withColumn("other", F.col("folder") != F.col("origin"))
+    members = customer.where("c_acctbal > 7500").withColumn("b", F.col("c_acctbal") < 9000).join(origins, "fam").withColumn("other", F.col("folder") != F.col("origin"))
     w = Window.partitionBy("fam")
     chosen = members.withColumn("turn", F.row_number().over(w.orderBy("b", "other", "folder", md5_key(F.lit("k"), "member")))).where("turn <= 8")
     filled = chosen.withColumn("slot", (F.row_number().over(w.orderBy("b", "other", "folder", "member")) - 1).cast("long"))
