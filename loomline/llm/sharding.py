@@ -3,8 +3,8 @@
 A node of the tree that is to become k shards is cut along its widest dimension, at the place
 where k // 2 shares of its bytes lie on one side. Cuts of all nodes of a level are found together:
 a histogram of `BINS` bins for each node, then one of the bin that holds the cut, until what lies in
-that bin is at most `EXACT` of a shard or one group. Only histograms reach the driver, whose size depends
-on the number of shards; bounds of nodes go to the tasks as a broadcast table of one row a node. Law: `bytes`.
+that bin is at most `EXACT` of a shard or one group. Of a histogram only the bin that holds the cut reaches the driver, one row
+for each node; bounds of nodes go to the tasks as a broadcast table of one row a node. Law: `bytes`.
 
 A row's place along a dimension is the measure and, for ties, a hash of its group (equal texts), so
 that a group stays whole. The dimensions are measures of the text, as `lang` and `source` may differ between
@@ -20,8 +20,6 @@ are numbered in `LANES` parts that are put end to end. Columns other than doc_id
 
 from __future__ import annotations
 
-from collections import defaultdict
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -63,22 +61,25 @@ def find_cuts(df: DataFrame, wanted: dict[int, float], exact: float) -> dict[int
         said = {n: (low, high, (high - low) // BINS + 1) for n, (low, high) in span.items()}
         inside = by_node(df, "low high step", said).where((F.col("key") >= F.col("low")) & (F.col("key") <= F.col("high")))
         bins = inside.groupBy("node", F.call_function("div", F.col("key") - F.col("low"), F.col("step")).cast("int").alias("bin"))
-        rows = defaultdict(list)
-        for r in bins.agg(F.sum("size").alias("w"), F.min("key").alias("first"), F.max("key").alias("last")).collect():
-            rows[r.node].append(r)
-        for n in list(span):
-            total = before[n]
-            for r in sorted(rows[n], key=lambda r: r.bin):
-                if total + r.w >= wanted[n]:
-                    if r.first == r.last or r.w <= exact:
-                        done[n] = r.last if total + r.w - wanted[n] <= wanted[n] - total else r.first - 1
-                        del span[n]
-                    else:
-                        span[n], before[n] = (r.first, r.last), total
-                    break
-                total += r.w
+        weighed = bins.agg(F.sum("size").alias("w"), F.min("key").alias("first"), F.max("key").alias("last"))
+        weighed = weighed.withColumn("total", F.sum("w").over(Window.partitionBy("node").orderBy("bin")))
+        goals = df.sparkSession.createDataFrame([(n, before[n], float(wanted[n])) for n in span], "node int, before long, wanted double")
+        reached = F.when(F.col("before") + F.col("total") >= F.col("wanted"), F.struct("bin", "first", "last", "w", "total"))
+        met = weighed.join(F.broadcast(goals), "node").groupBy("node").agg(F.min(reached).alias("cut"), F.max("last").alias("end")).collect()
+        for n in set(span) - {r.node for r in met}:
+            done[n] = span.pop(n)[1]
+        for r in met:
+            n, cut = r.node, r.cut
+            if cut is None:
+                done[n] = r.end
+                del span[n]
+                continue
+            total = before[n] + cut.total - cut.w  # of what lies before the bin
+            if cut.first == cut.last or cut.w <= exact:
+                done[n] = cut.last if total + cut.w - wanted[n] <= wanted[n] - total else cut.first - 1
+                del span[n]
             else:
-                done[n] = span.pop(n)[1]
+                span[n], before[n] = (cut.first, cut.last), total
     return done
 
 
