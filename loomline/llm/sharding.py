@@ -20,6 +20,8 @@ are numbered in `LANES` parts that are put end to end. Columns other than doc_id
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -45,10 +47,16 @@ def measured(df: DataFrame) -> DataFrame:
     )
 
 
+def given(spark: SparkSession, rows: list[tuple], **columns: str) -> DataFrame:
+    """A table of rows that the driver knows, as one literal that Spark parses: no Python runs in tasks."""
+    listed = json.dumps([dict(zip(columns, row, strict=True)) for row in rows])
+    kind = ", ".join(f"{name}: {type_}" for name, type_ in columns.items())
+    return spark.range(1).select(F.inline(F.from_json(F.lit(listed), f"array<struct<{kind}>>")))
+
+
 def by_node(df: DataFrame, names: str, values: dict[int, tuple], how: str = "inner") -> DataFrame:
     """Rows with what is said of their node; `names` are the columns, whole numbers."""
-    schema = ", ".join(["node int", *(f"{n} long" for n in names.split())])
-    said = df.sparkSession.createDataFrame([(node, *row) for node, row in values.items()], schema)
+    said = given(df.sparkSession, [(node, *row) for node, row in values.items()], node="int", **dict.fromkeys(names.split(), "long"))
     return df.join(F.broadcast(said), "node", how)
 
 
@@ -63,7 +71,7 @@ def find_cuts(df: DataFrame, wanted: dict[int, float], exact: float) -> dict[int
         bins = inside.groupBy("node", F.call_function("div", F.col("key") - F.col("low"), F.col("step")).cast("int").alias("bin"))
         weighed = bins.agg(F.sum("size").alias("w"), F.min("key").alias("first"), F.max("key").alias("last"))
         weighed = weighed.withColumn("total", F.sum("w").over(Window.partitionBy("node").orderBy("bin")))
-        goals = df.sparkSession.createDataFrame([(n, before[n], float(wanted[n])) for n in span], "node int, before long, wanted double")
+        goals = given(df.sparkSession, [(n, before[n], float(wanted[n])) for n in span], node="int", before="long", wanted="double")
         reached = F.when(F.col("before") + F.col("total") >= F.col("wanted"), F.struct("bin", "first", "last", "w", "total"))
         met = weighed.join(F.broadcast(goals), "node").groupBy("node").agg(F.min(reached).alias("cut"), F.max("last").alias("end")).collect()
         for n in set(span) - {r.node for r in met}:
