@@ -57,3 +57,18 @@ def test_inventory_equals_hashes_taken_by_hand(spark, tmp_path, monkeypatch):
 
 def test_no_files(spark, tmp_path):
     assert file_inventory(spark, str(tmp_path)).collect() == [] and FileDigests.name() == "file_digests"
+
+
+def test_tables_in_parts_and_stores_that_only_spark_reads(spark, tmp_path):
+    from loomline.queries import QUERIES
+
+    want = set()
+    for name, content in {"one.parquet/part-0.parquet": b"1", "two.parquet/part-0.parquet": b"22", "two.parquet/part-1.parquet": b"", "three.parquet": b"333"}.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(content)
+        want.add((name, len(content), hashlib.sha256(content).hexdigest()))
+    spark._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.store.link./in", f"file://{tmp_path}")
+    for where in (str(tmp_path), f"file:{tmp_path}", "viewfs://store/in"):
+        assert {tuple(r) for r in QUERIES["src7_file_inventory"](spark, where).collect()} == want
+    with pytest.raises(checks.CheckFailed):
+        file_inventory(spark, "viewfs://store/in", "*.parquet")
