@@ -96,3 +96,23 @@ def test_worst_seeds(spark):
     rows = [("w", "s1", "success")] * 3 + [("w", "s2", "success"), ("w", "s2", "failed"), ("w", "s2", "absent"), ("w", "s3", "zero_score"), ("w", "s3", "failed"), ("w", "s3", "success")]
     r = worst_seed(spark.createDataFrame(rows, "g string, seed string, status string"), "g", "seed").head()
     assert (r.n_total, r.min_success, r.max_fail, r.worst_seed, r.statuses) == (3, 1, 2, "s2", "absent=1,failed=2,success=5,zero_score=1")
+
+
+def test_means_are_added_in_the_order_of_the_table(spark, tmp_path):
+    """0.01, 0.06, 0.04, 0.01 and 0.06, 0.04, 0.01, 0.01 have means on two sides of 0.03; Spark would take the larger file first."""
+    import duckdb
+
+    from loomline.plans.base import VIEWS, v_scores
+
+    names = "l_orderkey long, l_returnflag string, l_discount double, l_tax double, l_quantity double"
+    row = lambda key, x: (key, "R", x, x / 2, x * 100)
+    parts = [[row(1, 0.01)], [row(1, 0.06), row(1, 0.04), row(1, 0.01), *(row(k, k / 1000) for k in range(2, 900))]]
+    for k, part in enumerate(parts):
+        spark.createDataFrame(part, names).coalesce(1).write.parquet(f"{tmp_path}/out{k}")
+        (tmp_path / "lineitem.parquet").mkdir(exist_ok=True)
+        next((tmp_path / f"out{k}").glob("*.parquet")).rename(tmp_path / "lineitem.parquet" / f"part-{k}.parquet")
+    con = duckdb.connect(config={"threads": 1})
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    want = sorted(con.execute(f"SELECT system, task_id, m1, m2, m3, m4, m5 FROM ({VIEWS['v_scores']})").fetchall())
+    assert want[0][2] < 0.3
+    assert sorted(tuple(r) for r in v_scores(spark, str(tmp_path)).collect()) == want
