@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomline.operators import checks
+from loomline.sources import files as files_of
 
 
 def read_strict_jsonl(spark: SparkSession, path: str, schema: str, key: str) -> DataFrame:
@@ -55,10 +56,24 @@ def read_name_list(spark: SparkSession, path: str, header: str = "name") -> Data
     return lines.where((F.col("name") != "") & (F.col("name") != header) & ~F.col("name").rlike("^[!#]")).select("name")
 
 
+def write_keyed_directory(df: DataFrame, path: str, key: str) -> None:
+    """A folder `key=value` for each value of a column that has rows, with these as JSON lines of one file."""
+    if not files_of.known(path):
+        df.repartition(key).write.partitionBy(key).json(path)
+        return
+    safe = F.call_function("url_encode", F.col(key).cast("string"))
+    place = F.concat(F.lit(f"{key}="), safe, F.lit("/part.json"))
+    files_of.write_lines(df.select(place.alias("place"), F.to_json(F.struct(*(c for c in df.columns if c != key))).alias("value")), path)
+
+
 def read_keyed_directory(spark: SparkSession, path: str, schema: str, pattern: str, files: str = "*") -> DataFrame:
     """JSON files that each hold one key's rows; `pattern` takes the key from a file's path as its first group. A key without a file has no row."""
-    rows = spark.read.schema(schema).option("recursiveFileLookup", True).option("pathGlobFilter", files).json(path)
-    return rows.withColumn("key", F.regexp_extract(F.input_file_name(), pattern, 1))
+    by_spark = lambda where: spark.read.schema(schema).option("recursiveFileLookup", True).option("pathGlobFilter", files).json(where).withColumn("key", F.regexp_extract(F.input_file_name(), pattern, 1))
+    if not files_of.known(path):
+        return by_spark(path)
+    lines, large = files_of.file_lines(spark, path, files)
+    rows = lines.select(F.from_json("value", schema).alias("r"), F.regexp_extract("file", pattern, 1).alias("key")).select("r.*", "key")
+    return rows.unionByName(by_spark(large)) if large else rows
 
 
 def read_annotations(spark: SparkSession, path: str) -> DataFrame:

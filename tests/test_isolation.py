@@ -72,3 +72,28 @@ def test_tables_in_parts_and_stores_that_only_spark_reads(spark, tmp_path):
         assert {tuple(r) for r in QUERIES["src7_file_inventory"](spark, where).collect()} == want
     with pytest.raises(checks.CheckFailed):
         file_inventory(spark, "viewfs://store/in", "*.parquet")
+
+
+def test_many_small_keyed_files(spark, tmp_path, monkeypatch):
+    """A folder for each of 2,500 keys in two tasks, not one for 32 files; what Spark's reader makes of odd lines and files holds for both ways."""
+    from loomline import sources
+    from loomline.sources import files
+
+    rows = spark.range(5000).selectExpr("concat('k', id % 2500) AS k", "id", "if(id % 7 = 0, NULL, concat('é', id)) AS s")
+    path = f"{tmp_path}/keyed"
+    sources.write_keyed_directory(rows, path, "k")
+    found = sources.read_keyed_directory(spark, path, "id long, s string", r"/k=([^/]+)/")
+    assert len(list((tmp_path / "keyed").iterdir())) == 2500 and found.rdd.getNumPartitions() == 2
+    assert sorted(found.select("key", "id", "s").collect()) == sorted(rows.select("k", "id", "s").collect())
+    odd = tmp_path / "odd"
+    for name, text in {"a/x.json": '{"id": 1}\n\n \t\n{"id": 2, "s": "z"}\r\n{"id": \n{"other": 3}', "b/y.json": "", "c/.z.json": '{"id": 4}', "_d/w.json": '{"id": 5}', "e f/large.json": '{"id": 6}\n' * 99, "g/v.txt": '{"id": 7}'}.items():
+        (odd / name).parent.mkdir(parents=True)
+        (odd / name).write_text(text)
+    few = files.file_lines
+    results = []
+    for limit, seen in ((1 << 27, True), (100, True), (100, False)):
+        monkeypatch.setattr(files, "file_lines", lambda *a, limit=limit: few(*a, limit=limit))
+        monkeypatch.setattr(files, "known", lambda _, seen=seen: seen)
+        read = sources.read_keyed_directory(spark, str(odd), "id long, s string", r"/odd/([a-z])[^/]*/", "*.json")
+        results.append(sorted(map(str, read.select("key", "id", "s").collect())))
+    assert results[0] == results[1] == results[2] and len(results[0]) == 4 + 99
