@@ -8,13 +8,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 LEAST = -(1 << 63)
-EUCLID = 92  # steps that two 64-bit numbers take at most
 
 
 def gcd(a: Column, b: Column) -> Column:
-    """The greatest common divisor of two numbers, not negative."""
+    """The greatest common divisor of two numbers, not negative. Euclid's way takes at most five steps a decimal digit of the lesser number (Lamé), and one that swaps them."""
     step = lambda s: F.when(s["b"] == 0, s).otherwise(F.struct(s["b"].alias("a"), (s["a"] % s["b"]).alias("b")))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(EUCLID)), F.struct(F.abs(a).cast("long").alias("a"), F.abs(b).cast("long").alias("b")), lambda s, _: step(s), lambda s: s["a"])
+    steps = lambda p: F.sequence(F.lit(1), 5 * F.length(F.least(p["a"], p["b"]).cast("string")) + 1)
+    whole_way = lambda p: F.aggregate(steps(p), p, lambda s, _: step(s), lambda s: s["a"])
+    simple = lambda p: F.when((p["a"] == 1) | (p["b"] == 1), F.lit(1).cast("long")).when(p["b"] == 0, p["a"]).when(p["a"] % F.nullif(p["b"], F.lit(0).cast("long")) == 0, p["b"])
+    pair = F.struct(F.abs(a).cast("long").alias("a"), F.abs(b).cast("long").alias("b"))
+    return let(pair, lambda p: F.coalesce(simple(p), whole_way(p)))
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -45,12 +48,12 @@ def plus(x: Column, y: Column) -> Column:
 
 
 def times(x: Column, y: Column) -> Column:
-    """The product, reduced crosswise first."""
+    """The product, reduced crosswise first, after which it is in lowest terms."""
 
     def multiply(x: Column, y: Column) -> Column:
-        safe = lambda g: F.when(g == 0, 1).otherwise(g)
-        by = F.struct(safe(gcd(x["num"], y["den"])).alias("one"), safe(gcd(y["num"], x["den"])).alias("other"))
-        return let(by, lambda g: fraction(F.try_multiply(whole(x["num"], g["one"]), whole(y["num"], g["other"])), F.try_multiply(whole(x["den"], g["other"]), whole(y["den"], g["one"]))))
+        by = F.struct(F.greatest(gcd(x["num"], y["den"]), F.lit(1).cast("long")).alias("one"), F.greatest(gcd(y["num"], x["den"]), F.lit(1).cast("long")).alias("other"))
+        product = lambda g: F.struct(F.try_multiply(whole(x["num"], g["one"]), whole(y["num"], g["other"])).alias("num"), F.try_multiply(whole(x["den"], g["other"]), whole(y["den"], g["one"])).alias("den"))
+        return let(let(by, product), lambda p: F.when(p["num"].isNotNull() & p["den"].isNotNull() & (p["num"] != LEAST), p))
 
     return both(x, y, multiply)
 
@@ -76,7 +79,7 @@ def checked(result: Column, *inputs: Column) -> Column:
     given = F.lit(True)
     for x in inputs:
         given = given & x.isNotNull()
-    return F.when(result.isNull() & given, F.raise_error(F.lit("a fraction is beyond 64 bits"))).otherwise(result)
+    return F.coalesce(result, F.when(given, F.raise_error(F.lit("a fraction is beyond 64 bits"))))
 
 
 def as_double(x: Column) -> Column:
@@ -92,8 +95,8 @@ def note_duration(token: Column) -> Column:
     word = F.substring_index(token, " ", 1)
     top = F.nullif(F.regexp_extract(word, r"(\d+)(?:%(\d+))?", 1), F.lit("")).try_cast("long")
     bottom = F.coalesce(F.nullif(F.regexp_extract(word, r"(\d+)(?:%(\d+))?", 2), F.lit("")).try_cast("long"), F.lit(1).cast("long"))
-    plain = F.when(top == 0, fraction(8, 1)).otherwise(fraction(F.try_multiply(F.lit(4).cast("long"), bottom), top))
+    plain = let(F.struct(top.alias("top"), bottom.alias("bottom")), lambda v: F.when(v["top"] == 0, F.struct(F.lit(8).cast("long").alias("num"), F.lit(1).cast("long").alias("den"))).otherwise(fraction(F.try_multiply(F.lit(4).cast("long"), v["bottom"]), v["top"])))
     dots = F.length(word) - F.length(F.replace(word, F.lit("."), F.lit("")))
     power = F.call_function("shiftleft", F.lit(1).cast("long"), F.least(dots, F.lit(61)).cast("int"))
-    dotted = times(plain, fraction(2 * power - 1, power))
-    return F.when(none, None).when(F.lower(token).contains("q"), fraction(0, 1)).when(dots > 0, dotted).otherwise(plain)
+    dotted = times(plain, let(power, lambda p: F.struct((2 * p - 1).alias("num"), p.alias("den"))))
+    return F.when(none, None).when(F.lower(token).contains("q"), F.struct(F.lit(0).cast("long").alias("num"), F.lit(1).cast("long").alias("den"))).when(dots > 0, dotted).otherwise(plain)

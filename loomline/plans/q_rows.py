@@ -92,7 +92,9 @@ def prj10_durations(spark, sf):
     """The notes' exact lengths summed for each part, and whether they fall short of or exceed four quarters."""
     place = F.sequence(F.lit(0).cast("long"), (F.col("p_size") % 6 + 1).cast("long"))
     tokens_of = F.transform(place, lambda i: F.get(F.array(*map(F.lit, TOKENS)), ((F.col("p_partkey") * 7 + i * 5) % 12).cast("int")))
-    lengths = table(spark, sf, "part").select("p_partkey", F.transform(tokens_of, fractions.note_duration).alias("d"))
+    # Small rows with much to compute: a file of few row groups would be few tasks.
+    parts = table(spark, sf, "part").select("p_partkey", "p_size").repartition(spark.sparkContext.defaultParallelism, "p_partkey")
+    lengths = parts.select("p_partkey", F.transform(tokens_of, fractions.note_duration).alias("d"))
     known = F.filter("d", lambda x: x.isNotNull())
     summed = lengths.select("p_partkey", F.size(known).cast("long").alias("notes"), (F.size("d") - F.size(known)).cast("long").alias("silent"), fractions.checked(fractions.total(known)).alias("f"))
     four = fractions.fraction(4, 1)

@@ -1,5 +1,6 @@
 """Exact fractions against the standard library's."""
 
+import math
 import random
 import re
 from fractions import Fraction
@@ -72,3 +73,24 @@ def test_note_durations(spark):
     for r in df.select("k", fr.note_duration(F.col("t")).alias("d")).collect():
         want = plain_duration(tokens[r.k])
         assert (None if r.d is None else Fraction(r.d.num, r.d.den)) == want, tokens[r.k]
+
+
+def test_steps_of_the_divisor(spark):
+    """Neighbours in Fibonacci's sequence take the most steps; all pairs end within those that their digits allow, and small ones don't take 92."""
+    fib = [0, 1]
+    while fib[-1] < 1 << 62:
+        fib.append(fib[-1] + fib[-2])
+    fib = [f for f in fib if f < 1 << 63]
+    cases = [(a, b) for a, b in zip(fib, fib[1:])] + [(b, a) for a, b in zip(fib, fib[1:])] + [(a, b) for a in range(-13, 14) for b in range(13)] + [((1 << 63) - 1, 9), (9 * 10**17, 6**23)]
+    df = spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(cases)], "k long, a long, b long")
+    divisor = fr.gcd(F.col("a"), F.col("b"))
+    assert [r.g for r in df.select("k", divisor.alias("g")).orderBy("k").collect()] == [math.gcd(a, b) for a, b in cases]
+    assert "sequence(1, 92" not in df.select(divisor)._jdf.queryExecution().analyzed().toString()
+
+
+def test_durations_of_one_file_in_many_tasks(spark, tmp_path):
+    from loomline.queries import QUERIES
+
+    spark.range(50).selectExpr("id AS p_partkey", "cast(id % 50 AS int) AS p_size").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    found = QUERIES["prj10_durations"](spark, str(tmp_path))
+    assert found.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and found.count() == 50
