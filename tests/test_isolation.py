@@ -97,3 +97,18 @@ def test_many_small_keyed_files(spark, tmp_path, monkeypatch):
         read = sources.read_keyed_directory(spark, str(odd), "id long, s string", r"/odd/([a-z])[^/]*/", "*.json")
         results.append(sorted(map(str, read.select("key", "id", "s").collect())))
     assert results[0] == results[1] == results[2] and len(results[0]) == 4 + 99
+
+
+def test_slow_calls_wait_side_by_side(spark):
+    """Forty calls that hang cost a few time limits, not forty; answers keep their rows, slow ones that come in time included."""
+    def late(a, b):
+        if a == "nap":
+            time.sleep(0.3)
+        return moody(a, b)
+
+    kinds = (["sleep", "fine", "nap", "exit", "raise"] * 40)
+    df = spark.createDataFrame([(k, a, "b") for k, a in enumerate(kinds)], "k long, a string, b string").coalesce(1)
+    began = time.time()
+    rows = {r.k: r.status for r in df.mapInPandas(scorers.score_pairs(late, 1.0), "k long, status string, score double, message string").collect()}
+    assert time.time() - began < 25
+    assert rows == {k: {"sleep": "timeout", "fine": "success", "nap": "success", "exit": "crashed", "raise": "error"}[a] for k, a in enumerate(kinds)}
